@@ -12,6 +12,8 @@ units; these are gathered and fly again until a source has at most two, and the
 that comes nearest to the target. Every step of the flight moves along the exact null vector of three units, so a
 source misses its target by two documents at most, besides rounding.
 
+Large documents fly first, so that those left for the landing are small.
+
 Determinism. Order and coin tosses come from hashes of id, size and seed, never from partitions; repeated rows are
 ordered arbitrarily among themselves but are alike, so reruns agree as sets of rows.
 
@@ -104,7 +106,7 @@ FLOWN = "doc_id long, key long, source string, size long, source_size long, targ
 
 def _fly(seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_order", "doc_id", "size"], kind="stable")
+        pdf = pdf.sort_values(["size", "_order", "doc_id"], ascending=[False, True, True], kind="stable")  # so that small ones are left for the landing
         first = int(pdf["_order"].iloc[0]) & 0xFFFFFFFF
         pdf["pi"] = flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(float), np.random.default_rng([seed, first]))
         return pdf[[c.split()[0] for c in FLOWN.split(", ")]]
