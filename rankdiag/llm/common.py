@@ -79,11 +79,11 @@ def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data
 
 
-def pieces(off: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most `most` bytes; a longer row makes a range of its own."""
+def pieces(off: np.ndarray, most: int = BATCH_BYTES, rows: int = 1 << 14) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most `most` bytes and `rows` rows; a longer row makes a range of its own."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1))
         yield i, min(j, n)
         i = min(j, n)
 
