@@ -3,11 +3,11 @@
 Sets. A document's set holds its distinct shingles of five words (A-Z lower-cased); with fewer words the whole
 sequence is its one shingle; without words it is empty and linked with nothing. Shingles are 64-bit hashes.
 
-Signatures. K values of BITS bits, each from the minimum of another hash function over the set. Two sets of Jaccard
-similarity s differ in about K * (1 - s) values. The values form CHUNKS chunks of WIDTH; if two signatures differ in
-at most DISTANCE = 2 * CHUNKS - 1 values, some chunk has at most one error (pigeonhole), so each chunk is entered
-WIDTH times, each time without another of its values. All pairs within DISTANCE share an entry. With 60 values, 12
-chunks and distance 23, a pair of similarity 0.85 is farther apart with probability of about 5e-6 (binomial tail).
+Signatures. k values of 16 bits, each from the minimum of another hash function over the set. Two sets of Jaccard
+similarity s differ in about k * (1 - s) values. The values form chunks of WIDTH; if two signatures differ in at most
+2 * chunks - 1 values, some chunk has at most one error (pigeonhole), so each chunk is entered WIDTH times, each time
+without another of its values. All pairs within that distance share an entry. With 60 values, 12 chunks and distance
+23, a pair of similarity 0.85 is farther apart with probability of about 5e-6 (binomial tail).
 
 Steps: (1) equal sets collapse into a class with one representative, the smallest doc_id; (2) representatives that
 share an entry are compared by signature distance in the task that holds the entry; a task keeps a union-find and
@@ -32,13 +32,12 @@ from pyspark.sql import functions as F
 from .common import LOWER, Rolling, cut, flat, groups, mix, pieces, table, word_spans
 
 SHINGLE = 5
-CHUNKS, WIDTH = 12, 5
-K = CHUNKS * WIDTH
-DISTANCE = 2 * CHUNKS - 1
+WIDTH = 5
 BUCKET, FAMILY = 2000, 256
+MOST = 24 * WIDTH
 
-_A = mix(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-_B = mix(np.arange(1, K + 1, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D))
+_A = mix(np.arange(1, MOST + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+_B = mix(np.arange(1, MOST + 1, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D))
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
@@ -66,49 +65,58 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> Iterator
             yield np.zeros(0, np.uint64)
 
 
-def signature(u: np.ndarray) -> np.ndarray:
-    """K values of 16 bits, well mixed."""
-    best = np.full(K, np.uint64(2**64 - 1))
+def chunks_for(percent: int) -> int:
+    """Chunks for which a pair at the similarity is within the distance but for about 1e-5."""
+    return 12 if percent >= 85 else 16 if percent >= 80 else 24
+
+
+def signature(u: np.ndarray, k: int) -> np.ndarray:
+    """k values of 16 bits, well mixed."""
+    best = np.full(k, np.uint64(2**64 - 1))
     for i in range(0, len(u), 4096):
-        x = u[i : i + 4096, None] * _A[None, :]
-        x += _B
+        x = u[i : i + 4096, None] * _A[None, :k]
+        x += _B[:k]
         np.minimum(best, x.min(axis=0), out=best)
     return mix(best) & np.uint64(0xFFFF)
 
 
 def entries(sigs: np.ndarray) -> np.ndarray:
-    """For n signatures, n x K keys: each chunk without each of its values in turn."""
-    n = len(sigs)
-    parts = sigs.reshape(n, CHUNKS, WIDTH)
-    out = np.zeros((n, CHUNKS, WIDTH), np.uint64)
+    """For n signatures of k values, n x k keys: each chunk without each of its values in turn."""
+    n, chunks = len(sigs), sigs.shape[1] // WIDTH
+    parts = sigs.reshape(n, chunks, WIDTH)
+    out = np.zeros((n, chunks, WIDTH), np.uint64)
     for skip in range(WIDTH):
-        key = np.broadcast_to(np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(skip + 1), (n, CHUNKS)).copy()
+        key = np.broadcast_to(np.arange(chunks, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(skip + 1), (n, chunks)).copy()
         for k in range(WIDTH):
             if k != skip:
                 key = mix(key * _STEP + parts[:, :, k])
         out[:, :, skip] = key
-    return out.reshape(n, K)
+    return out.reshape(n, chunks * WIDTH)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(k: int):
     """(doc_id, text) -> (doc_id, n_shingles, digest, keys, low): low holds four bits of each value."""
-    for b in batches:
-        off, data = flat(b.column(1))
-        for i, j in pieces(off):
-            n, digest, sigs = [], [], []
-            for u in shingles(data[off[i] : off[j]], off[i : j + 1] - off[i]):
-                n.append(len(u))
-                x = np.array([len(u), mix(u).sum(dtype=np.uint64), mix(u ^ _STEP).sum(dtype=np.uint64)], np.uint64)
-                digest.append(x.tobytes())
-                sigs.append(signature(u))
-            s = np.array(sigs, np.uint64).reshape(-1, K)
-            low = (s & np.uint64(15)).astype(np.uint8)
-            low = (low[:, 0::2] << 4 | low[:, 1::2]).tobytes()
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * K, K), pa.int32()), pa.array(entries(s).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), keys, pa.array([low[k : k + K // 2] for k in range(0, len(low), K // 2)], pa.binary())],
-                ["doc_id", "n_shingles", "digest", "keys", "low"],
-            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            off, data = flat(b.column(1))
+            for i, j in pieces(off):
+                n, digest, sigs = [], [], []
+                for u in shingles(data[off[i] : off[j]], off[i : j + 1] - off[i]):
+                    n.append(len(u))
+                    x = np.array([len(u), mix(u).sum(dtype=np.uint64), mix(u ^ _STEP).sum(dtype=np.uint64)], np.uint64)
+                    digest.append(x.tobytes())
+                    sigs.append(signature(u, k))
+                s = np.array(sigs, np.uint64).reshape(-1, k)
+                low = (s & np.uint64(15)).astype(np.uint8)
+                low = (low[:, 0::2] << 4 | low[:, 1::2]).tobytes()
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * k, k), pa.int32()), pa.array(entries(s).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), keys, pa.array([low[x : x + k // 2] for x in range(0, len(low), k // 2)], pa.binary())],
+                    ["doc_id", "n_shingles", "digest", "keys", "low"],
+                )
+
+    return run
 
 
 class Forest:
@@ -135,36 +143,39 @@ class Forest:
             self.flatten()
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by entry -> (a, b): a spanning forest of pairs in one entry within DISTANCE, for each run of rows."""
-    for t, at in groups(batches, ["key", "p", "q"], 1 << 17):
-        rep = t["rep"].combine_chunks().to_numpy()
-        ids, local = np.unique(rep, return_inverse=True)
-        _, data = flat(t["low"])
-        low = data.reshape(-1, K // 2)
-        forest = Forest(len(ids))
-        group_end = np.repeat(at[1:], np.diff(at))
-        i = np.arange(len(rep))
-        step = 1
-        while True:
-            i = i[i + step < group_end[i]]
-            if not len(i):
-                break
-            j = i + step
-            apart = forest.root[local[i]] != forest.root[local[j]]
-            x, y = i[apart], j[apart]
-            for k in range(0, len(x), 1 << 17):
-                p, q = x[k : k + (1 << 17)], y[k : k + (1 << 17)]
-                d = low[p] ^ low[q]
-                close = ((d & 15) != 0).sum(1) + ((d >> 4) != 0).sum(1) <= DISTANCE
-                forest.link(local[p[close]], local[q[close]])
-            if step >= 8:  # leave groups that have become one tree
-                one = np.maximum.reduceat(forest.root[local], at[:-1]) == np.minimum.reduceat(forest.root[local], at[:-1])
-                i = i[~np.repeat(one, np.diff(at))[i]]
-            step += 1
-        far = np.flatnonzero(forest.root != np.arange(len(ids)))
-        if len(far):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[forest.root[far]])], ["a", "b"])
+def _near(distance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by entry -> (a, b): a spanning forest of pairs in one entry within `distance`, for each run of rows."""
+        for t, at in groups(batches, ["key", "p", "q"], 1 << 17):
+            rep = t["rep"].combine_chunks().to_numpy()
+            ids, local = np.unique(rep, return_inverse=True)
+            _, data = flat(t["low"])
+            low = data.reshape(len(rep), -1)
+            forest = Forest(len(ids))
+            group_end = np.repeat(at[1:], np.diff(at))
+            i = np.arange(len(rep))
+            step = 1
+            while True:
+                i = i[i + step < group_end[i]]
+                if not len(i):
+                    break
+                j = i + step
+                apart = forest.root[local[i]] != forest.root[local[j]]
+                x, y = i[apart], j[apart]
+                for k in range(0, len(x), 1 << 17):
+                    p, q = x[k : k + (1 << 17)], y[k : k + (1 << 17)]
+                    d = low[p] ^ low[q]
+                    close = ((d & 15) != 0).sum(1) + ((d >> 4) != 0).sum(1) <= distance
+                    forest.link(local[p[close]], local[q[close]])
+                if step >= 8:  # leave groups that have become one tree
+                    one = np.maximum.reduceat(forest.root[local], at[:-1]) == np.minimum.reduceat(forest.root[local], at[:-1])
+                    i = i[~np.repeat(one, np.diff(at))[i]]
+                step += 1
+            far = np.flatnonzero(forest.root != np.arange(len(ids)))
+            if len(far):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[forest.root[far]])], ["a", "b"])
+
+    return run
 
 
 def linked(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,13 +253,14 @@ def blocks(df: DataFrame, by: str, size: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFrame:
     """A row for each of docs: doc_id, n_shingles, component_id, kept."""
-    told = docs.select("doc_id", F.col(text).alias("text")).mapInArrow(_describe, "doc_id long, n_shingles long, digest binary, keys array<long>, low binary")
+    chunks = chunks_for(percent)
+    told = docs.select("doc_id", F.col(text).alias("text")).mapInArrow(_describe(chunks * WIDTH), "doc_id long, n_shingles long, digest binary, keys array<long>, low binary")
     told = cut(told, "signatures")
     reps = told.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("low").alias("low"))
     rows = reps.select("rep", "low", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     few = rows.where(F.col("n") <= BUCKET).select("key", F.lit(0).alias("p"), F.lit(0).alias("q"), "rep", "low")
     many = blocks(rows.where(F.col("n") > BUCKET), "rep", BUCKET).select("key", "p", "q", "rep", "low").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    near = few.mapInArrow(_near, "a long, b long").unionByName(many.mapInArrow(_near, "a long, b long"))
+    near = few.mapInArrow(_near(2 * chunks - 1), "a long, b long").unionByName(many.mapInArrow(_near(2 * chunks - 1), "a long, b long"))
     # Sets that share a doc_id are one document.
     own = told.where("n_shingles > 0 and doc_id is not null").join(reps.select("digest", "rep"), "digest").where("doc_id <> rep")
     same = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count_distinct("digest").alias("k")).where("k > 1 and a <> b")

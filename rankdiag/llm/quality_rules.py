@@ -101,6 +101,16 @@ def apply_rules(docs: DataFrame, rules: Sequence[tuple] = RULES, text: str = "te
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)).drop("_t", "_words", "_lines", "_ink", "_windows", "_covered", "_upper", "_letters")
 
 
+def good_rows(docs: DataFrame, rules: Sequence[tuple] = RULES, text: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with the columns of docs.
+
+    The row number in the condition keeps the optimizer from moving the condition below the measures, where each of
+    them would be worked out anew wherever another uses it.
+    """
+    judged = apply_rules(docs, rules, text).withColumn("_at", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_at") >= 0)).select(*docs.columns)
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

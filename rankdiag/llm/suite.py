@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, lattice_lm, mixing, near_dedup, ngram_resample, quality_rules, suffix_dedup, token_counts, url_filter
+from . import decontaminate, language_id, lattice_lm, mixing, near_dedup, ngram_resample, quality_rules, suffix_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_resample": ngram_resample.op1_ngram_resample,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_lattice_lm": lattice_lm.op5_lattice_lm,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
