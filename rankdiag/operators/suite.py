@@ -2,5 +2,677 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry as geo
+from ..functions import scalars as fn
+from ..plans.base import BOXES, DOCS, GROUP, LINES, box_table, document_candidates, line_candidates, table
+from . import align, assoc, audit, graph, pool, ranking
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# ---- Ranking ---------------------------------------------------------------------------------------------------------
+
+RANKED = f"""freq AS (SELECT c.*, count(*) OVER (PARTITION BY name) AS freq FROM cand c),
+long AS (SELECT * FROM (SELECT f.*, k.control FROM freq f, (SELECT unnest(['tracker_score','candidate_distance','projected_box_area','category_frequency','oracle']) AS control) k)),
+keyed AS (SELECT *, {ranking.KEY_SQL} AS k FROM long),
+ranked AS (SELECT *, row_number() OVER w AS rank, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS found,
+  sum(CASE WHEN label IS NOT NULL THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS labeled_rank FROM keyed
+  WINDOW w AS (PARTITION BY log_id, prompt, timestamp_ns, control ORDER BY k, track_id)),
+met AS (SELECT log_id, prompt, timestamp_ns, control, count(*) AS candidate_count, count(*) FILTER (label = 0) AS positive_count,
+  count(*) FILTER (label IN (1, 2)) AS negative_count, count(*) FILTER (label IS NULL) AS unknown_count,
+  sum(CASE WHEN label = 0 THEN CAST(found AS DOUBLE) / rank END) / nullif(count(*) FILTER (label = 0), 0) AS average_precision,
+  CASE WHEN count(*) FILTER (label = 0) > 0 THEN CAST(max(CASE WHEN rank = 1 AND label = 0 THEN 1 ELSE 0 END) AS INTEGER) END AS recall_at_1,
+  sum(CASE WHEN label = 0 THEN CAST(found AS DOUBLE) / labeled_rank END) / nullif(count(*) FILTER (label = 0), 0) AS labeled_average_precision,
+  CASE WHEN count(*) FILTER (label = 0) > 0 THEN CAST(max(CASE WHEN labeled_rank = 1 AND label = 0 THEN 1 ELSE 0 END) AS INTEGER) END AS labeled_recall_at_1
+  FROM ranked GROUP BY ALL)"""
+
+
+def _summary_sql(base: str, by: str, where: str = "", source: str = "met") -> str:
+    ok = "positive_count > 0 AND negative_count > 0"
+    mean = lambda c, n: f"round(avg(CASE WHEN {ok} THEN {c} END), 6) AS {n}"
+    return f"""WITH {base}, {RANKED} SELECT {by}, count(*) AS groups, count(*) FILTER ({ok}) AS rankable_groups, {mean("average_precision", "mean_ap")},
+  {mean("recall_at_1", "recall_at_1")}, {mean("labeled_average_precision", "labeled_mean_ap")}, {mean("labeled_recall_at_1", "labeled_recall_at_1")},
+  round(avg(candidate_count), 6) AS mean_candidates, round(avg(unknown_count), 6) AS mean_unknown FROM {source} {where} GROUP BY ALL"""
+
+
+METRICS = ("average_precision", "labeled_average_precision")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in METRICS})
+
+
+@query("rank_controls_summary", _summary_sql(DOCS, "control"))
+def _(spark, d):
+    return ranking.summarize(ranking.group_metrics(ranking.rank(document_candidates(spark, d))), "control")
+
+
+@query("rank_controls_long_lineitem", _summary_sql(LINES, "control"))
+def _(spark, d):
+    return ranking.summarize(ranking.group_metrics(ranking.rank(line_candidates(spark, d))), "control")
+
+
+@query("rank_oracle_upper_bound", _summary_sql(LINES, "control", "WHERE control = 'oracle'"))
+def _(spark, d):
+    return ranking.summarize(ranking.group_metrics(ranking.rank(line_candidates(spark, d), ["oracle"])), "control")
+
+
+@query("group_metrics_rows", f"WITH {LINES}, {RANKED} SELECT * REPLACE (round(average_precision, 6) AS average_precision, round(labeled_average_precision, 6) AS labeled_average_precision) FROM met WHERE control = 'tracker_score'")
+def _(spark, d):
+    return _rounded(ranking.group_metrics(ranking.rank(line_candidates(spark, d), ["tracker_score"])))
+
+
+@query("labeled_only_bound", f"""WITH {DOCS}, {RANKED} SELECT log_id, prompt, control, round(average_precision, 6) AS operational, round(labeled_average_precision, 6) AS labeled_only,
+  labeled_average_precision >= average_precision AS bounded FROM met WHERE positive_count > 0""")
+def _(spark, d):
+    m = ranking.group_metrics(ranking.rank(document_candidates(spark, d))).where("positive_count > 0")
+    return m.select("log_id", "prompt", "control", F.round("average_precision", 6).alias("operational"), F.round("labeled_average_precision", 6).alias("labeled_only"), (F.col("labeled_average_precision") >= F.col("average_precision")).alias("bounded"))
+
+
+@query("rank_seeded_random")
+def _(spark, d):
+    return ranking.seeded_random_rank(document_candidates(spark, d), 0)
+
+
+_HARD = """near AS (SELECT c.* FROM cand c WHERE label = 0 OR (label IN (1, 2) AND EXISTS (SELECT 1 FROM cand p WHERE p.label = 0 AND p.log_id = c.log_id
+  AND p.prompt = c.prompt AND p.timestamp_ns = c.timestamp_ns AND abs(p.score - c.score) <= {delta})))"""
+_AREA = """near2 AS (SELECT c.* FROM near c WHERE label = 0 OR EXISTS (SELECT 1 FROM cand p WHERE p.label = 0 AND p.log_id = c.log_id AND p.prompt = c.prompt
+  AND p.timestamp_ns = c.timestamp_ns AND abs(ln(1 + p.area) - ln(1 + c.area)) <= 0.2))"""
+_BOTH = "SELECT log_id, prompt, timestamp_ns, count(*) FILTER (label = 0) AS positives, count(*) FILTER (label <> 0) AS negatives FROM {t} GROUP BY ALL HAVING count(*) FILTER (label = 0) > 0 AND count(*) FILTER (label <> 0) > 0"
+
+
+def _both(df: DataFrame) -> DataFrame:
+    return df.groupBy(*GROUP).agg(F.count_if(F.col("label") == 0).alias("positives"), F.count_if(F.col("label") != 0).alias("negatives"))
+
+
+@query("hard_negative_score", f"WITH {LINES}, {_HARD.format(delta=500)} {_BOTH.format(t='near')}")
+def _(spark, d):
+    return _both(ranking.hard_negatives(line_candidates(spark, d), 500.0))
+
+
+@query("hard_negative_score_size", f"WITH {LINES}, {_HARD.format(delta=5000)}, {_AREA} {_BOTH.format(t='near2')}")
+def _(spark, d):
+    return _both(ranking.hard_negatives(line_candidates(spark, d), 5000.0, 0.2))
+
+
+_LOGIT = "CAST(((score - 40000) / 8000) AS DOUBLE)"
+_CAL = f"""p AS (SELECT 1 / (1 + exp(-greatest(-30.0::DOUBLE, least(30.0::DOUBLE, {_LOGIT})))) AS p, CASE WHEN label = 0 THEN 1.0::DOUBLE ELSE 0 END AS y FROM cand WHERE label IS NOT NULL),
+b AS (SELECT *, CAST(CASE {" ".join(f"WHEN p < {e!r}::DOUBLE THEN {i}" for i, e in enumerate(ranking.EDGES[1:10]))} ELSE 9 END AS INTEGER) AS bin FROM p)"""
+
+
+def _logits(spark, d):
+    return line_candidates(spark, d).withColumn("logit", (F.col("score") - 40000) / 8000)
+
+
+@query("calibration_nll_brier", f"""WITH {LINES}, {_CAL}, g AS (SELECT bin, count(*) AS n, sum(-(y * ln(p + 1e-8::DOUBLE) + (1 - y) * ln(1 - p + 1e-8::DOUBLE))) AS l, sum((p - y) * (p - y)) AS s, abs(sum(p - y)) AS e FROM b GROUP BY bin)
+SELECT CAST(sum(n) AS BIGINT) AS labeled, round(sum(l) / sum(n), 6) AS nll, round(sum(s) / sum(n), 6) AS brier, round(sum(e) / sum(n), 6) AS ece FROM g""")
+def _(spark, d):
+    return ranking.calibration(_logits(spark, d), "logit")
+
+
+@query("calibration_ece_bins", f"""WITH {LINES}, {_CAL} SELECT CAST(i AS INTEGER) AS bin, count(p) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS positive_share
+FROM range(10) r(i) LEFT JOIN b ON bin = i GROUP BY i""")
+def _(spark, d):
+    return ranking.reliability(_logits(spark, d), "logit")
+
+
+_BIN = "CASE WHEN candidate_count BETWEEN 1 AND 64 THEN '1-64' WHEN candidate_count BETWEEN 65 AND 128 THEN '65-128' WHEN candidate_count BETWEEN 129 AND 256 THEN '129-256' ELSE '257+' END"
+
+
+@query("strata_grouping_sets", f"""WITH {LINES}, {RANKED}, s AS (SELECT *, {_BIN} AS bin FROM met WHERE control IN ('tracker_score', 'candidate_distance'))
+SELECT control, prompt, timestamp_ns AS year, bin, count(*) AS groups, round(avg(CASE WHEN positive_count > 0 AND negative_count > 0 THEN average_precision END), 6) AS mean_ap
+FROM s GROUP BY GROUPING SETS ((control, prompt), (control, timestamp_ns), (control, bin))""")
+def _(spark, d):
+    m = ranking.group_metrics(ranking.rank(line_candidates(spark, d), ["tracker_score", "candidate_distance"]))
+    m = m.withColumns({"bin": fn.size_bin(F.col("candidate_count")), "year": F.col("timestamp_ns")})
+    ok = (F.col("positive_count") > 0) & (F.col("negative_count") > 0)
+    c = [F.col(x) for x in ("control", "prompt", "year", "bin")]
+    return m.groupingSets([[c[0], c[1]], [c[0], c[2]], [c[0], c[3]]], *c).agg(F.count("*").alias("groups"), F.round(F.avg(F.when(ok, F.col("average_precision"))), 6).alias("mean_ap"))
+
+
+# ---- Groups and samples ----------------------------------------------------------------------------------------------
+
+_RANKABLE = "rk AS (SELECT log_id, prompt, timestamp_ns FROM cand GROUP BY ALL HAVING bool_or(label = 0) AND bool_or(label IN (1, 2)))"
+
+
+@query("rankable_groups", f"WITH {DOCS}, {_RANKABLE} SELECT * FROM rk")
+def _(spark, d):
+    return ranking.rankable(document_candidates(spark, d))
+
+
+@query("sample_groups_hash", f"WITH {LINES}, {_RANKABLE} SELECT *, sha256('7|' || log_id || '|' || prompt || '|' || timestamp_ns) AS h FROM rk ORDER BY h, log_id, prompt, timestamp_ns LIMIT 50")
+def _(spark, d):
+    h = F.sha2(F.concat_ws("|", F.lit("7"), *[F.col(c).cast("string") for c in GROUP]), 256)
+    return ranking.rankable(line_candidates(spark, d)).withColumn("h", h).orderBy("h", *GROUP).limit(50)
+
+
+@query("group_semi_join", f"WITH {LINES}, {_RANKABLE} SELECT c.log_id, c.prompt, c.timestamp_ns, c.track_id, c.label FROM cand c SEMI JOIN rk USING (log_id, prompt, timestamp_ns)")
+def _(spark, d):
+    c = line_candidates(spark, d)
+    return c.join(ranking.rankable(c), list(GROUP), "left_semi").select(*GROUP, "track_id", "label")
+
+
+@query("group_seed", f"""WITH {DOCS}, g AS (SELECT DISTINCT log_id, prompt, timestamp_ns FROM cand), h AS (SELECT *, sha256('3|' || log_id || '|' || prompt || '|' || timestamp_ns) AS h FROM g)
+SELECT log_id, prompt, timestamp_ns, CAST('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2] AS BIGINT) AS seed FROM h""")
+def _(spark, d):
+    return document_candidates(spark, d).select(*GROUP).distinct().withColumn("seed", fn.group_seed(3, *[F.col(c) for c in GROUP]))
+
+
+# ---- Contract --------------------------------------------------------------------------------------------------------
+
+
+@query("inspect_core", f"""WITH {LINES} SELECT count(*) AS records, count(DISTINCT log_id) AS logs, count(DISTINCT prompt) AS prompts, count(DISTINCT (log_id, prompt, timestamp_ns)) AS groups,
+  count(*) FILTER (isnan(score) OR isinf(score)) AS non_finite_scores, count(*) FILTER (distance_m <= 50) AS eligible FROM cand""")
+def _(spark, d):
+    return audit.core_counts(line_candidates(spark, d))
+
+
+@query("inspect_missing", f"WITH {DOCS} SELECT field, count(*) - sum(present) AS missing FROM (SELECT unnest(['log_id','prompt','timestamp_ns','track_id','name','score','distance_m','area','label']) AS field, unnest([CAST(coalesce(log_id <> '', false) AS INT), CAST(coalesce(prompt <> '', false) AS INT), CAST(timestamp_ns IS NOT NULL AS INT), CAST(coalesce(track_id <> '', false) AS INT), CAST(coalesce(name <> '', false) AS INT), CAST(coalesce(NOT isnan(score), false) AS INT), CAST(coalesce(NOT isnan(distance_m), false) AS INT), CAST(coalesce(NOT isnan(area), false) AS INT), CAST(label IS NOT NULL AS INT)]) AS present FROM cand) GROUP BY field".replace("count(*) - sum(present)", "CAST(count(*) - sum(present) AS BIGINT)"))
+def _(spark, d):
+    return audit.missing_counts(document_candidates(spark, d))
+
+
+@query("inspect_labels", f"WITH {DOCS} SELECT coalesce(CAST(label AS VARCHAR), 'UNKNOWN') AS value, count(*) AS n FROM cand GROUP BY 1")
+def _(spark, d):
+    return audit.value_counts(document_candidates(spark, d), "label")
+
+
+@query("inspect_groups", f"""WITH {LINES}, g AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS p, count(*) FILTER (label IN (1, 2)) AS neg FROM cand GROUP BY log_id, prompt, timestamp_ns)
+SELECT count(*) AS groups, count(*) FILTER (p > 0) AS with_positive, count(*) FILTER (p > 0 AND neg > 0) AS rankable, min(n) AS least, max(n) AS most FROM g""")
+def _(spark, d):
+    return audit.group_feasibility(line_candidates(spark, d))
+
+
+@query("inspect_duplicates", "WITH g AS (SELECT count(*) - 1 AS r FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT CAST(sum(r) AS BIGINT) AS duplicates, count(*) FILTER (r > 0) AS keys FROM g")
+def _(spark, d):
+    return audit.duplicate_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("inspect_time_order", """WITH f AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL), o AS (SELECT user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY first) > event_type AS back FROM f)
+SELECT user_id, CAST(sum(CASE WHEN back THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM o GROUP BY user_id HAVING sum(CASE WHEN back THEN 1 ELSE 0 END) > 0""")
+def _(spark, d):
+    return align.time_order_violations(table(spark, d, "events").select("event_id", "user_id", "event_type"), ["user_id"], "event_type", "event_id")
+
+
+@query("conversation_turn_order", "SELECT conv_id, count(*) AS turns, max(turn) - min(turn) + 1 = count(DISTINCT turn) AS dense, count(*) - count(DISTINCT turn) AS repeats FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    t = table(spark, d, "conversations").groupBy("conv_id")
+    return t.agg(F.count("*").alias("turns"), (F.max("turn") - F.min("turn") + 1 == F.count_distinct("turn")).alias("dense"), (F.count("*") - F.count_distinct("turn")).alias("repeats"))
+
+
+@query("normalize_records", """SELECT doc_id, CASE WHEN trim(lang) = '' THEN NULL ELSE upper(trim(lang)) END AS prompt, TRY_CAST(n_chars AS DOUBLE) AS score, regexp_replace(source, '^src', '') AS log_id FROM documents""")
+def _(spark, d):
+    t = table(spark, d, "documents")
+    return t.select("doc_id", F.when(F.trim("lang") != "", F.upper(F.trim("lang"))).alias("prompt"), fn.number(F.col("n_chars")).alias("score"), F.regexp_replace("source", "^src", "").alias("log_id"))
+
+
+_NAMES = "CASE doc_id % 6 WHEN 0 THEN ' referred_object ' WHEN 1 THEN 'RELATED' WHEN 2 THEN '2' WHEN 3 THEN '17' WHEN 4 THEN 'x' END"
+
+
+@query("label_coercion", f"""WITH n AS (SELECT doc_id, upper(trim({_NAMES})) AS t FROM labels), c AS (SELECT doc_id, CASE WHEN t = 'REFERRED_OBJECT' THEN 0 WHEN t = 'RELATED' THEN 1 WHEN regexp_matches(t, '^[0-9]+$') THEN CAST(TRY_CAST(t AS INTEGER) AS INTEGER) END AS coerced FROM n)
+SELECT doc_id, CAST(coerced AS INTEGER) AS coerced, CAST(CASE WHEN coerced IN (0, 1, 2) THEN coerced END AS INTEGER) AS tri_state FROM c""")
+def _(spark, d):
+    t = table(spark, d, "labels").select("doc_id", fn.coerce_label(F.expr(_NAMES.replace("VARCHAR", "STRING"))).alias("coerced"))
+    return t.withColumn("tri_state", fn.tri_state(F.col("coerced")))
+
+
+# ---- Prompts ---------------------------------------------------------------------------------------------------------
+
+
+@query("template_keys", """WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(lower(url)), '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}', '<id>', 'g'), '[0-9]+(\\.[0-9]+)?', '<num>', 'g'), '\\s+', ' ', 'g') AS key FROM pages)
+SELECT key, count(*) AS n FROM t GROUP BY key""")
+def _(spark, d):
+    return table(spark, d, "pages").groupBy(fn.template_key(F.col("url")).alias("key")).agg(F.count("*").alias("n"))
+
+
+_PK = "trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+(\\.[0-9]+)?', '#', 'g'), '[^a-z0-9# ]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query("prompt_normalise_bucket", f"""WITH p AS (SELECT item_id, {_PK} AS key FROM benchmark), h AS (SELECT *, sha256(key) AS h FROM p),
+m AS (SELECT *, (6 * list_sum([CAST('0x' || c AS INTEGER) FOR c IN string_split(h[1:63], '')]) + CAST('0x' || h[64:64] AS INTEGER)) % 10 AS m FROM h)
+SELECT item_id, key, CASE WHEN m < 6 THEN 'train' WHEN m < 8 THEN 'validation' ELSE 'test' END AS split FROM m""")
+def _(spark, d):
+    p = table(spark, d, "benchmark").select("item_id", fn.prompt_key(F.col("text")).alias("key"))
+    return p.withColumn("split", fn.split_bucket(F.col("key")))
+
+
+_TOK = f"tok AS (SELECT item_id, list_distinct(string_split({_PK}, ' ')) AS t FROM benchmark)"
+
+
+def _prompt_pairs(spark, d, least):
+    """Pairs of items that share a token, with the Jaccard similarity of their token sets; only they can be above 0."""
+    p = table(spark, d, "benchmark").select("item_id", F.array_distinct(F.split(fn.prompt_key(F.col("text")), " ")).alias("t"))
+    one = p.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
+    two = one.select(F.col("item_id").alias("b"), F.col("n").alias("m"), "w")
+    both = one.withColumnRenamed("item_id", "a").join(two, "w").where("a < b").groupBy("a", "b", "n", "m").agg(F.count("*").alias("k"))
+    return both.select("a", "b", (F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+_PAIRS = """pr AS (SELECT x.item_id AS a, y.item_id AS b, CAST(len(list_intersect(x.t, y.t)) AS DOUBLE) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) AS jaccard FROM tok x JOIN tok y ON x.item_id < y.item_id)"""
+
+
+@query("prompt_jaccard_pairs", f"WITH {_TOK}, {_PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM pr WHERE jaccard >= 0.1")
+def _(spark, d):
+    return _prompt_pairs(spark, d, 0.1).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query("prompt_components", f"""WITH RECURSIVE {_TOK}, {_PAIRS}, e AS (SELECT a, b FROM pr WHERE jaccard >= 0.2 UNION SELECT b, a FROM pr WHERE jaccard >= 0.2),
+r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a) SELECT node, min(root) AS root FROM r GROUP BY node""")
+def _(spark, d):
+    return graph.components(_prompt_pairs(spark, d, 0.2).select("a", "b"))
+
+
+@query("prompt_ratio_pairs")
+def _(spark, d):
+    from .prompts import ratio_pairs
+
+    p = table(spark, d, "benchmark").select("item_id", fn.prompt_key(F.col("text")).alias("key"))
+    return ratio_pairs(p, _prompt_pairs(spark, d, 0.1).select("a", "b"))
+
+
+@query("taxonomy_match_counts", """WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' box_truck' WHEN 1 THEN 'Truck' WHEN 2 THEN 'pedestrian' ELSE upper(p_type) END AS n FROM part),
+g AS (SELECT CASE WHEN upper(trim(n)) IN ('BOX_TRUCK', 'TRUCK', 'TRUCK_CAB', 'LARGE_VEHICLE') THEN 'LARGE_VEHICLE' ELSE upper(trim(n)) END AS grp FROM p) SELECT grp, count(*) AS n FROM g GROUP BY grp""")
+def _(spark, d):
+    name = F.expr("CASE p_partkey % 4 WHEN 0 THEN ' box_truck' WHEN 1 THEN 'Truck' WHEN 2 THEN 'pedestrian' ELSE upper(p_type) END")
+    return table(spark, d, "part").groupBy(fn.taxonomy_group(name).alias("grp")).agg(F.count("*").alias("n"))
+
+
+# ---- Alignment -------------------------------------------------------------------------------------------------------
+
+_TOL = 3_600_000_000
+
+
+def _events(spark, d, kind):
+    return table(spark, d, "events").where(F.col("event_type") == kind).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
+def _nearest_sql(tie: str) -> str:
+    order = "g, v.us DESC" if tie == "later" else "g, v.us"
+    return f"""WITH t AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us FROM events), m AS (SELECT c.event_id, c.user_id, v.event_id AS match_id, abs(c.us - v.us) AS g,
+  row_number() OVER (PARTITION BY c.event_id ORDER BY abs(c.us - v.us), {"v.us DESC" if tie == "later" else "v.us"}) AS k FROM t c JOIN t v ON c.user_id = v.user_id AND c.event_type = 'click' AND v.event_type = 'view' AND abs(c.us - v.us) <= {_TOL})
+SELECT event_id, user_id, match_id, g AS gap FROM m WHERE k = 1"""
+
+
+@query("nearest_camera", _nearest_sql("later"))
+def _(spark, d):
+    return align.nearest(_events(spark, d, "click"), _events(spark, d, "view"), ["user_id"], "us", "us", _TOL, "later").select("event_id", "user_id", F.col("match.event_id").alias("match_id"), "gap")
+
+
+@query("nearest_tracker", _nearest_sql("earlier"))
+def _(spark, d):
+    return align.nearest(_events(spark, d, "click"), _events(spark, d, "view"), ["user_id"], "us", "us", _TOL, "earlier").select("event_id", "user_id", F.col("match.event_id").alias("match_id"), "gap")
+
+
+@query("timestamp_selection", """WITH t AS (SELECT DISTINCT user_id, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, event_type FROM events)
+SELECT user_id, day FROM t WHERE event_type IN ('click', 'view', 'purchase') GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT event_type) FROM events WHERE event_type IN ('click', 'view', 'purchase'))""")
+def _(spark, d):
+    e = table(spark, d, "events").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000).alias("day"), "event_type")
+    present = [k for k in ("click", "view", "purchase") if not e.where(F.col("event_type") == k).isEmpty()]
+    return align.common_keys(*[e.where(F.col("event_type") == k) for k in present], on=["user_id", "day"])
+
+
+@query("missing_logs", "SELECT c_custkey AS key FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+def _(spark, d):
+    return align.missing_keys(table(spark, d, "customer").select(F.col("c_custkey").alias("key")), table(spark, d, "orders").select(F.col("o_custkey").alias("key")), ["key"])
+
+
+@query("first_seen_dedup", "SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS k FROM lineitem) WHERE k = 1")
+def _(spark, d):
+    t = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return align.first_seen(t, ["l_suppkey", "l_partkey"], ["l_orderkey", "l_linenumber", "l_quantity"]).drop("l_quantity")
+
+
+@query("positional_zip", """SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS value, CAST((vec_id + i - 1) % 3 AS INTEGER) AS label FROM embeddings, range(1, 9) r(i)""")
+def _(spark, d):
+    t = table(spark, d, "embeddings").withColumn("labels", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: ((F.col("vec_id") + i) % 3).cast("int")))
+    z = F.arrays_zip(F.slice("embedding", 1, 8).alias("v"), F.col("labels").alias("l"))
+    return t.select("vec_id", F.posexplode(z).alias("pos", "z")).select("vec_id", "pos", F.col("z.v").cast("double").alias("value"), F.col("z.l").alias("label"))
+
+
+@query("json_props_flatten", "SELECT event_id, CAST(key AS VARCHAR) AS key, CAST(value AS BIGINT) AS value FROM (SELECT event_id, unnest(json_keys(props)) AS key, json_extract(props, '$.' || unnest(json_keys(props))) AS value FROM events)")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "value"))
+
+
+# ---- Pool and geometry -----------------------------------------------------------------------------------------------
+
+
+@query("pool_filter_strict", f"WITH {BOXES} SELECT vec_id, log_id, timestamp_ns, class, round(sqrt(x * x + y * y), 6) AS distance_m FROM box WHERE sqrt(x * x + y * y) < 10 AND length > 0 AND width > 0 AND height > 0")
+def _(spark, d):
+    return pool.strict_pool(box_table(spark, d), 10.0).select("vec_id", "log_id", "timestamp_ns", "class", F.round("distance_m", 6).alias("distance_m"))
+
+
+@query("pool_build", f"WITH {BOXES} SELECT vec_id, log_id, timestamp_ns, CAST(row_number() OVER (PARTITION BY log_id, timestamp_ns ORDER BY vec_id) - 1 AS INTEGER) AS ordinal FROM box WHERE class IN (0, 1, 2, 3) AND sqrt(x * x + y * y) < 50")
+def _(spark, d):
+    p = pool.loose_pool(box_table(spark, d), [0, 1, 2, 3])
+    return p.select("vec_id", "log_id", "timestamp_ns", (F.row_number().over(Window.partitionBy("log_id", "timestamp_ns").orderBy("vec_id")) - 1).alias("ordinal"))
+
+
+@query("ego_partition", f"""WITH {BOXES}, g AS (SELECT log_id, timestamp_ns, count(*) AS n FROM box GROUP BY ALL) SELECT log_id, timestamp_ns, n AS external, CAST(1 AS BIGINT) AS ego FROM g""")
+def _(spark, d):
+    b = box_table(spark, d).withColumns({"track_id": F.col("vec_id").cast("string"), "name": F.concat(F.lit("K"), F.col("class").cast("string"))})
+    return pool.with_ego(b).groupBy("log_id", "timestamp_ns").agg(F.count_if(~pool.is_ego()).alias("external"), F.count_if(pool.is_ego()).alias("ego"))
+
+
+_R = """r AS (SELECT *, 1 - 2 * (qy * qy + qz * qz) AS r00, 2 * (qx * qy - qz * qw) AS r01, 2 * (qx * qz + qy * qw) AS r02, 2 * (qx * qy + qz * qw) AS r10,
+  1 - 2 * (qx * qx + qz * qz) AS r11, 2 * (qy * qz - qx * qw) AS r12, 2 * (qx * qz - qy * qw) AS r20, 2 * (qy * qz + qx * qw) AS r21, 1 - 2 * (qx * qx + qy * qy) AS r22 FROM box)"""
+
+
+def _posed(spark, d):
+    b = box_table(spark, d)
+    col = lambda *n: tuple(F.col(c) for c in n)
+    return b, geo.rotation(*col("qw", "qx", "qy", "qz")), col("tx", "ty", "tz"), col("x", "y", "z")
+
+
+@query("se3_city_to_ego", f"""WITH {BOXES}, {_R} SELECT vec_id, round(r00 * (x - tx) + r10 * (y - ty) + r20 * (z - tz), 6) AS ex, round(r01 * (x - tx) + r11 * (y - ty) + r21 * (z - tz), 6) AS ey,
+  round(r02 * (x - tx) + r12 * (y - ty) + r22 * (z - tz), 6) AS ez FROM r""")
+def _(spark, d):
+    b, r, t, p = _posed(spark, d)
+    return b.select("vec_id", *[F.round(v, 6).alias(n) for v, n in zip(geo.to_ego(r, t, p), ("ex", "ey", "ez"), strict=True)])
+
+
+@query("se3_ego_to_city", f"""WITH {BOXES}, {_R} SELECT vec_id, round(r00 * x + r01 * y + r02 * z + tx, 6) AS cx, round(r10 * x + r11 * y + r12 * z + ty, 6) AS cy, round(r20 * x + r21 * y + r22 * z + tz, 6) AS cz FROM r""")
+def _(spark, d):
+    b, r, t, p = _posed(spark, d)
+    return b.select("vec_id", *[F.round(v, 6).alias(n) for v, n in zip(geo.to_city(r, t, p), ("cx", "cy", "cz"), strict=True)])
+
+
+@query("ego_yaw", f"WITH {BOXES}, {_R} SELECT vec_id, round(atan2(r10, r00), 6) AS ego_yaw, round(yaw - atan2(r10, r00), 6) AS relative_yaw FROM r")
+def _(spark, d):
+    b, r, _, _ = _posed(spark, d)
+    return b.select("vec_id", F.round(geo.ego_yaw(r), 6).alias("ego_yaw"), F.round(F.col("yaw") - geo.ego_yaw(r), 6).alias("relative_yaw"))
+
+
+_CORNERS = """k AS (SELECT b.*, i, CASE WHEN i // 4 = 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END AS sx, CASE WHEN (i // 2) % 2 = 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END AS sy, CASE WHEN i % 2 = 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END AS sz FROM box b, range(8) q(i)),
+corner AS (SELECT *, x + length * sx * cos(yaw) - width * sy * sin(yaw) AS px, y + length * sx * sin(yaw) + width * sy * cos(yaw) AS py, z + height * sz AS pz FROM k)"""
+
+
+def _cornered(spark, d):
+    c = geo.corners(*[F.col(n) for n in ("x", "y", "z", "length", "width", "height", "yaw")])
+    return box_table(spark, d).withColumn("corners", c)
+
+
+@query("box_corners", f"WITH {BOXES}, {_CORNERS} SELECT vec_id, CAST(i AS INTEGER) AS i, round(px, 6) AS px, round(py, 6) AS py, round(pz, 6) AS pz FROM corner")
+def _(spark, d):
+    return _cornered(spark, d).select("vec_id", F.posexplode("corners").alias("i", "c")).select("vec_id", "i", *[F.round(f"c.{n}", 6).alias(f"p{n}") for n in "xyz"])
+
+
+@query("roi_any_corner", f"""WITH {BOXES}, {_CORNERS}, roi AS (SELECT DISTINCT CAST(floor(x) AS BIGINT) AS cx, CAST(floor(y) AS BIGINT) AS cy FROM box WHERE vec_id % 3 = 0)
+SELECT vec_id, bool_or(roi.cx IS NOT NULL) AS inside FROM corner LEFT JOIN roi ON CAST(floor(px) AS BIGINT) = roi.cx AND CAST(floor(py) AS BIGINT) = roi.cy GROUP BY vec_id""")
+def _(spark, d):
+    b = _cornered(spark, d)
+    roi = b.where("vec_id % 3 = 0").select(F.floor("x").alias("cx"), F.floor("y").alias("cy")).distinct().withColumn("hit", F.lit(True))
+    c = b.select("vec_id", F.explode("corners").alias("c")).select("vec_id", F.floor("c.x").alias("cx"), F.floor("c.y").alias("cy"))
+    return c.join(roi, ["cx", "cy"], "left").groupBy("vec_id").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("inside"))
+
+
+_EDGE = " UNION ALL ".join(f"SELECT {i} AS a, {j} AS b" for i, j in geo.EDGES)
+
+
+@query("project_clip", f"""WITH {BOXES}, {_CORNERS}, c AS (SELECT vec_id, i, px AS x, py AS y, pz + 5 AS z FROM corner), ed AS ({_EDGE}),
+s AS (SELECT vec_id, x, y, z FROM c WHERE z >= 0.1::DOUBLE UNION ALL SELECT p.vec_id, p.x + (q.x - p.x) * (0.1::DOUBLE - p.z) / (q.z - p.z), p.y + (q.y - p.y) * (0.1::DOUBLE - p.z) / (q.z - p.z), 0.1::DOUBLE
+  FROM ed JOIN c p ON p.i = ed.a JOIN c q ON q.i = ed.b AND q.vec_id = p.vec_id WHERE (p.z >= 0.1::DOUBLE) <> (q.z >= 0.1::DOUBLE)),
+u AS (SELECT vec_id, x * 100.0::DOUBLE / z + 96 AS u, y * 100.0::DOUBLE / z + 60 AS v FROM s),
+m AS (SELECT vec_id, greatest(0, min(u)) AS x0, greatest(0, min(v)) AS y0, least(192, max(u)) AS x1, least(120, max(v)) AS y1 FROM u GROUP BY vec_id)
+SELECT b.vec_id, CASE WHEN greatest(0, x1 - x0) * greatest(0, y1 - y0) > 1 THEN 'PROJECTED' ELSE 'OUT_OF_VIEW' END AS status,
+  CASE WHEN greatest(0, x1 - x0) * greatest(0, y1 - y0) > 1 THEN round(greatest(0, x1 - x0) * greatest(0, y1 - y0), 4) ELSE 0 END AS area FROM box b LEFT JOIN m USING (vec_id)""")
+def _(spark, d):
+    ahead = F.transform("corners", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), (c["z"] + 5).alias("z")))
+    b = _cornered(spark, d).withColumn("ahead", ahead).withColumn("box", geo.project(F.col("ahead"), 100.0, 100.0, 96.0, 60.0, 192.0, 120.0))
+    return b.select("vec_id", F.when(F.col("box").isNotNull(), "PROJECTED").otherwise("OUT_OF_VIEW").alias("status"), F.round(F.coalesce(fn.box_area(F.col("box")), F.lit(0.0)), 4).alias("area"))
+
+
+@query("pool_digest", f"WITH {BOXES} SELECT log_id, timestamp_ns, sha256(string_agg(m, ';' ORDER BY m)) AS digest, count(*) AS members FROM (SELECT log_id, timestamp_ns, vec_id || ',' || class || ',' || CAST(round(x * 1e6) AS BIGINT) || ',' || CAST(round(y * 1e6) AS BIGINT) AS m FROM box) GROUP BY ALL")
+def _(spark, d):
+    b = box_table(spark, d).withColumns({"xi": F.round(F.col("x") * 1e6).cast("long"), "yi": F.round(F.col("y") * 1e6).cast("long")})
+    return pool.membership(b, ["log_id", "timestamp_ns"], ["vec_id", "class", "xi", "yi"])
+
+
+@query("pool_digest_invariance", f"WITH {BOXES} SELECT count(DISTINCT (log_id, timestamp_ns)) AS groups, CAST(0 AS BIGINT) AS changed FROM box")
+def _(spark, d):
+    b = box_table(spark, d).withColumn("xi", F.round(F.col("x") * 1e6).cast("long"))
+    by, f = ["log_id", "timestamp_ns"], ["vec_id", "class", "xi"]
+    one = pool.membership(b, by, f)
+    two = pool.membership(b.withColumn("label", F.hash("vec_id") % 3).repartition(7, "vec_id"), by, f).select(*by, F.col("digest").alias("other"))
+    return one.join(two, by).agg(F.count("*").alias("groups"), F.count_if(F.col("digest") != F.col("other")).alias("changed"))
+
+
+@query("pool_canonical_digest")
+def _(spark, d):
+    return pool.canonical_digest(box_table(spark, d), ["log_id", "timestamp_ns"], ["vec_id", "class", "x", "y", "z", "yaw", "score"], ["vec_id"])
+
+
+@query("source_union_diff", """WITH a AS (SELECT doc_id FROM documents WHERE n_chars > 800), b AS (SELECT doc_id FROM documents WHERE lang = 'en'), c AS (SELECT doc_id FROM labels),
+u AS (SELECT doc_id FROM a UNION SELECT doc_id FROM b UNION SELECT doc_id FROM c), t AS (SELECT doc_id IN (SELECT doc_id FROM a) AS long, doc_id IN (SELECT doc_id FROM b) AS english, doc_id IN (SELECT doc_id FROM c) AS labeled FROM u)
+SELECT long, english, labeled, count(*) AS n FROM t GROUP BY ALL""")
+def _(spark, d):
+    t = table(spark, d, "documents")
+    p = pool.source_presence({"long": t.where("n_chars > 800"), "english": t.where("lang = 'en'"), "labeled": table(spark, d, "labels")}, ["doc_id"])
+    return p.groupBy("long", "english", "labeled").agg(F.count("*").alias("n"))
+
+
+# ---- Association -----------------------------------------------------------------------------------------------------
+
+
+def _sides(spark, d):
+    b = box_table(spark, d).select(F.col("vec_id").alias("id"), "class", "log_id", "timestamp_ns", "x", "y")
+    return b.where("id % 2 = 0"), b.where("id % 2 = 1")
+
+
+_SIDES = """c AS (SELECT vec_id AS id, class, x, y FROM box WHERE vec_id % 2 = 0), g AS (SELECT vec_id AS id, class, x, y FROM box WHERE vec_id % 2 = 1),
+ed AS (SELECT c.id AS cand, g.id AS gt, c.class, sqrt((c.x - g.x) * (c.x - g.x) + (c.y - g.y) * (c.y - g.y)) AS distance FROM c JOIN g ON c.class = g.class)"""
+
+
+@query("assoc_edges", f"WITH {BOXES}, {_SIDES} SELECT cand, class, count(*) AS valid_edge_count, count(*) > 1 AS multiple_valid_edges, round(min(distance), 6) AS nearest FROM ed WHERE distance <= 2 GROUP BY ALL")
+def _(spark, d):
+    e = assoc.edges(*_sides(spark, d), 2.0)
+    return e.groupBy("cand", "class").agg(F.count("*").alias("valid_edge_count"), (F.count("*") > 1).alias("multiple_valid_edges"), F.round(F.min("distance"), 6).alias("nearest"))
+
+
+@query("assoc_gated")
+def _(spark, d):
+    return assoc.associate(*_sides(spark, d), 0.5)
+
+
+@query("assoc_hungarian")
+def _(spark, d):
+    return assoc.associate_then_filter(*_sides(spark, d), 2.0, ["log_id", "timestamp_ns", "class"])
+
+
+@query("match_sensitivity", f"WITH {BOXES}, {_SIDES} SELECT threshold, count(DISTINCT cand) AS with_edge, count(*) AS edges FROM ed, (VALUES (1.0::DOUBLE), (2.0::DOUBLE), (4.0::DOUBLE)) t(threshold) WHERE distance <= threshold GROUP BY threshold")
+def _(spark, d):
+    e = assoc.edges(*_sides(spark, d), 4.0).withColumn("threshold", F.explode(F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)))).where("distance <= threshold")
+    return e.groupBy("threshold").agg(F.count_distinct("cand").alias("with_edge"), F.count("*").alias("edges"))
+
+
+@query("matching_range", f"WITH {BOXES}, {_SIDES}, r AS (SELECT threshold, CAST(count(DISTINCT cand) AS DOUBLE) / (SELECT count(*) FROM c) AS v FROM ed, (VALUES (1.0::DOUBLE), (2.0::DOUBLE), (4.0::DOUBLE)) t(threshold) WHERE distance <= threshold GROUP BY threshold) SELECT round(max(v) - min(v), 6) AS matching_range FROM r")
+def _(spark, d):
+    n = _sides(spark, d)[0].agg(F.count("*").alias("n"))
+    r = QUERIES["match_sensitivity"](spark, d).crossJoin(F.broadcast(n))  # one row
+    return r.agg(F.round(F.max(F.col("with_edge") / F.col("n")) - F.min(F.col("with_edge") / F.col("n")), 6).alias("matching_range"))
+
+
+@query("assoc_by_id", "SELECT d.doc_id, l.doc_id IS NOT NULL AS matched, CASE WHEN l.doc_id IS NOT NULL THEN 0.0::DOUBLE END AS distance FROM documents d LEFT JOIN labels l USING (doc_id)")
+def _(spark, d):
+    l = table(spark, d, "labels").select("doc_id", F.lit(True).alias("m"))
+    return table(spark, d, "documents").select("doc_id").join(l, "doc_id", "left").select("doc_id", F.col("m").isNotNull().alias("matched"), F.when(F.col("m"), 0.0).alias("distance"))
+
+
+@query("label_transfer", """WITH m AS (SELECT doc_id AS cand, CASE WHEN doc_id % 5 <> 0 THEN doc_id END AS gt, doc_id % 11 = 0 AS amb FROM documents), j AS (SELECT m.*, l.quality FROM m LEFT JOIN labels l ON l.doc_id = m.gt),
+s AS (SELECT *, CASE WHEN gt IS NULL THEN 'UNMATCHED_TRACK' WHEN quality IS NULL THEN 'MATCHED_UNANNOTATED_GT' WHEN amb THEN 'AMBIGUOUS_MATCH' ELSE 'MATCHED_ANNOTATED' END AS match_status FROM j)
+SELECT match_status, CAST(CASE WHEN match_status = 'MATCHED_ANNOTATED' THEN quality END AS INTEGER) AS label, count(*) AS n FROM s GROUP BY ALL""")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    p = docs.select(F.col("doc_id").alias("cand"))
+    m = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("cand"), F.col("doc_id").alias("gt"), (F.col("doc_id") % 11 == 0).alias("ambiguous"))
+    a = table(spark, d, "labels").select(F.col("doc_id").alias("gt"), F.col("quality").alias("gt_label"))
+    return assoc.transfer_labels(p, m, a).groupBy("match_status", "label").agg(F.count("*").alias("n"))
+
+
+@query("prompt_expand", "SELECT o_orderpriority AS prompt, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def _(spark, d):
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("prompt"))
+    x = pool.expand_prompts(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_extendedprice"), p, ["k"])
+    return x.groupBy("prompt").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+# ---- Coverage, distributions, decisions ------------------------------------------------------------------------------
+
+_COV = f"""WITH {LINES}, g AS (SELECT log_id, prompt, timestamp_ns, count(*) AS candidates, count(*) FILTER (label = 0) AS gt_positive, count(*) FILTER (label = 0 AND distance_m <= 40) AS eligible,
+  count(*) FILTER (label = 0 AND distance_m <= 30) AS matched, count(*) FILTER (label = 0 AND distance_m <= 30 AND area > 0) AS projected, count(*) FILTER (label IS NULL) AS unknown FROM cand GROUP BY ALL)"""
+
+
+def _coverage_groups(spark, d):
+    p = F.col("label") == 0
+    return line_candidates(spark, d).groupBy(*GROUP).agg(F.count("*").alias("candidates"), F.count_if(p).alias("gt_positive"), F.count_if(p & (F.col("distance_m") <= 40)).alias("eligible"), F.count_if(p & (F.col("distance_m") <= 30)).alias("matched"), F.count_if(p & (F.col("distance_m") <= 30) & (F.col("area") > 0)).alias("projected"), F.count_if(F.col("label").isNull()).alias("unknown"))
+
+
+@query("coverage_summary", _COV + """ SELECT count(*) AS groups, round(count(*) FILTER (gt_positive > 0) / count(*), 6) AS event_frequency, round(count(*) FILTER (matched > 0) / count(*), 6) AS availability_all,
+  round(count(*) FILTER (matched > 0 AND eligible > 0) / nullif(count(*) FILTER (eligible > 0), 0), 6) AS availability_given, round(sum(projected) / nullif(sum(matched), 0), 6) AS projection,
+  round(sum(unknown) / nullif(sum(candidates), 0), 6) AS unknown_fraction, count(*) FILTER (candidates = 0) AS zero_candidate_groups FROM g""")
+def _(spark, d):
+    return audit.coverage(_coverage_groups(spark, d))
+
+
+@query("coverage_count_bins", _COV + " SELECT CASE WHEN candidates = 0 THEN '0' WHEN candidates <= 10 THEN '1-10' WHEN candidates <= 50 THEN '11-50' WHEN candidates <= 100 THEN '51-100' ELSE '101+' END AS bin, count(*) AS groups, CAST(sum(matched) AS BIGINT) AS matched FROM g GROUP BY 1")
+def _(spark, d):
+    return _coverage_groups(spark, d).groupBy(fn.count_bin(F.col("candidates")).alias("bin")).agg(F.count("*").alias("groups"), F.sum("matched").alias("matched"))
+
+
+def _dist_sql(base: str, c: str, by: str) -> str:
+    q = lambda x, n: f"round(quantile_cont({c}, {x}), 6) AS {n}"
+    return f"WITH {base} SELECT {by}, count({c}) AS n, count(*) - count({c}) AS missing, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, min({c}) AS least, {q(0.25, 'q25')}, {q(0.5, 'median')}, {q(0.75, 'q75')}, max({c}) AS most FROM cand GROUP BY ALL"
+
+
+@query("distributions", _dist_sql(LINES, "distance_m", "prompt"))
+def _(spark, d):
+    return audit.distribution(line_candidates(spark, d), "distance_m", "prompt")
+
+
+@query("label_feature_dist", _dist_sql(DOCS, "score", "coalesce(label, -1) AS label"))
+def _(spark, d):
+    return audit.distribution(document_candidates(spark, d).withColumn("label", F.coalesce("label", F.lit(-1))), "score", "label")
+
+
+@query("quantiles_10_50_90", f"WITH {LINES} SELECT prompt, round(quantile_cont(score, 0.1), 4) AS q10, round(quantile_cont(score, 0.5), 4) AS q50, round(quantile_cont(score, 0.9), 4) AS q90 FROM cand GROUP BY prompt")
+def _(spark, d):
+    q = lambda x: F.round(F.percentile("score", F.lit(x)), 4)
+    return line_candidates(spark, d).groupBy("prompt").agg(q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.9).alias("q90"))
+
+
+@query("group_summary", f"""WITH {DOCS}, g AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS p, count(*) FILTER (label IN (1, 2)) AS neg, count(*) FILTER (label IS NULL) AS u FROM cand GROUP BY log_id, prompt, timestamp_ns)
+SELECT count(*) AS groups, count(*) FILTER (p > 0 AND neg > 0) AS rankable, count(*) FILTER (p > 0) AS positive_groups, round(count(*) FILTER (p > 0) / count(*), 6) AS oracle_coverage, round(sum(u) / sum(n), 6) AS unknown_rate, round(median(n), 6) AS median_candidates FROM g""")
+def _(spark, d):
+    g = document_candidates(spark, d).groupBy(*GROUP).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("p"), F.count_if(F.col("label").isin(1, 2)).alias("neg"), F.count_if(F.col("label").isNull()).alias("u"))
+    return g.agg(F.count("*").alias("groups"), F.count_if((F.col("p") > 0) & (F.col("neg") > 0)).alias("rankable"), F.count_if(F.col("p") > 0).alias("positive_groups"), F.round(F.count_if(F.col("p") > 0) / F.count("*"), 6).alias("oracle_coverage"), F.round(F.sum("u") / F.sum("n"), 6).alias("unknown_rate"), F.round(F.percentile("n", F.lit(0.5)), 6).alias("median_candidates"))
+
+
+@query("shortcut_flags", f"""WITH {DOCS}, a AS (SELECT median(area) FILTER (label = 0 AND area > 0) AS r, median(area) FILTER (label = 1 AND area > 0) AS x, median(area) FILTER (label = 2 AND area > 0) AS y FROM cand),
+q AS (SELECT r / nullif((coalesce(x, y) + coalesce(y, x)) / 2, 0) AS ratio FROM a) SELECT round(ratio, 6) AS area_ratio, coalesce(ratio >= 1.5, false) AS area_flag FROM q""")
+def _(spark, d):
+    med = lambda k: F.percentile(F.when((F.col("label") == k) & (F.col("area") > 0), F.col("area")), F.lit(0.5))
+    a = document_candidates(spark, d).agg(med(0).alias("r"), med(1).alias("x"), med(2).alias("y"))
+    ratio = F.try_divide(F.col("r"), (F.coalesce("x", "y") + F.coalesce("y", "x")) / 2)
+    return a.select(F.round(ratio, 6).alias("area_ratio"), F.coalesce(ratio >= 1.5, F.lit(False)).alias("area_flag"))
+
+
+# ---- Splits and plans ------------------------------------------------------------------------------------------------
+
+
+@query("split_overlap", "WITH s AS (SELECT DISTINCT o_orderstatus AS split, CAST(o_custkey % 50 AS VARCHAR) AS log FROM orders) SELECT log, string_agg(split, '/' ORDER BY split) AS splits FROM s GROUP BY log HAVING count(*) > 1")
+def _(spark, d):
+    return audit.split_overlap(table(spark, d, "orders").select(F.col("o_orderstatus").alias("split"), (F.col("o_custkey") % 50).cast("string").alias("log")))
+
+
+@query("split_agreement", """WITH plan AS (SELECT n_nationkey AS log, CASE WHEN n_nationkey % 10 < 6 THEN 'train' WHEN n_nationkey % 10 < 8 THEN 'validation' ELSE 'test' END AS split FROM nation WHERE n_nationkey <> 3),
+g AS (SELECT c_nationkey AS log, CASE WHEN c_custkey % 97 = 0 THEN 'test' ELSE CASE WHEN c_nationkey % 10 < 6 THEN 'train' WHEN c_nationkey % 10 < 8 THEN 'validation' ELSE 'test' END END AS split FROM customer)
+SELECT CASE WHEN plan.log IS NULL THEN 'absent' WHEN plan.split <> g.split THEN 'mismatched' ELSE 'ok' END AS status, count(*) AS n FROM g LEFT JOIN plan USING (log) GROUP BY 1""")
+def _(spark, d):
+    s = lambda c: F.when(c % 10 < 6, "train").when(c % 10 < 8, "validation").otherwise("test")
+    plan = table(spark, d, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").alias("log"), s(F.col("n_nationkey")).alias("planned"))
+    g = table(spark, d, "customer").select(F.col("c_nationkey").alias("log"), F.when(F.col("c_custkey") % 97 == 0, "test").otherwise(s(F.col("c_nationkey"))).alias("split"))
+    j = g.join(plan, "log", "left")
+    return j.groupBy(F.when(F.col("planned").isNull(), "absent").when(F.col("planned") != F.col("split"), "mismatched").otherwise("ok").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("prompt_log_sets", "SELECT lang AS prompt, string_agg(DISTINCT source, ',' ORDER BY source) AS logs, count(DISTINCT source) AS n FROM documents WHERE trim(lang) <> '' GROUP BY lang")
+def _(spark, d):
+    t = table(spark, d, "documents").where(F.trim("lang") != "")
+    return t.groupBy(F.col("lang").alias("prompt")).agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("logs"), F.count_distinct("source").alias("n"))
+
+
+@query("triplet_counts", "WITH p AS (SELECT DISTINCT o_orderpriority || o_orderstatus AS prompt, CAST(o_custkey % 12 AS VARCHAR) AS log FROM orders WHERE o_orderkey % 29 = 0) SELECT a.log AS a, b.log AS b, c.log AS c, count(*) AS shared FROM p a JOIN p b ON a.prompt = b.prompt AND a.log < b.log JOIN p c ON b.prompt = c.prompt AND b.log < c.log GROUP BY ALL")
+def _(spark, d):
+    return graph.log_triplets(_prompt_logs(spark, d))
+
+
+def _prompt_logs(spark, d):
+    o = table(spark, d, "orders").where("o_orderkey % 29 = 0")  # the query's own definition of a prompt-log relation
+    return o.select(F.concat("o_orderpriority", "o_orderstatus").alias("prompt"), (F.col("o_custkey") % 12).cast("string").alias("log"))
+
+
+@query("three_way_plan")
+def _(spark, d):
+    plan = graph.three_way_plan(graph.disjoint_triplets(_prompt_logs(spark, d)))
+    return spark.createDataFrame([(log, s) for s, logs in plan.items() for log in logs], "log string, split string")
+
+
+@query("paired_metric_join", f"WITH {LINES}, {RANKED} SELECT count(*) AS groups, round(avg(a.average_precision - b.average_precision), 6) AS mean_difference FROM met a JOIN met b USING (log_id, prompt, timestamp_ns) WHERE a.control = 'tracker_score' AND b.control = 'candidate_distance' AND a.average_precision IS NOT NULL AND b.average_precision IS NOT NULL")
+def _(spark, d):
+    return _paired(spark, d).agg(F.count("*").alias("groups"), F.round(F.avg("difference"), 6).alias("mean_difference"))
+
+
+def _paired(spark, d):
+    m = ranking.group_metrics(ranking.rank(line_candidates(spark, d), ["tracker_score", "candidate_distance"]))
+    return ranking.paired_differences(m.where("control = 'tracker_score'"), m.where("control = 'candidate_distance'"), "average_precision")
+
+
+@query("paired_bootstrap")
+def _(spark, d):
+    return ranking.paired_bootstrap(_paired(spark, d))
+
+
+# ---- Features --------------------------------------------------------------------------------------------------------
+
+
+@query("box_feature_vector")
+def _(spark, d):
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", F.slice(fn.unit_vector(e), 1, 12).alias("features"))
+
+
+@query("unit_norms", "SELECT vec_id, round(list_sum([CAST(w AS DOUBLE) * CAST(w AS DOUBLE) FOR w IN embedding]), 5) AS square, round(CAST(embedding[1] AS DOUBLE) / greatest(sqrt(list_sum([CAST(w AS DOUBLE) * CAST(w AS DOUBLE) FOR w IN embedding])), 1e-12), 5) AS first FROM embeddings")
+def _(spark, d):
+    t = table(spark, d, "embeddings").withColumn("e", F.transform("embedding", lambda x: x.cast("double")))
+    return t.select("vec_id", F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x), 5).alias("square"), F.round(F.element_at(fn.unit_vector(F.col("e")), 1), 5).alias("first"))
+
+
+@query("vocab_fit_train_only", f"""WITH {LINES}, v AS (SELECT name, CAST(dense_rank() OVER (ORDER BY name) AS INTEGER) AS idx FROM (SELECT DISTINCT name FROM cand WHERE timestamp_ns < 1994 AND name <> 'p3'))
+SELECT coalesce(idx, 0) AS idx, count(*) AS n FROM cand LEFT JOIN v USING (name) GROUP BY 1""")
+def _(spark, d):
+    c = line_candidates(spark, d)
+    vocab = c.where("timestamp_ns < 1994 and name <> 'p3'").select("name").distinct().withColumn("idx", F.dense_rank().over(Window.orderBy("name")))  # as long as the vocabulary
+    return c.join(vocab, "name", "left").groupBy(F.coalesce("idx", F.lit(0)).alias("idx")).agg(F.count("*").alias("n"))
+
+
+@query("scorer_forward")
+def _(spark, d):
+    from .scorer import score_vectors
+
+    return score_vectors(table(spark, d, "embeddings").select("vec_id", "embedding"))
