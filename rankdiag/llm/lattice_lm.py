@@ -1,14 +1,19 @@
 """Language-model scores by a subword lattice.
 
-A text is a sequence of words (A-Z lower-cased), each with a leading mark, and one end. The pieces of an existing
-vocabulary are the letters of the model: a word's probability is the sum over all ways to cut it into pieces of the
-product of their probabilities, found by a forward recursion in log space. Bytes that no piece covers have pieces of
-their own, so every text has a probability above 0. A text's score is the log10 of the product over its words and its
-end.
+A text is a sequence of words (A-Z lower-cased), each with a leading mark, and one end. A word's lattice has an arc for
+each piece of an existing vocabulary, for each single byte, and one for the whole word. The piece arcs carry unigram
+scores; a forward recursion in log space sums over all ways to cut the word into pieces. The whole-word arc carries
+the word's discounted share of the training tokens, and what the discount frees is the weight of the piece arcs. So
+every text has a probability above 0, and its score is the log10 of the product over its words and its end.
 
-The vocabulary's scores give the first piece probabilities; where they are ranks (byte-pair vocabularies), a piece of
-rank r weighs 1 / (r + 10). Two rounds of expectation-maximisation over the word counts of all training texts replace
-them by expected counts (PRIOR pseudo-counts keep the first ones alive). The vocabulary itself stays as it is.
+Piece scores. The vocabulary's own scores come first; where they are ranks (byte-pair vocabularies), a piece of rank r
+weighs 1 / (r + 10). Two rounds of expectation-maximisation over the word counts of all training texts replace them by
+expected counts (PRIOR pseudo-counts keep the first ones alive). The vocabulary itself stays as it is.
+
+Word arcs. P(w) = max(c - D, 0) / N + D * V / N * lattice(w), with D = n1 / (n1 + 2 * n2) from the words seen once and
+twice. Where training rows name a language, the CLASSES - 1 most frequent ones and the rest are classes with word arcs
+of their own, P_k(w) = max(c_k - D, 0) / N_k + D * V_k / N_k * P(w), and a text's probability is their mixture by the
+classes' shares of training texts. A scored text's own language is never read.
 
 base_score is the add-one word model: sum over tokens of log10((c + 1) / (N + V + 1)).
 
@@ -17,8 +22,8 @@ most) reach the executors as a bounded table; only rarer words are shuffled, so
 once for each distinct word of the table.
 
 Null and empty texts are an end alone. A null doc_id counts as empty text for the split, so it is trained on. Rows
-equal in id and text are scored once and returned as often as they occur. Without training rows N and V are 0 and all
-pieces keep their first probabilities. An empty table gives an empty result. Extra columns are not carried.
+equal in id and text are scored once and returned as often as they occur. Without training rows N and V are 0 and the
+pieces' first scores alone weigh the lattice. An empty table gives an empty result. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, Rolling, cut, flat, id_crc, mix, pieces, row_key, table, word_spans
 
 HOT = 1 << 16
+CLASSES = 5
 ROUNDS, PRIOR = 2, 2000.0
 CELLS = 1 << 18  # letters in one lattice batch
 BYTE_WEIGHT = 1e-6
@@ -165,20 +171,23 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(Rolling(data).of(start, end) + (end - start).astype(np.uint64))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, held_out) -> (word, train, n): counts of a few MB of text at a time."""
-    for b in batches:
-        off, data = flat(b.column(0))
-        trained = ~b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for i, j in pieces(off, 1 << 22, 1 << 20):
-            x = LOWER[data[off[i] : off[j]]]
-            start, end, row = word_spans(x, off[i : j + 1] - off[i])
-            if not len(start):
-                continue
-            _, first, which = np.unique(_hashes(x, start, end), return_index=True, return_inverse=True)
-            n = np.bincount(which)
-            train = np.bincount(which, weights=trained[i:j][row])
-            yield pa.RecordBatch.from_arrays([strings(*gather(x, start[first], end[first])), pa.array(train.astype(np.int64)), pa.array(n.astype(np.int64))], ["word", "train", "n"])
+def _count(classes: int):
+    """(text, class or -1 if held out) -> (word, train by class, n): counts of a few MB of text at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            off, data = flat(b.column(0))
+            kind = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64) % (classes + 1)  # held-out rows are the last
+            for i, j in pieces(off, 1 << 22, 1 << 20):
+                x = LOWER[data[off[i] : off[j]]]
+                start, end, row = word_spans(x, off[i : j + 1] - off[i])
+                if not len(start):
+                    continue
+                _, first, which = np.unique(_hashes(x, start, end), return_index=True, return_inverse=True)
+                n = np.bincount(which * (classes + 1) + kind[i:j][row], minlength=len(first) * (classes + 1)).reshape(-1, classes + 1)
+                yield pa.RecordBatch.from_arrays([strings(*gather(x, start[first], end[first])), *[pa.array(n[:, k]) for k in range(classes)], pa.array(n.sum(1))], ["word", *[f"t{k}" for k in range(classes)], "n"])
+
+    return run
 
 
 def _marked(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -206,17 +215,37 @@ def _expect(path: str, logp: np.ndarray):
     return run
 
 
-def _rate(path: str, logp: np.ndarray):
+class Arcs:
+    """Log10 probabilities of words in each class from their counts and their piece lattice."""
+
+    def __init__(self, discount: float, tokens: list[int], types: list[int], all_tokens: int, all_types: int):
+        self.d, self.n, self.v = discount, np.array(tokens, float), np.array(types, float)
+        self.all_n, self.all_v = all_tokens, all_types
+
+    def rate(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+        """counts: words x classes; lattice: natural logs."""
+        if not self.all_n:
+            return np.repeat(lattice[:, None], counts.shape[1], 1) / np.log(10)
+        with np.errstate(divide="ignore"):
+            whole = np.logaddexp(np.log(np.maximum(counts.sum(1) - self.d, 0) / self.all_n), np.log(self.d * self.all_v / self.all_n) + lattice)
+            own = np.log(np.maximum(counts - self.d, 0) / self.n)
+            return np.logaddexp(own, np.log(self.d * self.v / self.n) + whole[:, None]) / np.log(10)
+
+
+def _rate(path: str, logp: np.ndarray, arcs: Arcs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lp = vocabulary(path).lattice(*reversed(_marked(b.column(0))), logp) / np.log(10)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(lp)], ["word", "train", "n", "lp"])
+            lattice = vocabulary(path).lattice(*reversed(_marked(b.column(0))), logp)
+            counts = np.stack([c.to_numpy() for c in b.columns[1:-1]], 1)
+            lp = arcs.rate(counts, lattice)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts.sum(1)), b.columns[-1], *[pa.array(v) for v in lp.T]], ["word", "train", "n", *[f"lp{k}" for k in range(lp.shape[1])]])
 
     return run
 
 
 def _sums(hot: np.ndarray, value: np.ndarray):
     """(key, doc_id, text) -> per document the sums over frequent words, and a row for each rarer word (word not null)."""
+    names = ["key", "doc_id", "word", "rows", "n", "known", "base", *[f"lp{k}" for k in range(value.shape[1] - 2)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,67 +256,87 @@ def _sums(hot: np.ndarray, value: np.ndarray):
                 h = _hashes(x, start, end) if len(start) else np.zeros(0, np.uint64)
                 at = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
                 is_hot = hot[at] == h if len(hot) else np.zeros(len(h), bool)
-                own = lambda k: np.bincount(row[is_hot], weights=value[at[is_hot], k], minlength=j - i)  # noqa: B023, E731
+                own = [np.bincount(row[is_hot], weights=value[at[is_hot], k], minlength=j - i) for k in range(value.shape[1])]
                 n = np.bincount(row, minlength=j - i)
                 one = b.slice(i, j - i)
-                nulls = pa.nulls(j - i, pa.string())
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), nulls, pa.array(np.ones(j - i, np.int64)), pa.array(n.astype(np.int64)), pa.array(own(0).astype(np.int64)), pa.array(own(1)), pa.array(own(2))], ["key", "doc_id", "word", "rows", "n", "known", "base", "lp"])
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.nulls(j - i, pa.string()), pa.array(np.ones(j - i, np.int64)), pa.array(n.astype(np.int64)), pa.array(own[0].astype(np.int64)), *[pa.array(v.astype(float)) for v in own[1:]]], names)
                 cold = np.flatnonzero(~is_hot)
                 for k in range(0, len(cold), 1 << 15):
                     c = cold[k : k + (1 << 15)]
                     zero, z = pa.array(np.zeros(len(c), np.int64)), pa.array(np.zeros(len(c)))
                     who = pa.array(row[c])
-                    yield pa.RecordBatch.from_arrays([one.column(0).take(who), one.column(1).take(who), strings(*gather(x, start[c], end[c])), zero, zero, zero, z, z], ["key", "doc_id", "word", "rows", "n", "known", "base", "lp"])
+                    yield pa.RecordBatch.from_arrays([one.column(0).take(who), one.column(1).take(who), strings(*gather(x, start[c], end[c])), zero, zero, zero, *[z] * (value.shape[1] - 1)], names)
 
     return run
 
 
-def score_texts(docs: DataFrame, held_out, vocabulary_path: str, rounds: int = ROUNDS, text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, held_out, vocabulary_path: str, rounds: int = ROUNDS, text: str = "text", lang: str | None = None) -> DataFrame:
     """A row for each of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    slim = docs.select("doc_id", held_out.alias("held_out"), row_key(F.col("doc_id"), F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts = slim.select("text", "held_out").mapInArrow(_count, "word string, train long, n long").groupBy("word").agg(F.sum("train").alias("train"), F.sum("n").alias("n"))
-    counts = cut(counts, "words")
-    ends = slim.select("held_out").where("not held_out").count()
-    got = counts.agg(F.sum("train"), F.count_if(F.col("train") > 0), F.sum("n")).first()
-    total, distinct, tokens = (got[0] or 0) + ends, got[1] + (ends > 0), got[2] or 0
+    slim = docs.select("doc_id", held_out.alias("held_out"), row_key(F.col("doc_id"), F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"))
+    trained = slim.where("not held_out")
+    top = trained.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES - 1).collect()
+    classes = len(top) + 1  # the last is the rest
+    kind = F.lit(len(top))
+    for k, r in enumerate(top):
+        kind = F.when(F.col("lang") == r["lang"], k).otherwise(kind)
+    ends_by = {r["k"]: r["count"] for r in trained.groupBy(kind.alias("k")).count().collect()}
+    ends = [ends_by.get(k, 0) for k in range(classes)]
+    t = [f"t{k}" for k in range(classes)]
+    schema = "word string, " + ", ".join(f"{c} long" for c in t) + ", n long"
+    counts = slim.select("text", F.when(F.col("held_out"), -1).otherwise(kind).alias("k")).mapInArrow(_count(classes), schema)
+    counts = cut(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in t], F.sum("n").alias("n")), "words")
+    train = sum((F.col(c) for c in t[1:]), F.col(t[0]))
+    got = counts.agg(F.sum("n"), F.sum(train), F.count_if(train > 0), F.count_if(train == 1), F.count_if(train == 2), *[F.sum(c) for c in t], *[F.count_if(F.col(c) > 0) for c in t]).first()
+    tokens, words_n, distinct_words, once, twice = (v or 0 for v in got[:5])
+    all_ends = sum(ends)
+    total, distinct = words_n + all_ends, distinct_words + (all_ends > 0)
+    discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
+    shares = [e / max(1, all_ends) for e in ends]
+    arcs = Arcs(discount, [max(1, (got[5 + k] or 0) + ends[k]) for k in range(classes)], [max(1, got[5 + classes + k] + (ends[k] > 0)) for k in range(classes)], total, distinct)
     first = vocabulary(vocabulary_path).first
     p = first
     for _ in range(rounds if total else 0):
-        found = counts.where("train > 0").select("word", "train").mapInArrow(_expect(vocabulary_path, np.log(p)), "entry long, n double").groupBy("entry").agg(F.sum("n").alias("n")).collect()  # as many as the vocabulary has
+        found = counts.where(train > 0).select("word", train.alias("train")).mapInArrow(_expect(vocabulary_path, np.log(p)), "entry long, n double").groupBy("entry").agg(F.sum("n").alias("n")).collect()  # as many as the vocabulary has
         expected = PRIOR * first
         for r in found:
             expected[r["entry"]] += r["n"]
-        expected[-1] += ends
+        expected[-1] += all_ends
         p = expected / expected.sum()
-    rated = cut(counts.mapInArrow(_rate(vocabulary_path, np.log(p)), "word string, train long, n long, lp double"), "rated")
+    lps = [f"lp{k}" for k in range(classes)]
+    lp_schema = ", ".join(f"{c} double" for c in lps)
+    rated = cut(counts.mapInArrow(_rate(vocabulary_path, np.log(p), arcs), f"word string, train long, n long, {lp_schema}"), "rated")
     is_hot = F.col("n") * HOT >= F.lit(tokens)
     hot = rated.where(is_hot).toArrow()  # HOT rows at most
     off, data = flat(hot["word"])
     h = _hashes(data, off[:-1], off[1:]) if len(data) else np.zeros(0, np.uint64)
     order = np.argsort(h)
-    train = hot["train"].to_numpy()[order]
-    value = np.stack([(train > 0).astype(float), np.log10(train + 1.0), hot["lp"].to_numpy()[order]], 1) if len(h) else np.zeros((0, 3))
-    parts = slim.select("key", "doc_id", "text").mapInArrow(_sums(h[order], value), "key long, doc_id long, word string, rows long, n long, known long, base double, lp double")
-    rare = rated.where(~is_hot).select("word", F.col("train").alias("_c"), F.col("lp").alias("_lp"))
-    # Documents' own rows have a null word: they find no partner, and a left join need not move them to any one place.
+    c = hot["train"].to_numpy()[order]
+    value = np.stack([(c > 0).astype(float), np.log10(c + 1.0), *[hot[k].to_numpy()[order] for k in lps]], 1)
+    parts = slim.select("key", "doc_id", "text").mapInArrow(_sums(h[order], value), f"key long, doc_id long, word string, rows long, n long, known long, base double, {lp_schema}")
+    rare = rated.where(~is_hot).select("word", F.col("train").alias("_c"), *[F.col(k).alias(f"_{k}") for k in lps])
+    # Documents' own rows have no word: with a value of their own they find no partner and are spread evenly.
     spread = parts.withColumn("_w", F.coalesce("word", F.concat(F.lit(" "), F.col("key").cast("string"))))
     joined = spread.join(rare.hint("shuffle_hash"), F.col("_w") == rare["word"], "left")
-    cold = F.col("_c").isNotNull()
     sums = joined.groupBy("key", "doc_id").agg(
         F.sum("rows").alias("m"),
         F.sum("n").alias("n"),
         F.sum(F.col("known") + F.when(F.col("_c") > 0, 1).otherwise(0)).alias("known"),
-        F.sum(F.col("base") + F.when(cold, F.log10(F.col("_c") + 1.0)).otherwise(0.0)).alias("base"),
-        F.sum(F.col("lp") + F.coalesce("_lp", F.lit(0.0))).alias("lp"),
+        F.sum(F.col("base") + F.when(F.col("_c").isNotNull(), F.log10(F.col("_c") + 1.0)).otherwise(0.0)).alias("base"),
+        *[F.sum(F.col(k) + F.coalesce(f"_{k}", F.lit(0.0))).alias(k) for k in lps],
     )
     n = (F.col("n") / F.col("m")).cast("long") + 1
+    end = arcs.rate(np.array([ends], float), np.log(p[-1:]))[0]
+    live = [k for k in range(classes) if shares[k] > 0] or [0]
+    own = {k: F.col(lps[k]) / F.col("m") + F.lit(float(end[k] + np.log10(shares[k] or 1.0))) for k in live}
+    most = F.greatest(*own.values()) if len(own) > 1 else own[live[0]]
+    mixed = most + F.log10(sum((F.pow(F.lit(10.0), v - most) for v in own.values()), F.lit(0.0)))
     out = sums.select(
         "doc_id",
         n.alias("n_tokens"),
-        ((F.col("known") / F.col("m")).cast("long") + F.lit(int(ends > 0))).alias("n_known"),
+        ((F.col("known") / F.col("m")).cast("long") + F.lit(int(all_ends > 0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("m") + F.lit(float(np.log10(ends + 1.0))) - n * F.lit(float(np.log10(total + distinct + 1.0)))).alias("base_score"),
-        (F.col("lp") / F.col("m") + F.lit(float(np.log10(p[-1])))).alias("score"),
+        (F.col("base") / F.col("m") + F.lit(float(np.log10(all_ends + 1.0))) - n * F.lit(float(np.log10(total + distinct + 1.0)))).alias("base_score"),
+        mixed.alias("score"),
         F.explode(F.array_repeat(F.lit(0), F.col("m").cast("int"))).alias("_row"),
     )
     return out.withColumn("held_out", held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -296,5 +345,5 @@ def score_texts(docs: DataFrame, held_out, vocabulary_path: str, rounds: int = R
 def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_texts(docs, id_crc(F.col("doc_id")) % 7 == 2, public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return score_texts(docs, id_crc(F.col("doc_id")) % 7 == 2, public_tokenizers.path("piece_bpe_32k.model"), lang="lang")

@@ -267,7 +267,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     family = components(near, "near").select(F.col("node").alias("rep"), F.col("root").alias("family"))
     sizes = family.groupBy("family").agg(F.count("*").alias("n"))
     dealt = blocks(family.join(sizes, "family"), "rep", FAMILY).select("family", "p", "q", "rep")
-    texts = dealt.join(docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")), "rep").select("family", "p", "q", "rep", "text")
+    # A merge at every size: whether the ids could be broadcast depends on the size of the corpus.
+    texts = dealt.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")), "rep").select("family", "p", "q", "rep", "text")
     sure = texts.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(_confirm(percent), "a long, b long")
     roots = components(sure.unionByName(same.select("a", "b")), "sure")
     named = reps.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("_c"))
