@@ -10,10 +10,11 @@ Piece scores. The vocabulary's own scores come first; where they are ranks (byte
 weighs 1 / (r + 10). Two rounds of expectation-maximisation over the word counts of all training texts replace them by
 expected counts (PRIOR pseudo-counts keep the first ones alive). The vocabulary itself stays as it is.
 
-Word arcs. P(w) = max(c - D, 0) / N + D * V / N * lattice(w), with D = n1 / (n1 + 2 * n2) from the words seen once and
+Word arcs. P(w) = max(c - D, 0) / N + D * V / N * lattice_k(w), with D = n1 / (n1 + 2 * n2) from the words seen once and
 twice. Where training rows name a language, the CLASSES - 1 most frequent ones and the rest are classes with word arcs
-of their own, P_k(w) = max(c_k - D, 0) / N_k + D * V_k / N_k * P(w), and a text's probability is their mixture by the
-classes' shares of training texts. A scored text's own language is never read.
+of their own, P_k(w) = max(c_k - D, 0) / N_k + D * V_k / N_k * P(w), and piece scores of their own (the expected counts of the last
+round by class, with PRIOR pseudo-counts of the common ones). A text's probability is the classes' mixture by their
+shares of training texts. A scored text's own language is never read.
 
 base_score is the add-one word model: sum over tokens of log10((c + 1) / (N + V + 1)).
 
@@ -98,22 +99,27 @@ class Vocabulary:
         return out
 
     def lattice(self, data: np.ndarray, off: np.ndarray, logp: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
-        """Log probabilities of words (each with its mark); adds expected piece counts to `expected` if it is given."""
+        """Log probabilities of words (each with its mark) under each row of logp: words x rows.
+
+        With `expected` (classes x entries) and one row of logp, adds the expected piece counts of words that occur
+        as often as `counts` (words x classes) says.
+        """
         size = np.diff(off)
         order = np.argsort(-size, kind="stable")
-        out = np.zeros(len(size))
+        kinds = len(logp)
+        out = np.zeros((len(size), kinds))
         roll = Rolling(data)
         n_pieces = len(self.pieces)
-        with_edge = np.append(logp[:n_pieces], -np.inf)
+        with_edge = np.concatenate([logp[:, :n_pieces], np.full((kinds, 1), -np.inf)], 1)
         i = 0
         while i < len(order):
             width = int(size[order[i]])
-            part = order[i : i + max(1, CELLS // max(1, width))]
+            part = order[i : i + max(1, CELLS // max(1, width * kinds))]
             i += len(part)
             start, length = off[part], size[part]
             alive = np.searchsorted(-length, -np.arange(width + 1), "right")  # words of length t or more come first
-            a = np.full((len(part), width + 1), -np.inf)
-            a[:, 0] = 0
+            a = np.full((kinds, len(part), width + 1), -np.inf)
+            a[:, :, 0] = 0
             steps = []
             for t in range(1, width + 1):
                 m = alive[t]
@@ -121,29 +127,32 @@ class Vocabulary:
                 lo = start[:m, None] + t - back[None, :]
                 hi = np.broadcast_to(start[:m, None] + t, lo.shape)
                 ids = self.find(self.hash(roll.of(lo, hi), np.broadcast_to(back, lo.shape)).ravel()).reshape(lo.shape)
+                used = (ids >= 0).any(0)
+                ids, back = ids[:, used], back[used]
                 byte = data[start[:m] + t - 1].astype(np.int64) + n_pieces
-                v = np.concatenate([with_edge[ids] + a[:m, t - back], (logp[byte] + a[:m, t - 1])[:, None]], 1)
-                top = v.max(1)
-                a[:m, t] = top + np.log(np.exp(v - top[:, None]).sum(1))
+                v = np.concatenate([with_edge[:, ids] + a[:, :m, t - back], (logp[:, byte] + a[:, :m, t - 1])[:, :, None]], 2)
+                top = v.max(2)
+                a[:, :m, t] = top + np.log(np.exp(v - top[:, :, None]).sum(2))
                 if expected is not None:
-                    steps.append((ids, byte, v))
-            z = a[np.arange(len(part)), length]
-            out[part] = z
+                    steps.append((ids, back, byte, v[0]))
+            z = a[:, np.arange(len(part)), length]
+            out[part] = z.T
             if expected is not None:
                 b = np.full((len(part), width + 1), -np.inf)
                 b[np.arange(len(part)), length] = 0
                 for t in range(width, 0, -1):
-                    ids, byte, v = steps[t - 1]
+                    ids, back, byte, v = steps[t - 1]
                     m = len(ids)
-                    back = np.arange(1, ids.shape[1] + 1)
                     ahead = b[:m, t]
-                    share = np.exp(v + (ahead - z[:m])[:, None]) * counts[part[:m]][:, None]
+                    share = np.exp(v + (ahead - z[0, :m])[:, None])
                     known = ids >= 0
-                    expected[:n_pieces] += np.bincount(ids[known], weights=share[:, :-1][known], minlength=n_pieces)
-                    np.add.at(expected, byte, share[:, -1])
+                    for c in range(counts.shape[1]):
+                        weight = share * counts[part[:m], c][:, None]
+                        expected[c, :n_pieces] += np.bincount(ids[known], weights=weight[:, :-1][known], minlength=n_pieces)
+                        expected[c, n_pieces : n_pieces + 256] += np.bincount(byte - n_pieces, weights=weight[:, -1], minlength=256)
                     cols = t - back
-                    b[:m, cols] = np.logaddexp(b[:m, cols], with_edge[ids] + ahead[:, None])
-                    b[:m, t - 1] = np.logaddexp(b[:m, t - 1], logp[byte] + ahead)
+                    b[:m, cols] = np.logaddexp(b[:m, cols], with_edge[0, ids] + ahead[:, None])
+                    b[:m, t - 1] = np.logaddexp(b[:m, t - 1], logp[0, byte] + ahead)
         return out
 
 
@@ -202,15 +211,18 @@ def _marked(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _expect(path: str, logp: np.ndarray):
+    """(word, train by class) -> expected counts of entries by class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expected = None
         for b in batches:
             v = vocabulary(path)
-            expected = np.zeros(len(logp)) if expected is None else expected
-            v.lattice(*reversed(_marked(b.column(0))), logp, b.column(1).to_numpy().astype(float), expected)
+            counts = np.stack([c.to_numpy() for c in b.columns[1:]], 1).astype(float)
+            expected = np.zeros((counts.shape[1], len(logp))) if expected is None else expected
+            v.lattice(*reversed(_marked(b.column(0))), logp[None], counts, expected)
         if expected is not None:
-            at = np.flatnonzero(expected)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(expected[at])], ["entry", "n"])
+            kind, at = np.nonzero(expected)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(expected[kind, at])], ["k", "entry", "n"])
 
     return run
 
@@ -223,13 +235,13 @@ class Arcs:
         self.all_n, self.all_v = all_tokens, all_types
 
     def rate(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
-        """counts: words x classes; lattice: natural logs."""
+        """counts and lattice (natural logs): words x classes."""
         if not self.all_n:
-            return np.repeat(lattice[:, None], counts.shape[1], 1) / np.log(10)
+            return lattice / np.log(10)
         with np.errstate(divide="ignore"):
-            whole = np.logaddexp(np.log(np.maximum(counts.sum(1) - self.d, 0) / self.all_n), np.log(self.d * self.all_v / self.all_n) + lattice)
+            whole = np.logaddexp(np.log(np.maximum(counts.sum(1) - self.d, 0) / self.all_n)[:, None], np.log(self.d * self.all_v / self.all_n) + lattice)
             own = np.log(np.maximum(counts - self.d, 0) / self.n)
-            return np.logaddexp(own, np.log(self.d * self.v / self.n) + whole[:, None]) / np.log(10)
+            return np.logaddexp(own, np.log(self.d * self.v / self.n) + whole) / np.log(10)
 
 
 def _rate(path: str, logp: np.ndarray, arcs: Arcs):
@@ -294,17 +306,20 @@ def score_texts(docs: DataFrame, held_out, vocabulary_path: str, rounds: int = R
     shares = [e / max(1, all_ends) for e in ends]
     arcs = Arcs(discount, [max(1, (got[5 + k] or 0) + ends[k]) for k in range(classes)], [max(1, got[5 + classes + k] + (ends[k] > 0)) for k in range(classes)], total, distinct)
     first = vocabulary(vocabulary_path).first
-    p = first
+    p, by_class = first, np.repeat(first[None], classes, 0)
     for _ in range(rounds if total else 0):
-        found = counts.where(train > 0).select("word", train.alias("train")).mapInArrow(_expect(vocabulary_path, np.log(p)), "entry long, n double").groupBy("entry").agg(F.sum("n").alias("n")).collect()  # as many as the vocabulary has
-        expected = PRIOR * first
+        found = counts.where(train > 0).select("word", *t).mapInArrow(_expect(vocabulary_path, np.log(p)), "k long, entry long, n double").groupBy("k", "entry").agg(F.sum("n").alias("n")).collect()  # as many as classes times entries of the vocabulary
+        expected = np.zeros_like(by_class)
         for r in found:
-            expected[r["entry"]] += r["n"]
-        expected[-1] += all_ends
-        p = expected / expected.sum()
+            expected[r["k"], r["entry"]] = r["n"]
+        expected[:, -1] += ends
+        p = expected.sum(0) + PRIOR * first
+        p /= p.sum()
+        by_class = expected + PRIOR * p
+        by_class /= by_class.sum(1, keepdims=True)
     lps = [f"lp{k}" for k in range(classes)]
     lp_schema = ", ".join(f"{c} double" for c in lps)
-    rated = cut(counts.mapInArrow(_rate(vocabulary_path, np.log(p), arcs), f"word string, train long, n long, {lp_schema}"), "rated")
+    rated = cut(counts.mapInArrow(_rate(vocabulary_path, np.log(by_class), arcs), f"word string, train long, n long, {lp_schema}"), "rated")
     is_hot = F.col("n") * HOT >= F.lit(tokens)
     hot = rated.where(is_hot).toArrow()  # HOT rows at most
     off, data = flat(hot["word"])
@@ -325,7 +340,7 @@ def score_texts(docs: DataFrame, held_out, vocabulary_path: str, rounds: int = R
         *[F.sum(F.col(k) + F.coalesce(f"_{k}", F.lit(0.0))).alias(k) for k in lps],
     )
     n = (F.col("n") / F.col("m")).cast("long") + 1
-    end = arcs.rate(np.array([ends], float), np.log(p[-1:]))[0]
+    end = arcs.rate(np.array([ends], float), np.log(by_class[None, :, -1]))[0]
     live = [k for k in range(classes) if shares[k] > 0] or [0]
     own = {k: F.col(lps[k]) / F.col("m") + F.lit(float(end[k] + np.log10(shares[k] or 1.0))) for k in live}
     most = F.greatest(*own.values()) if len(own) > 1 else own[live[0]]
