@@ -107,8 +107,9 @@ def good_rows(docs: DataFrame, rules: Sequence[tuple] = RULES, text: str = "text
     The row number in the condition keeps the optimizer from moving the condition below the measures, where each of
     them would be worked out anew wherever another uses it.
     """
-    judged = apply_rules(docs, rules, text).withColumn("_at", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_at") >= 0)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+    judged = apply_rules(rows, rules, "_text").withColumn("_at", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
