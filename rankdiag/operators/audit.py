@@ -111,3 +111,81 @@ def decide_report(splits: dict[str, tuple[int, list[str]]], least: int = 50) ->
 def baseline_checks(task: dict[str, float], model: dict[str, float]) -> dict[str, bool]:
     """Margins that a model must keep over the task baseline."""
     return {"map_margin": model["map"] - task["map"] >= 0.03, "recall_margin": model["recall_at_1"] - task["recall_at_1"] >= 0.05, "calibration": model["ece"] <= task["ece"] + 0.03}
+
+
+#: Fields that tell the label or come from it, so no learned feature may hold them (fixed values).
+FORBIDDEN_FEATURES = ("is_positive", "raw_category", "mining_category", "match_status", "projected_box", "source_label", "gt_index", "match_distance_m")
+
+
+def forbidden_features(columns: Sequence[str]) -> list[str]:
+    return sorted(set(columns) & set(FORBIDDEN_FEATURES))
+
+
+def require_log_disjoint(assigned: DataFrame) -> None:
+    """An error if a log of a table (log, split) is in more than one split."""
+    if bad := split_overlap(assigned).orderBy("log").limit(5).collect():
+        raise ValueError("; ".join(f"{r['log']} in {r['splits']}" for r in bad))
+
+
+def plan_problems(groups: DataFrame, plan: DataFrame) -> DataFrame:
+    """(log, split, problem) of groups whose log the plan lacks or puts elsewhere; both tables have log and split."""
+    p = plan.select("log", F.col("split").alias("planned"))
+    problem = F.when(F.col("planned").isNull(), "absent").when(F.col("planned") != F.col("split"), "mismatched")
+    return groups.select("log", "split").distinct().join(p, "log", "left").withColumn("problem", problem).where("problem is not null").drop("planned")
+
+
+def baseline_problems(rows: DataFrame) -> DataFrame:
+    """One row of counts that are 0 for sound baseline rows (split, log_id, prompt, timestamp_ns, track_id, image_path, label)."""
+    g = [*GROUP]
+    logs = rows.groupBy("log_id").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("logs_in_two_splits"))
+    keys = rows.groupBy(*g, "track_id").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).cast("long").alias("repeated_candidates"))
+    images = rows.groupBy(*g).agg(F.count_distinct("image_path").alias("k")).agg(F.count_if(F.col("k") > 1).alias("groups_with_two_images"))
+    labels = rows.agg(F.count_if(F.col("label").isNotNull() & ~F.col("label").isin(0, 1, 2)).alias("labels_out_of_range"))
+    return logs.crossJoin(keys).crossJoin(images).crossJoin(labels)  # one row each
+
+
+def assess(rows: DataFrame) -> DataFrame:
+    """Availability, projection rate, unknown fraction and repeats of rows (GROUP, track_id, label, projected): one row."""
+    per = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), F.count_distinct("track_id").alias("d"), F.count_if(F.col("label") == 0).alias("p"), F.count_if((F.col("label") == 0) & F.col("projected")).alias("pp"), F.count_if(F.col("label").isNull()).alias("u"))
+    ratio = lambda a, b: F.round(F.try_divide(a, b), 6)
+    return per.agg(
+        F.count("*").alias("groups"),
+        ratio(F.count_if(F.col("p") > 0), F.count("*")).alias("availability"),
+        ratio(F.sum("pp"), F.sum("p")).alias("projection"),
+        ratio(F.sum("u"), F.sum("n")).alias("unknown_fraction"),
+        F.sum(F.col("n") - F.col("d")).alias("repeats"),
+    )
+
+
+def assess_decision(checks: dict[str, bool]) -> str:
+    return "PROTOCOL_VALIDATION_CONTINUES" if all(checks.values()) else "PROTOCOL_REPAIR_REQUIRED"
+
+
+def audit_checks(availability: float | None, projection: float | None, stability: float | None, best_control: float | None) -> dict[str, bool]:
+    """Gates: availability .80, projection .90, threshold range .10, no control near perfect (.90)."""
+    ok = {
+        "coverage": availability is not None and availability >= 0.80,
+        "projection": projection is not None and projection >= 0.90,
+        "stability": stability is not None and stability <= 0.10,
+        "no_near_perfect_control": best_control is None or best_control < 0.90,
+    }
+    return ok | {"association_uncertain": not ok["coverage"] or not ok["stability"]}
+
+
+#: Counts and flags of an inspection of which any sets the strict exit code.
+STRICT = ("file_errors", "feature_errors", "missing_required", "duplicates", "time_order_violations", "invalid_labels", "non_finite", "provenance_placeholders", "provenance_unavailable", "split_overlap", "split_errors")
+
+
+def verifier_status(inspection: dict) -> dict:
+    """Status, warnings and exit code (2 in strict use if anything is wrong) of an inspection's counts."""
+    problems = [k for k in STRICT if inspection.get(k)]
+    if inspection.get("split_required") and not inspection.get("split_present"):
+        problems.append("split_missing")
+    if not inspection.get("rankable", 0):
+        problems.append("ranking_infeasible")
+    if inspection.get("camera_required") and inspection.get("camera_fraction", 0.0) < 1:
+        problems.append("camera_incomplete")
+    if inspection.get("filter_set") and not inspection.get("filter_reproducible"):
+        problems.append("filter_not_reproducible")
+    status = "ok" if inspection.get("records", 0) else "not_ready"
+    return {"status": status, "warnings": problems, "exit_code": 2 if problems or status != "ok" else 0}

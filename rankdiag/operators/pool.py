@@ -5,10 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as geo
+from ..functions.scalars import group_seed
+
 #: Size of the observer's own box (fixed values).
 EGO_SIZE = (4.877, 2.0, 1.473)
 
@@ -76,3 +80,55 @@ def source_presence(sources: dict[str, DataFrame], key: list[str]) -> DataFrame:
 def expand_prompts(pool: DataFrame, prompts: DataFrame, on: list[str]) -> DataFrame:
     """Pool rows times the prompts of their key; expand last, after geometry."""
     return pool.join(prompts, on)
+
+
+def hash_shuffle(pool: DataFrame, by: list[str], seed: int, track: str = "track_id") -> DataFrame:
+    """pool with `position`, an order within each group that a digest of seed, group and track fixes."""
+    h = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in [*by, track]]), 256)
+    return pool.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(h, track)) - 1)
+
+
+def numpy_shuffle(pool: DataFrame, by: list[str], seed: int, track: str = "track_id") -> DataFrame:
+    """As hash_shuffle, by numpy's generator with the group's seed."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(track, kind="stable")
+        order = np.random.default_rng(int(pdf["_seed"].iloc[0])).permutation(len(pdf))
+        return pdf.iloc[order].assign(position=np.arange(len(pdf))).drop(columns="_seed")
+
+    seeded = pool.withColumn("_seed", group_seed(seed, *[F.col(c) for c in by]))
+    return seeded.groupBy(*by).applyInPandas(run, pool.withColumn("position", F.lit(0).cast("long")).schema)
+
+
+def source_group_problems(rows: DataFrame, groups: DataFrame, on: list[str], order: str, fields: list[str]) -> DataFrame:
+    """(on..., problem) of groups whose labels, count or digest do not fit their pool rows; groups have labels, candidate_count, digest."""
+    own = membership(rows, on, fields).withColumnRenamed("digest", "_digest")
+    repeats = rows.groupBy(*on).agg((F.count("*") - F.count_distinct(order)).alias("_repeats"))
+    g = groups.join(own, on, "left").join(repeats, on, "left")
+    problem = (
+        F.when(F.col("members").isNull(), "no rows")
+        .when(F.size("labels") != F.col("candidate_count"), "labels do not fit the count")
+        .when(F.col("members") != F.col("candidate_count"), "rows do not fit the count")
+        .when(F.col("_repeats") > 0, "repeated candidate")
+        .when(F.col("digest") != F.col("_digest"), "digest differs")
+    )
+    return g.withColumn("problem", problem).where("problem is not null").select(*on, "problem")
+
+
+def zip_labels(rows: DataFrame, groups: DataFrame, on: list[str], order: str) -> DataFrame:
+    """Pool rows with the label at their place in string order of `order`; a group's array may hold nulls (unknown)."""
+    placed = rows.withColumn("_pos", F.row_number().over(Window.partitionBy(*on).orderBy(F.col(order).cast("string"))) - 1)
+    labels = groups.select(*on, *[c for c in groups.columns if c not in (*on, "labels")], F.posexplode("labels").alias("_pos", "label"))
+    return placed.join(labels, [*on, "_pos"]).drop("_pos")
+
+
+def baseline_rows(rows: DataFrame, groups: DataFrame, on: list[str], order: str) -> DataFrame:
+    """Prompt-expanded rows with label, match_status and the position in the observer's frame.
+
+    Geometry is worked out on the pool, before prompts multiply it.
+    """
+    c = lambda *n: tuple(F.col(x) for x in n)
+    ego = geo.to_ego(geo.rotation(*c("qw", "qx", "qy", "qz")), c("tx", "ty", "tz"), c("x", "y", "z"))
+    posed = rows.withColumns(dict(zip(("ego_x", "ego_y", "ego_z"), ego, strict=True)))
+    out = zip_labels(posed, groups, on, order)
+    return out.withColumn("match_status", F.when(F.col("label").isNull(), "UNKNOWN").otherwise("MATCHED_ANNOTATED"))

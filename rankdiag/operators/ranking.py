@@ -38,8 +38,11 @@ def control_key(control: Column) -> Column:
 
 
 def rank(cands: DataFrame, controls: Sequence[str] = CONTROLS, tie: str = "track_id") -> DataFrame:
-    """A row for each candidate and control, with rank, labeled_rank (unknown left out) and found (positives so far)."""
-    full = with_frequency(cands) if "category_frequency" in controls else cands.withColumn("freq", F.lit(0).cast("long"))
+    """A row for each candidate and control, with rank, labeled_rank (unknown left out) and found (positives so far).
+
+    A column freq that is there already (of the table that a subset was taken from) is kept.
+    """
+    full = cands if "freq" in cands.columns else with_frequency(cands) if "category_frequency" in controls else cands.withColumn("freq", F.lit(0).cast("long"))
     long = full.withColumn("control", F.explode(F.array(*map(F.lit, controls)))).withColumn("_key", control_key(F.col("control")))
     w = Window.partitionBy(*GROUP, "control").orderBy("_key", tie)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -115,6 +118,17 @@ def hard_negatives(cands: DataFrame, score_delta: float | None = 0.05, log_area_
     return s.where("_p > 0 and _n > 0").drop("_area", "_p", "_n")
 
 
+def control_suite(cands: DataFrame, score_delta: float, log_area_delta: float, controls: Sequence[str] = CONTROLS) -> DataFrame:
+    """Summaries of all controls over the whole table and over its score-matched and score-and-size-matched parts."""
+    full = with_frequency(cands)
+    views = {"full": full, "score_matched": hard_negatives(full, score_delta), "score_size_matched": hard_negatives(full, score_delta, log_area_delta)}
+    out = None
+    for name, view in views.items():
+        one = summarize(group_metrics(rank(view, controls)), "control").withColumn("view", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def calibration(cands: DataFrame, logit: str) -> DataFrame:
     """NLL, Brier score and expected calibration error (ten bins) of labeled candidates: one row."""
     p = sigmoid(F.col(logit))

@@ -24,6 +24,37 @@ def forward(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     return h @ w["w2"] + w["b2"]
 
 
+def gradients(x: np.ndarray, y: np.ndarray, w: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean binary cross-entropy of logits and its gradients."""
+    z = x @ w["w1"] + w["b1"]
+    mu, sd = z.mean(1, keepdims=True), np.sqrt(z.var(1, keepdims=True) + 1e-5)
+    n = (z - mu) / sd
+    t = np.tanh(0.7978845608 * (n + 0.044715 * n**3))
+    a = 0.5 * n * (1 + t)
+    logit = a @ w["w2"] + w["b2"]
+    loss = float(np.mean(np.logaddexp(0, logit) - y * logit))
+    d = (1 / (1 + np.exp(-logit)) - y) / len(y)
+    da = d[:, None] * w["w2"][None]
+    dn = da * (0.5 * (1 + t) + 0.5 * n * (1 - t**2) * 0.7978845608 * (1 + 3 * 0.044715 * n**2))
+    dz = (dn - dn.mean(1, keepdims=True) - n * (dn * n).mean(1, keepdims=True)) / sd
+    return loss, {"w1": x.T @ dz, "b1": dz.sum(0), "w2": a.T @ d, "b2": np.array([d.sum()])}
+
+
+def train(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 3e-4, decay: float = 1e-4, seed: int = 0) -> tuple[dict[str, np.ndarray], list[float]]:
+    """AdamW on labeled rows (y: 1 for a positive); the caller bounds the sample that it brings here."""
+    w = start(x.shape[1], seed)
+    m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
+    losses = []
+    for i in range(1, steps + 1):
+        loss, g = gradients(x, y, w)
+        losses.append(loss)
+        for k in w:
+            m[k] = 0.9 * m[k] + 0.1 * g[k]
+            v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
+            w[k] = w[k] * (1 - rate * decay) - rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.999**i)) + 1e-8)
+    return w, losses
+
+
 def score_vectors(vectors: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """(vec_id, logit) for every row, unknown labels included."""
 

@@ -676,3 +676,128 @@ def _(spark, d):
     from .scorer import score_vectors
 
     return score_vectors(table(spark, d, "embeddings").select("vec_id", "embedding"))
+
+
+# ---- Suites, exports and assessments ---------------------------------------------------------------------------------
+
+_FULL = "all_freq AS (SELECT name, count(*) AS freq FROM cand GROUP BY name)"
+
+
+def _view_sql(view: str, source: str) -> str:
+    keep = "" if view == "full" else " WHERE (log_id, prompt, timestamp_ns) IN (SELECT (log_id, prompt, timestamp_ns) FROM {s} GROUP BY log_id, prompt, timestamp_ns HAVING count(*) FILTER (label = 0) > 0 AND count(*) FILTER (label <> 0) > 0)".format(s=source)
+    freq = f"freq AS (SELECT n.*, k.freq FROM {source} n JOIN all_freq k USING (name){keep})"
+    ranked = RANKED[RANKED.index("long AS") :]
+    ok = "positive_count > 0 AND negative_count > 0"
+    mean = lambda c, n: f"round(avg(CASE WHEN {ok} THEN {c} END), 6) AS {n}"
+    return f"""SELECT * FROM (WITH {freq}, {ranked} SELECT control, count(*) AS groups, count(*) FILTER ({ok}) AS rankable_groups, {mean("average_precision", "mean_ap")}, {mean("recall_at_1", "recall_at_1")},
+  {mean("labeled_average_precision", "labeled_mean_ap")}, {mean("labeled_recall_at_1", "labeled_recall_at_1")}, round(avg(candidate_count), 6) AS mean_candidates, round(avg(unknown_count), 6) AS mean_unknown, '{view}' AS view FROM met GROUP BY control)"""
+
+
+@query("control_suite", f"WITH {LINES}, {_HARD.format(delta=5000)}, {_AREA}, {_FULL} " + " UNION ALL ".join(_view_sql(v, s) for v, s in (("full", "cand"), ("score_matched", "near"), ("score_size_matched", "near2"))))
+def _(spark, d):
+    return ranking.control_suite(line_candidates(spark, d), 5000.0, 0.2)
+
+
+@query("control_strata_by_log", _summary_sql(LINES, "control, log_id"))
+def _(spark, d):
+    return ranking.summarize(ranking.group_metrics(ranking.rank(line_candidates(spark, d))), "control", "log_id")
+
+
+@query("hash_shuffle", f"WITH {DOCS} SELECT log_id, prompt, timestamp_ns, track_id, CAST(row_number() OVER (PARTITION BY log_id, prompt, timestamp_ns ORDER BY sha256('5|' || log_id || '|' || prompt || '|' || timestamp_ns || '|' || track_id), track_id) - 1 AS INTEGER) AS position FROM cand")
+def _(spark, d):
+    return pool.hash_shuffle(document_candidates(spark, d).select(*GROUP, "track_id"), list(GROUP), 5)
+
+
+@query("numpy_shuffle")
+def _(spark, d):
+    return pool.numpy_shuffle(document_candidates(spark, d).select(*GROUP, "track_id"), list(GROUP), 5)
+
+
+def _label_groups(spark, d):
+    """Two prompts a frame, each with an array of labels in string order of the ids."""
+    b = box_table(spark, d)
+    g = b.withColumn("prompt", F.explode(F.array(F.lit("q0"), F.lit("q1"))))
+    shift = F.when(F.col("prompt") == "q1", 1).otherwise(0)
+    label = F.when((F.col("vec_id") + shift) % 4 != 3, ((F.col("vec_id") + shift) % 4).cast("int"))
+    arr = F.array_sort(F.collect_list(F.struct(F.col("vec_id").cast("string").alias("k"), label.alias("l"))))
+    return g.groupBy("log_id", "timestamp_ns", "prompt").agg(F.transform(arr, lambda x: x["l"]).alias("labels"), F.count("*").alias("candidate_count"))
+
+
+@query("baseline_rows", f"""WITH {BOXES}, {_R}, q AS (SELECT r.*, p.prompt, CASE WHEN (vec_id + p.s) % 4 <> 3 THEN CAST((vec_id + p.s) % 4 AS INTEGER) END AS label FROM r, (VALUES ('q0', 0), ('q1', 1)) p(prompt, s))
+SELECT prompt, vec_id, label, CASE WHEN label IS NULL THEN 'UNKNOWN' ELSE 'MATCHED_ANNOTATED' END AS match_status, round(r00 * (x - tx) + r10 * (y - ty) + r20 * (z - tz), 5) AS ego_x FROM q""")
+def _(spark, d):
+    rows = pool.baseline_rows(box_table(spark, d), _label_groups(spark, d), ["log_id", "timestamp_ns"], "vec_id")
+    return rows.select("prompt", "vec_id", "label", "match_status", F.round("ego_x", 5).alias("ego_x"))
+
+
+@query("source_group_audit", "SELECT CAST(0 AS BIGINT) AS problems, count(*) AS groups FROM (SELECT DISTINCT vec_id % 3, vec_id % 4 FROM embeddings), (VALUES (0), (1))")
+def _(spark, d):
+    b, on = box_table(spark, d), ["log_id", "timestamp_ns"]
+    g = _label_groups(spark, d).join(pool.membership(b, on, ["vec_id", "class"]).select(*on, "digest"), on)
+    bad = pool.source_group_problems(b, g, on, "vec_id", ["vec_id", "class"])
+    return bad.agg(F.count("*").alias("problems")).crossJoin(g.agg(F.count("*").alias("groups")))  # one row each
+
+
+@query("assess_pool", f"""WITH {LINES}, g AS (SELECT count(*) AS n, count(DISTINCT track_id) AS d, count(*) FILTER (label = 0) AS p, count(*) FILTER (label = 0 AND area > 0) AS pp, count(*) FILTER (label IS NULL) AS u FROM cand GROUP BY log_id, prompt, timestamp_ns)
+SELECT count(*) AS groups, round(count(*) FILTER (p > 0) / count(*), 6) AS availability, round(sum(pp) / nullif(sum(p), 0), 6) AS projection, round(sum(u) / nullif(sum(n), 0), 6) AS unknown_fraction, CAST(sum(n - d) AS BIGINT) AS repeats FROM g""")
+def _(spark, d):
+    return audit.assess(line_candidates(spark, d).withColumn("projected", F.col("area") > 0))
+
+
+@query("split_file_stats", f"""WITH {LINES}, s AS (SELECT *, CASE WHEN timestamp_ns % 10 < 6 THEN 'train' WHEN timestamp_ns % 10 < 8 THEN 'validation' ELSE 'test' END AS split FROM cand)
+SELECT split, count(*) AS rows, count(DISTINCT (log_id, prompt, timestamp_ns)) AS groups, count(*) - count(DISTINCT (log_id, prompt, timestamp_ns, track_id)) AS repeats, round(avg(CASE WHEN area > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS projected FROM s GROUP BY split""")
+def _(spark, d):
+    m = F.col("timestamp_ns") % 10
+    s = line_candidates(spark, d).withColumn("split", F.when(m < 6, "train").when(m < 8, "validation").otherwise("test"))
+    return s.groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct(*GROUP).alias("groups"), (F.count("*") - F.count_distinct(*GROUP, "track_id")).alias("repeats"), F.round(F.avg((F.col("area") > 0).cast("double")), 6).alias("projected"))
+
+
+@query("group_records", f"""WITH {DOCS} SELECT log_id, prompt, count(*) AS candidate_count, count(*) FILTER (label = 0) AS gt_positive, count(*) FILTER (label = 0 AND name <> 'c0') AS external_positive,
+  count(*) FILTER (label IS NULL) AS unknown_count, CASE WHEN count(*) FILTER (label = 0 AND name <> 'c0') = 0 THEN 'ego_or_scenario' WHEN count(*) FILTER (label = 0 AND name = 'c0') > 0 THEN 'mixed' ELSE 'external_object' END AS track_family FROM cand GROUP BY log_id, prompt""")
+def _(spark, d):
+    ext, ego = (F.col("label") == 0) & (F.col("name") != "c0"), (F.col("label") == 0) & (F.col("name") == "c0")
+    family = F.when(F.count_if(ext) == 0, "ego_or_scenario").when(F.count_if(ego) > 0, "mixed").otherwise("external_object")
+    return document_candidates(spark, d).groupBy("log_id", "prompt").agg(F.count("*").alias("candidate_count"), F.count_if(F.col("label") == 0).alias("gt_positive"), F.count_if(ext).alias("external_positive"), F.count_if(F.col("label").isNull()).alias("unknown_count"), family.alias("track_family"))
+
+
+@query("projection_summary", f"""WITH {BOXES}, {_CORNERS}, cam AS (SELECT * FROM (VALUES ('near', 0.5::DOUBLE), ('mid', 5.0::DOUBLE), ('behind', -50.0::DOUBLE)) v(camera, shift)), c AS (SELECT vec_id, camera, i, px AS x, py AS y, pz + shift AS z FROM corner, cam), ed AS ({_EDGE}),
+s AS (SELECT vec_id, camera, x, y, z FROM c WHERE z >= 0.1::DOUBLE UNION ALL SELECT p.vec_id, p.camera, p.x + (q.x - p.x) * (0.1::DOUBLE - p.z) / (q.z - p.z), p.y + (q.y - p.y) * (0.1::DOUBLE - p.z) / (q.z - p.z), 0.1::DOUBLE
+  FROM ed JOIN c p ON p.i = ed.a JOIN c q ON q.i = ed.b AND q.vec_id = p.vec_id AND q.camera = p.camera WHERE (p.z >= 0.1::DOUBLE) <> (q.z >= 0.1::DOUBLE)),
+m AS (SELECT vec_id, camera, greatest(0, least(192, max(x * 100.0::DOUBLE / z + 96)) - greatest(0, min(x * 100.0::DOUBLE / z + 96))) * greatest(0, least(120, max(y * 100.0::DOUBLE / z + 60)) - greatest(0, min(y * 100.0::DOUBLE / z + 60))) AS area FROM s GROUP BY ALL),
+cnt AS (SELECT b.vec_id, count(*) FILTER (area > 1) AS seen FROM box b LEFT JOIN m USING (vec_id) GROUP BY b.vec_id) SELECT count(*) AS boxes, count(*) FILTER (seen > 0) AS any_camera, count(*) FILTER (seen = 3) AS all_cameras, CAST(sum(seen) AS BIGINT) AS projections FROM cnt""")
+def _(spark, d):
+    b = _cornered(spark, d)
+    seen = F.lit(0)
+    for shift in (0.5, 5.0, -50.0):
+        ahead = F.transform("corners", lambda c, s=shift: F.struct(c["x"].alias("x"), c["y"].alias("y"), (c["z"] + s).alias("z")))
+        seen = seen + geo.project(ahead, 100.0, 100.0, 96.0, 60.0, 192.0, 120.0).isNotNull().cast("int")
+    return b.select(seen.alias("seen")).agg(F.count("*").alias("boxes"), F.count_if(F.col("seen") > 0).alias("any_camera"), F.count_if(F.col("seen") == 3).alias("all_cameras"), F.sum("seen").cast("long").alias("projections"))
+
+
+@query("camera_entry", "SELECT vec_id, 'img' || CAST(vec_id AS VARCHAR) AS image_path, CAST(vec_id % 7 AS BIGINT) AS timestamp_delta_ns FROM embeddings")
+def _(spark, d):
+    from ..sources.readers import camera_entry
+
+    front = F.struct(F.lit("front").alias("camera_name"), F.concat(F.lit("img"), F.col("vec_id").cast("string")).alias("image_path"), (F.col("vec_id") % 7).cast("long").alias("timestamp_delta_ns"))
+    left = F.struct(F.lit("left").alias("camera_name"), F.lit(None).cast("string").alias("image_path"), F.lit(0).cast("long").alias("timestamp_delta_ns"))
+    t = table(spark, d, "embeddings").select("vec_id", F.to_json(F.array(left, front)).alias("c"))
+    return camera_entry(t, "c", "front").select("vec_id", "entry.image_path", "entry.timestamp_delta_ns")
+
+
+@query("baseline_problems", f"WITH {LINES} SELECT (SELECT count(*) FROM (SELECT log_id FROM cand GROUP BY log_id HAVING count(DISTINCT timestamp_ns % 2) > 1)) AS logs_in_two_splits, CAST(count(*) - count(DISTINCT (log_id, prompt, timestamp_ns, track_id)) AS BIGINT) AS repeated_candidates, CAST(0 AS BIGINT) AS groups_with_two_images, CAST(0 AS BIGINT) AS labels_out_of_range FROM cand")
+def _(spark, d):
+    c = line_candidates(spark, d)
+    return audit.baseline_problems(c.withColumns({"split": (F.col("timestamp_ns") % 2).cast("string"), "image_path": F.concat_ws("/", *GROUP)}))
+
+
+@query("scorer_train")
+def _(spark, d):
+    import numpy as np
+
+    from .scorer import score_vectors, train
+
+    t = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    rows = t.orderBy(F.xxhash64("vec_id")).limit(1000).toArrow()  # the bound of the training sample
+    x = rows["embedding"].combine_chunks().values.to_numpy().reshape(rows.num_rows, -1).astype(float)
+    w, _ = train(x, (rows["label"].to_numpy() == 0).astype(float), 100)
+    return score_vectors(t.select("vec_id", "embedding"), w)

@@ -134,3 +134,46 @@ def test_empty_group_table(spark):
 
 def test_candidate_columns(spark):
     assert len(CANDIDATE) == len(set(CANDIDATE)) == 9
+
+
+def test_plan_problems_and_strict_exit(spark):
+    g = spark.createDataFrame([("a", "train"), ("b", "test"), ("c", "train")], "log string, split string")
+    p = spark.createDataFrame([("a", "train"), ("b", "train")], "log string, split string")
+    assert {(r["log"], r["problem"]) for r in audit.plan_problems(g, p).collect()} == {("b", "mismatched"), ("c", "absent")}
+    audit.require_log_disjoint(g)
+    with pytest.raises(ValueError):
+        audit.require_log_disjoint(g.unionByName(spark.createDataFrame([("a", "test")], "log string, split string")))
+    assert audit.verifier_status({})["status"] == "not_ready"
+    assert audit.verifier_status({"records": 1, "rankable": 1})["exit_code"] == 0
+    assert audit.verifier_status({"records": 1, "rankable": 1, "duplicates": 2})["warnings"] == ["duplicates"]
+    assert audit.forbidden_features(["score", "projected_box"]) == ["projected_box"]
+
+
+def test_scorer_gradients_and_training():
+    from rankdiag.operators import scorer
+
+    r = np.random.default_rng(0)
+    x, y = r.normal(size=(40, 5)), (r.random(40) < 0.5).astype(float)
+    w = scorer.start(5)
+    _, g = scorer.gradients(x, y, w)
+    for k in w:
+        at = tuple(0 for _ in w[k].shape)
+        up, down = ({n: a.copy() for n, a in w.items()} for _ in range(2))
+        up[k][at] += 1e-5
+        down[k][at] -= 1e-5
+        assert abs((scorer.gradients(x, y, up)[0] - scorer.gradients(x, y, down)[0]) / 2e-5 - g[k][at]) < 1e-5
+    _, losses = scorer.train(x, y, 200, 1e-2)
+    assert losses[-1] < losses[0]
+
+
+def test_label_zip_and_group_problems(spark):
+    rows = spark.createDataFrame([("a", str(i)) for i in (2, 10, 1)], "log_id string, track_id string")
+    groups = spark.createDataFrame([("a", [0, None, 2], 3)], "log_id string, labels array<int>, candidate_count long")
+    got = {r["track_id"]: r["label"] for r in pool.zip_labels(rows, groups, ["log_id"], "track_id").collect()}
+    assert got == {"1": 0, "10": None, "2": 2}
+    ok = groups.join(pool.membership(rows, ["log_id"], ["track_id"]).select("log_id", "digest"), "log_id")
+    assert pool.source_group_problems(rows, ok, ["log_id"], "track_id", ["track_id"]).count() == 0
+    from pyspark.sql import functions as F
+
+    bad = pool.source_group_problems(rows, ok.withColumn("digest", F.lit("wrong")), ["log_id"], "track_id", ["track_id"]).first()
+    assert bad["problem"] == "digest differs"
