@@ -767,10 +767,11 @@ m AS (SELECT vec_id, camera, greatest(0, least(192, max(x * 100.0::DOUBLE / z +
 cnt AS (SELECT b.vec_id, count(*) FILTER (area > 1) AS seen FROM box b LEFT JOIN m USING (vec_id) GROUP BY b.vec_id) SELECT count(*) AS boxes, count(*) FILTER (seen > 0) AS any_camera, count(*) FILTER (seen = 3) AS all_cameras, CAST(sum(seen) AS BIGINT) AS projections FROM cnt""")
 def _(spark, d):
     b = _cornered(spark, d)
-    seen = F.lit(0)
-    for shift in (0.5, 5.0, -50.0):
-        ahead = F.transform("corners", lambda c, s=shift: F.struct(c["x"].alias("x"), c["y"].alias("y"), (c["z"] + s).alias("z")))
-        seen = seen + geo.project(ahead, 100.0, 100.0, 96.0, 60.0, 192.0, 120.0).isNotNull().cast("int")
+
+    def ahead(shift):
+        return F.transform("corners", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), (c["z"] + shift).alias("z")))
+
+    seen = sum((geo.project(ahead(s), 100.0, 100.0, 96.0, 60.0, 192.0, 120.0).isNotNull().cast("int") for s in (0.5, 5.0, -50.0)), F.lit(0))
     return b.select(seen.alias("seen")).agg(F.count("*").alias("boxes"), F.count_if(F.col("seen") > 0).alias("any_camera"), F.count_if(F.col("seen") == 3).alias("all_cameras"), F.sum("seen").cast("long").alias("projections"))
 
 
