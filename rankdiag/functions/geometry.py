@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,16 +56,26 @@ def project(points: Column, fx: float, fy: float, cx: float, cy: float, width: f
     Corners before the plane stay, edges that cross it add their crossing; the box is clamped to the image and must
     cover more than one square pixel.
     """
-    kept = F.filter(points, lambda p: p["z"] >= near)
-    cut = lambda p, q: F.when((p["z"] >= near) != (q["z"] >= near), F.struct(
-        (p["x"] + (q["x"] - p["x"]) * (near - p["z"]) / (q["z"] - p["z"])).alias("x"),
-        (p["y"] + (q["y"] - p["y"]) * (near - p["z"]) / (q["z"] - p["z"])).alias("y"),
-        F.lit(near).alias("z"),
-    ))
-    crossed = F.array(*[cut(F.get(points, i), F.get(points, j)) for i, j in EDGES])
-    seen = F.concat(kept, F.filter(crossed, lambda p: p.isNotNull()))
-    u, v = F.transform(seen, lambda p: p["x"] * fx / p["z"] + cx), F.transform(seen, lambda p: p["y"] * fy / p["z"] + cy)
-    x0, y0 = F.greatest(F.lit(0.0), F.array_min(u)), F.greatest(F.lit(0.0), F.array_min(v))
-    x1, y1 = F.least(F.lit(width), F.array_max(u)), F.least(F.lit(height), F.array_max(v))
-    area = F.greatest(F.lit(0.0), x1 - x0) * F.greatest(F.lit(0.0), y1 - y0)
-    return F.when((F.size(seen) > 0) & (area > 1.0), F.array(x0, y0, x1, y1))
+    def cut(p: Column, q: Column) -> Column:
+        t = (near - p["z"]) / (q["z"] - p["z"])
+        at = F.struct((p["x"] + (q["x"] - p["x"]) * t).alias("x"), (p["y"] + (q["y"] - p["y"]) * t).alias("y"), F.lit(near).alias("z"))
+        return F.when((p["z"] >= near) != (q["z"] >= near), at)
+
+    def seen(p: Column) -> Column:
+        crossed = F.array(*[cut(F.get(p, i), F.get(p, j)) for i, j in EDGES])
+        return F.concat(F.filter(p, lambda c: c["z"] >= near), F.filter(crossed, lambda c: c.isNotNull()))
+
+    def bounds(s: Column) -> Column:
+        u, v = F.transform(s, lambda c: c["x"] * fx / c["z"] + cx), F.transform(s, lambda c: c["y"] * fy / c["z"] + cy)
+        return F.array(F.greatest(F.lit(0.0), F.array_min(u)), F.greatest(F.lit(0.0), F.array_min(v)), F.least(F.lit(width), F.array_max(u)), F.least(F.lit(height), F.array_max(v)))
+
+    def visible(b: Column) -> Column:
+        area = F.greatest(F.lit(0.0), F.get(b, 2) - F.get(b, 0)) * F.greatest(F.lit(0.0), F.get(b, 3) - F.get(b, 1))
+        return F.when(area > 1.0, b)
+
+    return let(points, lambda p: let(seen(p), lambda s: F.when(F.size(s) > 0, let(bounds(s), visible))))
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value worked out once."""
+    return F.get(F.transform(F.array(value), then), 0)

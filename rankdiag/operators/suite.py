@@ -771,7 +771,8 @@ def _(spark, d):
     def ahead(shift):
         return F.transform("corners", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), (c["z"] + shift).alias("z")))
 
-    seen = sum((geo.project(ahead(s), 100.0, 100.0, 96.0, 60.0, 192.0, 120.0).isNotNull().cast("int") for s in (0.5, 5.0, -50.0)), F.lit(0))
+    b = b.withColumns({f"a{k}": ahead(s) for k, s in enumerate((0.5, 5.0, -50.0))})  # columns, so that each is worked out once
+    seen = sum((geo.project(F.col(f"a{k}"), 100.0, 100.0, 96.0, 60.0, 192.0, 120.0).isNotNull().cast("int") for k in range(3)), F.lit(0))
     return b.select(seen.alias("seen")).agg(F.count("*").alias("boxes"), F.count_if(F.col("seen") > 0).alias("any_camera"), F.count_if(F.col("seen") == 3).alias("all_cameras"), F.sum("seen").cast("long").alias("projections"))
 
 
