@@ -9,7 +9,27 @@ from pyspark.sql import functions as F
 LABELS = {"REFERRED_OBJECT": 0, "REFERRED": 0, "RELATED_OBJECT": 1, "RELATED": 1, "OTHER_OBJECT": 2, "OTHER": 2}
 
 #: Groups of object names whose members may match each other (fixed values).
-TAXONOMY = {"BOX_TRUCK": "LARGE_VEHICLE", "TRUCK": "LARGE_VEHICLE", "TRUCK_CAB": "LARGE_VEHICLE", "LARGE_VEHICLE": "LARGE_VEHICLE"}
+TAXONOMY = {
+    "REGULAR_VEHICLE": "VEHICLE",
+    "LARGE_VEHICLE": "VEHICLE",
+    "BOX_TRUCK": "VEHICLE",
+    "TRUCK": "VEHICLE",
+    "TRUCK_CAB": "VEHICLE",
+    "BUS": "VEHICLE",
+    "SCHOOL_BUS": "VEHICLE",
+    "ARTICULATED_BUS": "VEHICLE",
+    "EMERGENCY_VEHICLE": "VEHICLE",
+    "VEHICLE": "VEHICLE",
+    "BICYCLIST": "BICYCLE",
+    "BICYCLE": "BICYCLE",
+    "MOTORCYCLIST": "MOTORCYCLE",
+    "MOTORCYCLE": "MOTORCYCLE",
+    "PEDESTRIAN": "PEDESTRIAN",
+    "ANIMAL": "ANIMAL",
+    "WHEELED_DEVICE": "WHEELED_DEVICE",
+    "WHEELCHAIR": "WHEELED_DEVICE",
+    "STROLLER": "WHEELED_DEVICE",
+}
 
 
 def missing(c: Column, kind: str = "string") -> Column:
@@ -45,10 +65,10 @@ def score_or_last(c: Column) -> Column:
 
 
 def template_key(c: Column) -> Column:
-    """Lower-case, trimmed, ids to <id>, numbers to <num>, runs of white space to one blank."""
-    t = F.trim(F.lower(c))
-    t = F.regexp_replace(t, r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<id>")
-    t = F.regexp_replace(t, r"[0-9]+(\.[0-9]+)?", "<num>")
+    """Lower-case, trimmed, long ids to <id>, numbers that begin a word to <num>, runs of white space to one blank; null is empty."""
+    t = F.trim(F.lower(F.coalesce(c, F.lit(""))))
+    t = F.regexp_replace(t, r"[0-9a-f]{8}-[0-9a-f-]{27,}", "<id>")
+    t = F.regexp_replace(t, r"\b[0-9]+(?:\.[0-9]+)?", "<num>")
     return F.regexp_replace(t, r"\s+", " ")
 
 
@@ -65,10 +85,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def taxonomy_group(c: Column) -> Column:
     t = F.upper(F.trim(c))
-    out = t
-    for name, group in TAXONOMY.items():
-        out = F.when(t == name, group).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for pair in TAXONOMY.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, t), t)
 
 
 def box_area(box: Column) -> Column:
@@ -124,3 +142,30 @@ def split_bucket(c: Column) -> Column:
     """60/20/20 by the SHA-256 of a text."""
     m = digest_mod10(F.sha2(c, 256))
     return F.when(m < 6, "train").when(m < 8, "validation").otherwise("test")
+
+
+def box_features(box: Column, width: Column, height: Column, distance: Column, size: Column, translation: Column) -> Column:
+    """Twelve numbers: box over the image's size, whether there is one, distance / 50, size / 10, translation / 50; nulls are 0."""
+    at = lambda v, i, d=1.0: F.coalesce(F.get(v, i), F.lit(0.0)) / d
+    sound = lambda c: F.when(c > 0, c).otherwise(F.raise_error(F.lit("image dimensions must be positive")).cast("double"))
+    width, height = sound(width), sound(height)
+    return F.array(
+        at(box, 0) / width, at(box, 1) / height, at(box, 2) / width, at(box, 3) / height,
+        F.when(box.isNull(), 0.0).otherwise(1.0), F.coalesce(distance, F.lit(0.0)) / 50.0,
+        *[at(size, i, 10.0) for i in range(3)], *[at(translation, i, 50.0) for i in range(3)],
+    )
+
+
+def metadata_features(score: Column, raw_label: Column, distance: Column) -> Column:
+    zero = lambda c: F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.array(zero(score), zero(raw_label) / 10.0, zero(distance) / 50.0)
+
+
+def diagnosis_features(distance: Column, box: Column, size: Column, translation: Column, score: Column, yaw: Column) -> Column:
+    """Named numbers for distributions; whatever is missing is null."""
+    get = lambda v, i: number(F.get(v, i))
+    named = {
+        "distance_m": number(distance), "projected_area": F.when(box.isNotNull(), box_area(box)), "score": number(score), "yaw": number(yaw),
+        "length": get(size, 0), "width": get(size, 1), "height": get(size, 2), "x": get(translation, 0), "y": get(translation, 1), "z": get(translation, 2),
+    }
+    return F.struct(*[v.alias(k) for k, v in named.items()])

@@ -108,13 +108,24 @@ def decide_report(splits: dict[str, tuple[int, list[str]]], least: int = 50) ->
     return "PROTOCOL_REPAIR_REQUIRED" if any(r for _, r in splits.values()) else "PROTOCOL_VALIDATION_CONTINUES"
 
 
-def baseline_checks(task: dict[str, float], model: dict[str, float]) -> dict[str, bool]:
-    """Margins that a model must keep over the task baseline."""
-    return {"map_margin": model["map"] - task["map"] >= 0.03, "recall_margin": model["recall_at_1"] - task["recall_at_1"] >= 0.05, "calibration": model["ece"] <= task["ece"] + 0.03}
+def baseline_checks(models: list[dict[str, dict[str, float]]], area: dict[str, float], front_coverage: float, all_coverage: float) -> dict[str, bool]:
+    """Seven gates. models: for each seed, metrics (map, recall_at_1, ece) by pooled, task_id and metadata; the first seed leads."""
+    pooled, first = models[0]["pooled"], models[0]
+    beats = lambda other: pooled["map"] > other["map"] and pooled["recall_at_1"] > other["recall_at_1"]
+    margin = lambda k, least: all(m["pooled"][k] - m["task_id"][k] >= least for m in models)
+    return {
+        "map_margin": margin("map", 0.03),
+        "recall_margin": margin("recall_at_1", 0.05),
+        "beats_metadata": beats(first["metadata"]),
+        "beats_area_control": beats(area),
+        "calibration": pooled["ece"] <= first["task_id"]["ece"] + 0.03,
+        "front_coverage": front_coverage >= 0.90,
+        "all_camera_coverage": all_coverage >= 0.90,
+    }
 
 
 #: Fields that tell the label or come from it, so no learned feature may hold them (fixed values).
-FORBIDDEN_FEATURES = ("is_positive", "raw_category", "mining_category", "match_status", "projected_box", "source_label", "gt_index", "match_distance_m")
+FORBIDDEN_FEATURES = ("label", "relevance_label", "name", "mining_category", "is_positive", "future_timestamp", "timestamp_ns", "track_id")
 
 
 def forbidden_features(columns: Sequence[str]) -> list[str]:

@@ -235,7 +235,7 @@ def _(spark, d):
 # ---- Prompts ---------------------------------------------------------------------------------------------------------
 
 
-@query("template_keys", """WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(lower(url)), '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}', '<id>', 'g'), '[0-9]+(\\.[0-9]+)?', '<num>', 'g'), '\\s+', ' ', 'g') AS key FROM pages)
+@query("template_keys", """WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(lower(coalesce(url, ''))), '[0-9a-f]{8}-[0-9a-f-]{27,}', '<id>', 'g'), '\\b[0-9]+(?:\\.[0-9]+)?', '<num>', 'g'), '\\s+', ' ', 'g') AS key FROM pages)
 SELECT key, count(*) AS n FROM t GROUP BY key""")
 def _(spark, d):
     return table(spark, d, "pages").groupBy(fn.template_key(F.col("url")).alias("key")).agg(F.count("*").alias("n"))
@@ -287,7 +287,7 @@ def _(spark, d):
 
 
 @query("taxonomy_match_counts", """WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' box_truck' WHEN 1 THEN 'Truck' WHEN 2 THEN 'pedestrian' ELSE upper(p_type) END AS n FROM part),
-g AS (SELECT CASE WHEN upper(trim(n)) IN ('BOX_TRUCK', 'TRUCK', 'TRUCK_CAB', 'LARGE_VEHICLE') THEN 'LARGE_VEHICLE' ELSE upper(trim(n)) END AS grp FROM p) SELECT grp, count(*) AS n FROM g GROUP BY grp""")
+g AS (SELECT CASE WHEN upper(trim(n)) IN ('BOX_TRUCK', 'TRUCK') THEN 'VEHICLE' ELSE upper(trim(n)) END AS grp FROM p) SELECT grp, count(*) AS n FROM g GROUP BY grp""")
 def _(spark, d):
     name = F.expr("CASE p_partkey % 4 WHEN 0 THEN ' box_truck' WHEN 1 THEN 'Truck' WHEN 2 THEN 'pedestrian' ELSE upper(p_type) END")
     return table(spark, d, "part").groupBy(fn.taxonomy_group(name).alias("grp")).agg(F.count("*").alias("n"))
@@ -657,6 +657,12 @@ def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.slice(fn.unit_vector(e), 1, 12).alias("features"))
 
 
+@query("metadata_features", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 4) AS f0, round(l_quantity / 10, 4) AS f1, round(l_tax / 50, 6) AS f2 FROM lineitem")
+def _(spark, d):
+    t = table(spark, d, "lineitem").withColumn("f", fn.metadata_features(F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_tax")))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.get("f", 0), 4).alias("f0"), F.round(F.get("f", 1), 4).alias("f1"), F.round(F.get("f", 2), 6).alias("f2"))
+
+
 @query("unit_norms", "SELECT vec_id, round(list_sum([CAST(w AS DOUBLE) * CAST(w AS DOUBLE) FOR w IN embedding]), 5) AS square, round(CAST(embedding[1] AS DOUBLE) / greatest(sqrt(list_sum([CAST(w AS DOUBLE) * CAST(w AS DOUBLE) FOR w IN embedding])), 1e-12), 5) AS first FROM embeddings")
 def _(spark, d):
     t = table(spark, d, "embeddings").withColumn("e", F.transform("embedding", lambda x: x.cast("double")))

@@ -13,10 +13,19 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Old field names and the names they stand for (fixed values).
 ALIASES = {
-    "timestamp": "timestamp_ns", "ts": "timestamp_ns", "log": "log_id", "query": "prompt", "description": "prompt",
-    "id": "track_id", "track_uuid": "track_id", "confidence": "score", "relevance": "label", "center": "translation_m",
-    "dimensions": "size", "heading": "yaw",
-}
+    "seq_id": "log_id",
+    "timestamp": "timestamp_ns",
+    "time_ns": "timestamp_ns",
+    "track": "track_id",
+    "confidence": "score",
+    "object_label": "label",
+    "translation": "translation_m",
+    "position": "translation_m",
+    "extent": "size",
+    "heading": "yaw",
+    "track_uuid": "track_id",
+    "mining_category": "label",
+}
 
 _S, _L, _D = T.StringType(), T.LongType(), T.DoubleType()
 _KINDS = {"log_id": _S, "prompt": _S, "timestamp_ns": _L, "track_id": _S, "score": _D, "label": _S, "name": _S, "translation_m": T.ArrayType(_D), "size": T.ArrayType(_D), "yaw": _D}

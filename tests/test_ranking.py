@@ -49,7 +49,7 @@ def test_rank_does_not_depend_on_partitions(spark):
     assert one == many
 
 
-@pytest.mark.parametrize("text,want", [("Pedestrian 17 at 12.5m", "pedestrian <num> at <num>m"), (None, None), ("", "")])
+@pytest.mark.parametrize("text,want", [("Pedestrian 17 at 12.5m", "pedestrian <num> at <num>m"), (None, ""), ("", ""), ("a17  b", "a17 b")])
 def test_template_key(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(fn.template_key(df["t"])).first()[0] == want
@@ -146,7 +146,7 @@ def test_plan_problems_and_strict_exit(spark):
     assert audit.verifier_status({})["status"] == "not_ready"
     assert audit.verifier_status({"records": 1, "rankable": 1})["exit_code"] == 0
     assert audit.verifier_status({"records": 1, "rankable": 1, "duplicates": 2})["warnings"] == ["duplicates"]
-    assert audit.forbidden_features(["score", "projected_box"]) == ["projected_box"]
+    assert audit.forbidden_features(["score", "name", "label"]) == ["label", "name"]
 
 
 def test_scorer_gradients_and_training():
@@ -177,3 +177,25 @@ def test_label_zip_and_group_problems(spark):
 
     bad = pool.source_group_problems(rows, ok.withColumn("digest", F.lit("wrong")), ["log_id"], "track_id", ["track_id"]).first()
     assert bad["problem"] == "digest differs"
+
+
+def test_box_features(spark):
+    from pyspark.sql import functions as F
+
+    s = "box array<double>, w double, h double, d double, size array<double>, t array<double>"
+    df = spark.createDataFrame([([0.0, 0.0, 960.0, 600.0], 1920.0, 1200.0, 25.0, [1.0, 2.0, 3.0], [5.0, 0.0, 0.0]), (None, 10.0, 10.0, None, None, None)], s)
+    got = [r[0] for r in df.select(fn.box_features(*[F.col(c) for c in ("box", "w", "h", "d", "size", "t")])).collect()]
+    assert got[0] == [0, 0, 0.5, 0.5, 1, 0.5, 0.1, 0.2, 0.3, 0.1, 0, 0] and got[1] == [0.0] * 12
+    with pytest.raises(Exception, match="positive"):
+        df.select(fn.box_features(F.col("box"), F.lit(0.0), F.col("h"), F.col("d"), F.col("size"), F.col("t"))).collect()
+
+
+def test_taxonomy(spark):
+    df = spark.createDataFrame([("box_truck ",), ("LARGE_VEHICLE",), ("Stroller",), ("sign",)], "n string")
+    assert [r[0] for r in df.select(fn.taxonomy_group(df["n"])).collect()] == ["VEHICLE", "VEHICLE", "WHEELED_DEVICE", "SIGN"]
+
+
+def test_baseline_gate():
+    m = {"pooled": {"map": 0.2, "recall_at_1": 0.2, "ece": 0.05}, "task_id": {"map": 0.1, "recall_at_1": 0.1, "ece": 0.04}, "metadata": {"map": 0.15, "recall_at_1": 0.1}}
+    ok = audit.baseline_checks([m, m], {"map": 0.1, "recall_at_1": 0.1}, 0.95, 1.0)
+    assert len(ok) == 7 and all(ok.values())

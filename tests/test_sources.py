@@ -28,9 +28,9 @@ def test_bad_lengths():
 
 def test_json_tree(spark, tmp_path):
     p = tmp_path / "t.json"
-    p.write_text(json.dumps({"log1|find it": {"timestamp": 7, "rows": [{"id": 1, "track_id": "t", "label": "REFERRED"}]}}))
+    p.write_text(json.dumps({"log1|find it": {"timestamp": 7, "rows": [{"id": 1, "track_id": "t", "confidence": 0.5, "label": "REFERRED"}]}}))
     r = readers.load_records(spark, str(p)).first()
-    assert (r["log_id"], r["prompt"], r["timestamp_ns"], r["track_id"], r["label"]) == ("log1", "find it", 7, "t", "REFERRED")
+    assert (r["log_id"], r["prompt"], r["timestamp_ns"], r["track_id"], r["score"], r["label"]) == ("log1", "find it", 7, "t", 0.5, "REFERRED")
 
 
 def test_feather(spark, tmp_path):
