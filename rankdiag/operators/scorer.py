@@ -1,4 +1,8 @@
-"""A small scorer network, forward pass in Arrow batches and training by gradient descent on sampled rows."""
+"""A candidate scorer: a small network over candidate features, a category and, by mode, image, text or task.
+
+The weights are a driver-side dictionary of a size fixed by the feature widths and vocabularies; scoring runs in Arrow
+batches on the executors, training on rows that the caller bounds.
+"""
 
 from __future__ import annotations
 
@@ -8,45 +12,89 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-HIDDEN = 64
-
-
-def start(inputs: int, seed: int = 0) -> dict[str, np.ndarray]:
-    r = np.random.default_rng(seed)
-    return {"w1": r.normal(0, inputs**-0.5, (inputs, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": r.normal(0, HIDDEN**-0.5, HIDDEN), "b2": np.zeros(1)}
-
+HIDDEN, CATEGORY = 64, 16
+MODES = ("candidate_only", "metadata_only", "task_id", "pooled_pe")
 
-def forward(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
-    """Linear, layer norm, GELU (tanh form), linear."""
-    h = x @ w["w1"] + w["b1"]
-    h = (h - h.mean(1, keepdims=True)) / np.sqrt(h.var(1, keepdims=True) + 1e-5)
-    h = 0.5 * h * (1 + np.tanh(0.7978845608 * (h + 0.044715 * h**3)))
-    return h @ w["w2"] + w["b2"]
+Weights = dict[str, np.ndarray]
 
 
-def gradients(x: np.ndarray, y: np.ndarray, w: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+def start(inputs: int, categories: int = 1, mode: str = "candidate_only", prompts: int = 1, image: int = 0, text: int = 0, seed: int = 0) -> Weights:
+    """First weights. Context modes add two parts of HIDDEN numbers: image and task, or image and text."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    r = np.random.default_rng(seed)
+    dense = lambda n, m: r.uniform(-(n**-0.5), n**-0.5, (n, m))
+    w = {"candidate": dense(inputs, HIDDEN), "candidate_b": np.zeros(HIDDEN), "gain": np.ones(HIDDEN), "shift": np.zeros(HIDDEN), "category": r.normal(size=(categories, CATEGORY))}
+    if mode in ("task_id", "pooled_pe"):
+        w |= {"image": dense(image, HIDDEN), "image_b": np.zeros(HIDDEN)}
+        w |= {"prompt": r.normal(size=(prompts, HIDDEN))} if mode == "task_id" else {"text": dense(text, HIDDEN), "text_b": np.zeros(HIDDEN)}
+    width = HIDDEN + CATEGORY + (2 * HIDDEN if "image" in w else 0)
+    return w | {"head": dense(width, HIDDEN), "head_b": np.zeros(HIDDEN), "out": dense(HIDDEN, 1)[:, 0], "out_b": np.zeros(1)}
+
+
+def _gelu(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x * Phi(x) and its derivative; erf to 1.5e-7 (Abramowitz and Stegun 7.1.26)."""
+    z = np.abs(x) / np.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-z * z)
+    phi = np.where(x >= 0, 1 - tail / 2, tail / 2)
+    return x * phi, phi + x * np.exp(-x * x / 2) / np.sqrt(2 * np.pi)
+
+
+def _forward(w: Weights, x: np.ndarray, category: np.ndarray, prompt=None, image=None, text=None) -> dict:
+    z = x @ w["candidate"] + w["candidate_b"]
+    sd = np.sqrt(z.var(1, keepdims=True) + 1e-5)
+    n = (z - z.mean(1, keepdims=True)) / sd
+    a, da = _gelu(n * w["gain"] + w["shift"])
+    parts = [a, w["category"][category]]
+    if "image" in w:
+        parts.append(image @ w["image"] + w["image_b"])
+        parts.append(w["prompt"][prompt] if "prompt" in w else text @ w["text"] + w["text_b"])
+    h = np.concatenate(parts, 1)
+    g, dg = _gelu(h @ w["head"] + w["head_b"])
+    return {"sd": sd, "n": n, "da": da, "h": h, "g": g, "dg": dg, "logit": g @ w["out"] + w["out_b"]}
+
+
+def forward(x: np.ndarray, w: Weights, category: np.ndarray | None = None, **context) -> np.ndarray:
+    """Logits of rows."""
+    return _forward(w, x, np.zeros(len(x), int) if category is None else category, **context)["logit"]
+
+
+def gradients(x: np.ndarray, y: np.ndarray, w: Weights, category: np.ndarray | None = None, **context) -> tuple[float, Weights]:
     """Mean binary cross-entropy of logits and its gradients."""
-    z = x @ w["w1"] + w["b1"]
-    mu, sd = z.mean(1, keepdims=True), np.sqrt(z.var(1, keepdims=True) + 1e-5)
-    n = (z - mu) / sd
-    t = np.tanh(0.7978845608 * (n + 0.044715 * n**3))
-    a = 0.5 * n * (1 + t)
-    logit = a @ w["w2"] + w["b2"]
+    category = np.zeros(len(x), int) if category is None else category
+    f = _forward(w, x, category, **context)
+    logit = f["logit"]
     loss = float(np.mean(np.logaddexp(0, logit) - y * logit))
     d = (1 / (1 + np.exp(-logit)) - y) / len(y)
-    da = d[:, None] * w["w2"][None]
-    dn = da * (0.5 * (1 + t) + 0.5 * n * (1 - t**2) * 0.7978845608 * (1 + 3 * 0.044715 * n**2))
-    dz = (dn - dn.mean(1, keepdims=True) - n * (dn * n).mean(1, keepdims=True)) / sd
-    return loss, {"w1": x.T @ dz, "b1": dz.sum(0), "w2": a.T @ d, "b2": np.array([d.sum()])}
-
-
-def train(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 3e-4, decay: float = 1e-4, seed: int = 0) -> tuple[dict[str, np.ndarray], list[float]]:
+    dh = (d[:, None] * w["out"]) * f["dg"]
+    out = {"out": f["g"].T @ d, "out_b": np.array([d.sum()]), "head": f["h"].T @ dh, "head_b": dh.sum(0)}
+    part = dh @ w["head"].T
+    back = part[:, :HIDDEN] * f["da"]
+    out |= {"gain": (back * f["n"]).sum(0), "shift": back.sum(0)}
+    dn = back * w["gain"]
+    dz = (dn - dn.mean(1, keepdims=True) - f["n"] * (dn * f["n"]).mean(1, keepdims=True)) / f["sd"]
+    out |= {"candidate": x.T @ dz, "candidate_b": dz.sum(0), "category": np.zeros_like(w["category"])}
+    np.add.at(out["category"], category, part[:, HIDDEN : HIDDEN + CATEGORY])
+    if "image" in w:
+        at = HIDDEN + CATEGORY
+        first, second = part[:, at : at + HIDDEN], part[:, at + HIDDEN :]
+        out |= {"image": context["image"].T @ first, "image_b": first.sum(0)}
+        if "prompt" in w:
+            out["prompt"] = np.zeros_like(w["prompt"])
+            np.add.at(out["prompt"], context["prompt"], second)
+        else:
+            out |= {"text": context["text"].T @ second, "text_b": second.sum(0)}
+    return loss, out
+
+
+def train(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 3e-4, decay: float = 1e-4, seed: int = 0, weights: Weights | None = None, **inputs) -> tuple[Weights, list[float]]:
     """AdamW on labeled rows (y: 1 for a positive); the caller bounds the sample that it brings here."""
-    w = start(x.shape[1], seed)
+    w = {k: a.copy() for k, a in (weights or start(x.shape[1], seed=seed)).items()}
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     losses = []
     for i in range(1, steps + 1):
-        loss, g = gradients(x, y, w)
+        loss, g = gradients(x, y, w, **inputs)
         losses.append(loss)
         for k in w:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -55,13 +103,13 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 3e-4, de
     return w, losses
 
 
-def score_vectors(vectors: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
+def score_vectors(vectors: DataFrame, weights: Weights | None = None) -> DataFrame:
     """(vec_id, logit) for every row, unknown labels included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(1)
-            m = x.values.to_numpy(zero_copy_only=False).reshape(len(x), -1).astype(float)
+            m = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).astype(float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forward(m, weights or start(m.shape[1])))], ["vec_id", "logit"])
 
     return vectors.mapInArrow(run, "vec_id long, logit double")

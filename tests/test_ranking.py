@@ -149,21 +149,30 @@ def test_plan_problems_and_strict_exit(spark):
     assert audit.forbidden_features(["score", "name", "label"]) == ["label", "name"]
 
 
-def test_scorer_gradients_and_training():
+@pytest.mark.parametrize("mode", ["candidate_only", "metadata_only", "task_id", "pooled_pe"])
+def test_scorer_gradients_and_training(mode):
     from rankdiag.operators import scorer
 
     r = np.random.default_rng(0)
     x, y = r.normal(size=(40, 5)), (r.random(40) < 0.5).astype(float)
-    w = scorer.start(5)
-    _, g = scorer.gradients(x, y, w)
+    more = {"category": r.integers(0, 3, 40)}
+    if mode in ("task_id", "pooled_pe"):
+        more["image"] = r.normal(size=(40, 7))
+        more |= {"prompt": r.integers(0, 4, 40)} if mode == "task_id" else {"text": r.normal(size=(40, 6))}
+    w = scorer.start(5, 3, mode, 4, 7, 6)
+    _, g = scorer.gradients(x, y, w, **more)
+    assert g.keys() == w.keys()
     for k in w:
         at = tuple(0 for _ in w[k].shape)
         up, down = ({n: a.copy() for n, a in w.items()} for _ in range(2))
-        up[k][at] += 1e-5
-        down[k][at] -= 1e-5
-        assert abs((scorer.gradients(x, y, up)[0] - scorer.gradients(x, y, down)[0]) / 2e-5 - g[k][at]) < 1e-5
-    _, losses = scorer.train(x, y, 200, 1e-2)
+        up[k][at] += 1e-4
+        down[k][at] -= 1e-4
+        slope = (scorer.gradients(x, y, up, **more)[0] - scorer.gradients(x, y, down, **more)[0]) / 2e-4
+        assert abs(slope - g[k][at]) < 1e-4, k
+    _, losses = scorer.train(x, y, 100, 1e-2, weights=w, **more)
     assert losses[-1] < losses[0]
+    with pytest.raises(ValueError):
+        scorer.start(5, mode="other")
 
 
 def test_label_zip_and_group_problems(spark):
