@@ -210,7 +210,7 @@ def _index(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        held_n = 0
+        held_n, last = 0, None
 
         def mark() -> Iterator[pa.RecordBatch]:
             out: tuple[list, list, list] = ([], [], [])
@@ -226,12 +226,14 @@ def _index(length: int):
 
         for t, at in groups(batches, ["anchor", "p", "q"], 256):
             off, data = flat(t["text"])
-            key, start, copies = (t[c].combine_chunks().to_numpy() for c in ("key", "start", "copies"))
+            anchor, key, start, copies = (t[c].combine_chunks().to_numpy() for c in ("anchor", "key", "start", "copies"))
             for a, b in zip(at[:-1], at[1:], strict=True):
                 n = int(off[b] - off[a] + b - a)
-                if held and held_n + n > CHUNK - 8:
+                # Pairs of blocks of one anchor share pieces, so each needs an index of its own.
+                if held and (held_n + n > CHUNK - 8 or anchor[a] == last):
                     yield from mark()
                     held_n = 0
+                last = anchor[a]
                 held += [(int(key[i]), int(start[i]), int(copies[i]), data[off[i] : off[i + 1]]) for i in range(a, b)]
                 held_n += n
         if held:
