@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, flat, groups, mix, pieces, row_key, table
+from .common import Rolling, cut, flat, groups, mix, packed, pieces, row_key, table, unpacked
 from .near_dedup import blocks
 
 LENGTH, ANCHOR = 400, 128
@@ -94,21 +94,17 @@ def _fetch(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            off, data = flat(b.column(1))
             wanted = b.column(2)
             at, vals = wanted.offsets.to_numpy(), wanted.values
             f = {x: vals.field(x).to_numpy(zero_copy_only=False) for x in ("start", "windows", "anchor", "copies", "p", "q")}
-            row = np.repeat(np.arange(b.num_rows), np.diff(at))
-            lo = off[row] + f["start"][at[0] : at[-1]]
-            hi = lo + f["windows"][at[0] : at[-1]] + length - 1
-            for k in range(0, len(row), 4096):
-                s = slice(k, k + 4096)
-                g = slice(at[0] + s.start, at[0] + min(s.stop, len(row)))
-                text = [data[x:y].tobytes() for x, y in zip(lo[s], hi[s], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(f["anchor"][g]), pa.array(f["p"][g]), pa.array(f["q"][g]), b.column(0).take(pa.array(row[s])), pa.array(f["start"][g]), pa.array(f["copies"][g]), pa.array(text, pa.binary())],
-                    ["anchor", "p", "q", "key", "start", "copies", "text"],
-                )
+            for i in range(b.num_rows):
+                text = unpacked(b.column(1).slice(i, 1))[0] or b""
+                for k in range(at[i], at[i + 1], 4096):
+                    g = slice(k, min(k + 4096, at[i + 1]))
+                    lo = f["start"][g]
+                    cut_ = [text[x : x + y + length - 1] for x, y in zip(lo.tolist(), f["windows"][g].tolist(), strict=True)]
+                    key = pa.array(np.full(len(lo), b.column(0)[i].as_py(), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(f["anchor"][g]), pa.array(f["p"][g]), pa.array(f["q"][g]), key, pa.array(lo), pa.array(f["copies"][g]), pa.array(cut_, pa.binary())], ["anchor", "p", "q", "key", "start", "copies", "text"])
 
     return run
 
@@ -252,23 +248,34 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[at], hi[np.append(at[1:] - 1, len(hi) - 1)]
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, spans) -> digest columns and the kept bytes as text (a character that a cut splits is replaced)."""
-    for b in batches:
-        off, data = flat(b.column(1))
-        spans = b.column(2)
+def _remove(at_text: int, name: str):
+    """(packed text, spans, other columns) -> the input's columns, digest columns and the kept bytes as text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                yield part(b.slice(k, 512))
+
+    def part(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, spans = unpacked(b.column(0)), b.column(1)
         at, vals = spans.offsets.to_numpy(), spans.values
         lo, hi = (vals.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "hi"))
         cols: tuple[list, list, list, list, list] = ([], [], [], [], [])
-        for i in range(b.num_rows):
-            x = data[off[i] : off[i + 1]]
+        for i, text in enumerate(texts):
+            x = text or b""
             p, q = merged(lo[at[i] : at[i + 1]], hi[at[i] : at[i + 1]]) if at[i + 1] > at[i] else (lo[:0], hi[:0])
-            edge = np.concatenate([[0], np.stack([p, q], 1).ravel(), [len(x)]]).astype(np.int64)
-            kept = b"".join(x[a:z].tobytes() for a, z in zip(edge[0::2], edge[1::2], strict=True))
+            edge = [0, *np.stack([p, q], 1).ravel().tolist(), len(x)]
+            kept = b"".join(x[a:z] for a, z in zip(edge[0::2], edge[1::2], strict=True))
             for c, v in zip(cols, (len(x), len(x) - len(kept), len(p), hashlib.sha256(kept).hexdigest(), kept), strict=True):
                 c.append(v)
-        text = [v.decode("utf-8", "ignore") for v in cols[4]]
-        yield pa.RecordBatch.from_arrays([*b.columns[3:], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3]), pa.array(text)], [*b.schema.names[3:], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        whole = pa.array([None if t is None else t.decode() for t in texts], pa.string())
+        kept_text = pa.array([v.decode("utf-8", "ignore") for v in cols[4]], pa.string())
+        own, names = list(b.columns[2:]), list(b.schema.names[2:])
+        own.insert(at_text, whole)
+        names.insert(at_text, name)
+        return pa.RecordBatch.from_arrays([*own, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), kept_text], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+
+    return run
 
 
 def dedup_text(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, text: str = "text") -> DataFrame:
@@ -284,17 +291,17 @@ def dedup_text(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, text
     rival = counted.join(anchors, "anchor").withColumn("n", F.ceil(F.col("_bytes") / F.lit(HOT)))
     rival = blocks(rival, "piece", 1).select(F.col("own.key").alias("key"), F.struct("own.start", "own.windows", "anchor", "copies", "p", "q").alias("w"))
     wanted = rival.groupBy("key").agg(F.collect_list("w").alias("w"))
-    fetched = slim.join(wanted, "key").select("key", "text", "w").mapInArrow(_fetch(length), "anchor long, p int, q int, key long, start long, copies long, text binary")
+    fetched = packed(slim, "text").join(wanted, "key").select("key", "_packed", "w").mapInArrow(_fetch(length), "anchor long, p int, q int, key long, start long, copies long, text binary")
     dealt = fetched.repartition("anchor", "p", "q").sortWithinPartitions("anchor", "p", "q")
     partly = dealt.mapInArrow(_index(length), "key long, lo long, hi long")
-    spans = whole.unionByName(partly).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = whole.unionByName(partly).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("_s"))
     spans = cut(spans, "spans").withColumnRenamed("key", "_k")
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col(text)))
+    keyed = packed(docs.withColumn("_key", row_key(F.col("doc_id"), F.col(text))), text)
     joined = keyed.join(spans, F.col("_key") == F.col("_k"), "left")
     empty = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    ready = joined.select(F.col("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce("spans", empty).alias("_spans"), *docs.columns)
+    ready = joined.select("_packed", F.coalesce("_s", empty).alias("_spans"), *[c for c in docs.columns if c != text])
     schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return ready.mapInArrow(_remove, schema)
+    return ready.mapInArrow(_remove(docs.columns.index(text), text), schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
