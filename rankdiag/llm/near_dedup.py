@@ -257,6 +257,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     told = docs.select("doc_id", F.col(text).alias("text")).mapInArrow(_describe(chunks * WIDTH), "doc_id long, n_shingles long, digest binary, keys array<long>, low binary")
     told = cut(told, "signatures")
     reps = told.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("low").alias("low"))
+    reps = cut(reps, "classes")  # written, so that joins by digest stand on exchanges of their own, which Spark can split where copies are many
     rows = reps.select("rep", "low", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     few = rows.where(F.col("n") <= BUCKET).select("key", F.lit(0).alias("p"), F.lit(0).alias("q"), "rep", "low")
     many = blocks(rows.where(F.col("n") > BUCKET), "rep", BUCKET).select("key", "p", "q", "rep", "low").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
@@ -272,6 +273,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     sure = texts.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(_confirm(percent), "a long, b long")
     roots = components(sure.unionByName(same.select("a", "b")), "sure")
     named = reps.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("_c"))
+    named = cut(named, "named")
     out = told.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("_c")), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
