@@ -253,6 +253,12 @@ def test_near_messy(messy, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_with_shared_ids(spark):
+    rows = [(5, "a b c d e f"), (5, "q r s t u v"), (3, "q r s t u v"), (9, "A b c d e f"), (7, "k l m n o p"), (7, "k l m n o p")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 7), (7, 7), (9, 3)]
+
+
 # 8
 
 
