@@ -101,7 +101,8 @@ def resample(docs: DataFrame, good_ids: DataFrame, share: float = SHARE, sharpne
     """A row for each of docs: doc_id, n_ngrams, log_ratio, gumbel_key, kept. good_ids: a table (doc_id) of the target."""
     slim = docs.select("doc_id", F.col(text).alias("text"))
     good = good_ids.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_times"))
-    marked = slim.join(good, slim["doc_id"] == good["_id"], "left").select("text", F.coalesce("_times", F.lit(0)).alias("times"))
+    # A merge at every size: whether the labels could be broadcast depends on the size of the corpus.
+    marked = slim.join(good.hint("merge"), slim["doc_id"] == good["_id"], "left").select("text", F.coalesce("_times", F.lit(0)).alias("times"))
     parts = marked.mapInArrow(_count(buckets), "bucket long, raw long, good long")
     counts = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()  # a row a bucket
     raw, target = np.ones(buckets), np.ones(buckets)
