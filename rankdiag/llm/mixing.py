@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, table, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
-BLOCK = 20_000
+BLOCK = 2_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
