@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import flat, id_crc, pieces, table
@@ -128,9 +128,10 @@ def identify(docs: DataFrame, held_out, sample: int = SAMPLE, text: str = "text"
     """A row for each of docs: doc_id, held_out, lang_pred, score, ambiguous. Learns from labelled rows that are not held out."""
     slim = docs.select("doc_id", held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang"))
     labelled = slim.where("not held_out and lang is not null and text <> ''")
-    by = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.greatest(F.lit(1.0), F.lit(float(sample)) / F.count("*").over(Window.partitionBy()))
-    odds = by.select(F.col("lang").alias("_l"), F.least(F.lit(1.0), share / F.col("n")).alias("p"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language, as the model itself has
+    share = max(1.0, sample / max(1, len(counts)))
+    listed = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["n"])) for r in counts], "_l string, p double")
+    odds = F.broadcast(listed)
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") / float(1 << 53)
     chosen = labelled.withColumn("_at", place).join(odds, F.col("lang") == F.col("_l")).where("_at < p")
     vectors = chosen.select("lang", "text", "_at", "doc_id").mapInArrow(_vectors, "lang string, vector binary, _at double, doc_id long")
