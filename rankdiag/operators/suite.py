@@ -619,17 +619,23 @@ def _(spark, d):
 
 @query("triplet_counts", "WITH p AS (SELECT DISTINCT o_orderpriority || o_orderstatus AS prompt, CAST(o_custkey % 12 AS VARCHAR) AS log FROM orders WHERE o_orderkey % 29 = 0) SELECT a.log AS a, b.log AS b, c.log AS c, count(*) AS shared FROM p a JOIN p b ON a.prompt = b.prompt AND a.log < b.log JOIN p c ON b.prompt = c.prompt AND b.log < c.log GROUP BY ALL")
 def _(spark, d):
-    return graph.log_triplets(_prompt_logs(spark, d))
+    part = _prompt_logs(spark, d).where("o_orderkey % 29 = 0")  # as this query's SQL says; triplet_counts_all reads all rows
+    return graph.log_triplets(part.select("prompt", "log"))
 
 
 def _prompt_logs(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 29 = 0")  # the query's own definition of a prompt-log relation
-    return o.select(F.concat("o_orderpriority", "o_orderstatus").alias("prompt"), (F.col("o_custkey") % 12).cast("string").alias("log"))
+    """Orders as prompts (priority and status) and logs (customers by twelve)."""
+    return table(spark, d, "orders").select(F.col("o_orderkey"), F.concat("o_orderpriority", "o_orderstatus").alias("prompt"), (F.col("o_custkey") % 12).cast("string").alias("log"))
+
+
+@query("triplet_counts_all", "WITH p AS (SELECT DISTINCT o_orderpriority || o_orderstatus AS prompt, CAST(o_custkey % 12 AS VARCHAR) AS log FROM orders) SELECT a.log AS a, b.log AS b, c.log AS c, count(*) AS shared FROM p a JOIN p b ON a.prompt = b.prompt AND a.log < b.log JOIN p c ON b.prompt = c.prompt AND b.log < c.log GROUP BY ALL")
+def _(spark, d):
+    return graph.log_triplets(_prompt_logs(spark, d).select("prompt", "log"))
 
 
 @query("three_way_plan")
 def _(spark, d):
-    plan = graph.three_way_plan(graph.disjoint_triplets(_prompt_logs(spark, d)))
+    plan = graph.three_way_plan(graph.disjoint_triplets(_prompt_logs(spark, d).select("prompt", "log")))
     return spark.createDataFrame([(log, s) for s, logs in plan.items() for log in logs], "log string, split string")
 
 
