@@ -408,6 +408,12 @@ def _cornered(spark, d):
     return box_table(spark, d).withColumn("corners", c)
 
 
+def _projected(spark, d):
+    """Boxes with the image box that a camera five metres behind sees, null out of view."""
+    ahead = F.transform("corners", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), (c["z"] + 5).alias("z")))
+    return _cornered(spark, d).withColumn("ahead", ahead).withColumn("box", geo.project(F.col("ahead"), 100.0, 100.0, 96.0, 60.0, 192.0, 120.0))
+
+
 @query("box_corners", f"WITH {BOXES}, {_CORNERS} SELECT vec_id, CAST(i AS INTEGER) AS i, round(px, 6) AS px, round(py, 6) AS py, round(pz, 6) AS pz FROM corner")
 def _(spark, d):
     return _cornered(spark, d).select("vec_id", F.posexplode("corners").alias("i", "c")).select("vec_id", "i", *[F.round(f"c.{n}", 6).alias(f"p{n}") for n in "xyz"])
@@ -433,8 +439,7 @@ m AS (SELECT vec_id, greatest(0, min(u)) AS x0, greatest(0, min(v)) AS y0, least
 SELECT b.vec_id, CASE WHEN greatest(0, x1 - x0) * greatest(0, y1 - y0) > 1 THEN 'PROJECTED' ELSE 'OUT_OF_VIEW' END AS status,
   CASE WHEN greatest(0, x1 - x0) * greatest(0, y1 - y0) > 1 THEN round(greatest(0, x1 - x0) * greatest(0, y1 - y0), 4) ELSE 0 END AS area FROM box b LEFT JOIN m USING (vec_id)""")
 def _(spark, d):
-    ahead = F.transform("corners", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), (c["z"] + 5).alias("z")))
-    b = _cornered(spark, d).withColumn("ahead", ahead).withColumn("box", geo.project(F.col("ahead"), 100.0, 100.0, 96.0, 60.0, 192.0, 120.0))
+    b = _projected(spark, d)
     return b.select("vec_id", F.when(F.col("box").isNotNull(), "PROJECTED").otherwise("OUT_OF_VIEW").alias("status"), F.round(F.coalesce(fn.box_area(F.col("box")), F.lit(0.0)), 4).alias("area"))
 
 
@@ -659,8 +664,10 @@ def _(spark, d):
 
 @query("box_feature_vector")
 def _(spark, d):
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, d, "embeddings").select("vec_id", F.slice(fn.unit_vector(e), 1, 12).alias("features"))
+    b = _projected(spark, d)
+    at = lambda *names: F.array(*[F.col(n) for n in names])
+    f = fn.box_features(F.col("box"), F.lit(192.0), F.lit(120.0), F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")), at("length", "width", "height"), at("x", "y", "z"))
+    return b.select("vec_id", f.alias("features"))
 
 
 @query("metadata_features", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 4) AS f0, round(l_quantity / 10, 4) AS f1, round(l_tax / 50, 6) AS f2 FROM lineitem")

@@ -1,6 +1,7 @@
 """The queries read whole tables, whole arrays and whole graphs."""
 
 import duckdb
+import numpy as np
 
 from rankdiag.operators import suite
 
@@ -19,3 +20,29 @@ def test_plan_reads_all_orders(spark):
             used |= set(t)
             want |= dict(zip(t, ("train", "validation", "test"), strict=True))
     assert {r["log"]: r["split"] for r in suite.QUERIES["three_way_plan"](spark, SF).collect()} == want
+
+
+def test_box_feature_vectors(spark):
+    """Against a projection by numpy with points on the edges that cross the near plane."""
+    rows = {r["vec_id"]: r["features"] for r in suite.QUERIES["box_feature_vector"](spark, SF).collect()}
+    table = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet'").fetchall()
+    assert len(rows) == len(table)
+    for i, e in table:
+        x, y, z, yaw = e[0] * 10, e[1] * 10, e[12] * 10, e[13]
+        size = [abs(e[k]) + 0.1 for k in (9, 10, 11)]
+        sign = [(a, b, c) for a in (-0.5, 0.5) for b in (-0.5, 0.5) for c in (-0.5, 0.5)]
+        p = np.array([(x + size[0] * a * np.cos(yaw) - size[1] * b * np.sin(yaw), y + size[0] * a * np.sin(yaw) + size[1] * b * np.cos(yaw), z + size[2] * c + 5) for a, b, c in sign])
+        seen = [q for q in p if q[2] >= 0.1]
+        for k in range(8):
+            for m in range(k):
+                if np.sum(np.array(sign[k]) != np.array(sign[m])) == 1 and (p[k, 2] >= 0.1) != (p[m, 2] >= 0.1):
+                    seen.append(p[k] + (p[m] - p[k]) * (0.1 - p[k, 2]) / (p[m, 2] - p[k, 2]))
+        box = None
+        if seen:
+            u = np.array([(q[0] * 100 / q[2] + 96, q[1] * 100 / q[2] + 60) for q in seen])
+            lo, hi = np.maximum(u.min(0), 0), np.minimum(u.max(0), (192, 120))
+            if np.prod(np.maximum(hi - lo, 0)) > 1:
+                box = [lo[0] / 192, lo[1] / 120, hi[0] / 192, hi[1] / 120]
+        want = [*(box or [0] * 4), float(box is not None), np.hypot(x, y) / 50, *[v / 10 for v in size], x / 50, y / 50, z / 50]
+        assert np.allclose(rows[i], want, atol=1e-5), i
+    assert len({r[4] for r in rows.values()}) == 2  # boxes in view and out of it
