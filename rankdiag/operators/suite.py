@@ -345,6 +345,13 @@ def _(spark, d):
     return t.select("vec_id", F.posexplode(z).alias("pos", "z")).select("vec_id", "pos", F.col("z.v").cast("double").alias("value"), F.col("z.l").alias("label"))
 
 
+@query("positional_zip_all", """SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS value, CAST((vec_id + i - 1) % 3 AS INTEGER) AS label FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""")
+def _(spark, d):
+    t = table(spark, d, "embeddings").withColumn("labels", F.transform("embedding", lambda _, i: ((F.col("vec_id") + i) % 3).cast("int")))
+    z = F.arrays_zip(F.col("embedding").alias("v"), F.col("labels").alias("l"))
+    return t.select("vec_id", F.posexplode(z).alias("pos", "z")).select("vec_id", "pos", F.col("z.v").cast("double").alias("value"), F.col("z.l").alias("label"))
+
+
 @query("json_props_flatten", "SELECT event_id, CAST(key AS VARCHAR) AS key, CAST(value AS BIGINT) AS value FROM (SELECT event_id, unnest(json_keys(props)) AS key, json_extract(props, '$.' || unnest(json_keys(props))) AS value FROM events)")
 def _(spark, d):
     return table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "value"))

@@ -46,3 +46,10 @@ def test_box_feature_vectors(spark):
         want = [*(box or [0] * 4), float(box is not None), np.hypot(x, y) / 50, *[v / 10 for v in size], x / 50, y / 50, z / 50]
         assert np.allclose(rows[i], want, atol=1e-5), i
     assert len({r[4] for r in rows.values()}) == 2  # boxes in view and out of it
+
+
+def test_zip_takes_every_position(spark):
+    got = suite.QUERIES["positional_zip_all"](spark, SF).toPandas()
+    table = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet'").fetchall()
+    want = {(i, k, float(v), (i + k) % 3) for i, e in table for k, v in enumerate(e)}
+    assert len(got) == len(want) and set(got[["vec_id", "pos", "value", "label"]].itertuples(index=False, name=None)) == want
