@@ -1,20 +1,20 @@
-"""Benchmark decontamination: rare word n-grams seed local alignments of passages with test items.
+"""Benchmark decontamination: word n-grams seed local alignments of passages with test items.
 
-Words are runs of letters, digits and non-ASCII bytes of the lower-cased text. Seeds are an item's runs of N words. A
-seed of words so frequent that chance alone (the product of their shares of all words of the table) would make it
-more than RATE of all runs is not rare and is left out, unless fewer than two would remain. A document with enough
-different seeds of an item close together is a candidate; the passage around them is aligned with the item by
-Smith-Waterman over words (match 1, mismatch and gap -1). The score is the best alignment's sum over the item's
-number of words; pairs of THRESHOLD or more are leaks. A copy with one word in four replaced scores 0.5.
+Words are runs of letters, digits and non-ASCII bytes of the lower-cased text. A document with enough different seeds
+of an item close together is a candidate; the passage around them is aligned with the item by Smith-Waterman over
+words (match 1, mismatch and gap -1). The score is the best alignment's sum over the item's number of words; pairs of
+THRESHOLD or more are leaks. A copy with one word in four replaced scores 0.5.
 
-How many seeds are enough follows from the q-gram lemma: an item of L words with L // 4 edits keeps at least
-L - N + 1 - N * (L // 4) of its runs, and 1 or 2 are asked for, so edits up to that share are not lost where all runs
-are seeds.
+Seeds are an item's runs of N words, and no leak is lost to them: an alignment with x errors breaks its m matched words
+into x + 1 parts at most, so it keeps m - x - 1 runs of two words or more, and m - x is the score. A leak of an item of
+L words thus holds L / 2 - 1 of its runs, within L + L / 2 words. Of runs so frequent that chance alone (the product of
+their words' shares of all words of the table) would make them more than RATE of all runs, the most frequent are left
+out, at most half as many as a leak holds, and as many fewer are asked for.
 
 The benchmark is dealt into blocks of about BLOCK_BYTES of text; each goes to the executors and meets all documents.
 Word shares are counted over all whole documents. Nothing is shuffled but sums by word.
 
-Null and empty texts have no words; an item with fewer than N words has no seed and matches nothing. A null doc_id or
+Null and empty texts have no words; an item with fewer than LEAST words has no seed and matches nothing. A null doc_id or
 item_id stays null in the pairs. Repeated rows give repeated pairs. An empty table on either side gives no pairs.
 Extra columns pass through `decontaminate`.
 """
@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, flat, mix, pieces, table, word_spans
 
-N = 3
+N = 2
+LEAST = 3
 RATE = 1e-6
 THRESHOLD = 0.5
 BLOCK_BYTES = 8 << 20
+HITS = 1 << 20
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 _PLAIN = np.full(256, 32, np.uint8)
@@ -76,21 +78,21 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
 
 
 class Seeds:
-    """The items of one block and their rare seeds."""
+    """The items of one block and their seeds."""
 
     def __init__(self, ids: list, hashes: list[np.ndarray], share: dict[int, float]):
         self.ids, self.items = ids, hashes
         seed, item, place, self.need = [], [], [], np.zeros(len(ids), np.int64)
         for i, h in enumerate(hashes):
             g, at = runs(h, np.zeros(len(h), np.int64))
-            if not len(g):
+            if len(h) < LEAST:
                 continue
             p = np.array([share.get(int(w), 0.0) for w in h])
             chance = np.prod([p[at + k] for k in range(N)], axis=0)
-            keep = chance <= RATE
-            if keep.sum() < 2:
-                keep = np.argsort(np.argsort(chance, kind="stable"), kind="stable") < 2
-            self.need[i] = 2 if len(h) >= 12 and keep.sum() >= 4 else 1
+            bound = max(1, int(np.ceil(THRESHOLD * len(h))) - 1)  # runs that every leak of the item holds
+            gone = min(int((chance > RATE).sum()), bound // 2)
+            keep = np.argsort(np.argsort(chance, kind="stable"), kind="stable") < len(g) - gone
+            self.need[i] = bound - gone
             seed.append(g[keep])
             item.append(np.full(int(keep.sum()), i))
             place.append(at[keep])
@@ -111,12 +113,32 @@ class Seeds:
         n = hi - lo
         if not n.sum():
             return
+        if n.sum() > HITS and len(off) > 2:
+            half = len(off) // 2
+            yield from self.leaks(data[off[0] : off[half]], off[: half + 1] - off[0])
+            for k, *rest in self.leaks(data[off[half] : off[-1]], off[half:] - off[half]):
+                yield k + half, *rest
+            return
         entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         pos, item, place = np.repeat(at[some], n), self.item[entry], self.place[entry]
         r = row[pos]
         order = np.lexsort((pos, item, r))
         pos, item, place, r = pos[order], item[order], place[order], r[order]
         length = np.array([len(x) for x in self.items])[item]
+        own = np.ones(len(pos), bool)  # words of a row that hit an item, however often the item has the seed
+        own[1:] = (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (pos[1:] != pos[:-1])
+        u = np.flatnonzero(own)
+        i, j = np.arange(len(u)), np.arange(len(u)) + self.need[item[u]] - 1
+        i, j = i[j < len(u)], j[j < len(u)]
+        x, y = u[i], u[j]
+        close = (r[x] == r[y]) & (item[x] == item[y]) & (pos[y] - pos[x] <= length[x] + length[x] // 2)
+        edge = np.zeros(len(u) + 1, np.int64)
+        np.add.at(edge, i[close], 1)
+        np.add.at(edge, j[close] + 1, -1)
+        dense = (np.cumsum(edge)[:-1] > 0)[np.cumsum(own) - 1]  # hits in a window that could hold a leak
+        pos, item, place, r, length = pos[dense], item[dense], place[dense], r[dense], length[dense]
+        if not len(pos):
+            return
         new = np.ones(len(pos), bool)  # a passage: hits of one row and item, each near the one before
         new[1:] = (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > length[1:] + length[1:] // 2 + 4)
         first = np.flatnonzero(new)
