@@ -17,22 +17,27 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(node, root) of the nodes in edges (a, b): the least node that each reaches, by pointer jumping."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _checkpoint(both)
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node")
-    label = _checkpoint(label)
+def components(edges: DataFrame, most: int = 200) -> DataFrame:
+    """(node, root) of the nodes in edges (a, b): the least node that each reaches, by alternating large and small stars.
+
+    Rounds grow with the logarithm of the number of nodes; labels that still change after `most` rounds are an error.
+    """
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    nodes, e = _checkpoint(nodes), _checkpoint(e)
+    last = None
     for _ in range(most):
-        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
-        step = label.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"), F.col("root").alias("_was"))
-        jump = step.select(F.col("node").alias("_n"), F.col("root").alias("_far"))
-        step = step.join(jump, F.col("root") == F.col("_n"), "left").select("node", F.least("root", F.coalesce("_far", "root")).alias("root"), "_was")
-        step = _checkpoint(step)
-        if step.where("root <> _was").isEmpty():
-            break
-        label = step.select("node", "root")
-    return step.select("node", "root")
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = _checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == last:
+            return nodes.join(e, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("root"))
+        last = now
+    raise RuntimeError(f"components still change after {most} rounds")
 
 
 def log_triplets(pairs: DataFrame) -> DataFrame:

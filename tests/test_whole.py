@@ -1,9 +1,12 @@
 """The queries read whole tables, whole arrays and whole graphs."""
 
+import random
+
 import duckdb
 import numpy as np
+import pytest
 
-from rankdiag.operators import suite
+from rankdiag.operators import graph, suite
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +56,15 @@ def test_zip_takes_every_position(spark):
     table = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet'").fetchall()
     want = {(i, k, float(v), (i + k) % 3) for i, e in table for k, v in enumerate(e)}
     assert len(got) == len(want) and set(got[["vec_id", "pos", "value", "label"]].itertuples(index=False, name=None)) == want
+
+
+def test_components_of_long_chains(spark):
+    """A path whose least node is at its far end, and a chain of ids in random order."""
+    path = [*range(1, 61), 0]
+    ids = random.Random(3).sample(range(1000, 100000), 500)
+    e = [*zip(path, path[1:]), *zip(ids, ids[1:]), (7000000, 7000000)]
+    got = graph.components(spark.createDataFrame(e, "a long, b long")).collect()
+    assert len(got) == 61 + 500 + 1
+    assert dict(got) == dict.fromkeys(path, 0) | dict.fromkeys(ids, min(ids)) | {7000000: 7000000}
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame(e, "a long, b long"), most=2)
