@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import score_or_last, sigmoid
 from ..plans.base import GROUP
+from .graph import _checkpoint
 
 CONTROLS = ("tracker_score", "candidate_distance", "projected_box_area", "category_frequency", "oracle")
 
@@ -129,6 +130,41 @@ def control_suite(cands: DataFrame, score_delta: float, log_area_delta: float, c
     return out
 
 
+def numbered(keys: DataFrame) -> DataFrame:
+    """keys with _g, their number in order of the group key, from 0; sorted in ranges, not in one task."""
+    part = _checkpoint(keys.repartitionByRange(*GROUP).withColumn("_p", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    start = part.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_s")
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*GROUP)) - 1
+    return part.withColumn("_i", own).join(F.broadcast(start), "_p").select(*GROUP, (F.col("_s") + F.col("_i")).alias("_g"))
+
+
+def rank_random(cands: DataFrame, seed: int = 0, tie: str = "track_id") -> DataFrame:
+    """As rank, for the control random: numpy's permutation with seed + 1009 * the group's number lists a group's rows, sorted by tie, from the first rank on."""
+
+    def permute(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(tie, kind="stable")
+        pdf = pdf.iloc[np.random.default_rng(seed + 1009 * int(pdf["_g"].iloc[0])).permutation(len(pdf))]
+        return pdf.drop(columns="_g").assign(
+            control="random", rank=np.arange(1, len(pdf) + 1), found=(pdf["label"] == 0).cumsum().astype("int64"), labeled_rank=pdf["label"].notna().cumsum().astype("int64")
+        )
+
+    slim = cands.select(*GROUP, tie, "label").join(numbered(cands.select(*GROUP).distinct()), list(GROUP))
+    types = cands.select(*GROUP, tie, "label").schema.add("control", "string").add("rank", "long").add("found", "long").add("labeled_rank", "long")
+    return slim.groupBy(*GROUP).applyInPandas(permute, types)
+
+
+def random_control_suite(cands: DataFrame, score_delta: float, log_area_delta: float, seeds: Sequence[int] = (0, 1)) -> DataFrame:
+    """Summaries of the random control by seed over the same views as control_suite; groups are numbered anew in each view."""
+    views = {"full": cands, "score_matched": hard_negatives(cands, score_delta), "score_size_matched": hard_negatives(cands, score_delta, log_area_delta)}
+    out = None
+    for name, view in views.items():
+        for seed in seeds:
+            one = summarize(group_metrics(rank_random(view, seed)), "control").withColumns({"view": F.lit(name), "seed": F.lit(seed)})
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def calibration(cands: DataFrame, logit: str) -> DataFrame:
     """NLL, Brier score and expected calibration error (ten bins) of labeled candidates: one row."""
     p = sigmoid(F.col(logit))

@@ -724,6 +724,11 @@ def _(spark, d):
     return ranking.control_suite(line_candidates(spark, d), 5000.0, 0.2)
 
 
+@query("control_suite_random")
+def _(spark, d):
+    return ranking.random_control_suite(line_candidates(spark, d), 5000.0, 0.2)
+
+
 @query("control_strata_by_log", _summary_sql(LINES, "control, log_id"))
 def _(spark, d):
     return ranking.summarize(ranking.group_metrics(ranking.rank(line_candidates(spark, d))), "control", "log_id")

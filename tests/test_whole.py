@@ -6,7 +6,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from rankdiag.operators import graph, suite
+from rankdiag.operators import graph, ranking, suite
+from rankdiag.plans.base import GROUP, line_candidates
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +69,23 @@ def test_components_of_long_chains(spark):
     assert dict(got) == dict.fromkeys(path, 0) | dict.fromkeys(ids, min(ids)) | {7000000: 7000000}
     with pytest.raises(RuntimeError):
         graph.components(spark.createDataFrame(e, "a long, b long"), most=2)
+
+
+def test_random_control_by_seed_and_view(spark):
+    c = line_candidates(spark, SF)
+    views = {"full": c, "score_matched": ranking.hard_negatives(c, 5000.0), "score_size_matched": ranking.hard_negatives(c, 5000.0, 0.2)}
+    got = {(r["view"], r["seed"]): r for r in suite.QUERIES["control_suite_random"](spark, SF).collect()}
+    assert got.keys() == {(v, s) for v in views for s in (0, 1)}
+    for name, view in views.items():
+        groups = [g.sort_values("track_id")["label"].tolist() for _, g in sorted(view.select(*GROUP, "track_id", "label").toPandas().groupby(list(GROUP)), key=lambda x: x[0])]
+        for seed in (0, 1):
+            ap, top = [], []
+            for k, labels in enumerate(groups):
+                order = [labels[i] for i in np.random.default_rng(seed + 1009 * k).permutation(len(labels))]
+                if 0 in labels and (1 in labels or 2 in labels):
+                    at = [i for i, x in enumerate(order) if x == 0]
+                    ap.append(np.mean([(n + 1) / (i + 1) for n, i in enumerate(at)]))
+                    top.append(order[0] == 0)
+            r = got[name, seed]
+            assert (r["groups"], r["rankable_groups"], r["control"]) == (len(groups), len(ap), "random")
+            assert abs(r["mean_ap"] - np.mean(ap)) < 2e-6 and abs(r["recall_at_1"] - np.mean(top)) < 2e-6
