@@ -215,7 +215,7 @@ def paired_differences(left: DataFrame, right: DataFrame, metric: str) -> DataFr
     return a.join(b, list(GROUP)).where("left_value is not null and right_value is not null").withColumn("difference", F.col("left_value") - F.col("right_value"))
 
 
-def paired_bootstrap(diffs: DataFrame, samples: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+def paired_bootstrap(diffs: DataFrame, samples: int = 10000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """Mean difference with a percentile interval; one row.
 
     Each group's weight in each resample is a Poisson(1) draw from a generator seeded by the group, so resampling

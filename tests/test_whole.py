@@ -89,3 +89,10 @@ def test_random_control_by_seed_and_view(spark):
             r = got[name, seed]
             assert (r["groups"], r["rankable_groups"], r["control"]) == (len(groups), len(ap), "random")
             assert abs(r["mean_ap"] - np.mean(ap)) < 2e-6 and abs(r["recall_at_1"] - np.mean(top)) < 2e-6
+
+
+def test_bootstrap_draws_as_many_samples_as_the_reference(spark):
+    rows = [("a", "p", i, float(d)) for i, d in enumerate(np.random.default_rng(0).normal(size=40))]
+    diffs = spark.createDataFrame(rows, "log_id string, prompt string, timestamp_ns long, difference double")
+    assert ranking.paired_bootstrap(diffs).first() == ranking.paired_bootstrap(diffs, samples=10000).first()
+    assert ranking.paired_bootstrap(diffs).first() != ranking.paired_bootstrap(diffs, samples=1000).first()
