@@ -9,8 +9,8 @@ less than MARGIN a bit.
 Codewords are rows of a pseudo-random matrix with bits for each language, at least 16; rows and columns are
 drawn again until all rows differ in a quarter of the bits or more.
 
-Training fits all bits at once by gradient descent on at most SAMPLE labelled rows (of all labelled rows, those with
-the smallest hash, in expectation an equal share for each language), the documented bound of the training sample.
+Training fits all bits at once by gradient descent on at most SAMPLE labelled rows (of each language's rows those with
+the smallest hash, an equal share for each language and at least one), the documented bound of the training sample.
 Executors turn their whole texts into vectors of FEATURES numbers, and those alone come to the driver. Prediction
 reads every whole text.
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import flat, id_crc, pieces, table
@@ -128,14 +128,17 @@ def identify(docs: DataFrame, held_out, sample: int = SAMPLE, text: str = "text"
     """A row for each of docs: doc_id, held_out, lang_pred, score, ambiguous. Learns from labelled rows that are not held out."""
     slim = docs.select("doc_id", held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang"))
     labelled = slim.where("not held_out and lang is not null and text <> ''")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language, as the model itself has
-    share = max(1.0, sample / max(1, len(counts)))
-    listed = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["n"])) for r in counts], "_l string, p double")
-    odds = F.broadcast(listed)
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") / float(1 << 53)
-    chosen = labelled.withColumn("_at", place).join(odds, F.col("lang") == F.col("_l")).where("_at < p")
+    labelled = labelled.withColumn("_at", place)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("_at").alias("least")).collect()  # a row a language, as the model itself has
+    share = max(1, sample // max(1, len(counts)))
+    ample = share + 6 * share**0.5 + 10  # expected rows to draw from, so that share or more are drawn
+    listed = docs.sparkSession.createDataFrame([(r["lang"], max(r["least"], min(1.0, ample / r["n"]))) for r in counts], "_l string, p double")
+    odds = F.broadcast(listed)
+    chosen = labelled.join(odds, F.col("lang") == F.col("_l")).where("_at <= p")
     vectors = chosen.select("lang", "text", "_at", "doc_id").mapInArrow(_vectors, "lang string, vector binary, _at double, doc_id long")
-    rows = vectors.orderBy("_at", "doc_id").limit(sample).drop("_at", "doc_id").toArrow()
+    own = F.row_number().over(Window.partitionBy("lang").orderBy("_at", "doc_id"))
+    rows = vectors.withColumn("_k", own).where(F.col("_k") <= share).orderBy("_at", "doc_id").select("lang", "vector").toArrow()
     names = sorted(set(rows["lang"].to_pylist()))
     if not names:
         return slim.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
