@@ -5,6 +5,7 @@ Column names that begin with an underscore are the operators' own.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,12 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}  # application id -> its temporary folder, where no shared one is set
+_written: dict[str, list[str]] = {}  # application id -> tables that cut wrote and nobody removed
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one on a single machine, an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = tempfile.mkdtemp(prefix="rankdiag-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="rankdiag-")
+        _own[spark.sparkContext.applicationId] = at
     return at.rstrip("/")
 
 
@@ -43,7 +50,33 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rankdiag-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.get(spark.sparkContext.applicationId, []).remove(path)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete tables that cut wrote, once everything made from them is written."""
+    for df in tables:
+        _delete(df.sparkSession, df._cut_path)
+
+
+def written(spark: SparkSession) -> set[str]:
+    """Tables that cut wrote in this application and that are still there."""
+    return set(_written.get(spark.sparkContext.applicationId, []))
+
+
+def clean(spark: SparkSession, *keep: DataFrame, older: frozenset[str] | set[str] = frozenset()) -> None:
+    """Delete all that cut wrote but for `keep` and `older`; results made from them that are not written yet are lost."""
+    for path in written(spark) - older - {df._cut_path for df in keep}:
+        _delete(spark, path)
 
 
 def ascii_lower(c: Column) -> Column:
