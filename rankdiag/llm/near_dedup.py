@@ -4,10 +4,11 @@ Sets. A document's set holds its distinct shingles of five words (A-Z lower-case
 sequence is its one shingle; without words it is empty and linked with nothing. Shingles are 64-bit hashes.
 
 Signatures. k values of 16 bits, each from the minimum of another hash function over the set. Two sets of Jaccard
-similarity s differ in about k * (1 - s) values. The values form chunks of WIDTH; if two signatures differ in at most
-2 * chunks - 1 values, some chunk has at most one error (pigeonhole), so each chunk is entered WIDTH times, each time
-without another of its values. All pairs within that distance share an entry. With 60 values, 12 chunks and distance
-23, a pair of similarity 0.85 is farther apart with probability of about 5e-6 (binomial tail).
+similarity s differ in about k * (1 - s) values. The values form chunks of equal width; if two signatures differ in at
+most 2 * chunks - 1 values, some chunk has at most one error (pigeonhole), so each chunk is entered once for each of its
+values, each time without that value. All pairs within that distance share an entry. Width and number of chunks follow
+from the similarity, so that a pair at it is farther apart with a probability of MISS at most (binomial tail): 12 chunks
+of five values at 0.85, 20 at 0.80. Far below 0.5 no plan of MOST values does, which is an error.
 
 Steps: (1) equal sets collapse into a class with one representative, the smallest doc_id; (2) representatives that
 share an entry are compared by signature distance in the task that holds the entry; a task keeps a union-find and
@@ -23,18 +24,19 @@ Repeated rows stay. Extra columns are not carried. An empty table gives an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, cut, flat, groups, mix, pieces, table, word_spans
+from .common import LOWER, Rolling, cut, flat, groups, mix, pieces, remove, table, word_spans
 
 SHINGLE = 5
-WIDTH = 5
+MISS = 1e-5
 BUCKET, FAMILY = 2000, 256
-MOST = 24 * WIDTH
+MOST = 256
 
 _A = mix(np.arange(1, MOST + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _B = mix(np.arange(1, MOST + 1, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D))
@@ -65,9 +67,23 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> Iterator
             yield np.zeros(0, np.uint64)
 
 
-def chunks_for(percent: int) -> int:
-    """Chunks for which a pair at the similarity is within the distance but for about 1e-5."""
-    return 12 if percent >= 85 else 16 if percent >= 80 else 24
+def plan_for(percent: int) -> tuple[int, int]:
+    """Values in a chunk, and chunks, so that a pair at the similarity is beyond the distance with a chance of MISS at most.
+
+    The distance, 2 * chunks - 1 of width * chunks values, is a share of 2 / width at most; wide chunks leave fewer
+    false candidates, so the widest that does is taken. An error for similarities that no plan of MOST values reaches.
+    """
+    for width in (5, 4, 3):
+        for chunks in range(2, MOST // width + 1):
+            k = width * chunks
+            if k % 2 == 0 and beyond(k, percent / 100, 2 * chunks - 1) <= MISS:
+                return width, chunks
+    raise ValueError(f"no signature of {MOST} values finds pairs of similarity {percent} %")
+
+
+def beyond(k: int, same: float, distance: int) -> float:
+    """Chance that more than `distance` of k values differ, each being equal with chance `same`."""
+    return sum(comb(k, i) * (1 - same) ** i * same ** (k - i) for i in range(distance + 1, k + 1))
 
 
 def signature(u: np.ndarray, k: int) -> np.ndarray:
@@ -80,21 +96,21 @@ def signature(u: np.ndarray, k: int) -> np.ndarray:
     return mix(best) & np.uint64(0xFFFF)
 
 
-def entries(sigs: np.ndarray) -> np.ndarray:
-    """For n signatures of k values, n x k keys: each chunk without each of its values in turn."""
-    n, chunks = len(sigs), sigs.shape[1] // WIDTH
-    parts = sigs.reshape(n, chunks, WIDTH)
-    out = np.zeros((n, chunks, WIDTH), np.uint64)
-    for skip in range(WIDTH):
-        key = np.broadcast_to(np.arange(chunks, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(skip + 1), (n, chunks)).copy()
-        for k in range(WIDTH):
+def entries(sigs: np.ndarray, width: int) -> np.ndarray:
+    """For n signatures of k values, n x k keys: each chunk of `width` values without each of its values in turn."""
+    n, chunks = len(sigs), sigs.shape[1] // width
+    parts = sigs.reshape(n, chunks, width)
+    out = np.zeros((n, chunks, width), np.uint64)
+    for skip in range(width):
+        key = np.broadcast_to(np.arange(chunks, dtype=np.uint64) * np.uint64(width) + np.uint64(skip + 1), (n, chunks)).copy()
+        for k in range(width):
             if k != skip:
                 key = mix(key * _STEP + parts[:, :, k])
         out[:, :, skip] = key
-    return out.reshape(n, chunks * WIDTH)
+    return out.reshape(n, chunks * width)
 
 
-def _describe(k: int):
+def _describe(k: int, width: int):
     """(doc_id, text) -> (doc_id, n_shingles, digest, keys, low): low holds four bits of each value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +126,7 @@ def _describe(k: int):
                 s = np.array(sigs, np.uint64).reshape(-1, k)
                 low = (s & np.uint64(15)).astype(np.uint8)
                 low = (low[:, 0::2] << 4 | low[:, 1::2]).tobytes()
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * k, k), pa.int32()), pa.array(entries(s).view(np.int64).ravel()))
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * k, k), pa.int32()), pa.array(entries(s, width).view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), keys, pa.array([low[x : x + k // 2] for x in range(0, len(low), k // 2)], pa.binary())],
                     ["doc_id", "n_shingles", "digest", "keys", "low"],
@@ -223,23 +239,32 @@ def _confirm(percent: int):
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root) for the nodes of edges (a, b): alternating large and small stars until nothing changes."""
+    """(node, root) for the nodes of edges (a, b): alternating large and small stars until nothing changes; a written table.
+
+    Least neighbours are written before they join the links, so that both sides stand on exchanges of their own, which
+    Spark can split where a star has many members. Each round's tables go once the next round's are written.
+    """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e, f"{name}-links")
     last = None
     for k in range(60):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        star = e.join(low, "u")
-        e = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(e, f"{name}-star{k}")
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-low{k}")
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(large, f"{name}-large{k}")
+        near = large.groupBy("u").agg(F.min("v").alias("m"))
+        star = large.join(near, "u")
+        small = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).distinct()
+        old, e = e, cut(small, f"{name}-star{k}")
+        remove(old, low, large)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
-            break
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out = cut(out, f"{name}-roots")
+            remove(e)
+            return out
         last = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    raise RuntimeError("components still change after 60 rounds")
 
 
 def blocks(df: DataFrame, by: str, size: int) -> DataFrame:
@@ -253,8 +278,8 @@ def blocks(df: DataFrame, by: str, size: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> DataFrame:
     """A row for each of docs: doc_id, n_shingles, component_id, kept."""
-    chunks = chunks_for(percent)
-    told = docs.select("doc_id", F.col(text).alias("text")).mapInArrow(_describe(chunks * WIDTH), "doc_id long, n_shingles long, digest binary, keys array<long>, low binary")
+    width, chunks = plan_for(percent)
+    told = docs.select("doc_id", F.col(text).alias("text")).mapInArrow(_describe(chunks * width, width), "doc_id long, n_shingles long, digest binary, keys array<long>, low binary")
     told = cut(told, "signatures")
     reps = told.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("low").alias("low"))
     reps = cut(reps, "classes")  # written, so that joins by digest stand on exchanges of their own, which Spark can split where copies are many
@@ -265,15 +290,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     # Sets that share a doc_id are one document. Its aggregate is by doc_id alone, so Spark can split the join before it.
     own = told.where("n_shingles > 0 and doc_id is not null").select("doc_id", "digest").join(reps.select("digest", "rep"), "digest")
     same = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-    family = components(near, "near").select(F.col("node").alias("rep"), F.col("root").alias("family"))
-    sizes = family.groupBy("family").agg(F.count("*").alias("n"))
-    dealt = blocks(family.join(sizes, "family"), "rep", FAMILY).select("family", "p", "q", "rep")
+    family = components(near, "near")
+    member = family.select(F.col("node").alias("rep"), F.col("root").alias("family"))
+    sizes = member.groupBy("family").agg(F.count("*").alias("n"))
+    dealt = blocks(member.join(sizes, "family"), "rep", FAMILY).select("family", "p", "q", "rep")
     # A merge at every size: whether the ids could be broadcast depends on the size of the corpus.
     texts = dealt.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")), "rep").select("family", "p", "q", "rep", "text")
     sure = texts.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(_confirm(percent), "a long, b long")
     roots = components(sure.unionByName(same.select("a", "b")), "sure")
     named = reps.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("_c"))
     named = cut(named, "named")
+    remove(family, roots, reps)
     out = told.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("_c")), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
