@@ -5,6 +5,8 @@ included, overlaps counted), judged on the input. Matches never cross documents.
 
 The index. A run-length Burrows-Wheeler transform is kept with samples at its run ends: at the first and last
 position of each run, the text position and its common prefix with the neighbour before or after it in suffix order.
+(Each index is built from a suffix array of its text with the ranks of all doublings, which are then dropped: while it
+is built, a task holds up to ten numbers a letter, CHUNK letters at most; what stays follows the number of runs.)
 Inside a run, going one letter back in the text lengthens that common prefix by exactly one, so the samples alone
 give the matching statistics: streaming the text from left to right, the match at position i is the sample at i, or
 else the match at i - 1 less one. A position is marked where its match with the suffix before or after reaches
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, flat, groups, mix, packed, pieces, row_key, table, unpacked
+from .common import Rolling, cut, flat, groups, mix, packed, pieces, remove, row_key, table, unpacked
 from .near_dedup import blocks
 
 LENGTH, ANCHOR = 400, 128
@@ -248,7 +250,7 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[at], hi[np.append(at[1:] - 1, len(hi) - 1)]
 
 
-def _remove(at_text: int, name: str):
+def _remove(at_text: int, name: str, least_words: int):
     """(packed text, spans, other columns) -> the input's columns, digest columns and the kept bytes as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +266,9 @@ def _remove(at_text: int, name: str):
         for i, text in enumerate(texts):
             x = text or b""
             p, q = merged(lo[at[i] : at[i + 1]], hi[at[i] : at[i + 1]]) if at[i + 1] > at[i] else (lo[:0], hi[:0])
+            if least_words and len(p):
+                long = np.array([len(x[a:z].split()) >= least_words for a, z in zip(p.tolist(), q.tolist(), strict=True)])
+                p, q = p[long], q[long]
             edge = [0, *np.stack([p, q], 1).ravel().tolist(), len(x)]
             kept = b"".join(x[a:z] for a, z in zip(edge[0::2], edge[1::2], strict=True))
             for c, v in zip(cols, (len(x), len(x) - len(kept), len(p), hashlib.sha256(kept).hexdigest(), kept), strict=True):
@@ -278,8 +283,11 @@ def _remove(at_text: int, name: str):
     return run
 
 
-def dedup_text(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, text: str = "text") -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept_text (the kept bytes; a broken character at a cut goes)."""
+def dedup_text(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, text: str = "text", least_words: int = 0) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept_text (the kept bytes; a broken character at a cut goes).
+
+    With least_words, runs of fewer words (parts of words at their ends count) stay.
+    """
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     docs = docs.drop(*made)
     slim = docs.select(row_key(F.col("doc_id"), F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -295,13 +303,15 @@ def dedup_text(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, text
     dealt = fetched.repartition("anchor", "p", "q").sortWithinPartitions("anchor", "p", "q")
     partly = dealt.mapInArrow(_index(length), "key long, lo long, hi long")
     spans = whole.unionByName(partly).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("_s"))
-    spans = cut(spans, "spans").withColumnRenamed("key", "_k")
+    spans = cut(spans, "spans")
+    remove(found, counted)
+    spans = spans.withColumnRenamed("key", "_k")
     keyed = packed(docs.withColumn("_key", row_key(F.col("doc_id"), F.col(text))), text)
     joined = keyed.join(spans, F.col("_key") == F.col("_k"), "left")
     empty = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     ready = joined.select("_packed", F.coalesce("_s", empty).alias("_spans"), *[c for c in docs.columns if c != text])
     schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return ready.mapInArrow(_remove(docs.columns.index(text), text), schema)
+    return ready.mapInArrow(_remove(docs.columns.index(text), text, least_words), schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
