@@ -5,11 +5,11 @@ BUCKETS): one of the target texts (rows that a label table calls good), one of a
 the sum over its n-grams of log p_target - log p_raw. Adding Gumbel noise to the log weights and taking the k
 largest draws k texts without replacement with odds in proportion to the weights.
 
-Sums over long texts would swamp the noise, so the log weight that is sampled is the mean over the n-grams times
-`sharpness` (sharpness None: the plain sum). k is a share of all rows. Both models count all rows and whole texts.
-The noise is a function of id, text and seed, so reruns agree. The k-th largest key is found by narrowing a histogram
-over a written table of keys; no sort of all rows and nothing that grows comes to the driver. Ties at the border go
-by smaller doc_id, then by the row's hash; rows equal in both and in their key are taken together.
+The weight is the plain ratio of the two probabilities. With `sharpness` the log weight that is sampled is instead its
+mean over the n-grams times that number, so that length does not count. k is a share of all rows. Both models count all
+rows and whole texts. The noise is a function of id, text and seed, so reruns agree. The k-th largest key is found by
+narrowing a histogram over a written table of keys; no sort of all rows and nothing that grows comes to the driver. Ties
+at the border go by smaller doc_id, then by the row's hash; rows equal in both and in their key are taken together.
 
 Null and empty texts have no n-grams and log weight 0. Documents with several labels count once for each good label.
 A null doc_id matches no label. If no row is good the target model equals the raw model. Repeated rows stay. An
@@ -29,7 +29,6 @@ from .common import LOWER, Rolling, cut, flat, mix, pieces, table, word_spans
 
 BUCKETS = 1 << 14
 SHARE = 0.8
-SHARPNESS = 20.0
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
@@ -97,7 +96,7 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
     return lo
 
 
-def resample(docs: DataFrame, good_ids: DataFrame, share: float = SHARE, sharpness: float | None = SHARPNESS, buckets: int = BUCKETS, seed: int = 1, text: str = "text") -> DataFrame:
+def resample(docs: DataFrame, good_ids: DataFrame, share: float = SHARE, sharpness: float | None = None, buckets: int = BUCKETS, seed: int = 1, text: str = "text") -> DataFrame:
     """A row for each of docs: doc_id, n_ngrams, log_ratio, gumbel_key, kept. good_ids: a table (doc_id) of the target."""
     slim = docs.select("doc_id", F.col(text).alias("text"))
     good = good_ids.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_times"))
@@ -123,7 +122,11 @@ def resample(docs: DataFrame, good_ids: DataFrame, share: float = SHARE, sharpne
         return weighed.select("doc_id", "n_ngrams", "log_ratio", "gumbel_key", F.lit(k > 0).alias("kept"))
     sure = weighed.where(F.col("gumbel_key") > edge).count()
     tied = weighed.where(F.col("gumbel_key") == edge)
-    last = tied.select("doc_id", "row_hash").orderBy(F.col("doc_id").asc_nulls_last(), "row_hash").limit(k - sure).agg(F.max_by(F.struct("doc_id", "row_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash"))).first()[0]
+    left = k - sure
+    for last in tied.groupBy("doc_id", "row_hash").count().orderBy(F.col("doc_id").asc_nulls_last(), "row_hash").toLocalIterator():
+        left -= last["count"]
+        if left <= 0:
+            break
     before = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "row_hash") <= F.struct(F.lit(last["doc_id"] is None), F.lit(last["doc_id"] or 0).cast("long"), F.lit(last["row_hash"]).cast("long"))
     return weighed.select("doc_id", "n_ngrams", "log_ratio", "gumbel_key", ((F.col("gumbel_key") > edge) | ((F.col("gumbel_key") == edge) & before)).alias("kept"))
 
