@@ -6,8 +6,8 @@ logistic loss: the language whose codeword has the least total loss wins. `score
 when losses are turned into probabilities, and `ambiguous` is true where the nearest two codewords differ in loss by
 less than MARGIN a bit.
 
-Codewords are rows of a pseudo-random matrix with bits for each language, at least 16; rows and columns are
-drawn again until all rows differ in a quarter of the bits or more.
+Codewords are rows of a pseudo-random matrix, 16 bits or more; each bit parts the languages in halves. The matrix is
+drawn again, with more and more bits, until all rows differ in a quarter of the bits or more.
 
 Training fits all bits at once by gradient descent on at most SAMPLE labelled rows (of each language's rows those with
 the smallest hash, an equal share for each language and at least one), the documented bound of the training sample.
@@ -22,6 +22,7 @@ columns are not carried. Ties go to the language first in code point order.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -67,14 +68,15 @@ def features(data: np.ndarray, off: np.ndarray, size: int = FEATURES) -> np.ndar
 
 
 def codewords(n: int) -> np.ndarray:
-    """n codewords of -1 and 1."""
-    bits = max(16, 4 * int(np.ceil(np.log2(max(2, n)))) + 4)
-    for k in range(1000):
-        code = np.where(np.random.default_rng([n, k]).random((n, bits)) < 0.5, -1.0, 1.0)
-        apart = (code[:, None] != code[None]).sum(2) + bits * np.eye(n)
-        if apart.min() >= bits / 4 and (n == 1 or not (np.abs(code.sum(0)) == n).any()):
-            break
-    return code.astype(np.float32)
+    """n codewords of -1 and 1 that differ pairwise in a quarter of the bits or more."""
+    half = np.where(np.arange(n) < n // 2, 1.0, -1.0)
+    for k in count():
+        bits = max(16, 4 * int(np.ceil(np.log2(max(2, n)))) + 4) + 4 * (k // 8)
+        draw = np.random.default_rng([n, k])
+        code = np.stack([draw.permutation(half) for _ in range(bits)], 1)
+        agree = code @ code.T - 2 * bits * np.eye(n)
+        if agree.max() <= bits / 2:  # agreements less differences
+            return code.astype(np.float32)
 
 
 def train(x: np.ndarray, y: np.ndarray, code: np.ndarray, steps: int = 150, rate: float = 60.0, decay: float = 1e-5) -> np.ndarray:
