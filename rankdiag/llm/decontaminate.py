@@ -14,8 +14,8 @@ out, at most half as many as a leak holds, and as many fewer are asked for.
 The benchmark is dealt into blocks of about BLOCK_BYTES of text; each goes to the executors and meets all documents.
 Word shares are counted over all whole documents. Nothing is shuffled but sums by word.
 
-Null and empty texts have no words; an item with fewer than LEAST words has no seed and matches nothing. A null doc_id or
-item_id stays null in the pairs. Repeated rows give repeated pairs. An empty table on either side gives no pairs.
+Null and empty texts have no words. An item with fewer than LEAST words has too few runs to tell a leak from chance: it
+leaks where it is all of a document (score 1). A null doc_id or item_id stays null in the pairs. Repeated rows give repeated pairs. An empty table on either side gives no pairs.
 Extra columns pass through `decontaminate`.
 """
 
@@ -83,9 +83,12 @@ class Seeds:
     def __init__(self, ids: list, hashes: list[np.ndarray], share: dict[int, float]):
         self.ids, self.items = ids, hashes
         seed, item, place, self.need = [], [], [], np.zeros(len(ids), np.int64)
+        self.short: dict[bytes, list[int]] = {}
         for i, h in enumerate(hashes):
             g, at = runs(h, np.zeros(len(h), np.int64))
             if len(h) < LEAST:
+                if len(h):
+                    self.short.setdefault(h.tobytes(), []).append(i)
                 continue
             p = np.array([share.get(int(w), 0.0) for w in h])
             chance = np.prod([p[at + k] for k in range(N)], axis=0)
@@ -107,6 +110,15 @@ class Seeds:
     def leaks(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         """Row, item, score, seeds and the word at which the alignment ends, for the pairs that reach THRESHOLD."""
         h, row = hashed_words(data, off)
+        if self.short:
+            start = np.searchsorted(row, np.arange(len(off)))
+            for k in np.flatnonzero((np.diff(start) > 0) & (np.diff(start) < LEAST)).tolist():
+                for i in self.short.get(h[start[k] : start[k + 1]].tobytes(), ()):
+                    yield k, i, 1.0, 1, int(start[k + 1] - start[k])
+        yield from self._aligned(data, off, h, row)
+
+    def _aligned(self, data: np.ndarray, off: np.ndarray, h: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+        """As leaks, for items that have seeds."""
         g, at = runs(h, row)
         some = np.flatnonzero(self.sieve[(g & np.uint64(0xFFFF)).astype(np.int64)])
         lo, hi = np.searchsorted(self.seed, g[some]), np.searchsorted(self.seed, g[some], "right")
@@ -115,8 +127,9 @@ class Seeds:
             return
         if n.sum() > HITS and len(off) > 2:
             half = len(off) // 2
-            yield from self.leaks(data[off[0] : off[half]], off[: half + 1] - off[0])
-            for k, *rest in self.leaks(data[off[half] : off[-1]], off[half:] - off[half]):
+            mid = int(np.searchsorted(row, half))
+            yield from self._aligned(data[off[0] : off[half]], off[: half + 1] - off[0], h[:mid], row[:mid])
+            for k, *rest in self._aligned(data[off[half] : off[-1]], off[half:] - off[half], h[mid:], row[mid:] - half):
                 yield k + half, *rest
             return
         entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
