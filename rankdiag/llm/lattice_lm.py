@@ -1,26 +1,28 @@
 """Language-model scores by a subword lattice.
 
 A text is a sequence of words (A-Z lower-cased), each with a leading mark, and one end. A word's lattice has an arc for
-each piece of an existing vocabulary, for each single byte, and one for the whole word. The piece arcs carry unigram
-scores; a forward recursion in log space sums over all ways to cut the word into pieces. The whole-word arc carries
-the word's discounted share of the training tokens, and what the discount frees is the weight of the piece arcs. So
-every text has a probability above 0, and its score is the log10 of the product over its words and its end.
-
-Piece scores. The vocabulary's own scores come first; where they are ranks (byte-pair vocabularies), a piece of rank r
-weighs 1 / (r + 10). Two rounds of expectation-maximisation over the word counts of all training texts replace them by
-expected counts (PRIOR pseudo-counts keep the first ones alive). The vocabulary itself stays as it is.
-
-Word arcs. P(w) = max(c - D, 0) / N + D * V / N * lattice_k(w), with D = n1 / (n1 + 2 * n2) from the words seen once and
-twice. Where training rows name a language, the CLASSES - 1 most frequent ones and the rest are classes with word arcs
-of their own, P_k(w) = max(c_k - D, 0) / N_k + D * V_k / N_k * P(w), and piece scores of their own (the expected counts of the last
-round by class, with PRIOR pseudo-counts of the common ones). A text's probability is the classes' mixture by their
-shares of training texts. A scored text's own language is never read.
+each piece of an existing vocabulary and for each single byte, with unigram scores; a forward recursion in log space
+sums over all ways to cut the word into pieces. So every text has a probability above 0, and its score is the log10 of
+the product over its words and its end.
+
+Piece scores are the vocabulary's own; where they are ranks (byte-pair vocabularies), a piece of rank r weighs
+1 / (r + 10). The vocabulary itself stays as it is.
+
+Options, all off unless asked for:
+- rounds: so many rounds of expectation-maximisation over the word counts of all training texts replace the piece scores
+  by expected counts (PRIOR pseudo-counts keep the first ones alive).
+- word_arcs: one more arc for each whole word. P(w) = max(c - D, 0) / N + D * V / N * lattice(w), with D = n1 / (n1 + 2 *
+  n2) from the words seen once and twice.
+- lang (needs word_arcs): where training rows name a language, the CLASSES - 1 most frequent ones and the rest are
+  classes with word arcs of their own, P_k(w) = max(c_k - D, 0) / N_k + D * V_k / N_k * P(w), and piece scores of their
+  own (the expected counts of the last round by class, with PRIOR pseudo-counts of the common ones). A text's probability
+  is the classes' mixture by their shares of training texts. A scored text's own language is never read.
 
 base_score is the add-one word model: sum over tokens of log10((c + 1) / (N + V + 1)).
 
 All counts cover whole texts of all training rows. Words with 1 / 65,536 or more of all tokens (so 65,536 words at
 most) reach the executors as a bounded table; only rarer words are shuffled, so no word is a hot key. The lattice runs
-once for each distinct word of the table.
+once for each distinct word of the table, in time and memory that grow with the longest word.
 
 Null and empty texts are an end alone. A null doc_id counts as empty text for the split, so it is trained on. Rows
 equal in id and text are scored once and returned as often as they occur. Without training rows N and V are 0 and the
@@ -36,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, cut, flat, id_crc, mix, pieces, row_key, table, word_spans
+from .common import LOWER, Rolling, cut, flat, id_crc, mix, pieces, remove, row_key, table, word_spans
 
 HOT = 1 << 16
 CLASSES = 5
-ROUNDS, PRIOR = 2, 2000.0
+PRIOR = 2000.0
 CELLS = 1 << 18  # letters in one lattice batch
 BYTE_WEIGHT = 1e-6
 MARK = b" "
@@ -230,13 +232,14 @@ def _expect(path: str, logp: np.ndarray):
 class Arcs:
     """Log10 probabilities of words in each class from their counts and their piece lattice."""
 
-    def __init__(self, discount: float, tokens: list[int], types: list[int], all_tokens: int, all_types: int):
+    def __init__(self, discount: float, tokens: list[int], types: list[int], all_tokens: int, all_types: int, words: bool = True):
+        self.words = words
         self.d, self.n, self.v = discount, np.array(tokens, float), np.array(types, float)
         self.all_n, self.all_v = all_tokens, all_types
 
     def rate(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
         """counts and lattice (natural logs): words x classes."""
-        if not self.all_n:
+        if not self.all_n or not self.words:
             return lattice / np.log(10)
         with np.errstate(divide="ignore"):
             whole = np.logaddexp(np.log(np.maximum(counts.sum(1) - self.d, 0) / self.all_n)[:, None], np.log(self.d * self.all_v / self.all_n) + lattice)
@@ -256,7 +259,7 @@ def _rate(path: str, logp: np.ndarray, arcs: Arcs):
 
 
 def _sums(hot: np.ndarray, value: np.ndarray):
-    """(key, doc_id, text) -> per document the sums over frequent words, and a row for each rarer word (word not null)."""
+    """(key, doc_id, text) -> per document the sums over frequent words, and a row for each of its rarer words, whose n says how often."""
     names = ["key", "doc_id", "word", "rows", "n", "known", "base", *[f"lp{k}" for k in range(value.shape[1] - 2)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,20 +276,27 @@ def _sums(hot: np.ndarray, value: np.ndarray):
                 one = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.nulls(j - i, pa.string()), pa.array(np.ones(j - i, np.int64)), pa.array(n.astype(np.int64)), pa.array(own[0].astype(np.int64)), *[pa.array(v.astype(float)) for v in own[1:]]], names)
                 cold = np.flatnonzero(~is_hot)
+                cold = cold[np.lexsort((h[cold], row[cold]))]
+                new = np.ones(len(cold), bool)  # each document's words once, with how often (in the column n)
+                new[1:] = (h[cold][1:] != h[cold][:-1]) | (row[cold][1:] != row[cold][:-1])
+                times = np.diff(np.append(np.flatnonzero(new), len(cold)))
+                cold = cold[new]
                 for k in range(0, len(cold), 1 << 15):
                     c = cold[k : k + (1 << 15)]
                     zero, z = pa.array(np.zeros(len(c), np.int64)), pa.array(np.zeros(len(c)))
                     who = pa.array(row[c])
-                    yield pa.RecordBatch.from_arrays([one.column(0).take(who), one.column(1).take(who), strings(*gather(x, start[c], end[c])), zero, zero, zero, *[z] * (value.shape[1] - 1)], names)
+                    yield pa.RecordBatch.from_arrays([one.column(0).take(who), one.column(1).take(who), strings(*gather(x, start[c], end[c])), zero, pa.array(times[k : k + (1 << 15)]), zero, *[z] * (value.shape[1] - 1)], names)
 
     return run
 
 
-def score_texts(docs: DataFrame, held_out, vocabulary_path: str, rounds: int = ROUNDS, text: str = "text", lang: str | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, vocabulary_path: str, rounds: int = 0, text: str = "text", lang: str | None = None, word_arcs: bool = False) -> DataFrame:
     """A row for each of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    if lang and not word_arcs:
+        raise ValueError("classes by language need word arcs")
     slim = docs.select("doc_id", held_out.alias("held_out"), row_key(F.col("doc_id"), F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"))
     trained = slim.where("not held_out")
-    top = trained.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES - 1).collect()
+    top = trained.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES - 1).collect() if lang else []
     classes = len(top) + 1  # the last is the rest
     kind = F.lit(len(top))
     for k, r in enumerate(top):
@@ -304,7 +314,7 @@ def score_texts(docs: DataFrame, held_out, vocabulary_path: str, rounds: int = R
     total, distinct = words_n + all_ends, distinct_words + (all_ends > 0)
     discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
     shares = [e / max(1, all_ends) for e in ends]
-    arcs = Arcs(discount, [max(1, (got[5 + k] or 0) + ends[k]) for k in range(classes)], [max(1, got[5 + classes + k] + (ends[k] > 0)) for k in range(classes)], total, distinct)
+    arcs = Arcs(discount, [max(1, (got[5 + k] or 0) + ends[k]) for k in range(classes)], [max(1, got[5 + classes + k] + (ends[k] > 0)) for k in range(classes)], total, distinct, word_arcs)
     first = vocabulary(vocabulary_path).first
     p, by_class = first, np.repeat(first[None], classes, 0)
     for _ in range(rounds if total else 0):
@@ -320,6 +330,7 @@ def score_texts(docs: DataFrame, held_out, vocabulary_path: str, rounds: int = R
     lps = [f"lp{k}" for k in range(classes)]
     lp_schema = ", ".join(f"{c} double" for c in lps)
     rated = cut(counts.mapInArrow(_rate(vocabulary_path, np.log(by_class), arcs), f"word string, train long, n long, {lp_schema}"), "rated")
+    remove(counts)
     is_hot = F.col("n") * HOT >= F.lit(tokens)
     hot = rated.where(is_hot).toArrow()  # HOT rows at most
     off, data = flat(hot["word"])
@@ -331,13 +342,14 @@ def score_texts(docs: DataFrame, held_out, vocabulary_path: str, rounds: int = R
     rare = rated.where(~is_hot).select("word", F.col("train").alias("_c"), *[F.col(k).alias(f"_{k}") for k in lps])
     # Documents' own rows have no word: with a value of their own they find no partner and are spread evenly.
     spread = parts.withColumn("_w", F.coalesce("word", F.concat(F.lit(" "), F.col("key").cast("string"))))
-    joined = spread.join(rare.hint("shuffle_hash"), F.col("_w") == rare["word"], "left")
+    joined = spread.join(rare.hint("merge"), F.col("_w") == rare["word"], "left")
+    own_row = F.col("rows") > 0
     sums = joined.groupBy("key", "doc_id").agg(
         F.sum("rows").alias("m"),
-        F.sum("n").alias("n"),
-        F.sum(F.col("known") + F.when(F.col("_c") > 0, 1).otherwise(0)).alias("known"),
-        F.sum(F.col("base") + F.when(F.col("_c").isNotNull(), F.log10(F.col("_c") + 1.0)).otherwise(0.0)).alias("base"),
-        *[F.sum(F.col(k) + F.coalesce(f"_{k}", F.lit(0.0))).alias(k) for k in lps],
+        F.sum(F.when(own_row, F.col("n")).otherwise(0)).alias("n"),
+        F.sum(F.col("known") + F.when(F.col("_c") > 0, F.col("n")).otherwise(0)).alias("known"),
+        F.sum(F.col("base") + F.when(F.col("_c").isNotNull(), F.col("n") * F.log10(F.col("_c") + 1.0)).otherwise(0.0)).alias("base"),
+        *[F.sum(F.col(k) + F.when(own_row, 0.0).otherwise(F.col("n") * F.coalesce(f"_{k}", F.lit(0.0)))).alias(k) for k in lps],
     )
     n = (F.col("n") / F.col("m")).cast("long") + 1
     end = arcs.rate(np.array([ends], float), np.log(by_class[None, :, -1]))[0]
@@ -360,5 +372,5 @@ def score_texts(docs: DataFrame, held_out, vocabulary_path: str, rounds: int = R
 def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return score_texts(docs, id_crc(F.col("doc_id")) % 7 == 2, public_tokenizers.path("piece_bpe_32k.model"), lang="lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, id_crc(F.col("doc_id")) % 7 == 2, public_tokenizers.path("piece_bpe_32k.model"))
