@@ -154,9 +154,10 @@ def test_lattice_by_hand():
     assert abs(spelled - off[-1]) < 1e-6  # expected pieces spell the words
 
 
-def test_scores(spark, messy, empty):
+@pytest.mark.parametrize("options", [{}, {"rounds": 2, "lang": "lang", "word_arcs": True}])
+def test_scores(spark, messy, empty, options):
     held = id_crc(F.col("doc_id")) % 7 == 2
-    got = lattice_lm.score_texts(messy, held, P.path("piece_bpe_32k.model"), lang="lang").collect()
+    got = lattice_lm.score_texts(messy, held, P.path("piece_bpe_32k.model"), **options).collect()
     rows = messy.select("doc_id", "text").collect()
     assert len(got) == len(rows)
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
