@@ -14,8 +14,8 @@ else the match at i - 1 less one. A position is marked where its match with the
 
 Cutting the corpus. Every window of `length` bytes is named by its smallest hashed string of ANCHOR bytes (leftmost on
 ties), so equal windows have the same anchor at the same place. Consecutive windows of one anchor make a piece; each
-window lies in exactly one piece. Pieces are counted before any text moves: a piece that occurs twice is wholly
-repeated, an anchor with one piece that occurs once matches nothing. Only distinct pieces of anchors with two or more
+window lies in exactly one piece. Pieces are counted before any text moves: an anchor with one piece that occurs once matches
+nothing and leaves first, a piece that occurs twice is wholly repeated. Only distinct pieces of anchors with two or more
 of them need an index. Their text goes to the task of its anchor, where indexes of at most CHUNK letters are built
 over whole anchors. An anchor with more bytes than HOT is dealt out as pairs of blocks, so no task holds an unbounded
 group. Marks return as intervals per document; the last step merges and removes them.
@@ -292,9 +292,13 @@ def dedup_text(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, text
     docs = docs.drop(*made)
     slim = docs.select(row_key(F.col("doc_id"), F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = cut(slim.mapInArrow(_cover(length, anchor), PIECES), "pieces")
-    counted = found.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "windows")).alias("own"))
+    # An anchor that one piece has, once, matches nothing; most are of that kind, and only the others are looked at further.
+    busy = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    shared = cut(found.join(busy.hint("merge"), "anchor", "left_semi"), "shared")
+    remove(found, busy)
+    counted = shared.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "windows")).alias("own"))
     counted = cut(counted, "counted")
-    whole = found.join(counted.where("copies > 1").select("anchor", "piece"), ["anchor", "piece"], "left_semi").select("key", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + length - 1).alias("hi"))
+    whole = shared.join(counted.where("copies > 1").select("anchor", "piece"), ["anchor", "piece"], "left_semi").select("key", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + length - 1).alias("hi"))
     anchors = counted.groupBy("anchor").agg(F.count("*").alias("_pieces"), F.sum(F.col("own.windows") + length).alias("_bytes")).where("_pieces > 1")
     rival = counted.join(anchors, "anchor").withColumn("n", F.ceil(F.col("_bytes") / F.lit(HOT)))
     rival = blocks(rival, "piece", 1).select(F.col("own.key").alias("key"), F.struct("own.start", "own.windows", "anchor", "copies", "p", "q").alias("w"))
@@ -304,7 +308,7 @@ def dedup_text(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, text
     partly = dealt.mapInArrow(_index(length), "key long, lo long, hi long")
     spans = whole.unionByName(partly).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("_s"))
     spans = cut(spans, "spans")
-    remove(found, counted)
+    remove(shared, counted)
     spans = spans.withColumnRenamed("key", "_k")
     keyed = packed(docs.withColumn("_key", row_key(F.col("doc_id"), F.col(text))), text)
     joined = keyed.join(spans, F.col("_key") == F.col("_k"), "left")
