@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, pieces, shared_dir, table
+from .common import cut, flat, pieces, shared_dir, table
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -81,7 +81,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024,
     if (have := stored()) is not None:
         misses = misses.join(have, F.col("_digest") == F.col("digest"), "left_anti")
     misses.mapInArrow(_encode(tokenizer, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = stored().select(F.col("digest").alias("_digest"), F.col("n_tokens").alias("_n"))
+    # Written, so that the join by digest stands on exchanges of its own, which Spark can split where a content is very frequent.
+    counts = cut(stored().select(F.col("digest").alias("_digest"), F.col("n_tokens").alias("_n")), "counts")
     out = held.drop("_content", "n_tokens", "over_limit").join(counts, "_digest", "left")
     return out.withColumns({"n_tokens": F.col("_n"), "over_limit": F.col("_n") > limit}).drop("_digest", "_n")
 
