@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
-SPACE_RUN = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
+BLANKS = r"\x20\x09-\x0D"
+WORD = rf"[^{BLANKS}]+"
+SPACE_RUN = rf"[{BLANKS}]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Bytes of text that the Python side handles at once; a longer document is handled alone.
@@ -86,7 +86,7 @@ def ascii_lower(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """The words of a text; null and empty texts have none."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), SPACE_RUN), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), SPACE_RUN), "")
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

@@ -11,12 +11,13 @@ columns of the same name. Windows of three words are compared by 64-bit hashes w
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, table, words
+from .common import BLANKS, ascii_lower, table, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -46,27 +47,35 @@ def measures(text: str) -> list[dict[str, Column]]:
     size = lambda c: F.size(c).cast("long")
     ratio = lambda x, y: F.when(y > 0, x / y).otherwise(F.lit(0.0))
     t, w, n = F.col("_t"), F.col("_words"), F.col("n_words")
-    gone = lambda c, chars: F.translate(c, chars, "")
-    window = F.when(n >= 3, F.transform(F.sequence(F.lit(1), (n - 2).cast("int")), lambda i: F.struct(F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)).alias("h"), i.alias("i"))))
-    s = F.col("_windows")
-    m = F.size(s)
-    pairs = F.when(m >= 2, F.zip_with(F.slice(s, F.lit(1), m - 1), F.slice(s, F.lit(2), m - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2))))
-    inked = F.filter(F.split(t, "\n"), lambda x: gone(x, SPACES) != "")
+    # Windows' hashes with their places in the low bits, so that sorting plain numbers brings equal windows together.
+    h, m = F.col("_hashes"), (n - 2).cast("int")
+    two = F.zip_with(F.slice(h, F.lit(1), m), F.slice(h, F.lit(2), m), lambda a, b: F.xxhash64(a, b))
+    windows = F.when(n >= 3, F.zip_with(two, F.slice(h, F.lit(3), m), lambda a, b: F.xxhash64(a, b)))
+    low = F.col("_low")  # one less than a power of two above the number of words
+    packed = F.transform("_windows", lambda x, i: x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
+    s, at = F.col("_sorted"), lambda x: x.bitwiseAND(low).cast("int")
+    near = lambda a, b: F.when(F.coalesce(a.bitwiseXOR(b).between(0, low), F.lit(False)), F.array(at(a), at(b)))
+    pairs = F.when(F.size(s) >= 2, F.filter(F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), near), lambda x: x.isNotNull()))
+    equal = F.filter("_pairs", lambda x: F.get("_windows", x[0]) == F.get("_windows", x[1]))
+    places = F.flatten(F.transform(equal, lambda x: F.array(*[x[i] + k for i in (0, 1) for k in range(3)])))
+    inked = F.filter(F.split(t, "\n"), lambda x: x.rlike(rf"[^{BLANKS}]"))
+    short = max(len(w.encode()) for w in STOP_WORDS)
     return [
         {"_t": F.coalesce(F.col(text), F.lit(""))},
-        {"_words": words(t), "_lines": inked, "_ink": F.length(gone(t, SPACES)).cast("long")},
-        {"n_words": size(w)},
-        {"_windows": F.sort_array(window)},
-        {"_covered": F.filter(pairs, lambda x: x.isNotNull())},
+        {"_words": words(t), "_lines": inked},
+        {"n_words": size(w), "_hashes": F.transform(w, lambda x: F.xxhash64(x))},
+        {"_windows": windows, "_low": F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(1)) + 1.0))).cast("long") - 1},
+        {"_sorted": F.sort_array(packed)},
+        {"_pairs": pairs},
         {
-            "word_chars": F.col("_ink"),
-            "n_symbols": (F.length(t) - F.length(gone(t, SYMBOLS))).cast("long"),
+            "word_chars": F.length(F.array_join(w, "")).cast("long"),
+            "n_symbols": F.length(F.regexp_replace(t, rf"[^{re.escape(SYMBOLS)}]+", "")).cast("long"),
             "n_lines": size(F.col("_lines")),
             "n_dup_lines": size(F.col("_lines")) - size(F.array_distinct("_lines")),
-            "n_repeat_words": F.when(F.size("_covered") > 0, size(F.array_distinct(F.flatten("_covered")))).otherwise(F.lit(0).cast("long")),
-            "n_stop_words": size(F.filter(w, lambda x: ascii_lower(x).isin(STOP_WORDS))),
-            "_upper": F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", "")),
-            "_letters": F.length(t) - F.length(F.regexp_replace(t, r"\p{L}", "")),
+            "n_repeat_words": F.when(F.size("_pairs") > 0, size(F.array_distinct(places))).otherwise(F.lit(0).cast("long")),
+            "n_stop_words": size(F.filter(w, lambda x: (F.octet_length(x) <= short) & ascii_lower(x).isin(STOP_WORDS))),
+            "_upper": F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}+", "")),
+            "_letters": F.length(F.regexp_replace(t, r"\P{L}+", "")),
         },
         {
             "mean_word_chars": ratio(F.col("word_chars"), n),
@@ -98,7 +107,7 @@ def apply_rules(docs: DataFrame, rules: Sequence[tuple] = RULES, text: str = "te
         out = out.withColumns(step)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumns({"base_failed": base, "broken": compile_rules(rules)})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)).drop("_t", "_words", "_lines", "_ink", "_windows", "_covered", "_upper", "_letters")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)).drop("_t", "_words", "_lines", "_hashes", "_windows", "_low", "_sorted", "_pairs", "_upper", "_letters")
 
 
 def good_rows(docs: DataFrame, rules: Sequence[tuple] = RULES, text: str = "text") -> DataFrame:
