@@ -17,7 +17,7 @@ from rankdiag.llm.common import clean, cut, table, written
 SIMILARITY = 80
 
 #: A passage that goes has more than 50 words; strings of this many bytes are matched, four for each of fifty words.
-PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_ANCHOR = 51, 200, 64
+PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_ANCHOR = 51, 200, 48
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
