@@ -32,6 +32,15 @@ TAXONOMY = {
 }
 
 
+#: All white space, for engines whose \\s or trim knows less of it.
+BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def strip(c: Column) -> Column:
+    """Without white space at both ends, of any kind."""
+    return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+\z", "")
+
+
 def missing(c: Column, kind: str = "string") -> Column:
     """Null, empty text and NaN are missing."""
     gone = c.isNull()
@@ -46,13 +55,28 @@ def number(c: Column) -> Column:
 
 def coerce_label(c: Column) -> Column:
     """Names by alias and digit strings to integers; null otherwise."""
-    t = F.upper(F.trim(c))
+    t = F.upper(strip(c))
     out = F.when(t.rlike("^[0-9]+$"), t.try_cast("int"))
     for name, value in LABELS.items():
         out = out.when(t == name, value)
     return out
 
 
+def label_text(c: Column) -> Column:
+    """As coerce_label, as text; what is no label stays as it was."""
+    return F.coalesce(coerce_label(c).cast("string"), c)
+
+
+def any_label(c: Column) -> Column:
+    """Any integer, cut off if it has decimals; NaN and other text are unknown (null)."""
+    return c.try_cast("int")
+
+
+def as_list(c: Column, kind: str) -> Column:
+    """An array stays, anything else becomes an array of one."""
+    return c if kind.startswith("array") else F.array(c)
+
+
 def tri_state(c: Column) -> Column:
     """0, 1 and 2 stay; all else is unknown (null)."""
     v = c.try_cast("int")
@@ -65,11 +89,11 @@ def score_or_last(c: Column) -> Column:
 
 
 def template_key(c: Column) -> Column:
-    """Lower-case, trimmed, long ids to <id>, numbers that begin a word to <num>, runs of white space to one blank; null is empty."""
-    t = F.trim(F.lower(F.coalesce(c, F.lit(""))))
+    """Lower-case, stripped, long ids to <id>, numbers that begin a word to <num>, runs of white space to one blank; null is empty."""
+    t = strip(F.lower(F.coalesce(c, F.lit(""))))
     t = F.regexp_replace(t, r"[0-9a-f]{8}-[0-9a-f-]{27,}", "<id>")
     t = F.regexp_replace(t, r"\b[0-9]+(?:\.[0-9]+)?", "<num>")
-    return F.regexp_replace(t, r"\s+", " ")
+    return F.regexp_replace(t, f"{BLANK}+", " ")
 
 
 def prompt_key(c: Column) -> Column:
@@ -84,11 +108,20 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def taxonomy_group(c: Column) -> Column:
-    t = F.upper(F.trim(c))
+    t = F.upper(strip(c))
     known = F.create_map(*[F.lit(x) for pair in TAXONOMY.items() for x in pair])
     return F.coalesce(F.try_element_at(known, t), t)
 
 
+def class_compatible(a: Column, b: Column) -> Column:
+    """Whether two object names are of one group."""
+    return F.coalesce(taxonomy_group(a) == taxonomy_group(b), F.lit(False))
+
+
+def drop_suffix(c: Column, suffix: str) -> Column:
+    return F.when(F.endswith(c, F.lit(suffix)), F.left(c, F.length(c) - len(suffix))).otherwise(c)
+
+
 def box_area(box: Column) -> Column:
     """Of [x0, y0, x1, y1]; null or malformed is 0."""
     side = lambda i, j: F.greatest(F.lit(0.0), F.get(box, j) - F.get(box, i))
@@ -161,11 +194,15 @@ def metadata_features(score: Column, raw_label: Column, distance: Column) -> Col
     return F.array(zero(score), zero(raw_label) / 10.0, zero(distance) / 50.0)
 
 
-def diagnosis_features(distance: Column, box: Column, size: Column, translation: Column, score: Column, yaw: Column) -> Column:
-    """Named numbers for distributions; whatever is missing is null."""
+def diagnosis_features(box: Column, score: Column, distance: Column, match_distance: Column, size: Column, translation: Column) -> Column:
+    """The ten named numbers whose distributions are compared; whatever is missing is null, but no box is an area of 0."""
     get = lambda v, i: number(F.get(v, i))
     named = {
-        "distance_m": number(distance), "projected_area": F.when(box.isNotNull(), box_area(box)), "score": number(score), "yaw": number(yaw),
-        "length": get(size, 0), "width": get(size, 1), "height": get(size, 2), "x": get(translation, 0), "y": get(translation, 1), "z": get(translation, 2),
+        "projected_area_px": box_area(box), "tracker_score": number(score), "distance_m": number(distance), "match_distance_m": number(match_distance),
+        "size_length_m": get(size, 0), "size_width_m": get(size, 1), "size_height_m": get(size, 2),
+        "translation_x_m": get(translation, 0), "translation_y_m": get(translation, 1), "translation_z_m": get(translation, 2),
     }
     return F.struct(*[v.alias(k) for k, v in named.items()])
+
+
+FEATURES = ("projected_area_px", "tracker_score", "distance_m", "match_distance_m", "size_length_m", "size_width_m", "size_height_m", "translation_x_m", "translation_y_m", "translation_z_m")

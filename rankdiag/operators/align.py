@@ -27,11 +27,12 @@ def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str
     return best.select("_id.*", "match", "gap")
 
 
-def range_pairs(left: DataFrame, right: DataFrame, on: str, reach: float) -> DataFrame:
-    """Pairs (left, right as structs a and b) of one class within `reach` in x and y, by cells as wide as the reach."""
+def range_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], reach: float) -> DataFrame:
+    """Pairs (left, right as structs a and b) that agree in `on`, within `reach` in x and y, by cells as wide as the reach."""
     cell = lambda c: F.floor(F.col(c) / reach)
-    ls = left.select(F.struct(*left.columns).alias("a"), F.col(on).alias("_on"), F.explode(F.array(*[F.struct((cell("x") + i).alias("i"), (cell("y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_c"))
-    rs = right.select(F.struct(*right.columns).alias("b"), F.col(on).alias("_on2"), F.struct(cell("x").alias("i"), cell("y").alias("j")).alias("_c2"))
+    key = F.struct(*on)
+    ls = left.select(F.struct(*left.columns).alias("a"), key.alias("_on"), F.explode(F.array(*[F.struct((cell("x") + i).alias("i"), (cell("y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_c"))
+    rs = right.select(F.struct(*right.columns).alias("b"), key.alias("_on2"), F.struct(cell("x").alias("i"), cell("y").alias("j")).alias("_c2"))
     met = ls.join(rs, (F.col("_on") == F.col("_on2")) & (F.col("_c") == F.col("_c2")))
     d = F.sqrt((F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.y") - F.col("b.y")) ** 2)
     return met.withColumn("distance", d).where(F.col("distance") <= reach).select("a", "b", "distance")
@@ -61,3 +62,20 @@ def time_order_violations(df: DataFrame, on: Sequence[str], time: str, order: st
     firsts = df.groupBy(*on, time).agg(F.min(order).alias("_first"))
     before = F.lag(time).over(Window.partitionBy(*on).orderBy("_first"))
     return firsts.withColumn("_back", (before > F.col(time)).cast("int")).groupBy(*on).agg(F.sum("_back").alias("violations")).where("violations > 0")
+
+
+def usable_times(wanted: DataFrame, tracked: DataFrame, posed: DataFrame, cameras: DataFrame, tolerance: int) -> DataFrame:
+    """(log_id, prompt, timestamp_ns) of a table of prompts' times at which tracker, pose and a camera frame (image_ns) are there.
+
+    Labels are never looked at.
+    """
+    at = ["log_id", "timestamp_ns"]
+    times = wanted.select("log_id", "prompt", "timestamp_ns").distinct()
+    ready = times.join(tracked.select(*at).distinct(), at, "left_semi").join(posed.select(*at).distinct(), at, "left_semi")
+    seen = nearest(ready.select(*at).distinct(), cameras.select("log_id", "image_ns"), ["log_id"], "timestamp_ns", "image_ns", tolerance)
+    return ready.join(seen.select(*at), at, "left_semi").select("log_id", "prompt", "timestamp_ns")
+
+
+def unusable_prompts(wanted: DataFrame, usable: DataFrame) -> DataFrame:
+    """(log_id, prompt) without a usable time."""
+    return missing_keys(wanted, usable, ["log_id", "prompt"])
