@@ -1,23 +1,31 @@
-"""One-to-one association of candidates with ground truth.
+"""One-to-one association of candidates with ground truth, frame by frame.
 
-Edges come from a distributed class and range join. The gated solver works on connected components of valid edges,
-which keeps its cubic cost to small groups and is exact, since a gate separates the problem by component. The
-post-filter solver needs all pairs of a class and so gathers a class within one frame.
+A frame is what `on` says, such as a log and a time; within it only names of one taxonomy group match. Edges come from a
+distributed join by frame, group and cell. The gated solver works on connected components of valid edges, which keeps
+its cubic cost to small groups and is exact, since a gate separates the problem by component. Frames of at most
+FRAME_EDGES edges find their components by themselves; in larger ones they are found by rounds over the whole table.
+The post-filter solver needs all pairs of a group and so gathers a group within one frame.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import taxonomy_group
 from .align import range_pairs
-from .graph import components
+from .graph import _checkpoint, components
 
+FRAME = ("log_id", "timestamp_ns")
+FRAME_EDGES = 50_000
 
-def solve(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a least-cost assignment (rows at most columns), by shortest augmenting paths."""
+
+def solve_duals(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column of each row in a least-cost assignment (rows at most columns) by shortest augmenting paths, and the dual prices of rows and columns."""
     n, m = cost.shape
     u, v = np.zeros(n + 1), np.zeros(m + 1)
     match = np.zeros(m + 1, int)
@@ -44,74 +52,146 @@ def solve(cost: np.ndarray) -> np.ndarray:
     for j in range(1, m + 1):
         if match[j]:
             out[match[j] - 1] = j - 1
-    return out
+    return out, u[1:], v[1:]
 
 
-def gated(distance: np.ndarray, valid: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Most pairs first, then the least distance: unmatched rows take a dummy column of their own at a penalty."""
+def solve(cost: np.ndarray) -> np.ndarray:
+    """Column of each row in a least-cost assignment."""
+    return solve_duals(cost)[0]
+
+
+def _gated_cost(distance: np.ndarray, valid: np.ndarray, threshold: float) -> np.ndarray:
     n, m = distance.shape
-    if not n or not m:
-        return []
     penalty = (max(n, m) + 1) * (threshold + 1)
     cost = np.full((n, m + n), penalty, float)
     cost[:, :m] = np.where(valid, distance, 3 * penalty)
-    return [(i, int(j)) for i, j in enumerate(solve(cost)) if j < m and valid[i, j]]
-
-
-def ambiguous(distance: np.ndarray, valid: np.ndarray, threshold: float, pairs: list[tuple[int, int]]) -> set[int]:
-    """Rows whose pair can be forbidden at no loss in pairs or distance."""
-    total = sum(distance[p] for p in pairs)
-    out = set()
-    for i, j in pairs:
-        other = valid.copy()
-        other[i, j] = False
-        again = gated(distance, other, threshold)
-        if len(again) == len(pairs) and sum(distance[p] for p in again) <= total + 1e-9:
-            out.add(i)
-    return out
-
-
-def edges(cands: DataFrame, truth: DataFrame, threshold: float) -> DataFrame:
-    """(cand, gt, class, distance) within the threshold; both tables have id, class, x and y."""
-    return range_pairs(cands, truth, "class", threshold).select(F.col("a.id").alias("cand"), F.col("b.id").alias("gt"), F.col("a.class").alias("class"), "distance")
+    return cost
 
 
-def associate(cands: DataFrame, truth: DataFrame, threshold: float, check_ambiguity: bool = True) -> DataFrame:
-    """(cand, gt, distance, valid_edge_count, multiple_valid_edges, ambiguous) of matched candidates."""
-    e = edges(cands, truth, threshold)
-    # Candidates and ground truth share one set of node numbers: even and odd.
-    linked = e.select((2 * F.col("cand")).alias("a"), (2 * F.col("gt") + 1).alias("b"))
-    roots = components(linked)
-    e = e.join(roots, 2 * F.col("cand") == F.col("node")).drop("node")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cs, gs = np.unique(pdf["cand"]), np.unique(pdf["gt"])
-        d = np.full((len(cs), len(gs)), np.inf)
-        d[np.searchsorted(cs, pdf["cand"]), np.searchsorted(gs, pdf["gt"])] = pdf["distance"]
-        valid = np.isfinite(d)
-        d = np.where(valid, d, 0)
-        pairs = gated(d, valid, threshold)
-        vague = ambiguous(d, valid, threshold, pairs) if check_ambiguity else set()
-        n = valid.sum(1)
-        return pd.DataFrame([(cs[i], gs[j], d[i, j], n[i], n[i] > 1, i in vague) for i, j in pairs], columns=["cand", "gt", "distance", "valid_edge_count", "multiple_valid_edges", "ambiguous"])
-
-    return e.groupBy("root").applyInPandas(run, "cand long, gt long, distance double, valid_edge_count long, multiple_valid_edges boolean, ambiguous boolean")
+def gated(distance: np.ndarray, valid: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Most pairs first, then the least distance: unmatched rows take a dummy column at a penalty."""
+    n, m = distance.shape
+    if not n or not m:
+        return []
+    return [(i, int(j)) for i, j in enumerate(solve(_gated_cost(distance, valid, threshold))) if j < m and valid[i, j]]
 
 
-def associate_then_filter(cands: DataFrame, truth: DataFrame, threshold: float, by: list[str]) -> DataFrame:
-    """(cand, gt, distance): least total distance over all pairs of a group, then pairs within the threshold."""
+def gated_with_ambiguity(distance: np.ndarray, valid: np.ndarray, threshold: float) -> tuple[list[tuple[int, int]], set[int]]:
+    """As gated, and the rows whose pair can be forbidden at no loss in pairs or distance, by one solve.
 
-    def run(_key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"cand": [], "gt": [], "distance": []}).astype({"cand": "int64", "gt": "int64"})
+    Another assignment of the same cost differs by cycles, or by paths from a column that it frees to one that it takes
+    newly, along pairs whose cost is their prices' sum. A row's pair can go if the row lies on such a cycle or path.
+    """
+    n, m = distance.shape
+    if not n or not m:
+        return [], set()
+    cost = _gated_cost(distance, valid, threshold)
+    match, u, v = solve_duals(cost)
+    pairs = [(i, int(j)) for i, j in enumerate(match) if j < m and valid[i, j]]
+    tight = cost - u[:, None] - v[None, :] <= 1e-9
+    tight[np.arange(n), match] = False
+    free = np.ones(m + n, bool)
+    free[match] = False
+    step = tight[:, match]  # from a row to the row that holds a column it could take
+    reach = step | np.eye(n, dtype=bool)
+    while True:
+        wider = (reach.astype(np.float32) @ reach.astype(np.float32)) > 0
+        if (wider == reach).all():
+            break
+        reach = wider
+    round_trip = (step & reach.T).any(1)
+    leaves = (reach & (tight & free).any(1)[None, :]).any(1)
+    entered = (reach & (np.abs(v[match]) <= 1e-9)[:, None]).any(0)
+    return pairs, {i for i, _ in pairs if round_trip[i] or (leaves[i] and entered[i])}
+
+
+def _local_roots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A component number for each edge of a bipartite graph."""
+    n = int(a.max()) + 1
+    node = np.concatenate([a, b + n])
+    label = np.arange(int(node.max()) + 1)
+    left, right = a, b + n
+    while True:
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new = new[new]
+        if (new == label).all():
+            return label[left]
+        label = new
+
+
+MATCH = "cand long, gt long, distance double, valid_edge_count long, multiple_valid_edges boolean, ambiguous boolean"
+
+
+def edges(cands: DataFrame, truth: DataFrame, threshold: float, on: Sequence[str] = FRAME) -> DataFrame:
+    """(on..., cand, gt, group, distance) within the threshold, of one frame and taxonomy group; both tables have on, id, name, x and y."""
+    of = lambda t: t.select(*on, "id", "x", "y", taxonomy_group(F.col("name")).alias("group"))
+    met = range_pairs(of(cands), of(truth), [*on, "group"], threshold)
+    return met.select(*[F.col(f"a.{c}").alias(c) for c in on], F.col("a.id").alias("cand"), F.col("b.id").alias("gt"), F.col("a.group").alias("group"), "distance")
+
+
+def match_edges(e: DataFrame, threshold: float, on: Sequence[str] = FRAME) -> DataFrame:
+    """(on..., cand, gt, distance, valid_edge_count, multiple_valid_edges, ambiguous) of matched candidates, of a table of edges."""
+    on = list(on)
+    kinds = dict(e.dtypes)
+    e = _checkpoint(e)
+    large = e.groupBy(*on).count().where(F.col("count") > FRAME_EDGES).select(*on)
+    if large.isEmpty():
+        e = e.withColumn("root", F.lit(-1).cast("long"))
+    else:  # candidates and ground truth share one set of node numbers: even and odd
+        big = e.join(large, on, "left_semi")
+        roots = components(big.select((2 * F.col("cand")).alias("a"), (2 * F.col("gt") + 1).alias("b")))
+        big = big.join(roots, 2 * F.col("cand") == F.col("node")).drop("node")
+        e = e.join(large, on, "left_anti").withColumn("root", F.lit(-1).cast("long")).unionByName(big)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        cand, a = np.unique(pdf["cand"], return_inverse=True)
+        gt, b = np.unique(pdf["gt"], return_inverse=True)
+        far = pdf["distance"].to_numpy()
+        rows = []
+        root = _local_roots(a, b)
+        order = np.argsort(root, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+            cs, ci = np.unique(a[part], return_inverse=True)
+            gs, gi = np.unique(b[part], return_inverse=True)
+            valid, d = np.zeros((len(cs), len(gs)), bool), np.zeros((len(cs), len(gs)))
+            valid[ci, gi], d[ci, gi] = True, far[part]
+            pairs, vague = gated_with_ambiguity(d, valid, threshold)
+            n = valid.sum(1)
+            rows += [(*key[:-1], int(cand[cs[i]]), int(gt[gs[j]]), float(d[i, j]), int(n[i]), bool(n[i] > 1), i in vague) for i, j in pairs]
+        return pd.DataFrame(rows, columns=[*on, "cand", "gt", "distance", "valid_edge_count", "multiple_valid_edges", "ambiguous"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in on) + ", " + MATCH
+    return e.groupBy(*on, "root").applyInPandas(run, schema)
+
+
+def associate(cands: DataFrame, truth: DataFrame, threshold: float, on: Sequence[str] = FRAME) -> DataFrame:
+    """(on..., cand, gt, distance, valid_edge_count, multiple_valid_edges, ambiguous) of matched candidates."""
+    return match_edges(edges(cands, truth, threshold, on), threshold, on)
+
+
+def associate_then_filter(cands: DataFrame, truth: DataFrame, threshold: float, on: Sequence[str] = FRAME, taxonomy: bool = True) -> DataFrame:
+    """(on..., cand, gt, distance): least total distance over all pairs of a frame's group (or exact name), then pairs within the threshold."""
+    on = list(on)
+    group = (taxonomy_group(F.col("name")) if taxonomy else F.col("name")).alias("_group")
+    # Named anew, so that both sides may come from one table.
+    of = lambda t: t.select(*[F.col(c).alias(c) for c in on], group, *[F.col(c).alias(c) for c in ("id", "x", "y")]).groupBy(*on, "_group")
+    names = [*on, "cand", "gt", "distance"]
+
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return empty
+            return pd.DataFrame([], columns=names)
         a, b = a.sort_values("id"), b.sort_values("id")
         d = np.hypot(a["x"].to_numpy()[:, None] - b["x"].to_numpy()[None], a["y"].to_numpy()[:, None] - b["y"].to_numpy()[None])
         pairs = [(i, j) for i, j in enumerate(solve(d))] if len(a) <= len(b) else [(j, i) for i, j in enumerate(solve(d.T))]
-        rows = [(a["id"].iloc[i], b["id"].iloc[j], d[i, j]) for i, j in pairs if d[i, j] <= threshold]
-        return pd.DataFrame(rows, columns=["cand", "gt", "distance"]) if rows else empty
+        rows = [(*key[:-1], int(a["id"].iloc[i]), int(b["id"].iloc[j]), float(d[i, j])) for i, j in pairs if d[i, j] <= threshold]
+        return pd.DataFrame(rows, columns=names)
 
-    return cands.groupBy(*by).cogroup(truth.groupBy(*by)).applyInPandas(run, "cand long, gt long, distance double")
+    kinds = dict(cands.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in on) + ", cand long, gt long, distance double"
+    return of(cands).cogroup(of(truth)).applyInPandas(run, schema)
 
 
 def transfer_labels(pool: DataFrame, matches: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -119,3 +199,36 @@ def transfer_labels(pool: DataFrame, matches: DataFrame, annotations: DataFrame)
     m = pool.join(matches.select("cand", "gt", "ambiguous"), "cand", "left").join(annotations, "gt", "left")
     status = F.when(F.col("gt").isNull(), "UNMATCHED_TRACK").when(F.col("gt_label").isNull(), "MATCHED_UNANNOTATED_GT").when(F.col("ambiguous"), "AMBIGUOUS_MATCH").otherwise("MATCHED_ANNOTATED")
     return m.withColumn("match_status", status).withColumn("label", F.when(F.col("match_status") == "MATCHED_ANNOTATED", F.col("gt_label")))
+
+
+def sensitivity(e: DataFrame, groups: DataFrame, wanted: DataFrame, thresholds: Sequence[float] = (1.0, 2.0, 4.0), on: Sequence[str] = FRAME) -> DataFrame:
+    """A row for each threshold: how many prompt groups find a wanted object, surely or at all, and counts of assignments.
+
+    e: edges up to the largest threshold; groups: (on..., prompt); wanted: (on..., prompt, gt), the eligible positives.
+    Groups without a wanted object do not count. A frame's assignments count once for each of its groups.
+    """
+    on = list(on)
+    key = [*on, "prompt"]
+    asked = groups.join(wanted.select(*key).distinct(), key, "left_semi").select(*key)
+    out = None
+    for t in thresholds:
+        m = match_edges(e.where(F.col("distance") <= t), t, on)
+        m = _checkpoint(m)
+        per = m.groupBy(*on).agg(F.count("*").alias("assigned"), F.count_if("ambiguous").alias("vague"), F.count_if("multiple_valid_edges").alias("multi"))
+        hit = m.join(wanted.select(*key, "gt").distinct(), [*on, "gt"]).groupBy(*key).agg(F.count_if(~F.col("ambiguous")).alias("sure"), F.count("*").alias("any"))
+        g = asked.join(per, on, "left").join(hit, key, "left")
+        n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+        one = g.agg(
+            F.count("*").alias("groups"),
+            F.round(F.try_divide(F.count_if(F.col("sure") > 0), F.count("*")), 6).alias("confirmed_recall"),
+            F.round(F.try_divide(F.count_if(F.col("any") > 0), F.count("*")), 6).alias("recall_including_ambiguous"),
+            n("assigned").alias("assigned"), n("vague").alias("ambiguous"), n("multi").alias("multiple_valid_edges"),
+        ).withColumn("threshold", F.lit(t))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def matching_range(values: DataFrame, column: str) -> DataFrame:
+    """Largest less least value: one row; no value is an error."""
+    gone = F.raise_error(F.lit("at least one matching value is required")).cast("double")
+    return values.agg(F.when(F.count(column) == 0, gone).otherwise(F.round(F.max(column) - F.min(column), 6)).alias("matching_range"))

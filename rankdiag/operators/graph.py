@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import jaccard, prompt_key, split_bucket
+
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not at and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="rankdiag-"))
     return df.checkpoint()
 
@@ -40,6 +45,60 @@ def components(edges: DataFrame, most: int = 200) -> DataFrame:
     raise RuntimeError(f"components still change after {most} rounds")
 
 
+def _prefix_pairs(sets: DataFrame, least_shared) -> DataFrame:
+    """(a, b) candidates among sets (id, items: distinct texts) that may share least_shared(n) of their n items.
+
+    Items go by rarity. Two sets that share so many must meet among each one's n - least_shared(n) + 1 rarest (prefix
+    filter), so frequent items join nothing.
+    """
+    one = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("w"))
+    rare = one.groupBy("w").agg(F.count("*").alias("f"))
+    ranked = one.join(rare, "w").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("f", "w")))
+    first = ranked.where(F.col("k") <= F.col("n") - least_shared(F.col("n")) + 1)
+    x, y = first.select(F.col("id").alias("a"), "w"), first.select(F.col("id").alias("b"), "w")
+    return x.join(y, "w").where("a < b").select("a", "b").distinct()
+
+
+def similar_prompts(prompts: DataFrame, jaccard_least: float = 0.85, ratio_least: float = 0.90) -> DataFrame:
+    """(a, b) of normalised prompts (id, key) that are equal, whose token sets reach a Jaccard similarity, or whose texts a ratio.
+
+    Candidates lose no pair: tokens meet by prefixes of token sets, ratios by prefixes of counted pairs of characters (texts
+    of ratio r leave (1 - r) of both unmatched, which breaks that many pairs more at most). Ratios need 0.75 or more.
+    """
+    if ratio_least < 0.9:
+        raise ValueError("candidates by ratio are whole from 0.9 on")
+    from .prompts import sequence_ratio  # a user function needs a session, which workers lack
+
+    equal = prompts.groupBy("key").agg(F.min("id").alias("a"), F.collect_list("id").alias("ids")).select("a", F.explode("ids").alias("b")).where("a <> b")
+    once = prompts.groupBy("key").agg(F.min("id").alias("id"))
+    tokens = once.select("id", "key", F.array_distinct(F.split("key", " ")).alias("items"))
+    t = _prefix_pairs(tokens, lambda n: F.ceil(jaccard_least * n - 1e-9))
+    x = tokens.select(F.col("id").alias("a"), F.col("items").alias("ta"), F.col("key").alias("ka"))
+    y = tokens.select(F.col("id").alias("b"), F.col("items").alias("tb"), F.col("key").alias("kb"))
+    by_token = t.join(x, "a").join(y, "b").where(jaccard(F.col("ta"), F.col("tb")) >= jaccard_least).select("a", "b")
+    # Pairs of characters with how often each came before, so that shared ones count as in multisets. Of two texts of T
+    # letters, those matched (r * T / 2) lie in at most (1 - r) * T + 1 runs; the shorter text has r / (2 - r) of the longer.
+    n_pairs = F.greatest(F.lit(1), F.length("key") - 1)
+    grams = once.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), n_pairs), lambda i: F.substring(F.col("key"), i, F.lit(2)))).alias("i", "g"))
+    grams = grams.withColumn("c", F.row_number().over(Window.partitionBy("id", "g").orderBy("i")))
+    sets = grams.groupBy("id").agg(F.collect_list(F.concat_ws("#", "g", "c")).alias("items"))
+    share = ratio_least / 2 - (1 - ratio_least)  # of T, less one
+    least = lambda n: F.greatest(F.lit(1), F.floor(share * (1 + ratio_least / (2 - ratio_least)) * (n + 1)) - 1)
+    r = _prefix_pairs(sets, least)
+    by_ratio = r.join(x, "a").join(y, "b").where(sequence_ratio(F.least("ka", "kb"), F.greatest("ka", "kb")) >= ratio_least).select("a", "b")
+    return equal.unionByName(by_token).unionByName(by_ratio).distinct()
+
+
+def template_plan(prompts: DataFrame, jaccard_least: float = 0.85, ratio_least: float = 0.90) -> DataFrame:
+    """(prompt, root, split) of a table (prompt): near-duplicates share a root, the least normalised text, whose digest picks the split."""
+    p = prompts.select("prompt").distinct()
+    p = _checkpoint(p.select("prompt", prompt_key(F.col("prompt")).alias("key"), F.xxhash64("prompt").alias("id")))
+    links = components(similar_prompts(p.select("id", "key"), jaccard_least, ratio_least))
+    own = p.join(links, F.col("id") == F.col("node"), "left").withColumn("_c", F.coalesce("root", "id")).drop("root", "node")
+    root = own.groupBy("_c").agg(F.min("key").alias("root"))
+    return own.join(root, "_c").select("prompt", "root", split_bucket(F.col("root")).alias("split"))
+
+
 def log_triplets(pairs: DataFrame) -> DataFrame:
     """Counts of prompts by three logs (a, b, c) that share them, of a table (prompt, log)."""
     p = pairs.distinct()

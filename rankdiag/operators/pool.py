@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,32 +13,96 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..functions.scalars import group_seed
+from ..functions.scalars import finite_vector, group_seed, taxonomy_group
 
 #: Size of the observer's own box (fixed values).
 EGO_SIZE = (4.877, 2.0, 1.473)
 
 
-def strict_pool(boxes: DataFrame, max_distance: float = 50.0) -> DataFrame:
-    """Finite geometry and score, positive size, ego distance below the maximum."""
-    finite = lambda c: F.abs(F.col(c)) < float("inf")
+def _finite(c: Column | str) -> Column:
+    return F.coalesce(F.abs(c) < float("inf"), F.lit(False))
+
+
+def strict_pool(boxes: DataFrame, max_distance: float = 50.0, selected: DataFrame | None = None, roi: str | None = None) -> DataFrame:
+    """Finite geometry and score, positive size, ego distance below the maximum.
+
+    selected: (log_id, track_id) of a filter over whole logs, which looks ahead in time and so is never causal. roi: a
+    boolean column of boxes that touch the region of interest.
+    """
     keep = F.lit(True)
     for c in ("x", "y", "z", "length", "width", "height", "score"):
-        keep = keep & F.coalesce(finite(c), F.lit(False))
+        keep = keep & _finite(c)
     for c in ("length", "width", "height"):
         keep = keep & (F.col(c) > 0)
+    if roi:
+        keep = keep & F.coalesce(F.col(roi), F.lit(False))
+    if selected is not None:
+        boxes = boxes.join(selected.select("log_id", "track_id").distinct(), ["log_id", "track_id"], "left_semi").select(*boxes.columns)
     return boxes.withColumn("distance_m", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)).where(keep & (F.col("distance_m") < max_distance))
 
 
-def loose_pool(boxes: DataFrame, classes: list[int], max_distance: float = 50.0) -> DataFrame:
+def loose_pool(boxes: DataFrame, classes: list[int], max_distance: float = 50.0, roi: str | None = None) -> DataFrame:
     """Supported classes with finite position and size, ego distance below the maximum; score and sign of size are not looked at."""
-    finite = lambda c: F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
     keep = F.col("class").isin(classes)
     for c in ("x", "y", "z", "length", "width", "height"):
-        keep = keep & finite(c)
+        keep = keep & _finite(c)
+    if roi:
+        keep = keep & F.coalesce(F.col(roi), F.lit(False))
     return boxes.withColumn("distance_m", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)).where(keep & (F.col("distance_m") < max_distance))
 
 
+def candidate_pool(frames: DataFrame, groups: Sequence[str] | None = None, max_distance: float = 50.0, roi: str | None = None, ego: str = "translation_m") -> DataFrame:
+    """Pool rows of detections (log_id, timestamp_ns, track_id, candidate_ordinal, name, label, score, translation_m, size, yaw).
+
+    Kept are names of the taxonomy groups, finite positions and sizes, positions (column ego) nearer than max_distance
+    and, with a column roi, those inside. Labels are unknown and every row unmatched: nothing of a query is looked at.
+    """
+    at = F.sqrt(F.get(ego, 0) ** 2 + F.get(ego, 1) ** 2)
+    group = taxonomy_group(F.col("name"))
+    keep = finite_vector(F.col("translation_m"), 3) & finite_vector(F.col("size"), 3) & _finite(at) & (at < max_distance)
+    if groups is not None:
+        keep = keep & group.isin(list(groups))
+    if roi:
+        keep = keep & F.coalesce(F.col(roi), F.lit(False))
+    out = frames.where(keep).select(
+        "log_id", "timestamp_ns", F.col("track_id").cast("long").alias("track_id"), F.col("candidate_ordinal").cast("int").alias("candidate_ordinal"), "name", group.alias("taxonomy_group"),
+        F.col("label").cast("int").alias("tracker_label"), F.col("score").alias("tracker_score"), "score", "translation_m", F.col(ego).alias("ego_translation_m"), "size", "yaw", at.alias("distance_m"),
+        F.lit(True).alias("roi_eligible"), F.lit(True).alias("is_drivable"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("string").alias("label_name"), F.lit("UNMATCHED_TRACK").alias("match_status"),
+    )
+    return out
+
+
+def pool_problems(pool: DataFrame) -> DataFrame:
+    """One row: rows, groups, keys that repeat, and whether any row has a prompt, category or label."""
+    keys = pool.groupBy("log_id", "timestamp_ns", "track_id").agg(F.count("*").alias("n"))
+    told = [F.col(c).isNotNull() for c in ("prompt", "mining_category", "label") if c in pool.columns]
+    flag = F.bool_or(reduce(lambda a, b: a | b, told)) if told else F.lit(False)
+    one = pool.agg(F.count("*").alias("rows"), F.count_distinct("log_id", "timestamp_ns").alias("groups"), F.coalesce(flag, F.lit(False)).alias("prompt_dependent"))
+    return one.crossJoin(keys.agg(F.count_if(F.col("n") > 1).alias("repeated_keys")))  # one row each
+
+
+def raised(position: geo.Vector, rotation: geo.Rotation, translation: geo.Vector, height: Column) -> geo.Vector:
+    """A city position moved up by half a height along the observer's own z axis."""
+    x, y, z = geo.to_ego(rotation, translation, position)
+    return geo.to_city(rotation, translation, (x, y, z + height / 2))
+
+
+def truth_rows(annotations: DataFrame) -> DataFrame:
+    """Ground truth in the observer's frame (x, y, z, ..., pose qw..qz, tx..tz, name) as city rows; a missing score is 1, the observer is marked."""
+    c = lambda *n: tuple(F.col(x) for x in n)
+    city = geo.to_city(geo.rotation(*c("qw", "qx", "qy", "qz")), c("tx", "ty", "tz"), c("x", "y", "z"))
+    score = F.coalesce("score", F.lit(1.0)) if "score" in annotations.columns else F.lit(1.0)
+    return annotations.withColumns({"translation_m": F.array(*city), "score": score, "synthetic_ego": F.coalesce(F.col("name") == "EGO_VEHICLE", F.lit(False))})
+
+
+def source_counts(sources: dict[str, DataFrame], at: Sequence[str], key: str, first: str, second: str) -> DataFrame:
+    """For each of `at` (such as a log and a time): members by source, and those in one of two sources only."""
+    p = source_presence(sources, [*at, key])
+    counts = [F.count_if(n).alias(f"{n}_count") for n in sources]
+    only = [F.count_if(F.col(a) & ~F.col(b)).alias(f"{a}_only") for a, b in ((first, second), (second, first))]
+    return p.groupBy(*at).agg(*counts, *only)
+
+
 def with_ego(pool: DataFrame) -> DataFrame:
     """One row of the observer for each (log_id, timestamp_ns)."""
     ego = pool.select("log_id", "timestamp_ns").distinct().select(
@@ -47,7 +113,7 @@ def with_ego(pool: DataFrame) -> DataFrame:
 
 
 def is_ego() -> Column:
-    return F.coalesce(F.col("synthetic_ego"), F.lit(False)) | (F.col("name") == "EGO_VEHICLE")
+    return F.coalesce(F.col("synthetic_ego"), F.lit(False)) | F.coalesce(F.col("name") == "EGO_VEHICLE", F.lit(False))
 
 
 def membership(pool: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
@@ -56,16 +122,42 @@ def membership(pool: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
     return pool.groupBy(*by).agg(F.sha2(F.concat_ws(";", F.array_sort(F.collect_list(member))), 256).alias("digest"), F.count("*").alias("members"))
 
 
-def canonical_digest(pool: DataFrame, by: list[str], fields: list[str], order: list[str]) -> DataFrame:
-    """SHA-256 of the members as compact JSON with sorted keys, in a stated order, as Python writes it."""
+#: Fields of the two canonical digests (fixed values).
+POOL_FIELDS = ("log_id", "timestamp_ns", "tracker_timestamp_ns", "track_id", "candidate_ordinal", "name", "translation_m", "size", "yaw", "tracker_score", "roi_eligible")
+SOURCE_FIELDS = ("log_id", "timestamp_ns", "track_id", "name", "translation_m", "size", "rotation", "score")
+
+
+def canonical_digest(pool: DataFrame, by: list[str], fields: Sequence[str], order: list[str], end: str = "") -> DataFrame:
+    """SHA-256 of the members as compact JSON with sorted keys, in a stated order, as Python writes it; NaN is an error.
+
+    Fields that the pool lacks are null. A group (such as a frame of a log) is held by one task, as one digest demands.
+    """
+    kinds = dict(pool.dtypes)
+    there = [f for f in fields if f in kinds]
 
     def digest(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable")[fields].to_dict("records")
-        text = json.dumps(rows, sort_keys=True, separators=(",", ":"), allow_nan=False, default=lambda v: v.item() if hasattr(v, "item") else list(v))
+        rows = pdf.sort_values(order, kind="stable")[there].to_dict("records")
+        rows = [{f: _plain(r.get(f)) for f in fields} for r in rows]
+        text = json.dumps(rows, sort_keys=True, separators=(",", ":"), allow_nan=False) + end
         return pd.DataFrame([[*key, hashlib.sha256(text.encode()).hexdigest()]], columns=[*by, "digest"])
 
-    kinds = dict(pool.dtypes)
-    return pool.groupBy(*by).applyInPandas(digest, ", ".join(f"{c} {kinds[c]}" for c in by) + ", digest string")
+    slim = pool.select(*dict.fromkeys([*by, *there, *order]))
+    return slim.groupBy(*by).applyInPandas(digest, ", ".join(f"{c} {kinds[c]}" for c in by) + ", digest string")
+
+
+def _plain(v):
+    return [_plain(x) for x in v] if isinstance(v, (list, np.ndarray)) else v.item() if hasattr(v, "item") else v
+
+
+def candidate_pool_digest(pool: DataFrame, by: list[str]) -> DataFrame:
+    """The digest of candidate pools: POOL_FIELDS by numeric track and ordinal, with a line feed at the end."""
+    return canonical_digest(pool, by, POOL_FIELDS, ["log_id", "timestamp_ns", "track_id", "candidate_ordinal"], "\n")
+
+
+def source_pool_digest(pool: DataFrame, by: list[str]) -> DataFrame:
+    """The digest of source pools: SOURCE_FIELDS by track as text."""
+    text = pool.withColumn("track_id", F.col("track_id").cast("string"))
+    return canonical_digest(text, by, SOURCE_FIELDS, ["log_id", "timestamp_ns", "track_id"])
 
 
 def source_presence(sources: dict[str, DataFrame], key: list[str]) -> DataFrame:
@@ -100,19 +192,29 @@ def numpy_shuffle(pool: DataFrame, by: list[str], seed: int, track: str = "track
     return seeded.groupBy(*by).applyInPandas(run, pool.withColumn("position", F.lit(0).cast("long")).schema)
 
 
-def source_group_problems(rows: DataFrame, groups: DataFrame, on: list[str], order: str, fields: list[str]) -> DataFrame:
-    """(on..., problem) of groups whose labels, count or digest do not fit their pool rows; groups have labels, candidate_count, digest."""
-    own = membership(rows, on, fields).withColumnRenamed("digest", "_digest")
+def source_group_problems(rows: DataFrame, groups: DataFrame, on: list[str], order: str, fields: list[str], own: Sequence[str] = ()) -> DataFrame:
+    """(on..., own..., problem) of groups whose labels, count or digest do not fit their pool rows; groups have labels, candidate_count, digest.
+
+    With a column _row_ord, rows that are not in string order of their ids are a problem too.
+    """
+    had = membership(rows, on, fields).withColumnRenamed("digest", "_digest")
     repeats = rows.groupBy(*on).agg((F.count("*") - F.count_distinct(order)).alias("_repeats"))
-    g = groups.join(own, on, "left").join(repeats, on, "left")
+    g = groups.join(had, on, "left").join(repeats, on, "left")
+    if "_row_ord" in rows.columns:
+        text = F.col(order).cast("string")
+        back = F.lag(text).over(Window.partitionBy(*on).orderBy("_row_ord")) > text
+        g = g.join(rows.withColumn("_back", back).groupBy(*on).agg(F.count_if("_back").alias("_unsorted")), on, "left")
+    else:
+        g = g.withColumn("_unsorted", F.lit(0))
     problem = (
         F.when(F.col("members").isNull(), "no rows")
         .when(F.size("labels") != F.col("candidate_count"), "labels do not fit the count")
         .when(F.col("members") != F.col("candidate_count"), "rows do not fit the count")
-        .when(F.col("_repeats") > 0, "repeated candidate")
+        .when(F.col("_unsorted") > 0, "rows are not in order of their ids")
         .when(F.col("digest") != F.col("_digest"), "digest differs")
+        .when(F.col("_repeats") > 0, "repeated candidate")
     )
-    return g.withColumn("problem", problem).where("problem is not null").select(*on, "problem")
+    return g.withColumn("problem", problem).where("problem is not null").select(*on, *own, "problem")
 
 
 def zip_labels(rows: DataFrame, groups: DataFrame, on: list[str], order: str) -> DataFrame:

@@ -6,6 +6,8 @@ control only subdivides it. Unknown candidates hold ranks but are no negatives.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,8 +21,12 @@ from .graph import _checkpoint
 
 CONTROLS = ("tracker_score", "candidate_distance", "projected_box_area", "category_frequency", "oracle")
 
-#: The same keys as in control_key, for the oracle queries.
-KEY_SQL = """CASE control WHEN 'tracker_score' THEN -coalesce(CASE WHEN isnan(score) THEN NULL ELSE score END, '-inf'::DOUBLE)
+
+
+def key_sql(seed: int = 0) -> str:
+    """The same keys as in control_key, for the oracle queries."""
+    return f"""CASE control WHEN 'random' THEN CAST(CAST('0x' || substr(sha256('{seed}|' || log_id || '|' || prompt || '|' || timestamp_ns || '|' || track_id), 1, 13) AS BIGINT) AS DOUBLE)
+  WHEN 'tracker_score' THEN -coalesce(CASE WHEN isnan(score) THEN NULL ELSE score END, '-inf'::DOUBLE)
   WHEN 'candidate_distance' THEN coalesce(distance_m, 'inf'::DOUBLE) WHEN 'projected_box_area' THEN -coalesce(area, 0)
   WHEN 'category_frequency' THEN -CAST(freq AS DOUBLE) ELSE CASE WHEN label = 0 THEN 0 ELSE 1 END END"""
 
@@ -31,34 +37,54 @@ def with_frequency(cands: DataFrame) -> DataFrame:
     return cands.join(counts, "name", "left")
 
 
-def control_key(control: Column) -> Column:
-    """Ascending sort key of a candidate under a control; needs freq."""
-    k = F.when(control == "tracker_score", -score_or_last(F.col("score"))).when(control == "candidate_distance", F.coalesce("distance_m", F.lit(float("inf"))))
-    k = k.when(control == "projected_box_area", -F.coalesce("area", F.lit(0.0))).when(control == "category_frequency", -F.col("freq").cast("double"))
-    return k.otherwise(F.when(F.col("label") == 0, 0.0).otherwise(1.0))
+def tracker_score(df: DataFrame) -> Column:
+    """A candidate's score; a table without that column has tracker_score. A score that is there but null ranks last."""
+    return score_or_last(F.col("score" if "score" in df.columns else "tracker_score"))
+
+
+def control_key(df: DataFrame, control: str, seed: int = 0, tie: str = "track_id") -> Column:
+    """Ascending sort key of a candidate under a control. The random one is a digest of seed, group and candidate."""
+    if control == "random":
+        digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*GROUP, tie)]), 256)
+        return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
+    if control == "tracker_score":
+        return -tracker_score(df)
+    if control == "candidate_distance":
+        return F.coalesce("distance_m", F.lit(float("inf")))
+    if control == "projected_box_area":
+        return -F.coalesce("area", F.lit(0.0))
+    if control == "category_frequency":
+        return -F.col("freq").cast("double")
+    if control == "oracle":
+        return F.when(F.col("label") == 0, 0.0).otherwise(1.0)
+    raise ValueError(f"unknown control: {control}")
 
 
-def rank(cands: DataFrame, controls: Sequence[str] = CONTROLS, tie: str = "track_id") -> DataFrame:
+def rank(cands: DataFrame, controls: Sequence[str] = CONTROLS, tie: str = "track_id", seed: int = 0) -> DataFrame:
     """A row for each candidate and control, with rank, labeled_rank (unknown left out) and found (positives so far).
 
+    Columns are group, candidate, label and these: what a control needs is made into its key before rows are multiplied.
     A column freq that is there already (of the table that a subset was taken from) is kept.
     """
-    full = cands if "freq" in cands.columns else with_frequency(cands) if "category_frequency" in controls else cands.withColumn("freq", F.lit(0).cast("long"))
-    long = full.withColumn("control", F.explode(F.array(*map(F.lit, controls)))).withColumn("_key", control_key(F.col("control")))
+    full = with_frequency(cands) if "category_frequency" in controls and "freq" not in cands.columns else cands
+    keys = F.array(*[F.struct(F.lit(c).alias("control"), control_key(full, c, seed, tie).alias("_key")) for c in controls])
+    rest = [] if tie == "track_id" else [tie]
+    long = full.select(*GROUP, "track_id", *rest, "label", F.explode(keys).alias("_c")).select(*GROUP, "track_id", *rest, "label", "_c.control", "_c._key")
     w = Window.partitionBy(*GROUP, "control").orderBy("_key", tie)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return long.withColumns({"rank": F.row_number().over(w), "found": F.sum((F.coalesce(F.col("label") == 0, F.lit(False))).cast("int")).over(so_far), "labeled_rank": F.sum(F.col("label").isNotNull().cast("int")).over(so_far)})
+    return long.withColumns({"rank": F.row_number().over(w), "found": F.sum((F.coalesce(F.col("label") == 0, F.lit(False))).cast("int")).over(so_far), "labeled_rank": F.sum(F.col("label").isNotNull().cast("int")).over(so_far)}).drop("_key")
 
 
-def group_metrics(ranked: DataFrame) -> DataFrame:
+def group_metrics(ranked: DataFrame, *by: str) -> DataFrame:
     """Counts, average precision and recall at 1 of each group and control, over all and over labeled candidates."""
     pos, neg = F.col("label") == 0, F.col("label").isin(1, 2)
     n = F.count_if(pos)
     safe = lambda x: F.when(n > 0, x / n)
     first = lambda c: F.when(n > 0, F.max(F.when(F.col(c) & pos, 1).otherwise(0)))
     r = ranked.withColumns({"_top": F.col("rank") == 1, "_ltop": F.col("label").isNotNull() & (F.col("labeled_rank") == 1)})
-    return r.groupBy(*GROUP, "control").agg(
+    return r.groupBy(*GROUP, "control", *by).agg(
         F.count("*").alias("candidate_count"),
+        F.count("label").alias("labeled_candidate_count"),
         n.alias("positive_count"),
         F.count_if(neg).alias("negative_count"),
         F.count_if(F.col("label").isNull()).alias("unknown_count"),
@@ -119,13 +145,13 @@ def hard_negatives(cands: DataFrame, score_delta: float | None = 0.05, log_area_
     return s.where("_p > 0 and _n > 0").drop("_area", "_p", "_n")
 
 
-def control_suite(cands: DataFrame, score_delta: float, log_area_delta: float, controls: Sequence[str] = CONTROLS) -> DataFrame:
+def control_suite(cands: DataFrame, score_delta: float, log_area_delta: float, controls: Sequence[str] = CONTROLS, seed: int = 0) -> DataFrame:
     """Summaries of all controls over the whole table and over its score-matched and score-and-size-matched parts."""
     full = with_frequency(cands)
     views = {"full": full, "score_matched": hard_negatives(full, score_delta), "score_size_matched": hard_negatives(full, score_delta, log_area_delta)}
     out = None
     for name, view in views.items():
-        one = summarize(group_metrics(rank(view, controls)), "control").withColumn("view", F.lit(name))
+        one = summarize(group_metrics(rank(view, controls, seed=seed)), "control").withColumn("view", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -139,19 +165,46 @@ def numbered(keys: DataFrame) -> DataFrame:
     return part.withColumn("_i", own).join(F.broadcast(start), "_p").select(*GROUP, (F.col("_s") + F.col("_i")).alias("_g"))
 
 
-def rank_random(cands: DataFrame, seed: int = 0, tie: str = "track_id") -> DataFrame:
-    """As rank, for the control random: numpy's permutation with seed + 1009 * the group's number lists a group's rows, sorted by tie, from the first rank on."""
+def rank_random(cands: DataFrame, seeds: Sequence[int] = (0,), tie: str = "track_id") -> DataFrame:
+    """As rank, for the control random, with a column seed: numpy's permutation with seed + 1009 * the group's number lists a group's rows, sorted by tie, from the first rank on.
 
-    def permute(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(tie, kind="stable")
-        pdf = pdf.iloc[np.random.default_rng(seed + 1009 * int(pdf["_g"].iloc[0])).permutation(len(pdf))]
-        return pdf.drop(columns="_g").assign(
-            control="random", rank=np.arange(1, len(pdf) + 1), found=(pdf["label"] == 0).cumsum().astype("int64"), labeled_rank=pdf["label"].notna().cumsum().astype("int64")
-        )
+    Groups stream through Arrow batches, whole, since a permutation needs its whole group; the control random of `rank`
+    needs none.
+    """
+    made = ["control", "seed", "rank", "found", "labeled_rank"]
+
+    def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf["_g"].to_numpy()
+        start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        size = np.diff(np.append(start, len(g)))
+        out = []
+        for seed in seeds:
+            order = np.concatenate([a + np.random.default_rng(seed + 1009 * int(g[a])).permutation(n) for a, n in zip(start, size, strict=True)])
+            one = pdf.iloc[order].drop(columns="_g")
+            for name, hit in (("found", (one["label"] == 0).to_numpy()), ("labeled_rank", one["label"].notna().to_numpy())):
+                so_far = np.cumsum(hit)
+                one[name] = so_far - np.repeat(np.append(0, so_far)[start], size)
+            one["control"], one["seed"], one["rank"] = "random", seed, np.arange(len(g)) - np.repeat(start, size) + 1
+            out.append(one)
+        return pd.concat(out)[[*pdf.columns.drop("_g"), *made]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            last = b["_g"].iloc[-1]
+            if held and held[0]["_g"].iloc[0] != last or b["_g"].iloc[0] != last:
+                whole = pd.concat([*held, b[b["_g"] != last]])
+                held = []
+                yield ranked(whole)
+            held.append(b[b["_g"] == last])
+        if held:
+            yield ranked(pd.concat(held))
 
     slim = cands.select(*GROUP, tie, "label").join(numbered(cands.select(*GROUP).distinct()), list(GROUP))
-    types = cands.select(*GROUP, tie, "label").schema.add("control", "string").add("rank", "long").add("found", "long").add("labeled_rank", "long")
-    return slim.groupBy(*GROUP).applyInPandas(permute, types)
+    types = cands.select(*GROUP, tie, "label").schema.add("control", "string").add("seed", "integer").add("rank", "long").add("found", "long").add("labeled_rank", "long")
+    return slim.repartition(*GROUP).sortWithinPartitions("_g", tie).mapInPandas(run, types)
 
 
 def random_control_suite(cands: DataFrame, score_delta: float, log_area_delta: float, seeds: Sequence[int] = (0, 1)) -> DataFrame:
@@ -159,9 +212,8 @@ def random_control_suite(cands: DataFrame, score_delta: float, log_area_delta: f
     views = {"full": cands, "score_matched": hard_negatives(cands, score_delta), "score_size_matched": hard_negatives(cands, score_delta, log_area_delta)}
     out = None
     for name, view in views.items():
-        for seed in seeds:
-            one = summarize(group_metrics(rank_random(view, seed)), "control").withColumns({"view": F.lit(name), "seed": F.lit(seed)})
-            out = one if out is None else out.unionByName(one)
+        one = summarize(group_metrics(rank_random(view, seeds), "seed"), "control", "seed").withColumn("view", F.lit(name))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -195,19 +247,6 @@ def reliability(cands: DataFrame, logit: str) -> DataFrame:
     return every.join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean_p", "positive_share")
 
 
-def seeded_random_rank(cands: DataFrame, seed: int = 0, order: str = "track_id") -> DataFrame:
-    """Ranks by numpy's permutation with seed + 1009 * the group's number in order of its key."""
-    keys = cands.select(*GROUP).distinct().withColumn("_g", F.dense_rank().over(Window.orderBy(*GROUP)) - 1)
-
-    def permute(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        perm = np.random.default_rng(seed + 1009 * int(pdf["_g"].iloc[0])).permutation(len(pdf))
-        return pdf.assign(rank=perm + 1).drop(columns="_g")
-
-    slim = cands.select(*GROUP, "track_id", "label").join(keys, list(GROUP))
-    return slim.groupBy(*GROUP).applyInPandas(permute, slim.drop("_g").withColumn("rank", F.lit(0).cast("long")).schema)
-
-
 def paired_differences(left: DataFrame, right: DataFrame, metric: str) -> DataFrame:
     """Per group both metrics and their difference; groups with a null on either side go."""
     a = left.select(*GROUP, F.col(metric).alias("left_value"))
@@ -215,25 +254,75 @@ def paired_differences(left: DataFrame, right: DataFrame, metric: str) -> DataFr
     return a.join(b, list(GROUP)).where("left_value is not null and right_value is not null").withColumn("difference", F.col("left_value") - F.col("right_value"))
 
 
-def paired_bootstrap(diffs: DataFrame, samples: int = 10000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
-    """Mean difference with a percentile interval; one row.
+#: Modulus of the draws, and the ends of a Poisson(1) count's cumulative shares of it.
+PRIME = 2**31 - 1
+POISSON = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * PRIME) for k in range(10)]
+
+
+def _hash48(text: str) -> int:
+    return int(hashlib.sha256(text.encode()).hexdigest()[:12], 16)
 
-    Each group's weight in each resample is a Poisson(1) draw from a generator seeded by the group, so resampling
-    runs where the groups are and only sums by sample travel; the interval is that of the classic bootstrap for many
-    groups, but not draw for draw.
+
+def paired_bootstrap(diffs: DataFrame, samples: int = 10000, seed: int = 0, confidence: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
+    """Mean difference with a percentile interval; a row for each value of `by`, of which there must be few.
+
+    Each group's weight in each resample is a Poisson(1) draw: (a * h + b) modulo PRIME, with h from the digest of the
+    group's key and a, b from that of the seed and the resample, so draws of two groups are independent and any engine
+    can repeat them. Resampling runs where the groups are and only sums by sample travel; the interval is that of the
+    classic bootstrap for many groups, but not draw for draw. No differences give no row (one without `by`: nulls).
     """
+    if samples < 1 or not 0 < confidence < 1:
+        raise ValueError("samples must be 1 or more and confidence between 0 and 1")
+    a = np.array([1 + _hash48(f"a|{seed}|{s}") % (PRIME - 1) for s in range(samples)], np.int64)
+    b = np.array([_hash48(f"b|{seed}|{s}") % PRIME for s in range(samples)], np.int64)
+    ends, by = np.array(POISSON, np.int64), list(by)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total = np.zeros(samples), np.zeros(samples)
-        for b in batches:
-            for key, d in zip(b["k"], b["difference"], strict=True):
-                w = np.random.default_rng([seed, int(key) & 0xFFFFFFFFFFFFFFFF]).poisson(1.0, samples)
-                n += w
-                total += w * d
-        yield pd.DataFrame({"sample": np.arange(samples), "n": n, "total": total})
-
-    parts = diffs.select(F.xxhash64(*GROUP).alias("k"), "difference").mapInPandas(draw, "sample long, n double, total double")
-    means = parts.groupBy("sample").agg((F.sum("total") / F.sum("n")).alias("m"))
-    a = (1 - confidence) / 2
-    ci = means.agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"))
-    return diffs.agg(F.count("*").alias("groups"), F.avg("difference").alias("mean_difference")).crossJoin(F.broadcast(ci))  # one row each
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(by, dropna=False) if by else [((), pdf)]:
+                total = sums.setdefault(key, np.zeros((2, samples)))
+                h, d = part["h"].to_numpy(), part["difference"].to_numpy()
+                for i in range(0, len(h), 64):
+                    w = np.searchsorted(ends, (a[None, :] * h[i : i + 64, None] + b[None, :]) % PRIME, "right")
+                    total[0] += w.sum(0)
+                    total[1] += d[i : i + 64] @ w
+        for key, total in sums.items():
+            yield pd.DataFrame({**dict(zip(by, key, strict=True)), "sample": np.arange(samples), "n": total[0], "total": total[1]})
+
+    kinds = dict(diffs.dtypes)
+    own = "".join(f"`{c}` {kinds[c]}, " for c in by)
+    h = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in GROUP]), 256), 1, 12), 16, 10).cast("long") % PRIME
+    parts = diffs.select(*by, h.alias("h"), "difference").mapInPandas(draw, own + "sample long, n double, total double")
+    means = parts.groupBy(*by, "sample").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("m"))
+    tail = (1 - confidence) / 2
+    q = lambda x: F.round(F.percentile("m", F.lit(x)), 6)
+    ci = means.groupBy(*by).agg(q(tail).alias("low"), q(1 - tail).alias("high"))
+    mean = diffs.groupBy(*by).agg(F.count("*").alias("groups"), F.round(F.avg("difference"), 6).alias("mean_difference"))
+    return mean.join(ci, by) if by else mean.crossJoin(F.broadcast(ci))  # one row each
+
+
+def paired_metric_bootstrap(left: DataFrame, right: DataFrame, metric: str, **options) -> DataFrame:
+    """paired_bootstrap of a metric over the groups of both tables: one row, with the shared groups and those without a null.
+
+    Where a table has a group more than once, the row with the largest `_row_ord`, if it has such a column, counts.
+    """
+    def once(df: DataFrame) -> DataFrame:
+        return df.groupBy(*GROUP).agg(F.max_by(metric, "_row_ord").alias(metric)) if "_row_ord" in df.columns else df
+
+    a, b = once(left), once(right)
+    shared = a.select(*GROUP).join(b.select(*GROUP), list(GROUP)).agg(F.count("*").alias("shared_groups"))
+    return paired_bootstrap(paired_differences(a, b, metric), **options).crossJoin(F.broadcast(shared))  # one row each
+
+
+def compare_seeds(metrics: DataFrame, models: Sequence[str], baselines: Sequence[str], names: Sequence[str], **options) -> DataFrame:
+    """paired_bootstrap of each model against each baseline by split, metric and seed, in one pass.
+
+    metrics: (seed, split, model, group key..., one column for each of names).
+    """
+    long = metrics.unpivot(["seed", "split", "model", *GROUP], list(names), "metric", "value").where("value is not null")
+    on = ["seed", "split", "metric", *GROUP]
+    a = long.where(F.col("model").isin(list(models))).select(*on, "model", F.col("value").alias("_a"))
+    b = long.where(F.col("model").isin(list(baselines))).select(*on, F.col("model").alias("baseline"), F.col("value").alias("_b"))
+    diffs = a.join(b, on).withColumn("difference", F.col("_a") - F.col("_b"))
+    return paired_bootstrap(diffs, by=["model", "baseline", "split", "metric", "seed"], **options)

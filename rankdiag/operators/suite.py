@@ -2,39 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import scalars as fn
 from ..plans.base import BOXES, DOCS, GROUP, LINES, box_table, document_candidates, line_candidates, table
 from . import align, assoc, audit, graph, pool, ranking
+from .registry import QUERIES, SQL, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
+#: All white space, as DuckDB's regular expressions spell it.
+_STRIP = rf"'^{fn.BLANK}+|{fn.BLANK}+\z', '', 'g'"
 
 # ---- Ranking ---------------------------------------------------------------------------------------------------------
 
-RANKED = f"""freq AS (SELECT c.*, count(*) OVER (PARTITION BY name) AS freq FROM cand c),
-long AS (SELECT * FROM (SELECT f.*, k.control FROM freq f, (SELECT unnest(['tracker_score','candidate_distance','projected_box_area','category_frequency','oracle']) AS control) k)),
-keyed AS (SELECT *, {ranking.KEY_SQL} AS k FROM long),
+def ranked_sql(controls=ranking.CONTROLS, seed: int = 0) -> str:
+    return f"""freq AS (SELECT c.*, count(*) OVER (PARTITION BY name) AS freq FROM cand c),
+long AS (SELECT * FROM (SELECT f.*, k.control FROM freq f, (SELECT unnest([{", ".join(repr(c) for c in controls)}]) AS control) k)),
+keyed AS (SELECT *, {ranking.key_sql(seed)} AS k FROM long),
 ranked AS (SELECT *, row_number() OVER w AS rank, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS found,
   sum(CASE WHEN label IS NOT NULL THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS labeled_rank FROM keyed
   WINDOW w AS (PARTITION BY log_id, prompt, timestamp_ns, control ORDER BY k, track_id)),
-met AS (SELECT log_id, prompt, timestamp_ns, control, count(*) AS candidate_count, count(*) FILTER (label = 0) AS positive_count,
+met AS (SELECT log_id, prompt, timestamp_ns, control, count(*) AS candidate_count, count(label) AS labeled_candidate_count, count(*) FILTER (label = 0) AS positive_count,
   count(*) FILTER (label IN (1, 2)) AS negative_count, count(*) FILTER (label IS NULL) AS unknown_count,
   sum(CASE WHEN label = 0 THEN CAST(found AS DOUBLE) / rank END) / nullif(count(*) FILTER (label = 0), 0) AS average_precision,
   CASE WHEN count(*) FILTER (label = 0) > 0 THEN CAST(max(CASE WHEN rank = 1 AND label = 0 THEN 1 ELSE 0 END) AS INTEGER) END AS recall_at_1,
@@ -43,6 +32,9 @@ met AS (SELECT log_id, prompt, timestamp_ns, control, count(*) AS candidate_coun
   FROM ranked GROUP BY ALL)"""
 
 
+RANKED = ranked_sql()
+
+
 def _summary_sql(base: str, by: str, where: str = "", source: str = "met") -> str:
     ok = "positive_count > 0 AND negative_count > 0"
     mean = lambda c, n: f"round(avg(CASE WHEN {ok} THEN {c} END), 6) AS {n}"
@@ -87,7 +79,25 @@ def _(spark, d):
 
 @query("rank_seeded_random")
 def _(spark, d):
-    return ranking.seeded_random_rank(document_candidates(spark, d), 0)
+    return ranking.rank_random(document_candidates(spark, d)).select(*GROUP, "track_id", "label", "rank")
+
+
+@query("rank_hashed_random", f"WITH {DOCS}, {ranked_sql(['random'], 3)} SELECT log_id, prompt, timestamp_ns, track_id, label, rank FROM ranked")
+def _(spark, d):
+    return ranking.rank(document_candidates(spark, d), ["random"], seed=3).select(*GROUP, "track_id", "label", "rank")
+
+
+@query("rank_positional_ties", f"""WITH {LINES}, p AS (SELECT c.*, row_number() OVER (PARTITION BY log_id, prompt, timestamp_ns ORDER BY track_id) AS _pos FROM (SELECT * REPLACE (round(score / 10000) AS score) FROM cand) c)
+SELECT log_id, prompt, timestamp_ns, track_id, row_number() OVER (PARTITION BY log_id, prompt, timestamp_ns ORDER BY score DESC, _pos) AS rank FROM p""")
+def _(spark, d):
+    c = line_candidates(spark, d).withColumns({"score": F.round(F.col("score") / 10000), "_pos": F.row_number().over(Window.partitionBy(*GROUP).orderBy("track_id"))})
+    return ranking.rank(c, ["tracker_score"], tie="_pos").select(*GROUP, "track_id", "rank")
+
+
+@query("rank_score_fallback", f"WITH {LINES}, {ranked_sql(['tracker_score'])} SELECT log_id, prompt, timestamp_ns, round(average_precision, 6) AS average_precision FROM met")
+def _(spark, d):
+    c = line_candidates(spark, d).withColumnRenamed("score", "tracker_score")
+    return ranking.group_metrics(ranking.rank(c, ["tracker_score"])).select(*GROUP, F.round("average_precision", 6).alias("average_precision"))
 
 
 _HARD = """near AS (SELECT c.* FROM cand c WHERE label = 0 OR (label IN (1, 2) AND EXISTS (SELECT 1 FROM cand p WHERE p.label = 0 AND p.log_id = c.log_id
@@ -216,29 +226,47 @@ def _(spark, d):
     return t.agg(F.count("*").alias("turns"), (F.max("turn") - F.min("turn") + 1 == F.count_distinct("turn")).alias("dense"), (F.count("*") - F.count_distinct("turn")).alias("repeats"))
 
 
-@query("normalize_records", """SELECT doc_id, CASE WHEN trim(lang) = '' THEN NULL ELSE upper(trim(lang)) END AS prompt, TRY_CAST(n_chars AS DOUBLE) AS score, regexp_replace(source, '^src', '') AS log_id FROM documents""")
+@query("normalize_records", """SELECT CAST(doc_id AS VARCHAR) AS track_id, source AS log_id, lang AS prompt, TRY_CAST(CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE CAST(n_chars AS VARCHAR) END AS BIGINT) AS timestamp_ns,
+  CAST(n_chars AS DOUBLE) AS score, CASE doc_id % 3 WHEN 0 THEN '0' WHEN 1 THEN '17' ELSE 'odd one' END AS label, CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS DOUBLE) END AS yaw, doc_id AS confidence FROM documents""")
 def _(spark, d):
-    t = table(spark, d, "documents")
-    return t.select("doc_id", F.when(F.trim("lang") != "", F.upper(F.trim("lang"))).alias("prompt"), fn.number(F.col("n_chars")).alias("score"), F.regexp_replace("source", "^src", "").alias("log_id"))
+    from ..sources.readers import normalize
 
+    raw = table(spark, d, "documents").select(
+        F.col("source").alias("seq_id"), F.col("lang").alias("prompt"), F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("n_chars").cast("string")).alias("time_ns"), F.col("doc_id").cast("string").alias("track_uuid"),
+        F.col("n_chars").cast("double").alias("score"), F.col("doc_id").alias("confidence"),  # score is there, so confidence stays what it is
+        F.when(F.col("doc_id") % 3 == 0, " referred_object").when(F.col("doc_id") % 3 == 1, "17").otherwise("odd one").alias("mining_category"), F.when(F.col("doc_id") % 2 == 0, F.col("n_chars").cast("double")).alias("heading"),
+    )
+    return normalize(raw)
 
-_NAMES = "CASE doc_id % 6 WHEN 0 THEN ' referred_object ' WHEN 1 THEN 'RELATED' WHEN 2 THEN '2' WHEN 3 THEN '17' WHEN 4 THEN 'x' END"
 
+_NAMES = "CASE doc_id % 6 WHEN 0 THEN chr(9) || ' referred_object ' || chr(10) WHEN 1 THEN 'RELATED' WHEN 2 THEN '2' WHEN 3 THEN '017' WHEN 4 THEN 'x' END"
 
-@query("label_coercion", f"""WITH n AS (SELECT doc_id, upper(trim({_NAMES})) AS t FROM labels), c AS (SELECT doc_id, CASE WHEN t = 'REFERRED_OBJECT' THEN 0 WHEN t = 'RELATED' THEN 1 WHEN regexp_matches(t, '^[0-9]+$') THEN CAST(TRY_CAST(t AS INTEGER) AS INTEGER) END AS coerced FROM n)
-SELECT doc_id, CAST(coerced AS INTEGER) AS coerced, CAST(CASE WHEN coerced IN (0, 1, 2) THEN coerced END AS INTEGER) AS tri_state FROM c""")
+
+@query("label_coercion", f"""WITH n AS (SELECT doc_id, {_NAMES} AS raw, upper(regexp_replace({_NAMES}, {_STRIP})) AS t FROM labels), c AS (SELECT doc_id, raw, CASE WHEN t = 'REFERRED_OBJECT' THEN 0 WHEN t = 'RELATED' THEN 1 WHEN regexp_matches(t, '^[0-9]+$') THEN CAST(TRY_CAST(t AS INTEGER) AS INTEGER) END AS coerced FROM n)
+SELECT doc_id, CAST(coerced AS INTEGER) AS coerced, coalesce(CAST(coerced AS VARCHAR), raw) AS kept, CAST(CASE WHEN coerced IN (0, 1, 2) THEN coerced END AS INTEGER) AS tri_state FROM c""")
 def _(spark, d):
-    t = table(spark, d, "labels").select("doc_id", fn.coerce_label(F.expr(_NAMES.replace("VARCHAR", "STRING"))).alias("coerced"))
+    t = table(spark, d, "labels").select("doc_id", F.expr(_NAMES).alias("raw"))
+    t = t.select("doc_id", fn.coerce_label(F.col("raw")).alias("coerced"), fn.label_text(F.col("raw")).alias("kept"))
     return t.withColumn("tri_state", fn.tri_state(F.col("coerced")))
 
 
+@query("label_any_integer", """SELECT doc_id, CAST(CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 7 WHEN 2 THEN NULL WHEN 3 THEN -2 ELSE NULL END AS INTEGER) AS from_number,
+  CAST(CASE doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 40 ELSE NULL END AS INTEGER) AS from_text FROM labels""")
+def _(spark, d):
+    m = F.col("doc_id") % 5
+    number = F.when(m == 0, F.lit(1.9)).when(m == 1, F.lit(7.0)).when(m == 2, F.lit(float("nan"))).when(m == 3, F.lit(-2.5))
+    text = F.when(m == 0, " 2 ").when(m == 1, "1.5").when(m == 2, "x").when(m == 3, "40")
+    return table(spark, d, "labels").select("doc_id", fn.any_label(number).alias("from_number"), fn.any_label(text).alias("from_text"))
+
+
 # ---- Prompts ---------------------------------------------------------------------------------------------------------
 
 
-@query("template_keys", """WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(lower(coalesce(url, ''))), '[0-9a-f]{8}-[0-9a-f-]{27,}', '<id>', 'g'), '\\b[0-9]+(?:\\.[0-9]+)?', '<num>', 'g'), '\\s+', ' ', 'g') AS key FROM pages)
+@query("template_keys", f"""WITH u AS (SELECT CASE WHEN page_id % 3 = 0 THEN chr(9) || ' ' || url || chr(10) || ' 12.5' || chr(11) ELSE url END AS url FROM pages), t AS (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(url, '')), {_STRIP}), '[0-9a-f]{{8}}-[0-9a-f-]{{27,}}', '<id>', 'g'), '\\b[0-9]+(?:\\.[0-9]+)?', '<num>', 'g'), '{fn.BLANK}+', ' ', 'g') AS key FROM u)
 SELECT key, count(*) AS n FROM t GROUP BY key""")
 def _(spark, d):
-    return table(spark, d, "pages").groupBy(fn.template_key(F.col("url")).alias("key")).agg(F.count("*").alias("n"))
+    url = F.expr("CASE WHEN page_id % 3 = 0 THEN chr(9) || ' ' || url || chr(10) || ' 12.5' || chr(11) ELSE url END")
+    return table(spark, d, "pages").groupBy(fn.template_key(url).alias("key")).agg(F.count("*").alias("n"))
 
 
 _PK = "trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+(\\.[0-9]+)?', '#', 'g'), '[^a-z0-9# ]', ' ', 'g'), ' +', ' ', 'g'))"
@@ -286,11 +314,14 @@ def _(spark, d):
     return ratio_pairs(p, _prompt_pairs(spark, d, 0.1).select("a", "b"))
 
 
-@query("taxonomy_match_counts", """WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' box_truck' WHEN 1 THEN 'Truck' WHEN 2 THEN 'pedestrian' ELSE upper(p_type) END AS n FROM part),
-g AS (SELECT CASE WHEN upper(trim(n)) IN ('BOX_TRUCK', 'TRUCK') THEN 'VEHICLE' ELSE upper(trim(n)) END AS grp FROM p) SELECT grp, count(*) AS n FROM g GROUP BY grp""")
+_PART_NAME = "CASE p_partkey % 4 WHEN 0 THEN chr(9) || 'box_truck' WHEN 1 THEN 'Truck' || chr(10) WHEN 2 THEN 'pedestrian' ELSE upper(p_type) END"
+
+
+@query("taxonomy_match_counts", f"""WITH p AS (SELECT upper(regexp_replace({_PART_NAME}, {_STRIP})) AS n FROM part), g AS (SELECT CASE WHEN n IN ('BOX_TRUCK', 'TRUCK') THEN 'VEHICLE' ELSE n END AS grp FROM p)
+SELECT grp, count(*) AS n, CAST(sum(CASE WHEN grp = 'VEHICLE' THEN 1 ELSE 0 END) AS BIGINT) AS like_a_bus FROM g GROUP BY grp""")
 def _(spark, d):
-    name = F.expr("CASE p_partkey % 4 WHEN 0 THEN ' box_truck' WHEN 1 THEN 'Truck' WHEN 2 THEN 'pedestrian' ELSE upper(p_type) END")
-    return table(spark, d, "part").groupBy(fn.taxonomy_group(name).alias("grp")).agg(F.count("*").alias("n"))
+    name = F.expr(_PART_NAME)
+    return table(spark, d, "part").groupBy(fn.taxonomy_group(name).alias("grp")).agg(F.count("*").alias("n"), F.count_if(fn.class_compatible(name, F.lit("bus"))).alias("like_a_bus"))
 
 
 # ---- Alignment -------------------------------------------------------------------------------------------------------
@@ -327,9 +358,10 @@ def _(spark, d):
     return align.common_keys(*[e.where(F.col("event_type") == k) for k in present], on=["user_id", "day"])
 
 
-@query("missing_logs", "SELECT c_custkey AS key FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("missing_logs", "SELECT c_custkey AS key FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey")
 def _(spark, d):
-    return align.missing_keys(table(spark, d, "customer").select(F.col("c_custkey").alias("key")), table(spark, d, "orders").select(F.col("o_custkey").alias("key")), ["key"])
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return align.missing_keys(table(spark, d, "customer").select(F.col("c_custkey").alias("key")), urgent.select(F.col("o_custkey").alias("key")), ["key"])
 
 
 @query("first_seen_dedup", "SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) AS k FROM lineitem) WHERE k = 1")
@@ -338,14 +370,7 @@ def _(spark, d):
     return align.first_seen(t, ["l_suppkey", "l_partkey"], ["l_orderkey", "l_linenumber", "l_quantity"]).drop("l_quantity")
 
 
-@query("positional_zip", """SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS value, CAST((vec_id + i - 1) % 3 AS INTEGER) AS label FROM embeddings, range(1, 9) r(i)""")
-def _(spark, d):
-    t = table(spark, d, "embeddings").withColumn("labels", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: ((F.col("vec_id") + i) % 3).cast("int")))
-    z = F.arrays_zip(F.slice("embedding", 1, 8).alias("v"), F.col("labels").alias("l"))
-    return t.select("vec_id", F.posexplode(z).alias("pos", "z")).select("vec_id", "pos", F.col("z.v").cast("double").alias("value"), F.col("z.l").alias("label"))
-
-
-@query("positional_zip_all", """SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS value, CAST((vec_id + i - 1) % 3 AS INTEGER) AS label FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""")
+@query("positional_zip", """SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS value, CAST((vec_id + i - 1) % 3 AS INTEGER) AS label FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""")
 def _(spark, d):
     t = table(spark, d, "embeddings").withColumn("labels", F.transform("embedding", lambda _, i: ((F.col("vec_id") + i) % 3).cast("int")))
     z = F.arrays_zip(F.col("embedding").alias("v"), F.col("labels").alias("l"))
@@ -371,10 +396,18 @@ def _(spark, d):
     return p.select("vec_id", "log_id", "timestamp_ns", (F.row_number().over(Window.partitionBy("log_id", "timestamp_ns").orderBy("vec_id")) - 1).alias("ordinal"))
 
 
-@query("ego_partition", f"""WITH {BOXES}, g AS (SELECT log_id, timestamp_ns, count(*) AS n FROM box GROUP BY ALL) SELECT log_id, timestamp_ns, n AS external, CAST(1 AS BIGINT) AS ego FROM g""")
+@query("ego_partition", f"""WITH {BOXES}, named AS (SELECT *, vec_id % 11 = 0 AS synthetic, CASE vec_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'EGO_VEHICLE' ELSE 'K' || class END AS name FROM box)
+SELECT log_id, timestamp_ns, count(*) FILTER (NOT synthetic AND coalesce(name, '') <> 'EGO_VEHICLE') AS external, count(*) FILTER (synthetic OR name = 'EGO_VEHICLE') AS ego FROM named GROUP BY ALL""")
+def _(spark, d):
+    name = F.when(F.col("vec_id") % 7 == 0, None).when(F.col("vec_id") % 7 == 1, "EGO_VEHICLE").otherwise(F.concat(F.lit("K"), F.col("class").cast("string")))
+    b = box_table(spark, d).withColumns({"synthetic_ego": F.col("vec_id") % 11 == 0, "name": name})
+    return b.groupBy("log_id", "timestamp_ns").agg(F.count_if(~pool.is_ego()).alias("external"), F.count_if(pool.is_ego()).alias("ego"))
+
+
+@query("ego_inject", f"WITH {BOXES} SELECT log_id, timestamp_ns, count(*) + 1 AS rows, CAST(1.473 AS DOUBLE) + sum(height) AS heights FROM box GROUP BY ALL".replace("CAST(1.473 AS DOUBLE) + sum(height) AS heights", "round(1.473 + sum(height), 6) AS heights"))
 def _(spark, d):
     b = box_table(spark, d).withColumns({"track_id": F.col("vec_id").cast("string"), "name": F.concat(F.lit("K"), F.col("class").cast("string"))})
-    return pool.with_ego(b).groupBy("log_id", "timestamp_ns").agg(F.count_if(~pool.is_ego()).alias("external"), F.count_if(pool.is_ego()).alias("ego"))
+    return pool.with_ego(b).groupBy("log_id", "timestamp_ns").agg(F.count("*").alias("rows"), F.round(F.sum("height"), 6).alias("heights"))
 
 
 _R = """r AS (SELECT *, 1 - 2 * (qy * qy + qz * qz) AS r00, 2 * (qx * qy - qz * qw) AS r01, 2 * (qx * qz + qy * qw) AS r02, 2 * (qx * qy + qz * qw) AS r10,
@@ -438,11 +471,14 @@ def _(spark, d):
 _EDGE = " UNION ALL ".join(f"SELECT {i} AS a, {j} AS b" for i, j in geo.EDGES)
 
 
-@query("project_clip", f"""WITH {BOXES}, {_CORNERS}, c AS (SELECT vec_id, i, px AS x, py AS y, pz + 5 AS z FROM corner), ed AS ({_EDGE}),
+_CLIPPED = f"""c AS (SELECT vec_id, i, px AS x, py AS y, pz + 5 AS z FROM corner), ed AS ({_EDGE}),
 s AS (SELECT vec_id, x, y, z FROM c WHERE z >= 0.1::DOUBLE UNION ALL SELECT p.vec_id, p.x + (q.x - p.x) * (0.1::DOUBLE - p.z) / (q.z - p.z), p.y + (q.y - p.y) * (0.1::DOUBLE - p.z) / (q.z - p.z), 0.1::DOUBLE
   FROM ed JOIN c p ON p.i = ed.a JOIN c q ON q.i = ed.b AND q.vec_id = p.vec_id WHERE (p.z >= 0.1::DOUBLE) <> (q.z >= 0.1::DOUBLE)),
 u AS (SELECT vec_id, x * 100.0::DOUBLE / z + 96 AS u, y * 100.0::DOUBLE / z + 60 AS v FROM s),
-m AS (SELECT vec_id, greatest(0, min(u)) AS x0, greatest(0, min(v)) AS y0, least(192, max(u)) AS x1, least(120, max(v)) AS y1 FROM u GROUP BY vec_id)
+m AS (SELECT vec_id, greatest(0, min(u)) AS x0, greatest(0, min(v)) AS y0, least(192, max(u)) AS x1, least(120, max(v)) AS y1 FROM u GROUP BY vec_id)"""
+
+
+@query("project_clip", f"""WITH {BOXES}, {_CORNERS}, {_CLIPPED}
 SELECT b.vec_id, CASE WHEN greatest(0, x1 - x0) * greatest(0, y1 - y0) > 1 THEN 'PROJECTED' ELSE 'OUT_OF_VIEW' END AS status,
   CASE WHEN greatest(0, x1 - x0) * greatest(0, y1 - y0) > 1 THEN round(greatest(0, x1 - x0) * greatest(0, y1 - y0), 4) ELSE 0 END AS area FROM box b LEFT JOIN m USING (vec_id)""")
 def _(spark, d):
@@ -456,13 +492,19 @@ def _(spark, d):
     return pool.membership(b, ["log_id", "timestamp_ns"], ["vec_id", "class", "xi", "yi"])
 
 
-@query("pool_digest_invariance", f"WITH {BOXES} SELECT count(DISTINCT (log_id, timestamp_ns)) AS groups, CAST(0 AS BIGINT) AS changed FROM box")
+_MEMBER = "vec_id || ',' || class || ',' || CAST(round((x{shift}) * 1e6) AS BIGINT)"
+
+
+@query("pool_digest_invariance", f"""WITH {BOXES}, m AS (SELECT log_id, timestamp_ns, {_MEMBER.format(shift="")} AS a, {_MEMBER.format(shift=" + CASE WHEN vec_id % 90 = 0 THEN 1 ELSE 0 END")} AS b FROM box),
+g AS (SELECT sha256(string_agg(a, ';' ORDER BY a)) AS a, sha256(string_agg(b, ';' ORDER BY b)) AS b FROM m GROUP BY log_id, timestamp_ns) SELECT count(*) AS groups, count(*) FILTER (a <> b) AS changed, CAST(0 AS BIGINT) AS changed_by_labels FROM g""")
 def _(spark, d):
-    b = box_table(spark, d).withColumn("xi", F.round(F.col("x") * 1e6).cast("long"))
+    b = box_table(spark, d)
+    xi = lambda c: F.round(c * 1e6).cast("long")
     by, f = ["log_id", "timestamp_ns"], ["vec_id", "class", "xi"]
-    one = pool.membership(b, by, f)
-    two = pool.membership(b.withColumn("label", F.hash("vec_id") % 3).repartition(7, "vec_id"), by, f).select(*by, F.col("digest").alias("other"))
-    return one.join(two, by).agg(F.count("*").alias("groups"), F.count_if(F.col("digest") != F.col("other")).alias("changed"))
+    one = pool.membership(b.withColumn("xi", xi(F.col("x"))), by, f)
+    labeled = pool.membership(b.withColumns({"xi": xi(F.col("x")), "label": F.hash("vec_id") % 3}).repartition(7, "vec_id"), by, f).select(*by, F.col("digest").alias("labeled"))
+    moved = pool.membership(b.withColumn("xi", xi(F.col("x") + F.when(F.col("vec_id") % 90 == 0, 1).otherwise(0))), by, f).select(*by, F.col("digest").alias("moved"))
+    return one.join(labeled, by).join(moved, by).agg(F.count("*").alias("groups"), F.count_if(F.col("digest") != F.col("moved")).alias("changed"), F.count_if(F.col("digest") != F.col("labeled")).alias("changed_by_labels"))
 
 
 @query("pool_canonical_digest")
@@ -482,19 +524,26 @@ def _(spark, d):
 # ---- Association -----------------------------------------------------------------------------------------------------
 
 
+_CLASS_NAMES = ("BOX_TRUCK", "bus ", "BICYCLE", "BICYCLIST", " pedestrian", "PEDESTRIAN", "STROLLER", "WHEELCHAIR", "Sign", "SIGN")
+_SIDE_NAME = F.element_at(F.array(*map(F.lit, _CLASS_NAMES)), (F.col("class") + 1).cast("int"))
+
+
 def _sides(spark, d):
-    b = box_table(spark, d).select(F.col("vec_id").alias("id"), "class", "log_id", "timestamp_ns", "x", "y")
+    """Boxes by pairs of ids into frames, even ids as candidates and odd ones as ground truth."""
+    k = F.floor(F.col("vec_id") / 2)
+    b = box_table(spark, d).select(F.col("vec_id").alias("id"), _SIDE_NAME.alias("name"), F.concat(F.lit("log"), (k % 3).cast("string")).alias("log_id"), (k % 4).alias("timestamp_ns"), (F.col("x") / 2).alias("x"), (F.col("y") / 2).alias("y"))
     return b.where("id % 2 = 0"), b.where("id % 2 = 1")
 
 
-_SIDES = """c AS (SELECT vec_id AS id, class, x, y FROM box WHERE vec_id % 2 = 0), g AS (SELECT vec_id AS id, class, x, y FROM box WHERE vec_id % 2 = 1),
-ed AS (SELECT c.id AS cand, g.id AS gt, c.class, sqrt((c.x - g.x) * (c.x - g.x) + (c.y - g.y) * (c.y - g.y)) AS distance FROM c JOIN g ON c.class = g.class)"""
+_SIDES = """side AS (SELECT vec_id AS id, CASE class WHEN 0 THEN 'VEHICLE' WHEN 1 THEN 'VEHICLE' WHEN 2 THEN 'BICYCLE' WHEN 3 THEN 'BICYCLE' WHEN 4 THEN 'PEDESTRIAN' WHEN 5 THEN 'PEDESTRIAN' WHEN 6 THEN 'WHEELED_DEVICE' WHEN 7 THEN 'WHEELED_DEVICE' ELSE 'SIGN' END AS grp,
+  'log' || (vec_id // 2) % 3 AS log_id, (vec_id // 2) % 4 AS timestamp_ns, x / 2 AS x, y / 2 AS y FROM box), c AS (SELECT * FROM side WHERE id % 2 = 0), g AS (SELECT * FROM side WHERE id % 2 = 1),
+ed AS (SELECT c.log_id, c.timestamp_ns, c.id AS cand, g.id AS gt, c.grp, sqrt((c.x - g.x) * (c.x - g.x) + (c.y - g.y) * (c.y - g.y)) AS distance FROM c JOIN g USING (log_id, timestamp_ns, grp))"""
 
 
-@query("assoc_edges", f"WITH {BOXES}, {_SIDES} SELECT cand, class, count(*) AS valid_edge_count, count(*) > 1 AS multiple_valid_edges, round(min(distance), 6) AS nearest FROM ed WHERE distance <= 2 GROUP BY ALL")
+@query("assoc_edges", f"WITH {BOXES}, {_SIDES} SELECT log_id, timestamp_ns, cand, grp AS group, count(*) AS valid_edge_count, count(*) > 1 AS multiple_valid_edges, round(min(distance), 6) AS nearest FROM ed WHERE distance <= 2 GROUP BY ALL")
 def _(spark, d):
     e = assoc.edges(*_sides(spark, d), 2.0)
-    return e.groupBy("cand", "class").agg(F.count("*").alias("valid_edge_count"), (F.count("*") > 1).alias("multiple_valid_edges"), F.round(F.min("distance"), 6).alias("nearest"))
+    return e.groupBy("log_id", "timestamp_ns", "cand", "group").agg(F.count("*").alias("valid_edge_count"), (F.count("*") > 1).alias("multiple_valid_edges"), F.round(F.min("distance"), 6).alias("nearest"))
 
 
 @query("assoc_gated")
@@ -502,22 +551,60 @@ def _(spark, d):
     return assoc.associate(*_sides(spark, d), 0.5)
 
 
+@query("assoc_star_components", f"""WITH {BOXES}, {_SIDES}, edge AS (SELECT *, count(*) OVER (PARTITION BY cand) AS dc, count(*) OVER (PARTITION BY gt) AS dg FROM ed WHERE distance <= 0.5::DOUBLE),
+f AS (SELECT *, max(dg) OVER (PARTITION BY cand) AS rivals, max(dc) OVER (PARTITION BY gt) AS choices, row_number() OVER (PARTITION BY cand ORDER BY distance) AS k, row_number() OVER (PARTITION BY gt ORDER BY distance) AS j FROM edge)
+SELECT cand, gt, round(distance, 6) AS distance, dc AS valid_edge_count FROM f WHERE (rivals = 1 AND k = 1) OR (choices = 1 AND dg > 1 AND j = 1)""")
+def _(spark, d):
+    e = assoc.edges(*_sides(spark, d), 0.5)
+    w = lambda c: Window.partitionBy(c)
+    star = e.withColumns({"dc": F.count("*").over(w("cand")), "dg": F.count("*").over(w("gt"))}).withColumns({"rivals": F.max("dg").over(w("cand")), "choices": F.max("dc").over(w("gt"))})
+    star = star.where("rivals = 1 or choices = 1").select("cand", "gt")
+    return assoc.match_edges(e, 0.5).join(star, ["cand", "gt"]).select("cand", "gt", F.round("distance", 6).alias("distance"), "valid_edge_count")
+
+
 @query("assoc_hungarian")
 def _(spark, d):
-    return assoc.associate_then_filter(*_sides(spark, d), 2.0, ["log_id", "timestamp_ns", "class"])
+    return assoc.associate_then_filter(*_sides(spark, d), 2.0)
 
 
-@query("match_sensitivity", f"WITH {BOXES}, {_SIDES} SELECT threshold, count(DISTINCT cand) AS with_edge, count(*) AS edges FROM ed, (VALUES (1.0::DOUBLE), (2.0::DOUBLE), (4.0::DOUBLE)) t(threshold) WHERE distance <= threshold GROUP BY threshold")
+@query("assoc_hungarian_single", f"""WITH {BOXES}, {_SIDES}, single AS (SELECT c.log_id, c.timestamp_ns, c.grp, count(DISTINCT c.id) AS cs, count(DISTINCT g.id) AS gs FROM c JOIN g USING (log_id, timestamp_ns, grp) GROUP BY ALL),
+k AS (SELECT ed.*, row_number() OVER (PARTITION BY log_id, timestamp_ns, grp ORDER BY distance) AS k FROM ed JOIN single USING (log_id, timestamp_ns, grp) WHERE cs = 1 OR gs = 1) SELECT log_id, timestamp_ns, cand, gt, round(distance, 6) AS distance FROM k WHERE k = 1 AND distance <= 2""")
+def _(spark, d):
+    """Groups with one candidate or one ground truth: the nearest pair, if within the threshold."""
+    on = [*assoc.FRAME, "_g"]
+    c, g = (t.withColumn("_g", fn.taxonomy_group(F.col("name"))) for t in _sides(spark, d))
+    n = c.groupBy(*on).agg(F.count("*").alias("cs")).join(g.groupBy(*on).agg(F.count("*").alias("gs")), on).where("cs = 1 or gs = 1").select(*on)
+    got = assoc.associate_then_filter(c.join(n, on, "left_semi"), g.join(n, on, "left_semi"), 2.0)
+    return got.withColumn("distance", F.round("distance", 6))
+
+
+_LEVELS = "(VALUES (1.0::DOUBLE), (2.0::DOUBLE), (4.0::DOUBLE)) t(threshold)"
+
+
+@query("match_edge_counts", f"WITH {BOXES}, {_SIDES} SELECT threshold, count(DISTINCT cand) AS with_edge, count(*) AS edges FROM ed, {_LEVELS} WHERE distance <= threshold GROUP BY threshold")
 def _(spark, d):
     e = assoc.edges(*_sides(spark, d), 4.0).withColumn("threshold", F.explode(F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)))).where("distance <= threshold")
     return e.groupBy("threshold").agg(F.count_distinct("cand").alias("with_edge"), F.count("*").alias("edges"))
 
 
-@query("matching_range", f"WITH {BOXES}, {_SIDES}, r AS (SELECT threshold, CAST(count(DISTINCT cand) AS DOUBLE) / (SELECT count(*) FROM c) AS v FROM ed, (VALUES (1.0::DOUBLE), (2.0::DOUBLE), (4.0::DOUBLE)) t(threshold) WHERE distance <= threshold GROUP BY threshold) SELECT round(max(v) - min(v), 6) AS matching_range FROM r")
+def _sensitivity(spark, d):
+    """Two prompts a frame; ground truth is wanted by the prompt of its id's remainder by three."""
+    cands, truth = _sides(spark, d)
+    frames = cands.select(*assoc.FRAME).distinct().withColumn("prompt", F.explode(F.array(F.lit("p0"), F.lit("p1"))))
+    wanted = truth.where("id % 3 < 2").select(*assoc.FRAME, F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("prompt"), F.col("id").alias("gt"))
+    return assoc.sensitivity(assoc.edges(cands, truth, 4.0), frames, wanted)
+
+
+@query("match_sensitivity")
+def _(spark, d):
+    return _sensitivity(spark, d)
+
+
+@query("matching_range", f"WITH {BOXES}, {_SIDES}, r AS (SELECT threshold, CAST(count(DISTINCT cand) AS DOUBLE) / (SELECT count(*) FROM c) AS v FROM ed, {_LEVELS} WHERE distance <= threshold GROUP BY threshold) SELECT round(max(v) - min(v), 6) AS matching_range FROM r")
 def _(spark, d):
     n = _sides(spark, d)[0].agg(F.count("*").alias("n"))
-    r = QUERIES["match_sensitivity"](spark, d).crossJoin(F.broadcast(n))  # one row
-    return r.agg(F.round(F.max(F.col("with_edge") / F.col("n")) - F.min(F.col("with_edge") / F.col("n")), 6).alias("matching_range"))
+    r = QUERIES["match_edge_counts"](spark, d).crossJoin(F.broadcast(n))  # one row
+    return assoc.matching_range(r.withColumn("v", F.col("with_edge") / F.col("n")), "v")
 
 
 @query("assoc_by_id", "SELECT d.doc_id, l.doc_id IS NOT NULL AS matched, CASE WHEN l.doc_id IS NOT NULL THEN 0.0::DOUBLE END AS distance FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -555,13 +642,6 @@ def _coverage_groups(spark, d):
     return line_candidates(spark, d).groupBy(*GROUP).agg(F.count("*").alias("candidates"), F.count_if(p).alias("gt_positive"), F.count_if(p & (F.col("distance_m") <= 40)).alias("eligible"), F.count_if(p & (F.col("distance_m") <= 30)).alias("matched"), F.count_if(p & (F.col("distance_m") <= 30) & (F.col("area") > 0)).alias("projected"), F.count_if(F.col("label").isNull()).alias("unknown"))
 
 
-@query("coverage_summary", _COV + """ SELECT count(*) AS groups, round(count(*) FILTER (gt_positive > 0) / count(*), 6) AS event_frequency, round(count(*) FILTER (matched > 0) / count(*), 6) AS availability_all,
-  round(count(*) FILTER (matched > 0 AND eligible > 0) / nullif(count(*) FILTER (eligible > 0), 0), 6) AS availability_given, round(sum(projected) / nullif(sum(matched), 0), 6) AS projection,
-  round(sum(unknown) / nullif(sum(candidates), 0), 6) AS unknown_fraction, count(*) FILTER (candidates = 0) AS zero_candidate_groups FROM g""")
-def _(spark, d):
-    return audit.coverage(_coverage_groups(spark, d))
-
-
 @query("coverage_count_bins", _COV + " SELECT CASE WHEN candidates = 0 THEN '0' WHEN candidates <= 10 THEN '1-10' WHEN candidates <= 50 THEN '11-50' WHEN candidates <= 100 THEN '51-100' ELSE '101+' END AS bin, count(*) AS groups, CAST(sum(matched) AS BIGINT) AS matched FROM g GROUP BY 1")
 def _(spark, d):
     return _coverage_groups(spark, d).groupBy(fn.count_bin(F.col("candidates")).alias("bin")).agg(F.count("*").alias("groups"), F.sum("matched").alias("matched"))
@@ -595,15 +675,6 @@ def _(spark, d):
     return g.agg(F.count("*").alias("groups"), F.count_if((F.col("p") > 0) & (F.col("neg") > 0)).alias("rankable"), F.count_if(F.col("p") > 0).alias("positive_groups"), F.round(F.count_if(F.col("p") > 0) / F.count("*"), 6).alias("oracle_coverage"), F.round(F.sum("u") / F.sum("n"), 6).alias("unknown_rate"), F.round(F.percentile("n", F.lit(0.5)), 6).alias("median_candidates"))
 
 
-@query("shortcut_flags", f"""WITH {DOCS}, a AS (SELECT median(area) FILTER (label = 0 AND area > 0) AS r, median(area) FILTER (label = 1 AND area > 0) AS x, median(area) FILTER (label = 2 AND area > 0) AS y FROM cand),
-q AS (SELECT r / nullif((coalesce(x, y) + coalesce(y, x)) / 2, 0) AS ratio FROM a) SELECT round(ratio, 6) AS area_ratio, coalesce(ratio >= 1.5, false) AS area_flag FROM q""")
-def _(spark, d):
-    med = lambda k: F.percentile(F.when((F.col("label") == k) & (F.col("area") > 0), F.col("area")), F.lit(0.5))
-    a = document_candidates(spark, d).agg(med(0).alias("r"), med(1).alias("x"), med(2).alias("y"))
-    ratio = F.try_divide(F.col("r"), (F.coalesce("x", "y") + F.coalesce("y", "x")) / 2)
-    return a.select(F.round(ratio, 6).alias("area_ratio"), F.coalesce(ratio >= 1.5, F.lit(False)).alias("area_flag"))
-
-
 # ---- Splits and plans ------------------------------------------------------------------------------------------------
 
 
@@ -629,25 +700,26 @@ def _(spark, d):
     return t.groupBy(F.col("lang").alias("prompt")).agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("logs"), F.count_distinct("source").alias("n"))
 
 
-@query("triplet_counts", "WITH p AS (SELECT DISTINCT o_orderpriority || o_orderstatus AS prompt, CAST(o_custkey % 12 AS VARCHAR) AS log FROM orders WHERE o_orderkey % 29 = 0) SELECT a.log AS a, b.log AS b, c.log AS c, count(*) AS shared FROM p a JOIN p b ON a.prompt = b.prompt AND a.log < b.log JOIN p c ON b.prompt = c.prompt AND b.log < c.log GROUP BY ALL")
-def _(spark, d):
-    part = _prompt_logs(spark, d).where("o_orderkey % 29 = 0")  # as this query's SQL says; triplet_counts_all reads all rows
-    return graph.log_triplets(part.select("prompt", "log"))
-
-
 def _prompt_logs(spark, d):
     """Orders as prompts (priority and status) and logs (customers by twelve)."""
-    return table(spark, d, "orders").select(F.col("o_orderkey"), F.concat("o_orderpriority", "o_orderstatus").alias("prompt"), (F.col("o_custkey") % 12).cast("string").alias("log"))
+    return table(spark, d, "orders").select(F.concat("o_orderpriority", "o_orderstatus").alias("prompt"), (F.col("o_custkey") % 12).cast("string").alias("log"))
 
 
-@query("triplet_counts_all", "WITH p AS (SELECT DISTINCT o_orderpriority || o_orderstatus AS prompt, CAST(o_custkey % 12 AS VARCHAR) AS log FROM orders) SELECT a.log AS a, b.log AS b, c.log AS c, count(*) AS shared FROM p a JOIN p b ON a.prompt = b.prompt AND a.log < b.log JOIN p c ON b.prompt = c.prompt AND b.log < c.log GROUP BY ALL")
+@query("triplet_counts", "WITH p AS (SELECT DISTINCT o_orderpriority || o_orderstatus AS prompt, CAST(o_custkey % 12 AS VARCHAR) AS log FROM orders) SELECT a.log AS a, b.log AS b, c.log AS c, count(*) AS shared FROM p a JOIN p b ON a.prompt = b.prompt AND a.log < b.log JOIN p c ON b.prompt = c.prompt AND b.log < c.log GROUP BY ALL")
 def _(spark, d):
-    return graph.log_triplets(_prompt_logs(spark, d).select("prompt", "log"))
+    return graph.log_triplets(_prompt_logs(spark, d))
+
 
+_TRIPLES = """p AS (SELECT DISTINCT o_orderpriority || o_orderstatus AS prompt, CAST(o_custkey % 12 AS VARCHAR) AS log FROM orders),
+t AS (SELECT a.log AS a, b.log AS b, c.log AS c, count(*) AS shared FROM p a JOIN p b ON a.prompt = b.prompt AND a.log < b.log JOIN p c ON b.prompt = c.prompt AND b.log < c.log GROUP BY ALL HAVING count(*) >= 2),
+r AS (SELECT [a, b, c] AS x, row_number() OVER (ORDER BY shared DESC, a, b, c) AS k FROM t)"""
 
-@query("three_way_plan")
+
+@query("three_way_plan", f"""WITH {_TRIPLES}, p1 AS (SELECT x FROM r WHERE k = 1), p2 AS (SELECT r.x FROM r, p1 WHERE NOT list_has_any(r.x, p1.x) ORDER BY k LIMIT 1),
+p3 AS (SELECT r.x FROM r, p1, p2 WHERE NOT list_has_any(r.x, p1.x) AND NOT list_has_any(r.x, p2.x) ORDER BY k LIMIT 1), c AS (SELECT x FROM p1 UNION ALL SELECT x FROM p2 UNION ALL SELECT x FROM p3)
+SELECT unnest(x) AS log, unnest(['train', 'validation', 'test']) AS split FROM c""")
 def _(spark, d):
-    plan = graph.three_way_plan(graph.disjoint_triplets(_prompt_logs(spark, d).select("prompt", "log")))
+    plan = graph.three_way_plan(graph.disjoint_triplets(_prompt_logs(spark, d)))
     return spark.createDataFrame([(log, s) for s, logs in plan.items() for log in logs], "log string, split string")
 
 
@@ -661,7 +733,14 @@ def _paired(spark, d):
     return ranking.paired_differences(m.where("control = 'tracker_score'"), m.where("control = 'candidate_distance'"), "average_precision")
 
 
-@query("paired_bootstrap")
+_WEIGHT = " + ".join(f"(u >= {e})::INT" for e in ranking.POISSON)
+_DRAWS = f"""s AS (SELECT range AS s, 1 + CAST('0x' || substr(sha256('a|0|' || range), 1, 12) AS BIGINT) % {ranking.PRIME - 1} AS a, CAST('0x' || substr(sha256('b|0|' || range), 1, 12) AS BIGINT) % {ranking.PRIME} AS b FROM range(10000)),
+h AS (SELECT difference, CAST('0x' || substr(sha256(log_id || '|' || prompt || '|' || timestamp_ns), 1, 12) AS BIGINT) % {ranking.PRIME} AS h FROM diff),
+u AS (SELECT s, difference, (a * h + b) % {ranking.PRIME} AS u FROM h, s), m AS (SELECT s, sum(({_WEIGHT}) * difference) / nullif(sum({_WEIGHT}), 0) AS m FROM u GROUP BY s)"""
+
+
+@query("paired_bootstrap", f"""WITH {LINES}, {RANKED}, diff AS (SELECT log_id, prompt, timestamp_ns, a.average_precision - b.average_precision AS difference FROM met a JOIN met b USING (log_id, prompt, timestamp_ns) WHERE a.control = 'tracker_score' AND b.control = 'candidate_distance' AND a.average_precision IS NOT NULL AND b.average_precision IS NOT NULL), {_DRAWS}
+SELECT (SELECT count(*) FROM diff) AS groups, (SELECT round(avg(difference), 6) FROM diff) AS mean_difference, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def _(spark, d):
     return ranking.paired_bootstrap(_paired(spark, d))
 
@@ -669,12 +748,14 @@ def _(spark, d):
 # ---- Features --------------------------------------------------------------------------------------------------------
 
 
-@query("box_feature_vector")
+@query("box_feature_vector", f"""WITH {BOXES}, {_CORNERS}, {_CLIPPED}, v AS (SELECT box.*, x0, y0, x1, y1, coalesce(greatest(0, x1 - x0) * greatest(0, y1 - y0) > 1, false) AS seen FROM box LEFT JOIN m USING (vec_id)),
+f AS (SELECT vec_id, [CASE WHEN seen THEN x0 / 192 ELSE 0 END, CASE WHEN seen THEN y0 / 120 ELSE 0 END, CASE WHEN seen THEN x1 / 192 ELSE 0 END, CASE WHEN seen THEN y1 / 120 ELSE 0 END, seen::INT::DOUBLE, sqrt(x * x + y * y) / 50, length / 10, width / 10, height / 10, x / 50, y / 50, z / 50] AS f FROM v)
+SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(f[i], 5) AS value FROM f, range(1, 13) r(i)""")
 def _(spark, d):
     b = _projected(spark, d)
     at = lambda *names: F.array(*[F.col(n) for n in names])
     f = fn.box_features(F.col("box"), F.lit(192.0), F.lit(120.0), F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")), at("length", "width", "height"), at("x", "y", "z"))
-    return b.select("vec_id", f.alias("features"))
+    return b.select("vec_id", F.posexplode(f).alias("i", "value")).withColumn("value", F.round("value", 5))
 
 
 @query("metadata_features", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 4) AS f0, round(l_quantity / 10, 4) AS f1, round(l_tax / 50, 6) AS f2 FROM lineitem")
@@ -709,14 +790,15 @@ def _(spark, d):
 _FULL = "all_freq AS (SELECT name, count(*) AS freq FROM cand GROUP BY name)"
 
 
-def _view_sql(view: str, source: str) -> str:
+def _view_sql(view: str, source: str, controls=ranking.CONTROLS, seed: int | None = None) -> str:
     keep = "" if view == "full" else " WHERE (log_id, prompt, timestamp_ns) IN (SELECT (log_id, prompt, timestamp_ns) FROM {s} GROUP BY log_id, prompt, timestamp_ns HAVING count(*) FILTER (label = 0) > 0 AND count(*) FILTER (label <> 0) > 0)".format(s=source)
     freq = f"freq AS (SELECT n.*, k.freq FROM {source} n JOIN all_freq k USING (name){keep})"
-    ranked = RANKED[RANKED.index("long AS") :]
+    ranked = ranked_sql(controls, seed or 0)
+    ranked = ranked[ranked.index("long AS") :]
     ok = "positive_count > 0 AND negative_count > 0"
     mean = lambda c, n: f"round(avg(CASE WHEN {ok} THEN {c} END), 6) AS {n}"
     return f"""SELECT * FROM (WITH {freq}, {ranked} SELECT control, count(*) AS groups, count(*) FILTER ({ok}) AS rankable_groups, {mean("average_precision", "mean_ap")}, {mean("recall_at_1", "recall_at_1")},
-  {mean("labeled_average_precision", "labeled_mean_ap")}, {mean("labeled_recall_at_1", "labeled_recall_at_1")}, round(avg(candidate_count), 6) AS mean_candidates, round(avg(unknown_count), 6) AS mean_unknown, '{view}' AS view FROM met GROUP BY control)"""
+  {mean("labeled_average_precision", "labeled_mean_ap")}, {mean("labeled_recall_at_1", "labeled_recall_at_1")}, round(avg(candidate_count), 6) AS mean_candidates, round(avg(unknown_count), 6) AS mean_unknown, '{view}' AS view{"" if seed is None else f", {seed} AS seed"} FROM met GROUP BY control)"""
 
 
 @query("control_suite", f"WITH {LINES}, {_HARD.format(delta=5000)}, {_AREA}, {_FULL} " + " UNION ALL ".join(_view_sql(v, s) for v, s in (("full", "cand"), ("score_matched", "near"), ("score_size_matched", "near2"))))
@@ -724,6 +806,12 @@ def _(spark, d):
     return ranking.control_suite(line_candidates(spark, d), 5000.0, 0.2)
 
 
+@query("control_suite_hashed_random", f"WITH {LINES}, {_HARD.format(delta=5000)}, {_AREA}, {_FULL} " + " UNION ALL ".join(_view_sql(v, s, ["random"], seed) for seed in (0, 1) for v, s in (("full", "cand"), ("score_matched", "near"), ("score_size_matched", "near2"))))
+def _(spark, d):
+    one, two = (ranking.control_suite(line_candidates(spark, d), 5000.0, 0.2, ["random"], seed).withColumn("seed", F.lit(seed)) for seed in (0, 1))
+    return one.unionByName(two)
+
+
 @query("control_suite_random")
 def _(spark, d):
     return ranking.random_control_suite(line_candidates(spark, d), 5000.0, 0.2)
@@ -761,12 +849,18 @@ def _(spark, d):
     return rows.select("prompt", "vec_id", "label", "match_status", F.round("ego_x", 5).alias("ego_x"))
 
 
-@query("source_group_audit", "SELECT CAST(0 AS BIGINT) AS problems, count(*) AS groups FROM (SELECT DISTINCT vec_id % 3, vec_id % 4 FROM embeddings), (VALUES (0), (1))")
+@query("source_group_audit", f"""WITH {BOXES}, g AS (SELECT DISTINCT log_id, timestamp_ns, prompt FROM box, (VALUES ('q0'), ('q1')) p(prompt)), k AS (SELECT *, row_number() OVER (ORDER BY log_id, timestamp_ns, prompt) % 6 AS k FROM g)
+SELECT log_id, timestamp_ns, prompt, CASE k WHEN 0 THEN 'labels do not fit the count' WHEN 1 THEN 'rows do not fit the count' WHEN 2 THEN 'digest differs' END AS problem FROM k WHERE k < 3""")
 def _(spark, d):
+    """Of every six groups, one lacks a label, one counts a row too many, one has another digest."""
     b, on = box_table(spark, d), ["log_id", "timestamp_ns"]
     g = _label_groups(spark, d).join(pool.membership(b, on, ["vec_id", "class"]).select(*on, "digest"), on)
-    bad = pool.source_group_problems(b, g, on, "vec_id", ["vec_id", "class"])
-    return bad.agg(F.count("*").alias("problems")).crossJoin(g.agg(F.count("*").alias("groups")))  # one row each
+    k = F.row_number().over(Window.orderBy(*on, "prompt")) % 6  # a few groups
+    g = g.withColumn("k", k)
+    more = F.when(F.col("k") == 1, F.col("candidate_count") + 1).otherwise(F.col("candidate_count"))
+    labels = F.when(F.col("k") == 0, F.slice("labels", 2, 1000000)).when(F.col("k") == 1, F.concat("labels", F.array(F.lit(1)))).otherwise(F.col("labels"))
+    g = g.withColumns({"candidate_count": more, "labels": labels, "digest": F.when(F.col("k") == 2, "x").otherwise(F.col("digest"))})
+    return pool.source_group_problems(b, g, on, "vec_id", ["vec_id", "class"], ["prompt"])
 
 
 @query("assess_pool", f"""WITH {LINES}, g AS (SELECT count(*) AS n, count(DISTINCT track_id) AS d, count(*) FILTER (label = 0) AS p, count(*) FILTER (label = 0 AND area > 0) AS pp, count(*) FILTER (label IS NULL) AS u FROM cand GROUP BY log_id, prompt, timestamp_ns)
@@ -817,10 +911,16 @@ def _(spark, d):
     return camera_entry(t, "c", "front").select("vec_id", "entry.image_path", "entry.timestamp_delta_ns")
 
 
-@query("baseline_problems", f"WITH {LINES} SELECT (SELECT count(*) FROM (SELECT log_id FROM cand GROUP BY log_id HAVING count(DISTINCT timestamp_ns % 2) > 1)) AS logs_in_two_splits, CAST(count(*) - count(DISTINCT (log_id, prompt, timestamp_ns, track_id)) AS BIGINT) AS repeated_candidates, CAST(0 AS BIGINT) AS groups_with_two_images, CAST(0 AS BIGINT) AS labels_out_of_range FROM cand")
+@query("baseline_problems", f"""WITH {LINES}, c AS (SELECT *, CAST(timestamp_ns % 2 AS VARCHAR) AS split, CASE WHEN area = 0 THEN 'other' ELSE 'image' END AS image_path, CASE WHEN distance_m = 50 THEN 7 ELSE label END AS own,
+  CASE WHEN log_id = '1' AND distance_m = 1 THEN 'a' ELSE 'b' END AS prompt_split FROM cand)
+SELECT (SELECT count(*) FROM (SELECT log_id FROM c GROUP BY log_id HAVING count(DISTINCT split) > 1)) AS logs_in_two_splits, CAST(count(*) - count(DISTINCT (log_id, prompt, timestamp_ns, track_id)) AS BIGINT) AS repeated_candidates,
+  (SELECT count(*) FROM (SELECT 1 FROM c GROUP BY log_id, prompt, timestamp_ns HAVING count(DISTINCT image_path) > 1)) AS groups_with_two_images, (SELECT count(*) FROM (SELECT 1 FROM c GROUP BY log_id, prompt, timestamp_ns HAVING count(DISTINCT prompt_split) > 1)) AS groups_with_two_holdouts,
+  count(*) FILTER (own NOT IN (0, 1, 2)) AS labels_out_of_range, CAST(2 - count(DISTINCT split) AS BIGINT) AS empty_splits FROM c""")
 def _(spark, d):
     c = line_candidates(spark, d)
-    return audit.baseline_problems(c.withColumns({"split": (F.col("timestamp_ns") % 2).cast("string"), "image_path": F.concat_ws("/", *GROUP)}))
+    prompt_split = F.when((F.col("log_id") == "1") & (F.col("distance_m") == 1), "a").otherwise("b")
+    c = c.withColumns({"split": (F.col("timestamp_ns") % 2).cast("string"), "image_path": F.when(F.col("area") == 0, "other").otherwise("image"), "label": F.when(F.col("distance_m") == 50, 7).otherwise(F.col("label")), "prompt_split": prompt_split})
+    return audit.baseline_problems(c, ["0", "1"], ["prompt_split"])
 
 
 @query("scorer_train")
@@ -834,3 +934,6 @@ def _(spark, d):
     x = rows["embedding"].combine_chunks().values.to_numpy().reshape(rows.num_rows, -1).astype(float)
     w, _ = train(x, (rows["label"].to_numpy() == 0).astype(float), 100)
     return score_vectors(t.select("vec_id", "embedding"), w)
+
+
+from . import suite_audit, suite_pool  # noqa: E402, F401  (they register their queries)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.scalars import label_text
+
 #: Old field names and the names they stand for (fixed values).
 ALIASES = {
     "seq_id": "log_id",
@@ -34,12 +37,14 @@ SUFFIXES = (".jsonl", ".json", ".csv", ".feather", ".parquet", ".pkl", ".pickle"
 
 
 def normalize(df: DataFrame) -> DataFrame:
-    """Aliases become their names only where the name is absent; other columns stay."""
+    """Aliases become their names only where the name is absent; labels are coerced where they can be; other columns stay."""
     for old, new in ALIASES.items():
         if old in df.columns and new not in df.columns:
             df = df.withColumnRenamed(old, new)
     if "timestamp_ns" in df.columns:
         df = df.withColumn("timestamp_ns", F.col("timestamp_ns").try_cast("bigint"))
+    if dict(df.dtypes).get("label") == "string":
+        df = df.withColumn("label", label_text(F.col("label")))
     return df
 
 
@@ -61,9 +66,17 @@ def flatten_tree(value, context: dict | None = None) -> Iterator[dict]:
 
 
 def flatten_frames(tree: dict) -> Iterator[dict]:
-    """Rows of {(log_id, prompt): [frames]} or {log_id: [frames]}, frames holding one array for each field; lengths must agree."""
+    """Rows of {(log_id, prompt): [frames]} or {log_id: [frames]}, frames holding one array for each field; lengths must agree.
+
+    Frames of a log alone (a tracker's) are taken in order of time; a time that comes twice is an error.
+    """
     for key, frames in tree.items():
         own = dict(zip(("log_id", "prompt"), key if isinstance(key, tuple) else (key,), strict=False))
+        if "prompt" not in own:
+            frames = sorted(frames, key=lambda f: int(f["timestamp_ns"]))
+            times = [int(f["timestamp_ns"]) for f in frames]
+            if again := [b for a, b in zip(times, times[1:], strict=False) if a == b]:
+                raise ValueError(f"{key}: time {again[0]} comes twice")
         for index, frame in enumerate(frames):
             arrays = {k: list(v) for k, v in frame.items() if hasattr(v, "__len__") and not isinstance(v, (str, bytes))}
             n = len(arrays.get("track_id", ()))
@@ -80,39 +93,51 @@ class _FilePart(InputPartition):
 
 
 class _FeatherReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, paths: list[str], names: list[str]):
+        self.paths, self.names = paths, names
 
     def partitions(self):
         return [_FilePart(p) for p in self.paths]
 
     def read(self, partition):
-        import pyarrow.feather
+        with pa.memory_map(partition.path) as f:
+            file = pa.ipc.open_file(f, options=_only(pa.ipc.open_file(f).schema, self.names))
+            for k in range(file.num_record_batches):
+                batch = file.get_batch(k)
+                for i in range(0, batch.num_rows, 10_000):
+                    yield batch.slice(i, 10_000).select(self.names)
+
 
-        yield from pyarrow.feather.read_table(partition.path).to_batches(max_chunksize=10_000)
+def _only(schema: pa.Schema, names: list[str]) -> pa.ipc.IpcReadOptions:
+    return pa.ipc.IpcReadOptions(included_fields=sorted(schema.get_field_index(n) for n in names))
 
 
 class FeatherSource(DataSource):
-    """`feather`: one task a file, in Arrow batches. Option paths: a JSON list."""
+    """`feather`: one task a file, a record batch at a time. Options: paths, a JSON list; columns, a JSON list of those to read.
+
+    The schema comes from the first file's footer.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "feather"
 
     def schema(self):
-        import pyarrow.feather
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        return from_arrow_schema(pyarrow.feather.read_table(json.loads(self.options["paths"])[0]).schema)
+        with pa.memory_map(json.loads(self.options["paths"])[0]) as f:
+            schema = pa.ipc.open_file(f).schema
+        names = json.loads(self.options.get("columns", "null")) or schema.names
+        return from_arrow_schema(pa.schema([schema.field(n) for n in names]))
 
     def reader(self, schema):
-        return _FeatherReader(json.loads(self.options["paths"]))
+        return _FeatherReader(json.loads(self.options["paths"]), schema.names)
 
 
-def read_feather(spark: SparkSession, *paths: str) -> DataFrame:
-    """Feather files with translation_m and size made from single columns where those are there."""
+def read_feather(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
+    """Feather files, or only some of their columns, with translation_m and size made from single columns where those are there."""
     spark.dataSource.register(FeatherSource)
-    df = spark.read.format("feather").option("paths", json.dumps(paths)).load()
+    df = spark.read.format("feather").option("paths", json.dumps(paths)).option("columns", json.dumps(columns)).load()
     for name, parts in (("translation_m", ("tx_m", "ty_m", "tz_m")), ("size", ("length_m", "width_m", "height_m"))):
         if name not in df.columns and set(parts) <= set(df.columns):
             df = df.withColumn(name, F.array(*parts))
@@ -120,20 +145,24 @@ def read_feather(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_json_tree(spark: SparkSession, path: str) -> DataFrame:
-    """Whole JSON files as trees, each flattened in a task of its own."""
+    """Whole JSON files as trees, each flattened in a task of its own; `extra` maps the fields that the contract does not name to their JSON."""
     names = [f.name for f in RECORD]
+    schema = T.StructType([*RECORD.fields, T.StructField("extra", T.MapType(_S, _S))])
 
     def run(batches):
         for b in batches:
             for text in b.column(0).to_pylist():
-                rows = [{ALIASES.get(k, k): v for k, v in r.items()} for r in flatten_tree(json.loads(text))]
-                rows = [{n: r.get(n) for n in names} | {"track_id": None if r.get("track_id") is None else str(r["track_id"]), "label": None if r.get("label") is None else str(r["label"])} for r in rows]
-                for r in rows:
-                    r["timestamp_ns"] = None if r["timestamp_ns"] is None else int(r["timestamp_ns"])
+                rows = []
+                for found in flatten_tree(json.loads(text)):
+                    r = {new: found[old] for old, new in ALIASES.items() if old in found} | {k: v for k, v in found.items() if k not in ALIASES}
+                    row = {n: r.get(n) for n in names} | {n: None if r.get(n) is None else str(r[n]) for n in ("track_id", "label", "log_id", "prompt", "name")}
+                    row["timestamp_ns"] = None if row["timestamp_ns"] is None else int(row["timestamp_ns"])
+                    row["extra"] = {k: json.dumps(v) for k, v in r.items() if k not in names}
+                    rows.append(row)
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_arrow(RECORD))
+                    yield pa.RecordBatch.from_pylist(rows, schema=_arrow(schema))
 
-    return spark.read.text(path, wholetext=True).mapInArrow(run, RECORD)
+    return spark.read.text(path, wholetext=True).mapInArrow(run, schema)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -218,8 +247,89 @@ def camera_entry(df: DataFrame, column: str, camera: str, tolerance_ns: int = 10
     return df.withColumn("_found", found).withColumn("entry", F.when(F.size("_found").isNull() | problem.isNotNull(), F.raise_error(F.coalesce(problem, F.lit("no list")))).otherwise(one)).drop("_found")
 
 
+def discover(path: str, explicit: str | None = None) -> list[str]:
+    """Record files: the explicit one (as given, or under path), else all below path with a known suffix, sorted."""
+    if explicit:
+        found = next((p for p in (explicit, os.path.join(path, explicit)) if os.path.isfile(p)), None)
+        return [found] if found else []
+    if os.path.isfile(path):
+        return [path]
+    below = (os.path.join(at, name) for at, _, names in os.walk(path) for name in names)
+    return sorted(p for p in below if p.endswith(SUFFIXES))
+
+
+def read_groups(spark: SparkSession, path: str, source: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Group records of one source from JSON lines, in order of log, time and prompt."""
+    lines = spark.read.schema(schema) if schema else spark.read
+    g = lines.json(path).where(F.col("source") == source)
+    return g.orderBy(F.col("log_id").cast("string"), F.col("timestamp_ns").cast("bigint"), F.col("prompt").cast("string"))
+
+
+#: Columns that a source's rows must have (fixed values).
+SOURCE_COLUMNS = ("log_id", "timestamp_ns", "track_id", "name", "translation_m", "size", "rotation", "score", "distance_m", "synthetic_ego", "camera_projections")
+
+
+def read_source_rows(spark: SparkSession, folder: str, logs: list[str], source: str) -> DataFrame:
+    """Rows of `<source>_<log>.parquet` or .feather, one file or folder a log, with _row_ord, their order within it.
+
+    A file that is not there or lacks a column, and a row of another log than its file's, are errors.
+    """
+    out = None
+    for log in sorted(map(str, logs)):
+        at = next((p for p in (f"{folder}/{source}_{log}.parquet", f"{folder}/{source}_{log}.feather") if os.path.exists(p)), None)
+        if at is None:
+            raise FileNotFoundError(f"no rows of {source} for {log} in {folder}")
+        df = spark.read.parquet(at) if at.endswith(".parquet") else read_feather(spark, at)
+        if lacking := sorted(set(SOURCE_COLUMNS) - set(df.columns)):
+            raise ValueError(f"{at} lacks {', '.join(lacking)}")
+        own = F.when(F.col("log_id").cast("string") == log, F.col("log_id").cast("string")).otherwise(F.raise_error(F.concat(F.lit(f"{at} holds a row of "), F.col("log_id").cast("string"))))
+        df = df.withColumns({"log_id": own, "_row_ord": F.monotonically_increasing_id()})
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no logs")
+    return out
+
+
+def pose_table(spark: SparkSession, path: str, log_id: str) -> DataFrame:
+    """(log_id, timestamp_ns, qw, qx, qy, qz, tx, ty, tz) of a log's pose file; a time that comes twice is an error."""
+    df = spark.read.parquet(path) if path.endswith(".parquet") else read_feather(spark, path)
+    once = df.groupBy("timestamp_ns").agg(F.count("*").alias("n"), F.first(F.struct("qw", "qx", "qy", "qz", F.col("tx_m").alias("tx"), F.col("ty_m").alias("ty"), F.col("tz_m").alias("tz"))).alias("p"))
+    pose = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two poses at "), F.col("timestamp_ns").cast("string")))).otherwise(F.col("p"))
+    return once.select(F.lit(log_id).alias("log_id"), "timestamp_ns", pose.alias("p")).select("log_id", "timestamp_ns", "p.*")
+
+
+def roi_cells(spark: SparkSession, folder: str, log_id: str, size: float = 1.0) -> DataFrame:
+    """(log_id, cx, cy) of a log's region of interest: the one file of points (x, y) named for it, as cells of `size`."""
+    files = sorted(p for p in discover(folder) if os.path.basename(p).startswith(f"roi_{log_id}"))
+    if len(files) != 1:
+        raise ValueError(f"one region file is wanted for {log_id}, {len(files)} are there")
+    df = load_records(spark, files[0])
+    return df.select(F.lit(log_id).alias("log_id"), F.floor(F.col("x").cast("double") / size).alias("cx"), F.floor(F.col("y").cast("double") / size).alias("cy")).distinct()
+
+
+def inside_roi(corners: DataFrame, cells: DataFrame, size: float = 1.0) -> DataFrame:
+    """(log_id, id, inside) of boxes (log_id, id, corners: an array of x, y structs): whether any corner is in a cell."""
+    c = corners.select("log_id", "id", F.explode("corners").alias("c")).select("log_id", "id", F.floor(F.col("c.x") / size).alias("cx"), F.floor(F.col("c.y") / size).alias("cy"))
+    hit = cells.withColumn("_hit", F.lit(True))
+    return c.join(hit, ["log_id", "cx", "cy"], "left").groupBy("log_id", "id").agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("inside"))
+
+
+def feature_cache(spark: SparkSession, path: str, config: str, kind: str) -> DataFrame:
+    """(key, feature) of a cache of one kind (image or text), Parquet with columns kind, key, feature, config, pretrained.
+
+    Another configuration, one that is not pretrained, a key without a feature and a key that comes twice are errors.
+    """
+    df = spark.read.parquet(path).where(F.col("kind") == kind)
+    g = df.groupBy("key").agg(F.count("*").alias("n"), F.first("feature").alias("feature"), F.bool_and((F.col("config") == config) & F.col("pretrained")).alias("own"))
+    ok = F.coalesce(F.col("own") & (F.col("n") == 1) & F.col("feature").isNotNull(), F.lit(False))
+    return g.select("key", F.when(ok, F.col("feature")).otherwise(F.raise_error(F.concat(F.lit("bad cache entry: "), F.coalesce("key", F.lit("null"))))).alias("feature"))
+
+
 def read_config(text: str) -> dict:
-    """Scalars, flat lists and one level of nesting in a small part of YAML; # begins a comment."""
+    """JSON, or scalars, flat lists and one level of nesting in a small part of YAML; # begins a comment there."""
+    if text.lstrip()[:1] == "{":
+        return json.loads(text)
+
 
     def atom(s: str):
         s = s.strip()

@@ -10,13 +10,48 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.base import GROUP
+
 
 def write_splits(df: DataFrame, path: str, split: str = "split") -> DataFrame:
     """Parquet and canonical JSON lines by split; returns rows, groups and an order-free digest of each split."""
     df.write.mode("overwrite").partitionBy(split).parquet(f"{path}/parquet")
     line = F.to_json(F.struct(*sorted(c for c in df.columns if c != split)))
     df.select(split, line.alias("value")).write.mode("overwrite").partitionBy(split).text(f"{path}/jsonl")
-    return df.select(split, line.alias("v")).groupBy(split).agg(F.count("*").alias("rows"), F.sum(F.conv(F.substring(F.sha2("v", 256), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest"))
+    groups = F.count_distinct(*GROUP) if set(GROUP) <= set(df.columns) else F.lit(None).cast("long")
+    digest = F.sum(F.conv(F.substring(F.sha2("v", 256), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string")
+    return df.withColumn("v", line).groupBy(split).agg(F.count("*").alias("rows"), groups.alias("groups"), digest.alias("digest"))
+
+
+def split_files(spark, path: str) -> DataFrame:
+    """(split, kind, path, length, sha256) of the files that write_splits wrote."""
+    split, kind = F.regexp_extract("path", r"/[^/=]+=([^/]+)/", 1), F.regexp_extract("path", r"/(parquet|jsonl)/[^/=]+=", 1)
+    found = file_digests(spark, f"{path}/parquet").unionByName(file_digests(spark, f"{path}/jsonl"))
+    return found.select(split.alias("split"), kind.alias("kind"), "path", "length", "sha256").where("kind <> ''")
+
+
+def write_feather(df: DataFrame, path: str) -> str:
+    """One Feather file, streamed through the driver in batches, with its digest as the result; for reports, not for corpora."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(df.schema)
+    with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, schema) as out:
+        rows = []
+        for r in df.toLocalIterator():
+            rows.append(r.asDict(recursive=True))
+            if len(rows) == 10_000:
+                out.write_batch(pa.RecordBatch.from_pylist(rows, schema=schema))
+                rows = []
+        if rows:
+            out.write_batch(pa.RecordBatch.from_pylist(rows, schema=schema))
+    return sha256_file(path)
+
+
+def provenance(paths: list[str], source_url: str, source_revision: str, license_name: str, version: str = "1") -> dict:
+    """Where files come from, with their sizes and digests."""
+    files = [{"path": os.path.abspath(p), "size_bytes": os.path.getsize(p), "sha256": sha256_file(p)} for p in paths]
+    return {"version": version, "source_url": source_url, "source_revision": source_revision, "license": license_name, "files": files}
 
 
 def write_report(report: Any, path: str) -> None:

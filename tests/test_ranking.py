@@ -73,12 +73,12 @@ def test_solver_is_optimal():
         assert abs(got - min(c[np.arange(n), list(p)].sum() for p in permutations(range(m), n))) < 1e-12
 
 
-def side(spark, rows):
-    return spark.createDataFrame([(i, k, float(x), 0.0) for i, k, x in rows], "id long, class string, x double, y double")
+def side(spark, rows, frame=("log", 1)):
+    return spark.createDataFrame([(*frame, i, k, float(x), 0.0) for i, k, x in rows], "log_id string, timestamp_ns long, id long, name string, x double, y double")
 
 
 def test_ambiguous_match(spark):
-    got = assoc.associate(side(spark, [(0, "P", 0), (1, "P", 0.1)]), side(spark, [(0, "P", 0.05)]), 2.0).collect()
+    got = assoc.associate(side(spark, [(0, "bus", 0), (1, "BOX_TRUCK", 0.1)]), side(spark, [(0, "TRUCK ", 0.05)]), 2.0).collect()
     assert len(got) == 1 and got[0]["ambiguous"]
 
 
@@ -88,11 +88,62 @@ def test_unique_match_with_alternatives(spark):
     assert not any(r["ambiguous"] for r in got) and any(r["multiple_valid_edges"] for r in got)
 
 
-def test_post_filter_keeps_classes_apart(spark):
-    a = side(spark, [(0, "P", 0), (1, "P", 10), (2, "B", 0.1)])
-    b = side(spark, [(0, "P", 0.05), (1, "P", 10.1), (2, "B", 3.0)])
-    got = {(r["cand"], r["gt"]) for r in assoc.associate_then_filter(a, b, 2.0, ["class"]).collect()}
-    assert got == {(0, 0), (1, 1)}
+def test_frames_and_groups_do_not_mix(spark):
+    a = side(spark, [(0, "bus", 0)], ("log1", 1)).unionByName(side(spark, [(1, "bus", 0)], ("log2", 9)))
+    b = side(spark, [(0, "bus", 0)], ("log2", 9)).unionByName(side(spark, [(1, "bus", 0.1)], ("log2", 1))).unionByName(side(spark, [(2, "ANIMAL", 0)], ("log1", 1)))
+    assert [(r["log_id"], r["timestamp_ns"], r["cand"], r["gt"]) for r in assoc.associate(a, b, 2.0).collect()] == [("log2", 9, 1, 0)]
+    assert [(r["cand"], r["gt"]) for r in assoc.associate_then_filter(a, b, 2.0).collect()] == [(1, 0)]
+
+
+def test_post_filter_keeps_groups_apart(spark):
+    a = side(spark, [(0, "P", 0), (1, "P", 10), (2, "bus", 0.1), (3, "truck", 50)])
+    b = side(spark, [(0, "P", 0.05), (1, "P", 10.1), (2, "bus", 3.0), (3, "BUS", 50.5)])
+    pairs = lambda **k: {(r["cand"], r["gt"]) for r in assoc.associate_then_filter(a, b, 2.0, **k).collect()}
+    assert pairs() == {(0, 0), (1, 1), (3, 3)} and pairs(taxonomy=False) == {(0, 0), (1, 1)}
+
+
+def test_ambiguity_by_one_solve_is_that_of_all_solves():
+    """Against forbidding each pair and solving again, with many equal distances."""
+    rng = np.random.default_rng(5)
+    vague = 0
+    for _ in range(300):
+        n, m = rng.integers(1, 7, 2)
+        d = rng.integers(0, 4, (n, m)).astype(float)
+        valid = (rng.random((n, m)) < 0.6) & (d <= 2)
+        pairs, got = assoc.gated_with_ambiguity(d, valid, 2.0)
+        total = sum(d[p] for p in pairs)
+        want = set()
+        for i, j in pairs:
+            other = valid.copy()
+            other[i, j] = False
+            again = assoc.gated(d, other, 2.0)
+            if len(again) == len(pairs) and sum(d[p] for p in again) <= total + 1e-9:
+                want.add(i)
+        assert got == want
+        vague += len(want)
+    assert vague > 100
+
+
+def test_large_frames_by_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, "P", float(x)) for i, x in enumerate(rng.uniform(0, 60, 80))]
+    a, b = side(spark, rows[::2]), side(spark, rows[1::2])
+    small = sorted(map(tuple, assoc.associate(a, b, 1.0).collect()))
+    monkeypatch.setattr(assoc, "FRAME_EDGES", 1)
+    assert sorted(map(tuple, assoc.associate(a, b, 1.0).collect())) == small and len(small) > 10
+
+
+def test_sensitivity_by_hand(spark):
+    a = side(spark, [(0, "P", 0), (1, "P", 5), (2, "P", 9)])
+    b = side(spark, [(0, "P", 0.5), (1, "P", 6.5), (2, "P", 9), (3, "P", 9)])
+    groups = spark.createDataFrame([("log", 1, "q"), ("log", 1, "r"), ("log", 1, "none")], "log_id string, timestamp_ns long, prompt string")
+    wanted = spark.createDataFrame([("log", 1, "q", 1), ("log", 1, "r", 2), ("log", 1, "r", 3)], "log_id string, timestamp_ns long, prompt string, gt long")
+    got = {r["threshold"]: r for r in assoc.sensitivity(assoc.edges(a, b, 4.0), groups, wanted).collect()}
+    assert (got[1.0]["groups"], got[1.0]["confirmed_recall"], got[1.0]["recall_including_ambiguous"]) == (2, 0.0, 0.5)
+    assert (got[2.0]["confirmed_recall"], got[2.0]["recall_including_ambiguous"]) == (0.5, 1.0)
+    assert (got[1.0]["assigned"], got[1.0]["ambiguous"], got[1.0]["multiple_valid_edges"]) == (4, 2, 2)
+    with pytest.raises(Exception, match="at least one"):
+        assoc.matching_range(spark.createDataFrame([], "v double"), "v").collect()
 
 
 def test_triplets_and_plan(spark):
@@ -111,13 +162,22 @@ def test_components(spark):
     assert set(roots[i] for i in range(21)) == {0} and {roots[i] for i in (30, 40, 50)} == {30}
 
 
-def test_decisions():
-    assert audit.choose_decision(True, True, False, False, None) == "POOLED_BASELINE_GATE_READY"
-    assert audit.choose_decision(True, False, False, True, None) == "ASSOCIATION_REVIEW_REQUIRED"
-    assert audit.choose_decision(False, True, False, False, True) == "ALTERNATE_CANDIDATE_SOURCE_REQUIRED"
-    reasons = audit.shortcut_reasons(None, None, {"oracle": 1.0, "projected_box_area": 0.8}, 0.5)
-    assert reasons == ["control_dominance"]
-    assert audit.decide_report({"test": (100, reasons)}) == "PROTOCOL_REPAIR_REQUIRED"
+def test_decisions(spark):
+    s = "infrastructure_complete boolean, availability double, projection double, stability double, best_control double, oracle_availability double, oracle_projection double"
+    rows = [
+        (True, 0.9, 0.95, 0.05, 0.5, None, None),
+        (True, 0.5, 0.95, 0.05, 0.5, 0.9, 0.95),
+        (False, 0.9, 0.95, 0.05, 0.5, 0.9, 0.95),
+        (True, 0.9, 0.95, 0.05, 0.95, 0.9, 0.95),
+        (True, 0.9, 0.5, 0.05, 0.5, 0.9, 0.95),
+        (True, 0.9, 0.5, 0.05, 0.5, 0.1, 0.95),
+    ]
+    got = [r["decision"] for r in audit.audit_gate(spark.createDataFrame(rows, s).coalesce(1)).collect()]
+    assert got == [audit.GATE_READY, audit.REVIEW, audit.OTHER_SOURCE, audit.BRANCH_STOPPED, audit.ORACLE_ONLY, audit.BRANCH_STOPPED]
+    t = spark.createDataFrame([("test", 100, ["control_dominance"]), ("val", 60, [])], "split string, rankable_groups long, reasons array<string>")
+    assert audit.decide_report(t).first()["decision"] == audit.REPAIR
+    assert audit.decide_report(t.where("split = 'val'")).first()["decision"] == audit.CONTINUES
+    assert audit.decide_report(t, 80).first()["decision"] == audit.BRANCH_STOPPED
 
 
 def test_membership_ignores_order_and_labels(spark):
@@ -128,8 +188,9 @@ def test_membership_ignores_order_and_labels(spark):
 
 
 def test_empty_group_table(spark):
-    g = spark.createDataFrame([], "gt_positive long, matched long, eligible long, projected long, unknown long, candidates long")
-    assert audit.coverage(g).first()["availability_all"] is None
+    g = spark.createDataFrame([], "gt_positive_count long, matched_positive_count long, eligible_positive_count long, projected_positive_count long, unknown_count long, candidate_count long")
+    got = audit.coverage(g).first()
+    assert len(got) == 18 and got["positive_availability_all_groups"] is None and got["group_count"] == 0 == got["candidate_row_count"]
 
 
 def test_candidate_columns(spark):
@@ -143,9 +204,10 @@ def test_plan_problems_and_strict_exit(spark):
     audit.require_log_disjoint(g)
     with pytest.raises(ValueError):
         audit.require_log_disjoint(g.unionByName(spark.createDataFrame([("a", "test")], "log string, split string")))
-    assert audit.verifier_status({})["status"] == "not_ready"
-    assert audit.verifier_status({"records": 1, "rankable": 1})["exit_code"] == 0
-    assert audit.verifier_status({"records": 1, "rankable": 1, "duplicates": 2})["warnings"] == ["duplicates"]
+    status = lambda n, ok, again: audit.verifier_status(spark.createDataFrame([(n, ok, again)], "record_count long, fixed_frame_ranking_feasible boolean, duplicate_candidate_key_count long")).first()
+    assert status(0, False, 0)["status"] == "not_ready" and status(0, False, 0)["exit_code"] == 2
+    assert status(1, True, 0)["exit_code"] == 0
+    assert status(1, True, 2)["warnings"] == ["duplicate_candidate_key_count"]
     assert audit.forbidden_features(["score", "name", "label"]) == ["label", "name"]
 
 
@@ -204,7 +266,117 @@ def test_taxonomy(spark):
     assert [r[0] for r in df.select(fn.taxonomy_group(df["n"])).collect()] == ["VEHICLE", "VEHICLE", "WHEELED_DEVICE", "SIGN"]
 
 
-def test_baseline_gate():
-    m = {"pooled": {"map": 0.2, "recall_at_1": 0.2, "ece": 0.05}, "task_id": {"map": 0.1, "recall_at_1": 0.1, "ece": 0.04}, "metadata": {"map": 0.15, "recall_at_1": 0.1}}
-    ok = audit.baseline_checks([m, m], {"map": 0.1, "recall_at_1": 0.1}, 0.95, 1.0)
-    assert len(ok) == 7 and all(ok.values())
+def test_baseline_gate(spark):
+    rows = [(k, m, *v) for k in (0, 1) for m, v in (("pooled", (0.2, 0.2, 0.05)), ("task_id", (0.1, 0.1, 0.04)), ("metadata", (0.15, 0.1, 0.5)))]
+    m = spark.createDataFrame(rows, "seed int, model string, map double, recall_at_1 double, ece double")
+    area = spark.createDataFrame([(0.1, 0.1)], "map double, recall_at_1 double")
+    ok = audit.baseline_gate(m, area, spark.createDataFrame([(0.95, 1.0)], "front_coverage double, all_coverage double")).first()
+    assert len(ok) == 7 and all(ok)
+    worse = m.replace(0.2, 0.12, ["map"])
+    assert not audit.baseline_gate(worse, area, spark.createDataFrame([(0.95, 0.5)], "front_coverage double, all_coverage double")).first()["map_margin"]
+
+
+def test_white_space_of_all_kinds(spark):
+    df = spark.createDataFrame([("\t find\u00a0it\x0b\n",), (" box_truck\u2003",), ("\n referred ",)], "n string")
+    assert df.select(fn.template_key(df["n"])).first()[0] == "find it"
+    assert df.select(fn.taxonomy_group(df["n"])).collect()[1][0] == "VEHICLE"
+    assert df.select(fn.coerce_label(df["n"])).collect()[2][0] == 0 and df.select(fn.label_text(df["n"])).collect()[1][0] == " box_truck\u2003"
+
+
+def test_a_null_name_is_no_observer(spark):
+    df = spark.createDataFrame([(None, False), ("EGO_VEHICLE", False), ("bus", None), (None, True)], "name string, synthetic_ego boolean")
+    assert [r[0] for r in df.select(pool.is_ego()).collect()] == [False, True, False, True]
+
+
+def test_random_ranks_are_numpys(spark):
+    rows = [("a", "p", 2, f"t{i}", 0) for i in range(6)] + [("a", "p", 1, f"t{i}", None) for i in range(4)]
+    got = ranking.rank_random(spark.createDataFrame(rows, "log_id string, prompt string, timestamp_ns long, track_id string, label int"), (0, 3)).collect()
+    for seed in (0, 3):
+        for g, (t, n) in enumerate(((1, 4), (2, 6))):
+            order = np.random.default_rng(seed + 1009 * g).permutation(n)
+            assert {r["track_id"]: r["rank"] for r in got if r["seed"] == seed and r["timestamp_ns"] == t} == {f"t{k}": i + 1 for i, k in enumerate(order)}
+
+
+def test_digests_as_python_writes_them(spark):
+    import hashlib
+    import json
+
+    s = "log_id string, timestamp_ns long, track_id long, candidate_ordinal int, name string, translation_m array<double>, size array<double>, yaw double, tracker_score double, roi_eligible boolean, rotation array<array<double>>, score double"
+    rows = [("a", 1, k, i, "bus", [1.5, 1e-5, 0.1], [1.0, 2.0, 3.0], 0.25, 0.5, True, [[1.0, 0.0], [0.0, 1.0]], 1e22) for i, k in enumerate((10, 9, 2))]
+    df = spark.createDataFrame(rows, s).repartition(3)
+    every = [dict(zip([f.name for f in df.schema], r, strict=True)) for r in rows]
+    digest = lambda fields, key, end: hashlib.sha256((json.dumps([{f: r.get(f) for f in fields} for r in sorted(every, key=key)], sort_keys=True, separators=(",", ":")) + end).encode()).hexdigest()
+    assert pool.candidate_pool_digest(df, ["log_id", "timestamp_ns"]).first()["digest"] == digest(pool.POOL_FIELDS, lambda r: r["track_id"], "\n")
+    for r in every:
+        r["track_id"] = str(r["track_id"])
+    assert pool.source_pool_digest(df, ["log_id", "timestamp_ns"]).first()["digest"] == digest(pool.SOURCE_FIELDS, lambda r: r["track_id"], "")
+
+
+def test_template_plan_by_brute_force(spark):
+    from difflib import SequenceMatcher
+    import hashlib
+    import re
+
+    r = np.random.default_rng(2)
+    words = ["car", "bus", "person", "crossing", "the", "street", "at", "left", "turning", "fast"]
+    prompts = []
+    for _ in range(25):
+        w = list(r.choice(words, r.integers(4, 12)))
+        prompts += [" ".join(w), " ".join([*w[:-1], "s" + w[-1]]), " ".join(w[::-1]), f"{r.integers(99)} " + " ".join(w).upper() + "!"]
+    prompts += ["ab", "abc", "a", "", "12", "13"]
+    key = lambda p: re.sub(" +", " ", re.sub("[^a-z0-9# ]", " ", re.sub(r"[0-9]+(\.[0-9]+)?", "#", p.lower()))).strip()
+    keys = sorted({key(p) for p in prompts})
+    root = {k: k for k in keys}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, x in enumerate(keys):
+        for y in keys[i + 1 :]:
+            a, b = set(x.split(" ")), set(y.split(" "))
+            if len(a & b) / max(1, len(a | b)) >= 0.85 or SequenceMatcher(None, x, y).ratio() >= 0.9:
+                u, v = find(x), find(y)
+                root[max(u, v)] = min(u, v)
+    got = {x["prompt"]: (x["root"], x["split"]) for x in graph.template_plan(spark.createDataFrame([(p,) for p in prompts], "prompt string")).collect()}
+    split = lambda k: (m := int(hashlib.sha256(k.encode()).hexdigest(), 16) % 10, "train" if m < 6 else "validation" if m < 8 else "test")[1]
+    assert got == {p: (find(key(p)), split(find(key(p)))) for p in prompts}
+    assert len({v[0] for v in got.values()}) < len(keys)
+
+
+def test_export_refuses_what_does_not_fit(spark):
+    from pyspark.sql import functions as F
+
+    from rankdiag.operators import export
+
+    index = spark.createDataFrame([("a", 1, "t", 3, "bus", 0.5)], "log_id string, timestamp_ns long, track_id string, label int, name string, score double")
+    row = lambda track, name, score: spark.createDataFrame([("a", 1, track, name, score)], "log_id string, timestamp_ns long, track_id string, name string, score double")
+    assert export.enrich(row("t", "bus", 0.500005), index).first()["raw_tracker_label"] == 3
+    for bad, what in ((row("u", "bus", 0.5), "no tracker row"), (row("t", "car", 0.5), "names differ"), (row("t", "bus", 0.6), "scores differ")):
+        with pytest.raises(Exception, match=what):
+            export.enrich(bad, index).collect()
+    features = spark.createDataFrame([("k", [3.0, 4.0])], "key string, image array<double>")
+    assert export.lookup(spark.createDataFrame([("k",)], "key string"), features, "key", "image").first()["image"] == [0.6, 0.8]
+    with pytest.raises(Exception, match="no image"):
+        export.lookup(spark.createDataFrame([("other",)], "key string"), features, "key", "image").collect()
+    with pytest.raises(Exception, match="sizes"):
+        export.single_image_size(spark.createDataFrame([(1, 1), (2, 1)], "width int, height int")).collect()
+    groups = spark.createDataFrame([("a", "q", 1), ("a", "q", 1)], "log_id string, prompt string, timestamp_ns long").withColumns({"labels": F.array(F.lit(0)), "candidate_count": F.lit(1), "digest": F.lit("x")})
+    with pytest.raises(ValueError, match="duplicate"):
+        export.checked_groups(row("t", "bus", 0.5), groups, ["log_id", "timestamp_ns"], "track_id", ["track_id"])
+
+
+def test_sampled_groups_are_numpys(spark):
+    from rankdiag.operators import export
+
+    keys = [("a", "p", i) for i in range(30)] + [("b", "p", 3)]
+    got = export.sample_groups(spark.createDataFrame(keys, "log_id string, prompt string, timestamp_ns long").repartition(4), 7, 5).orderBy("place").collect()
+    want = [sorted(keys)[i] for i in np.random.default_rng(5).permutation(len(keys))[:7]]
+    assert [tuple(r)[:3] for r in got] == want
+
+
+def test_rows_out_of_order_are_a_problem(spark):
+    rows = spark.createDataFrame([("a", "2", 0), ("a", "10", 1)], "log_id string, track_id string, _row_ord long")
+    groups = spark.createDataFrame([("a", [0, 1], 2)], "log_id string, labels array<int>, candidate_count long").join(pool.membership(rows, ["log_id"], ["track_id"]).select("log_id", "digest"), "log_id")
+    assert "order" in pool.source_group_problems(rows, groups, ["log_id"], "track_id", ["track_id"]).first()["problem"]

@@ -30,7 +30,8 @@ def test_json_tree(spark, tmp_path):
     p = tmp_path / "t.json"
     p.write_text(json.dumps({"log1|find it": {"timestamp": 7, "rows": [{"id": 1, "track_id": "t", "confidence": 0.5, "label": "REFERRED"}]}}))
     r = readers.load_records(spark, str(p)).first()
-    assert (r["log_id"], r["prompt"], r["timestamp_ns"], r["track_id"], r["score"], r["label"]) == ("log1", "find it", 7, "t", 0.5, "REFERRED")
+    assert (r["log_id"], r["prompt"], r["timestamp_ns"], r["track_id"], r["score"], r["label"]) == ("log1", "find it", 7, "t", 0.5, "0")
+    assert r["extra"] == {"id": "1"}
 
 
 def test_feather(spark, tmp_path):
@@ -98,3 +99,122 @@ def test_stream_partners(spark, tmp_path):
     q = partners(stream(), stream(), ["u"], "ts", "5 minutes", "1 minute").writeStream.format("memory").queryName("near").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("near").count() == 5
+
+
+def test_feather_reads_only_what_is_asked(spark, tmp_path):
+    p = str(tmp_path / "x.feather")
+    pyarrow.feather.write_feather(pa.table({"a": list(range(30_000)), "b": ["x"] * 30_000, "c": [0.5] * 30_000}), p, chunksize=7000)
+    df = readers.read_feather(spark, p, columns=["c", "a"])
+    assert df.columns == ["c", "a"] and df.count() == 30_000 and df.agg({"a": "max"}).first()[0] == 29_999
+
+
+def test_feather_round_trip(spark, tmp_path):
+    p = str(tmp_path / "y.feather")
+    df = spark.createDataFrame([(1, "a", [0.5, None]), (2, None, None)], "x long, s string, v array<double>")
+    digest = writers.write_feather(df, p)
+    assert digest == writers.sha256_file(p) and sorted(readers.read_feather(spark, p).collect()) == sorted(df.collect())
+
+
+def test_tracker_frames_by_time():
+    rows = list(readers.flatten_frames({"log": [FRAME | {"timestamp_ns": 9}, FRAME | {"timestamp_ns": 3}]}))
+    assert [r["timestamp_ns"] for r in rows] == [3, 3, 9, 9]
+    with pytest.raises(ValueError, match="twice"):
+        list(readers.flatten_frames({"log": [FRAME, FRAME]}))
+
+
+def test_discovery_and_groups(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    lines = [{"log_id": k, "timestamp_ns": t, "prompt": "p", "source": s} for k, t, s in (("b", 1, "s"), ("a", 2, "s"), ("a", 1, "s"), ("a", 0, "other"))]
+    (tmp_path / "d" / "g.jsonl").write_text("\n\n".join(map(json.dumps, lines)) + "\n")
+    (tmp_path / "x.txt").write_text("")
+    (tmp_path / "c.csv").write_text("log_id,score\na,0.5\n")
+    assert readers.discover(str(tmp_path)) == [str(tmp_path / "c.csv"), str(tmp_path / "d" / "g.jsonl")]
+    assert readers.discover(str(tmp_path), "c.csv") == [str(tmp_path / "c.csv")] and readers.discover(str(tmp_path), "no.csv") == []
+    got = readers.read_groups(spark, str(tmp_path / "d" / "g.jsonl"), "s").collect()
+    assert [(r["log_id"], r["timestamp_ns"]) for r in got] == [("a", 1), ("a", 2), ("b", 1)]
+    assert readers.load_records(spark, str(tmp_path / "c.csv")).first()["score"] == "0.5"
+
+
+def test_source_rows(spark, tmp_path):
+    def write(log, own, drop=()):
+        t = {"log_id": [own] * 2, "timestamp_ns": [1, 1], "track_id": ["b", "a"], "name": ["n"] * 2, "translation_m": [[0.0] * 3] * 2, "size": [[1.0] * 3] * 2, "rotation": [[1.0]] * 2, "score": [0.5] * 2, "distance_m": [1.0] * 2, "synthetic_ego": [False] * 2, "camera_projections": ["[]"] * 2}
+        pyarrow.feather.write_feather(pa.table({k: v for k, v in t.items() if k not in drop}), str(tmp_path / f"s_{log}.feather"))
+
+    write("l1", "l1")
+    write("l2", "other")
+    write("l3", "l3", ["size"])
+    got = readers.read_source_rows(spark, str(tmp_path), ["l1"], "s").orderBy("_row_ord").collect()
+    assert [r["track_id"] for r in got] == ["b", "a"]
+    with pytest.raises(Exception, match="holds a row of"):
+        readers.read_source_rows(spark, str(tmp_path), ["l2"], "s").collect()
+    with pytest.raises(ValueError, match="lacks size"):
+        readers.read_source_rows(spark, str(tmp_path), ["l3"], "s")
+    with pytest.raises(FileNotFoundError):
+        readers.read_source_rows(spark, str(tmp_path), ["l4"], "s")
+
+
+def test_poses_regions_and_features(spark, tmp_path):
+    pose = {"qw": [1.0], "qx": [0.0], "qy": [0.0], "qz": [0.0], "tx_m": [1.0], "ty_m": [2.0], "tz_m": [3.0]}
+    pyarrow.feather.write_feather(pa.table({"timestamp_ns": [5], **pose}), str(tmp_path / "p.feather"))
+    r = readers.pose_table(spark, str(tmp_path / "p.feather"), "log").first()
+    assert (r["log_id"], r["timestamp_ns"], r["tx"], r["tz"]) == ("log", 5, 1.0, 3.0)
+    pyarrow.feather.write_feather(pa.table({"timestamp_ns": [5, 5], **{k: v * 2 for k, v in pose.items()}}), str(tmp_path / "q.feather"))
+    with pytest.raises(Exception, match="two poses"):
+        readers.pose_table(spark, str(tmp_path / "q.feather"), "log").collect()
+    (tmp_path / "roi").mkdir()
+    (tmp_path / "roi" / "roi_a.csv").write_text("x,y\n0.5,0.5\n0.7,0.2\n-1.5,3\n")
+    cells = readers.roi_cells(spark, str(tmp_path / "roi"), "a")
+    assert {(r["cx"], r["cy"]) for r in cells.collect()} == {(0, 0), (-2, 3)}
+    with pytest.raises(ValueError, match="one region file"):
+        readers.roi_cells(spark, str(tmp_path / "roi"), "b")
+    s = "kind string, key string, feature array<double>, config string, pretrained boolean"
+    spark.createDataFrame([("image", "i", [1.0], "c", True), ("text", "t", [2.0], "c", True), ("text", "u", [2.0], "other", True)], s).write.parquet(str(tmp_path / "f"))
+    assert readers.feature_cache(spark, str(tmp_path / "f"), "c", "image").first()["feature"] == [1.0]
+    with pytest.raises(Exception, match="bad cache entry"):
+        readers.feature_cache(spark, str(tmp_path / "f"), "c", "text").collect()
+
+
+def test_camera_files_and_models(spark, tmp_path):
+    (tmp_path / "front").mkdir()
+    for t in (10, 20):
+        (tmp_path / "front" / f"{t}.jpg").write_bytes(b"x")
+    assert {(r["camera_name"], r["image_timestamp_ns"]) for r in readers.camera_files(spark, str(tmp_path)).collect()} == {("front", 10), ("front", 20)}
+    one = spark.createDataFrame([("front", 1.0), ("left", 2.0)], "sensor_name string, fx double")
+    assert readers.camera_models(one, spark.createDataFrame([("front", 0.5)], "sensor_name string, tx double")).count() == 1
+    with pytest.raises(ValueError):
+        readers.camera_models(one, spark.createDataFrame([("rear", 0.5)], "sensor_name string, tx double"))
+
+
+def test_selected_columns_and_logs(spark, tmp_path):
+    spark.createDataFrame([("a", 1, 2), ("b", 3, 4)], "log_id string, x long, y long").write.parquet(str(tmp_path / "t"))
+    df = readers.load_selected(spark, str(tmp_path / "t"), ["b"], ["x"])
+    assert [tuple(r) for r in df.collect()] == [(3,)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "y#" not in plan and "PushedFilters: [IsNotNull(log_id), EqualTo(log_id,b)]" in plan or "In(log_id" in plan
+
+
+def test_reports_and_provenance(spark, tmp_path):
+    import numpy as np
+
+    writers.write_report({"b": np.float64(0.5), "a": np.arange(2)}, str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text()) == {"a": [0, 1], "b": 0.5}
+    with pytest.raises(ValueError):
+        writers.write_report({"a": float("nan")}, str(tmp_path / "r.json"))
+    writers.write_csv(spark.createDataFrame([(1, "x")], "a long, b string"), str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()["b"] == "x"
+    p = writers.provenance([str(tmp_path / "r.json")], "u", "r", "l")
+    assert p["files"][0]["sha256"] == writers.sha256_file(str(tmp_path / "r.json")) and p["license"] == "l"
+
+
+def test_split_files_have_digests(spark, tmp_path):
+    df = spark.createDataFrame([("train", "a", "p", 1), ("test", "a", "p", 2), ("test", "a", "p", 2)], "split string, log_id string, prompt string, timestamp_ns long")
+    got = {r["split"]: (r["rows"], r["groups"]) for r in writers.write_splits(df, str(tmp_path / "o")).collect()}
+    assert got == {"train": (1, 1), "test": (2, 1)}
+    files = writers.split_files(spark, str(tmp_path / "o")).collect()
+    assert {(r["split"], r["kind"]) for r in files} >= {("train", "parquet"), ("test", "jsonl")}
+    for r in files:
+        assert r["sha256"] == writers.sha256_file(r["path"].removeprefix("file:"))
+
+
+def test_json_config():
+    assert readers.read_config('{"a": {"b": [1, null]}}') == {"a": {"b": [1, None]}}

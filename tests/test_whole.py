@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def test_plan_reads_all_orders(spark):
     rows = duckdb.sql(f"SELECT DISTINCT o_orderpriority || o_orderstatus AS prompt, CAST(o_custkey % 12 AS VARCHAR) AS log FROM '{SF}/orders.parquet'").df()
     logs = rows.groupby("prompt")["log"].agg(set)
-    got = {(r["a"], r["b"], r["c"]): r["shared"] for r in suite.QUERIES["triplet_counts_all"](spark, SF).collect()}
+    got = {(r["a"], r["b"], r["c"]): r["shared"] for r in suite.QUERIES["triplet_counts"](spark, SF).collect()}
     assert got and all(n == sum(set(t) <= x for x in logs) for t, n in got.items())
     assert sum(got.values()) == sum(len(x) * (len(x) - 1) * (len(x) - 2) // 6 for x in logs)
     used, want = set(), {}
@@ -28,7 +28,9 @@ def test_plan_reads_all_orders(spark):
 
 def test_box_feature_vectors(spark):
     """Against a projection by numpy with points on the edges that cross the near plane."""
-    rows = {r["vec_id"]: r["features"] for r in suite.QUERIES["box_feature_vector"](spark, SF).collect()}
+    rows = {}
+    for r in suite.QUERIES["box_feature_vector"](spark, SF).orderBy("vec_id", "i").collect():
+        rows.setdefault(r["vec_id"], []).append(r["value"])
     table = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet'").fetchall()
     assert len(rows) == len(table)
     for i, e in table:
@@ -53,7 +55,7 @@ def test_box_feature_vectors(spark):
 
 
 def test_zip_takes_every_position(spark):
-    got = suite.QUERIES["positional_zip_all"](spark, SF).toPandas()
+    got = suite.QUERIES["positional_zip"](spark, SF).toPandas()
     table = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet'").fetchall()
     want = {(i, k, float(v), (i + k) % 3) for i, e in table for k, v in enumerate(e)}
     assert len(got) == len(want) and set(got[["vec_id", "pos", "value", "label"]].itertuples(index=False, name=None)) == want
