@@ -294,7 +294,8 @@ def dedup_text(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, text
     found = cut(slim.mapInArrow(_cover(length, anchor), PIECES), "pieces")
     # An anchor that one piece has, once, matches nothing; most are of that kind, and only the others are looked at further.
     busy = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
-    shared = cut(found.join(busy.hint("merge"), "anchor", "left_semi"), "shared")
+    # Dealt by document, so that no file holds most rows of a frequent anchor and joins with them can be split.
+    shared = cut(found.join(busy.hint("merge"), "anchor", "left_semi").repartition("key"), "shared")
     remove(found, busy)
     counted = shared.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "windows")).alias("own"))
     counted = cut(counted, "counted")
