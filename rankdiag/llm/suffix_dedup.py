@@ -17,11 +17,12 @@ ties), so equal windows have the same anchor at the same place. Consecutive wind
 window lies in exactly one piece. Pieces are counted before any text moves: an anchor with one piece that occurs once matches
 nothing and leaves first, a piece that occurs twice is wholly repeated. Only distinct pieces of anchors with two or more
 of them need an index. Their text goes to the task of its anchor, where indexes of at most CHUNK letters are built
-over whole anchors. An anchor with more bytes than HOT is dealt out as pairs of blocks, so no task holds an unbounded
-group. Marks return as intervals per document; the last step merges and removes them.
+over whole anchors. An anchor with more bytes than HOT would be a hot group: its windows are instead counted by their
+hashes, each window in one row, with partial sums, so no text is copied and no task holds an unbounded group. Marks
+return as intervals per document; the last step merges and removes them.
 
-Pieces are counted by two 64-bit hashes (anchor and whole piece); matches between different pieces are found on the
-bytes themselves.
+Pieces, and windows of busy anchors, are counted by two 64-bit hashes (anchor and the whole of it); other matches
+between different pieces are found on the bytes themselves.
 
 Defined cases: null and empty texts have 0 bytes and nothing removed. Rows equal in id and text are copies of each
 other. A null doc_id is an id like any other. Extra columns pass through `dedup_text`; the added ones replace columns
@@ -39,7 +40,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Rolling, cut, flat, groups, mix, packed, pieces, remove, row_key, table, unpacked
-from .near_dedup import blocks
 
 LENGTH, ANCHOR = 400, 128
 CHUNK = 1 << 20  # so that two ranks and a position fit into 63 bits
@@ -91,22 +91,33 @@ def _cover(length: int, anchor: int):
     return run
 
 
+FETCHED = "anchor long, key long, start long, copies long, text binary, window long"
+
+
 def _fetch(length: int):
-    """Documents with the list of pieces asked of them -> those pieces' bytes."""
+    """Documents with the list of pieces asked of them -> those pieces' bytes, or (hot) a row for each of their windows."""
+    names = [c.split()[0] for c in FETCHED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             wanted = b.column(2)
             at, vals = wanted.offsets.to_numpy(), wanted.values
-            f = {x: vals.field(x).to_numpy(zero_copy_only=False) for x in ("start", "windows", "anchor", "copies", "p", "q")}
+            f = {x: vals.field(x).to_numpy(zero_copy_only=False) for x in ("start", "windows", "anchor", "copies", "hot")}
             for i in range(b.num_rows):
                 text = unpacked(b.column(1).slice(i, 1))[0] or b""
-                for k in range(at[i], at[i + 1], 4096):
-                    g = slice(k, min(k + 4096, at[i + 1]))
-                    lo = f["start"][g]
-                    cut_ = [text[x : x + y + length - 1] for x, y in zip(lo.tolist(), f["windows"][g].tolist(), strict=True)]
-                    key = pa.array(np.full(len(lo), b.column(0)[i].as_py(), np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(f["anchor"][g]), pa.array(f["p"][g]), pa.array(f["q"][g]), key, pa.array(lo), pa.array(f["copies"][g]), pa.array(cut_, pa.binary())], ["anchor", "p", "q", "key", "start", "copies", "text"])
+                own = b.column(0)[i].as_py()
+                for k in range(at[i], at[i + 1], 1024):
+                    g = np.arange(k, min(k + 1024, at[i + 1]))
+                    cold, hot = g[~f["hot"][g]], g[f["hot"][g]]
+                    if len(cold):
+                        cut_ = [text[x : x + y + length - 1] for x, y in zip(f["start"][cold].tolist(), f["windows"][cold].tolist(), strict=True)]
+                        key = pa.array(np.full(len(cold), own, np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(f["anchor"][cold]), key, pa.array(f["start"][cold]), pa.array(f["copies"][cold]), pa.array(cut_, pa.binary()), pa.nulls(len(cold), pa.int64())], names)
+                    for j in hot.tolist():
+                        x, n = int(f["start"][j]), int(f["windows"][j])
+                        h = Rolling(np.frombuffer(text[x : x + n + length - 1], np.uint8)).all(length)
+                        same = lambda v, n=n: pa.array(np.full(n, v, np.int64))
+                        yield pa.RecordBatch.from_arrays([same(f["anchor"][j]), same(own), pa.array(np.arange(x, x + n)), same(f["copies"][j]), pa.nulls(n, pa.binary()), pa.array(mix(h).view(np.int64))], names)
 
     return run
 
@@ -204,11 +215,11 @@ def repeats(texts: list[np.ndarray], length: int) -> list[np.ndarray]:
 
 
 def _index(length: int):
-    """Pieces sorted by (anchor, p, q) -> intervals (key, lo, hi) of pieces that occur once."""
+    """Pieces sorted by anchor -> intervals (key, lo, hi) of pieces that occur once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        held_n, last = 0, None
+        held_n = 0
 
         def mark() -> Iterator[pa.RecordBatch]:
             out: tuple[list, list, list] = ([], [], [])
@@ -222,16 +233,14 @@ def _index(length: int):
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["key", "lo", "hi"])
 
-        for t, at in groups(batches, ["anchor", "p", "q"], 256):
+        for t, at in groups(batches, ["anchor"], 256):
             off, data = flat(t["text"])
-            anchor, key, start, copies = (t[c].combine_chunks().to_numpy() for c in ("anchor", "key", "start", "copies"))
+            key, start, copies = (t[c].combine_chunks().to_numpy() for c in ("key", "start", "copies"))
             for a, b in zip(at[:-1], at[1:], strict=True):
                 n = int(off[b] - off[a] + b - a)
-                # Pairs of blocks of one anchor share pieces, so each needs an index of its own.
-                if held and (held_n + n > CHUNK - 8 or anchor[a] == last):
+                if held and held_n + n > CHUNK - 8:
                     yield from mark()
                     held_n = 0
-                last = anchor[a]
                 held += [(int(key[i]), int(start[i]), int(copies[i]), data[off[i] : off[i + 1]]) for i in range(a, b)]
                 held_n += n
         if held:
@@ -301,15 +310,19 @@ def dedup_text(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, text
     counted = cut(counted, "counted")
     whole = shared.join(counted.where("copies > 1").select("anchor", "piece"), ["anchor", "piece"], "left_semi").select("key", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + length - 1).alias("hi"))
     anchors = counted.groupBy("anchor").agg(F.count("*").alias("_pieces"), F.sum(F.col("own.windows") + length).alias("_bytes")).where("_pieces > 1")
-    rival = counted.join(anchors, "anchor").withColumn("n", F.ceil(F.col("_bytes") / F.lit(HOT)))
-    rival = blocks(rival, "piece", 1).select(F.col("own.key").alias("key"), F.struct("own.start", "own.windows", "anchor", "copies", "p", "q").alias("w"))
+    anchors = cut(anchors, "rivals")  # as above: a join with a written table can be split
+    rival = counted.join(anchors.hint("merge"), "anchor").select(F.col("own.key").alias("key"), F.struct("own.start", "own.windows", "anchor", "copies", (F.col("_bytes") > HOT).alias("hot")).alias("w"))
     wanted = rival.groupBy("key").agg(F.collect_list("w").alias("w"))
-    fetched = packed(slim, "text").join(wanted, "key").select("key", "_packed", "w").mapInArrow(_fetch(length), "anchor long, p int, q int, key long, start long, copies long, text binary")
-    dealt = fetched.repartition("anchor", "p", "q").sortWithinPartitions("anchor", "p", "q")
+    fetched = cut(packed(slim, "text").join(wanted, "key").select("key", "_packed", "w").mapInArrow(_fetch(length), FETCHED), "fetched")
+    dealt = fetched.where("text is not null").select("anchor", "key", "start", "copies", "text").repartition("anchor").sortWithinPartitions("anchor")
     partly = dealt.mapInArrow(_index(length), "key long, lo long, hi long")
+    windows = fetched.where("text is null").select("anchor", "window", "key", "start")
+    again = cut(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window"), "windows")
+    met = windows.join(again.hint("merge"), ["anchor", "window"], "left_semi").select("key", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
+    partly = partly.unionByName(met)
     spans = whole.unionByName(partly).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("_s"))
     spans = cut(spans, "spans")
-    remove(shared, counted)
+    remove(shared, counted, anchors, fetched, again)
     spans = spans.withColumnRenamed("key", "_k")
     keyed = packed(docs.withColumn("_key", row_key(F.col("doc_id"), F.col(text))), text)
     joined = keyed.join(spans, F.col("_key") == F.col("_k"), "left")
