@@ -84,7 +84,10 @@ def similar_prompts(prompts: DataFrame, jaccard_least: float = 0.85, ratio_least
     sets = grams.groupBy("id").agg(F.collect_list(F.concat_ws("#", "g", "c")).alias("items"))
     share = ratio_least / 2 - (1 - ratio_least)  # of T, less one
     least = lambda n: F.greatest(F.lit(1), F.floor(share * (1 + ratio_least / (2 - ratio_least)) * (n + 1)) - 1)
-    r = _prefix_pairs(sets, least)
+    g = sets.join(once, "id").select("id", "items", F.length("key").alias("n"))
+    r = _prefix_pairs(sets, least).join(g.select(F.col("id").alias("a"), F.col("items").alias("ga"), F.col("n").alias("na")), "a").join(g.select(F.col("id").alias("b"), F.col("items").alias("gb"), F.col("n").alias("nb")), "b")
+    # The same bound for the two lengths at hand; few pairs are left for the ratio itself.
+    r = r.where(2 * F.least("na", "nb") >= ratio_least * (F.col("na") + F.col("nb")) - 1e-6).where(F.size(F.array_intersect("ga", "gb")) >= share * (F.col("na") + F.col("nb")) - 1 - 1e-6).select("a", "b")
     by_ratio = r.join(x, "a").join(y, "b").where(sequence_ratio(F.least("ka", "kb"), F.greatest("ka", "kb")) >= ratio_least).select("a", "b")
     return equal.unionByName(by_token).unionByName(by_ratio).distinct()
 
