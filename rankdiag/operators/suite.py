@@ -525,13 +525,16 @@ def _(spark, d):
 
 
 _CLASS_NAMES = ("BOX_TRUCK", "bus ", "BICYCLE", "BICYCLIST", " pedestrian", "PEDESTRIAN", "STROLLER", "WHEELCHAIR", "Sign", "SIGN")
-_SIDE_NAME = F.element_at(F.array(*map(F.lit, _CLASS_NAMES)), (F.col("class") + 1).cast("int"))
+
+
+def _side_name():
+    return F.element_at(F.array(*map(F.lit, _CLASS_NAMES)), (F.col("class") + 1).cast("int"))
 
 
 def _sides(spark, d):
     """Boxes by pairs of ids into frames, even ids as candidates and odd ones as ground truth."""
     k = F.floor(F.col("vec_id") / 2)
-    b = box_table(spark, d).select(F.col("vec_id").alias("id"), _SIDE_NAME.alias("name"), F.concat(F.lit("log"), (k % 3).cast("string")).alias("log_id"), (k % 4).alias("timestamp_ns"), (F.col("x") / 2).alias("x"), (F.col("y") / 2).alias("y"))
+    b = box_table(spark, d).select(F.col("vec_id").alias("id"), _side_name().alias("name"), F.concat(F.lit("log"), (k % 3).cast("string")).alias("log_id"), (k % 4).alias("timestamp_ns"), (F.col("x") / 2).alias("x"), (F.col("y") / 2).alias("y"))
     return b.where("id % 2 = 0"), b.where("id % 2 = 1")
 
 

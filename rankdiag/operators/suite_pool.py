@@ -10,7 +10,7 @@ from ..functions import scalars as fn
 from ..plans.base import BOXES, DOCS, GROUP, LINES, box_table, document_candidates, line_candidates, table
 from . import align, audit, export, graph, pool, ranking
 from .registry import query
-from .suite import _CORNERS, _R, _SIDE_NAME, _cornered
+from .suite import _CORNERS, _R, _cornered, _side_name
 
 # ---- Pools -------------------------------------------------------------------------------------------------------------
 
@@ -47,7 +47,7 @@ def _detections(spark, d):
     b = box_table(spark, d)
     size = F.when(F.col("vec_id") % 17 == 0, F.array(F.lit(float("inf")), "width", "height")).when(F.col("vec_id") % 19 != 0, F.array("length", "width", "height"))
     place = F.row_number().over(Window.partitionBy("log_id", "timestamp_ns").orderBy("vec_id")) - 1
-    return b.select("log_id", "timestamp_ns", F.col("vec_id").alias("track_id"), place.alias("candidate_ordinal"), _SIDE_NAME.alias("name"), F.col("class").alias("label"), "score", F.array("x", "y", "z").alias("translation_m"), size.alias("size"), "yaw", (F.col("vec_id") % 2 == 0).alias("roi"))
+    return b.select("log_id", "timestamp_ns", F.col("vec_id").alias("track_id"), place.alias("candidate_ordinal"), _side_name().alias("name"), F.col("class").alias("label"), "score", F.array("x", "y", "z").alias("translation_m"), size.alias("size"), "yaw", (F.col("vec_id") % 2 == 0).alias("roi"))
 
 
 @query("candidate_pool", f"""WITH {BOXES}, o AS (SELECT *, CAST(row_number() OVER (PARTITION BY log_id, timestamp_ns ORDER BY vec_id) - 1 AS INTEGER) AS candidate_ordinal, {_GRP} AS taxonomy_group FROM box)
