@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import jaccard, prompt_key, split_bucket
+from .prompts import sequence_ratio
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -67,8 +68,6 @@ def similar_prompts(prompts: DataFrame, jaccard_least: float = 0.85, ratio_least
     """
     if ratio_least < 0.9:
         raise ValueError("candidates by ratio are whole from 0.9 on")
-    from .prompts import sequence_ratio  # a user function needs a session, which workers lack
-
     equal = prompts.groupBy("key").agg(F.min("id").alias("a"), F.collect_list("id").alias("ids")).select("a", F.explode("ids").alias("b")).where("a <> b")
     once = prompts.groupBy("key").agg(F.min("id").alias("id"))
     tokens = once.select("id", "key", F.array_distinct(F.split("key", " ")).alias("items"))

@@ -308,10 +308,12 @@ def _(spark, d):
 
 @query("prompt_ratio_pairs")
 def _(spark, d):
+    """All pairs of prompts that are near-duplicates, among benchmark texts and copies of them without their ends."""
     from .prompts import ratio_pairs
 
     p = table(spark, d, "benchmark").select("item_id", fn.prompt_key(F.col("text")).alias("key"))
-    return ratio_pairs(p, _prompt_pairs(spark, d, 0.1).select("a", "b"))
+    p = p.unionByName(p.select((F.col("item_id") + 1_000_000).alias("item_id"), F.expr("left(key, length(key) - 5)").alias("key")))
+    return ratio_pairs(p, graph.similar_prompts(p.withColumnRenamed("item_id", "id")))
 
 
 _PART_NAME = "CASE p_partkey % 4 WHEN 0 THEN chr(9) || 'box_truck' WHEN 1 THEN 'Truck' || chr(10) WHEN 2 THEN 'pedestrian' ELSE upper(p_type) END"

@@ -1,4 +1,5 @@
 import json
+import os
 import pickle
 
 import pyarrow as pa
@@ -218,3 +219,11 @@ def test_split_files_have_digests(spark, tmp_path):
 
 def test_json_config():
     assert readers.read_config('{"a": {"b": [1, null]}}') == {"a": {"b": [1, None]}}
+
+
+def test_imports_need_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; import rankdiag.operators.export, rankdiag.streaming.nearest; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
