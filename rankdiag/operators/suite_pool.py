@@ -211,7 +211,7 @@ def _(spark, d):
     return graph.template_plan(_prompts(spark, d))
 
 
-@query("template_plan_equal", """WITH p AS (SELECT DISTINCT lang || ' in ' || CAST(n_chars % 90 AS VARCHAR) || ' Source ' || coalesce(source, '') AS prompt FROM documents), k AS (SELECT prompt, trim(regexp_replace(regexp_replace(regexp_replace(lower(prompt), '[0-9]+(\\.[0-9]+)?', '#', 'g'), '[^a-z0-9# ]', ' ', 'g'), ' +', ' ', 'g')) AS key FROM p)
+@query("prompt_keys", """WITH p AS (SELECT DISTINCT lang || ' in ' || CAST(n_chars % 90 AS VARCHAR) || ' Source ' || coalesce(source, '') AS prompt FROM documents), k AS (SELECT prompt, trim(regexp_replace(regexp_replace(regexp_replace(lower(prompt), '[0-9]+(\\.[0-9]+)?', '#', 'g'), '[^a-z0-9# ]', ' ', 'g'), ' +', ' ', 'g')) AS key FROM p)
 SELECT prompt, key FROM k""")
 def _(spark, d):
     p = table(spark, d, "documents").select(F.concat("lang", F.lit(" in "), (F.col("n_chars") % 90).cast("string"), F.lit(" Source "), F.coalesce("source", F.lit(""))).alias("prompt")).distinct()
