@@ -88,21 +88,76 @@ def gradients(x: np.ndarray, y: np.ndarray, w: Weights, category: np.ndarray | N
     return loss, out
 
 
+class _AdamW:
+    """AdamW steps over a dictionary of weights."""
+
+    def __init__(self, w: Weights, rate: float, decay: float):
+        self.w, self.rate, self.decay, self.i = w, rate, decay, 0
+        self.m, self.v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
+
+    def step(self, g: Weights) -> None:
+        self.i += 1
+        for k, w in self.w.items():
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g[k]
+            self.v[k] = 0.999 * self.v[k] + 0.001 * g[k] ** 2
+            self.w[k] = w * (1 - self.rate * self.decay) - self.rate * (self.m[k] / (1 - 0.9**self.i)) / (np.sqrt(self.v[k] / (1 - 0.999**self.i)) + 1e-8)
+
+
 def train(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 3e-4, decay: float = 1e-4, seed: int = 0, weights: Weights | None = None, **inputs) -> tuple[Weights, list[float]]:
-    """AdamW on labeled rows (y: 1 for a positive); the caller bounds the sample that it brings here."""
+    """AdamW on labeled rows (y: 1 for a positive), all in each step; the caller bounds the sample that it brings here."""
     w = {k: a.copy() for k, a in (weights or start(x.shape[1], seed=seed)).items()}
-    m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
-    losses = []
-    for i in range(1, steps + 1):
+    by, losses = _AdamW(w, rate, decay), []
+    for _ in range(steps):
         loss, g = gradients(x, y, w, **inputs)
         losses.append(loss)
-        for k in w:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-            w[k] = w[k] * (1 - rate * decay) - rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.999**i)) + 1e-8)
+        by.step(g)
     return w, losses
 
 
+def train_groups(x: np.ndarray, label: np.ndarray, group: np.ndarray, epochs: int = 5, rate: float = 3e-4, decay: float = 1e-4, seed: int = 0, weights: Weights | None = None, **inputs) -> tuple[Weights, list[float]]:
+    """As train, one step for each rankable group in a seeded order anew each epoch; the losses are epochs' means.
+
+    label: 0 for a positive, 1 and 2 for negatives, NaN for unknown rows, which train nothing. Groups without a positive or
+    without a negative train nothing either.
+    """
+    w = {k: a.copy() for k, a in (weights or start(x.shape[1], seed=seed)).items()}
+    by, losses, rng = _AdamW(w, rate, decay), [], np.random.default_rng(seed)
+    known = np.isin(label, (0, 1, 2))
+    rows = [np.flatnonzero((group == g) & known) for g in np.unique(group)]
+    rows = [r for r in rows if (label[r] == 0).any() and (label[r] != 0).any()]
+    for _ in range(epochs):
+        total = []
+        for i in rng.permutation(len(rows)):
+            r = rows[i]
+            loss, g = gradients(x[r], (label[r] == 0).astype(float), w, **{k: v[r] for k, v in inputs.items()})
+            total.append(loss)
+            by.step(g)
+        losses.append(float(np.mean(total)) if total else float("nan"))
+    return w, losses
+
+
+def score_inputs(inputs: DataFrame, weights: Weights, *key: str) -> DataFrame:
+    """(key..., logit) of every row of scorer inputs (candidate, category, prompt_id, image, text), unknown labels included.
+
+    Which inputs count is what the weights hold: of context modes the image, and the prompt or the text.
+    """
+    wanted = [c for c, part in (("image", "image"), ("prompt_id", "prompt"), ("text", "text")) if part in weights]
+    slim = inputs.select(*key, "candidate", "category", *wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = lambda c: c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1).astype(float)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = dict(zip(b.schema.names, b.columns, strict=True))
+            context = {"prompt" if c == "prompt_id" else c: at[c].to_numpy() if c == "prompt_id" else wide(at[c]) for c in wanted}
+            logit = forward(wide(at["candidate"]), weights, at["category"].to_numpy(), **context)
+            yield pa.RecordBatch.from_arrays([*[at[k] for k in key], pa.array(logit)], [*key, "logit"])
+
+    kinds = dict(slim.dtypes)
+    return slim.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", logit double")
+
+
 def score_vectors(vectors: DataFrame, weights: Weights | None = None) -> DataFrame:
     """(vec_id, logit) for every row, unknown labels included."""
 

@@ -271,14 +271,26 @@ def _(spark, d):
 @query("scorer_inputs", f"""WITH {LINES}, v AS (SELECT name AS raw, row_number() OVER (ORDER BY substr(name, 2)) AS id FROM (SELECT DISTINCT name FROM cand WHERE timestamp_ns < 1994 AND name <> 'p3')), w AS (SELECT prompt, row_number() OVER (ORDER BY prompt) AS pid FROM (SELECT DISTINCT prompt FROM cand WHERE timestamp_ns < 1994 AND prompt <> 'AF'))
 SELECT track_id, CAST(coalesce(v.id, 0) AS INTEGER) AS category, CAST(coalesce(w.pid, 0) AS INTEGER) AS prompt_id, round(least(area, 100) / 200, 6) AS box_right, round(distance_m / 50, 6) AS distance, round(score, 4) AS first_metadata, round(CAST(substr(name, 2) AS DOUBLE) / 10, 4) AS second_metadata, 1.0::DOUBLE AS image_norm, 1.0::DOUBLE AS text_norm FROM cand LEFT JOIN v ON name = raw LEFT JOIN w USING (prompt)""")
 def _(spark, d):
+    x = _inputs(spark, d)
+    norm = lambda v: F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, b: a + b * b)), 6)
+    return x.select("track_id", "category", "prompt_id", F.round(F.get("candidate", 2), 6).alias("box_right"), F.round(F.get("candidate", 5), 6).alias("distance"), F.round(F.get("metadata", 0), 4).alias("first_metadata"), F.round(F.get("metadata", 1), 4).alias("second_metadata"), norm("image").alias("image_norm"), norm("text").alias("text_norm"))
+
+
+@query("scorer_scores")
+def _(spark, d):
+    """Every candidate's logit under the first weights of the mode that knows image and prompt."""
+    from .scorer import score_inputs, start
+
+    return score_inputs(_inputs(spark, d), start(12, 21, "task_id", 7, 2), "track_id")
+
+
+def _inputs(spark, d):
     c = line_candidates(spark, d).withColumns({"raw_tracker_label": F.expr("cast(substr(name, 2) as int)"), "image_path": F.concat(F.lit("i"), F.col("timestamp_ns").cast("string"))})
     c = c.withColumns({"projected_box": F.array(F.lit(0.0), F.lit(0.0), F.least(F.col("area"), F.lit(100.0)), F.lit(1.0)), "size": F.array(F.lit(1.0)), "translation_m": F.array(F.lit(1.0))})
     train = c.where("timestamp_ns < 1994")
     images = c.select("image_path").distinct().withColumn("image", F.array(F.lit(3.0), F.lit(4.0)))
     texts = c.select("prompt").distinct().withColumn("text", F.array(F.lit(1.0), F.lit(1.0)))
-    x = export.build_inputs(c, export.vocabulary(train.where("name <> 'p3'"), "raw_tracker_label"), export.vocabulary(train.where("prompt <> 'AF'"), "prompt"), images, texts, 200.0, 1.0)
-    norm = lambda v: F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, b: a + b * b)), 6)
-    return x.select("track_id", "category", "prompt_id", F.round(F.get("candidate", 2), 6).alias("box_right"), F.round(F.get("candidate", 5), 6).alias("distance"), F.round(F.get("metadata", 0), 4).alias("first_metadata"), F.round(F.get("metadata", 1), 4).alias("second_metadata"), norm("image").alias("image_norm"), norm("text").alias("text_norm"))
+    return export.build_inputs(c, export.vocabulary(train.where("name <> 'p3'"), "raw_tracker_label"), export.vocabulary(train.where("prompt <> 'AF'"), "prompt"), images, texts, 200.0, 1.0)
 
 
 @query("sample_groups_numpy")

@@ -380,3 +380,23 @@ def test_rows_out_of_order_are_a_problem(spark):
     rows = spark.createDataFrame([("a", "2", 0), ("a", "10", 1)], "log_id string, track_id string, _row_ord long")
     groups = spark.createDataFrame([("a", [0, 1], 2)], "log_id string, labels array<int>, candidate_count long").join(pool.membership(rows, ["log_id"], ["track_id"]).select("log_id", "digest"), "log_id")
     assert "order" in pool.source_group_problems(rows, groups, ["log_id"], "track_id", ["track_id"]).first()["problem"]
+
+
+def test_training_by_groups(spark):
+    from rankdiag.operators import scorer
+
+    r = np.random.default_rng(1)
+    group, x = np.repeat(np.arange(12), 10), r.normal(size=(120, 4))
+    label = np.where(x[:, 0] > 0.5, 0.0, 2.0)
+    label[r.random(120) < 0.2] = np.nan
+    label[group == 3] = 0.0  # not rankable
+    w, losses = scorer.train_groups(x, label, group, 20, 1e-2)
+    assert losses[-1] < losses[0] / 2
+    again, _ = scorer.train_groups(x[group != 3], label[group != 3], group[group != 3], 20, 1e-2)
+    assert all(np.array_equal(w[k], again[k]) for k in w)  # what is not rankable trains nothing
+    w = scorer.start(4, 3, "task_id", 5, 2, seed=2)
+    rows = [(str(i), x[i].tolist(), i % 3, i % 5, [0.6, 0.8]) for i in range(30)]
+    df = spark.createDataFrame(rows, "track_id string, candidate array<double>, category int, prompt_id int, image array<double>").repartition(3)
+    got = {y["track_id"]: y["logit"] for y in scorer.score_inputs(df, w, "track_id").collect()}
+    want = scorer.forward(x[:30], w, np.arange(30) % 3, prompt=np.arange(30) % 5, image=np.tile([0.6, 0.8], (30, 1)))
+    assert all(abs(got[str(i)] - want[i]) < 1e-12 for i in range(30))
