@@ -94,6 +94,11 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def row_twin(doc_id: Column, text: Column) -> Column:
+    """Beside row_key, a second value by another hash, so that the two together tell any rows apart."""
+    return F.xxhash64(F.lit(7919), text, F.coalesce(doc_id, F.lit(-1)), F.octet_length(text))
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

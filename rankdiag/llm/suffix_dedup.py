@@ -19,7 +19,8 @@ nothing and leaves first, a piece that occurs twice is wholly repeated. Only dis
 of them need an index. Their text goes to the task of its anchor, where indexes of at most CHUNK letters are built
 over whole anchors. An anchor with more bytes than HOT would be a hot group: its windows are instead counted by their
 hashes, each window in one row, with partial sums, so no text is copied and no task holds an unbounded group. Marks
-return as intervals per document; the last step merges and removes them.
+return as intervals per document; the last step merges and removes them. Documents are known by two 64-bit hashes of id
+and text; the text of rows equal in both is fetched once, so an index gets no more bytes than were counted for it.
 
 Pieces, and windows of busy anchors, are counted by two 64-bit hashes (anchor and the whole of it); other matches
 between different pieces are found on the bytes themselves.
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, flat, groups, mix, packed, pieces, remove, row_key, table, unpacked
+from .common import Rolling, cut, flat, groups, mix, packed, pieces, remove, row_key, row_twin, table, unpacked
 
 LENGTH, ANCHOR = 400, 128
 CHUNK = 1 << 20  # so that two ranks and a position fit into 63 bits
@@ -75,23 +76,23 @@ def cover(data: np.ndarray, off: np.ndarray, length: int, anchor: int) -> tuple[
     return row[head], head - off[row[head]], end - head, gram[at[head]], roll.of(head, end - 1 + length)
 
 
-PIECES = "key long, start long, windows long, anchor long, piece long"
+PIECES = "key long, twin long, start long, windows long, anchor long, piece long"
 
 
 def _cover(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            off, data = flat(b.column(1))
-            key = b.column(0).to_numpy()
+            off, data = flat(b.column(2))
+            key, twin = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, j in pieces(off):
                 row, start, n, a, p = cover(data[off[i] : off[j]], off[i : j + 1] - off[i], length, anchor)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i:j][row]), pa.array(start), pa.array(n), pa.array(a.view(np.int64)), pa.array(p.view(np.int64))], ["key", "start", "windows", "anchor", "piece"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i:j][row]), pa.array(twin[i:j][row]), pa.array(start), pa.array(n), pa.array(a.view(np.int64)), pa.array(p.view(np.int64))], ["key", "twin", "start", "windows", "anchor", "piece"])
 
     return run
 
 
-FETCHED = "anchor long, key long, start long, copies long, text binary, window long"
+FETCHED = "anchor long, key long, twin long, start long, copies long, text binary, window long"
 
 
 def _fetch(length: int):
@@ -100,24 +101,24 @@ def _fetch(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wanted = b.column(2)
+            wanted = b.column(3)
             at, vals = wanted.offsets.to_numpy(), wanted.values
             f = {x: vals.field(x).to_numpy(zero_copy_only=False) for x in ("start", "windows", "anchor", "copies", "hot")}
             for i in range(b.num_rows):
-                text = unpacked(b.column(1).slice(i, 1))[0] or b""
-                own = b.column(0)[i].as_py()
+                text = unpacked(b.column(2).slice(i, 1))[0] or b""
+                own, other = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 for k in range(at[i], at[i + 1], 1024):
                     g = np.arange(k, min(k + 1024, at[i + 1]))
                     cold, hot = g[~f["hot"][g]], g[f["hot"][g]]
                     if len(cold):
                         cut_ = [text[x : x + y + length - 1] for x, y in zip(f["start"][cold].tolist(), f["windows"][cold].tolist(), strict=True)]
-                        key = pa.array(np.full(len(cold), own, np.int64))
-                        yield pa.RecordBatch.from_arrays([pa.array(f["anchor"][cold]), key, pa.array(f["start"][cold]), pa.array(f["copies"][cold]), pa.array(cut_, pa.binary()), pa.nulls(len(cold), pa.int64())], names)
+                        key, twin = (pa.array(np.full(len(cold), v, np.int64)) for v in (own, other))
+                        yield pa.RecordBatch.from_arrays([pa.array(f["anchor"][cold]), key, twin, pa.array(f["start"][cold]), pa.array(f["copies"][cold]), pa.array(cut_, pa.binary()), pa.nulls(len(cold), pa.int64())], names)
                     for j in hot.tolist():
                         x, n = int(f["start"][j]), int(f["windows"][j])
                         h = Rolling(np.frombuffer(text[x : x + n + length - 1], np.uint8)).all(length)
                         same = lambda v, n=n: pa.array(np.full(n, v, np.int64))
-                        yield pa.RecordBatch.from_arrays([same(f["anchor"][j]), same(own), pa.array(np.arange(x, x + n)), same(f["copies"][j]), pa.nulls(n, pa.binary()), pa.array(mix(h).view(np.int64))], names)
+                        yield pa.RecordBatch.from_arrays([same(f["anchor"][j]), same(own), same(other), pa.array(np.arange(x, x + n)), same(f["copies"][j]), pa.nulls(n, pa.binary()), pa.array(mix(h).view(np.int64))], names)
 
     return run
 
@@ -215,33 +216,34 @@ def repeats(texts: list[np.ndarray], length: int) -> list[np.ndarray]:
 
 
 def _index(length: int):
-    """Pieces sorted by anchor -> intervals (key, lo, hi) of pieces that occur once."""
+    """Pieces sorted by anchor -> intervals (key, twin, lo, hi) of pieces that occur once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         held_n = 0
 
         def mark() -> Iterator[pa.RecordBatch]:
-            out: tuple[list, list, list] = ([], [], [])
-            for (key, start, copies, _), hit in zip(held, repeats([x[3] for x in held], length), strict=True):
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for (key, twin, start, copies, _), hit in zip(held, repeats([x[4] for x in held], length), strict=True):
                 if copies == 1 and hit.any():
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                     out[0].extend([key] * (len(edge) // 2))
-                    out[1].extend((start + edge[0::2]).tolist())
-                    out[2].extend((start + edge[1::2] - 1 + length).tolist())
+                    out[1].extend([twin] * (len(edge) // 2))
+                    out[2].extend((start + edge[0::2]).tolist())
+                    out[3].extend((start + edge[1::2] - 1 + length).tolist())
             held.clear()
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["key", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["key", "twin", "lo", "hi"])
 
         for t, at in groups(batches, ["anchor"], 256):
             off, data = flat(t["text"])
-            key, start, copies = (t[c].combine_chunks().to_numpy() for c in ("key", "start", "copies"))
+            key, twin, start, copies = (t[c].combine_chunks().to_numpy() for c in ("key", "twin", "start", "copies"))
             for a, b in zip(at[:-1], at[1:], strict=True):
                 n = int(off[b] - off[a] + b - a)
                 if held and held_n + n > CHUNK - 8:
                     yield from mark()
                     held_n = 0
-                held += [(int(key[i]), int(start[i]), int(copies[i]), data[off[i] : off[i + 1]]) for i in range(a, b)]
+                held += [(int(key[i]), int(twin[i]), int(start[i]), int(copies[i]), data[off[i] : off[i + 1]]) for i in range(a, b)]
                 held_n += n
         if held:
             yield from mark()
@@ -299,33 +301,36 @@ def dedup_text(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, text
     """
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     docs = docs.drop(*made)
-    slim = docs.select(row_key(F.col("doc_id"), F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = [row_key(F.col("doc_id"), F.col(text)), row_twin(F.col("doc_id"), F.col(text))]
+    slim = docs.select(own[0].alias("key"), own[1].alias("twin"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = cut(slim.mapInArrow(_cover(length, anchor), PIECES), "pieces")
     # An anchor that one piece has, once, matches nothing; most are of that kind, and only the others are looked at further.
     busy = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     # Dealt by document, so that no file holds most rows of a frequent anchor and joins with them can be split.
     shared = cut(found.join(busy.hint("merge"), "anchor", "left_semi").repartition("key"), "shared")
     remove(found, busy)
-    counted = shared.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "windows")).alias("own"))
+    counted = shared.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("key", "twin", "start", "windows")).alias("own"))
     counted = cut(counted, "counted")
-    whole = shared.join(counted.where("copies > 1").select("anchor", "piece"), ["anchor", "piece"], "left_semi").select("key", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + length - 1).alias("hi"))
+    whole = shared.join(counted.where("copies > 1").select("anchor", "piece"), ["anchor", "piece"], "left_semi").select("key", "twin", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + length - 1).alias("hi"))
     anchors = counted.groupBy("anchor").agg(F.count("*").alias("_pieces"), F.sum(F.col("own.windows") + length).alias("_bytes")).where("_pieces > 1")
     anchors = cut(anchors, "rivals")  # as above: a join with a written table can be split
-    rival = counted.join(anchors.hint("merge"), "anchor").select(F.col("own.key").alias("key"), F.struct("own.start", "own.windows", "anchor", "copies", (F.col("_bytes") > HOT).alias("hot")).alias("w"))
-    wanted = rival.groupBy("key").agg(F.collect_list("w").alias("w"))
-    fetched = cut(packed(slim, "text").join(wanted, "key").select("key", "_packed", "w").mapInArrow(_fetch(length), FETCHED), "fetched")
-    dealt = fetched.where("text is not null").select("anchor", "key", "start", "copies", "text").repartition("anchor").sortWithinPartitions("anchor")
-    partly = dealt.mapInArrow(_index(length), "key long, lo long, hi long")
-    windows = fetched.where("text is null").select("anchor", "window", "key", "start")
+    rival = counted.join(anchors.hint("merge"), "anchor").select("own.key", "own.twin", F.struct("own.start", "own.windows", "anchor", "copies", (F.col("_bytes") > HOT).alias("hot")).alias("w"))
+    wanted = rival.groupBy("key", "twin").agg(F.collect_list("w").alias("w"))
+    # One row for all that are equal, made distinct before they move: each piece is fetched once, as _bytes counted it.
+    once = packed(slim, "text").groupBy("key", "twin").agg(F.first("_packed").alias("_packed"))
+    fetched = cut(once.join(wanted, ["key", "twin"]).select("key", "twin", "_packed", "w").mapInArrow(_fetch(length), FETCHED), "fetched")
+    dealt = fetched.where("text is not null").select("anchor", "key", "twin", "start", "copies", "text").repartition("anchor").sortWithinPartitions("anchor")
+    partly = dealt.mapInArrow(_index(length), "key long, twin long, lo long, hi long")
+    windows = fetched.where("text is null").select("anchor", "window", "key", "twin", "start")
     again = cut(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window"), "windows")
-    met = windows.join(again.hint("merge"), ["anchor", "window"], "left_semi").select("key", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
+    met = windows.join(again.hint("merge"), ["anchor", "window"], "left_semi").select("key", "twin", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
     partly = partly.unionByName(met)
-    spans = whole.unionByName(partly).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("_s"))
-    spans = cut(spans, "spans")
+    # Spans of equal rows are equal; they become one before they are gathered.
+    spans = whole.unionByName(partly).groupBy("key", "twin").agg(F.collect_set(F.struct("lo", "hi")).alias("_s"))
+    spans = cut(spans.select(F.col("key").alias("_k"), F.col("twin").alias("_t"), "_s"), "spans")
     remove(shared, counted, anchors, fetched, again)
-    spans = spans.withColumnRenamed("key", "_k")
-    keyed = packed(docs.withColumn("_key", row_key(F.col("doc_id"), F.col(text))), text)
-    joined = keyed.join(spans, F.col("_key") == F.col("_k"), "left")
+    keyed = packed(docs.withColumns({"_key": own[0], "_twin": own[1]}), text)
+    joined = keyed.join(spans, (F.col("_key") == F.col("_k")) & (F.col("_twin") == F.col("_t")), "left")
     empty = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     ready = joined.select("_packed", F.coalesce("_s", empty).alias("_spans"), *[c for c in docs.columns if c != text])
     schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"

@@ -336,6 +336,21 @@ def test_repeats_messy(messy, empty):
     assert suffix_dedup.dedup_text(empty).count() == 0
 
 
+@pytest.mark.parametrize("length,anchor,passage,rows", [(400, 128, 300, 420), (200, 48, 150, 900)])
+def test_repeats_of_rows(spark, length, anchor, passage, rows):
+    """Rows that come 25 times under an anchor that most of them share, beside rows that come once."""
+    r = random.Random(9)
+    make = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    shared, long = make(passage), make(2 * length)
+    many = [(i, make(250) + shared + make(250)) for i in range(rows)]
+    few = [(rows + i, make(250) + (shared if i % 2 else long) + make(250)) for i in range(12)]
+    d = spark.createDataFrame(many, "doc_id long, text string").selectExpr("doc_id", "text", "explode(sequence(1, 25)) as x").drop("x").unionByName(spark.createDataFrame(few, "doc_id long, text string"))
+    got = collections.Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup.dedup_text(d, length, anchor).collect())
+    nothing = hashlib.sha256(b"").hexdigest()
+    want = brute_removed(few, length) + collections.Counter({(i, len(t), len(t), 1, nothing): 25 for i, t in many})
+    assert got == want
+
+
 def test_run_length_index():
     r = np.random.default_rng(0)
     for n in (1, 2, 7, 50, 300):
