@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, lattice_lm, mixing, near_dedup, ngram_resample, quality_rules, suffix_dedup, token_counts, url_filter
+from . import decontaminate, language_id, lattice_lm, mixing, near_dedup, ngram_resample, quality_rules, suffix_dedup, token_counts, url_filter, window_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_resample": ngram_resample.op1_ngram_resample,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_language_id": language_id.op10_language_id,
+    "op13_window_dedup": window_dedup.op13_window_dedup,
 }
 
-SQL = {"op2_url_filter": url_filter.OP2_SQL, "op3_quality_rules": quality_rules.OP3_SQL}
+SQL = {"op2_url_filter": url_filter.OP2_SQL, "op3_quality_rules": quality_rules.OP3_SQL, "op13_window_dedup": window_dedup.OP13_SQL}
