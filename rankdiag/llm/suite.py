@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, lattice_lm, mixing, near_dedup, ngram_resample, quality_rules, ranked_search, suffix_dedup, token_counts, url_filter, window_dedup
+from . import decontaminate, language_id, lattice_lm, mixing, near_dedup, ngram_resample, phrases, quality_rules, ranked_search, suffix_dedup, token_counts, url_filter, window_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_resample": ngram_resample.op1_ngram_resample,
@@ -19,8 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_language_id": language_id.op10_language_id,
+    "op11_phrases": phrases.op11_phrases,
     "op12_ranked_search": ranked_search.op12_ranked_search,
     "op13_window_dedup": window_dedup.op13_window_dedup,
 }
 
-SQL = {"op2_url_filter": url_filter.OP2_SQL, "op3_quality_rules": quality_rules.OP3_SQL, "op12_ranked_search": ranked_search.OP12_SQL, "op13_window_dedup": window_dedup.OP13_SQL}
+SQL = {
+    "op2_url_filter": url_filter.OP2_SQL,
+    "op3_quality_rules": quality_rules.OP3_SQL,
+    "op11_phrases": phrases.OP11_SQL,
+    "op12_ranked_search": ranked_search.OP12_SQL,
+    "op13_window_dedup": window_dedup.OP13_SQL,
+}
