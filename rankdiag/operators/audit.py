@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import missing, template_key
 from ..plans.base import CANDIDATE, GROUP
 from .align import time_order_violations
+from .quantiles import on_groups, quantiles
 
 
 #: Decision codes. The first two are spelled here without the prefix that names a project; the others are fixed values.
@@ -54,8 +55,12 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
 def distribution(df: DataFrame, column: str, *by: str) -> DataFrame:
     """Count, missing, mean, population deviation, extremes and quartiles of finite values."""
     v = F.when(F.abs(column) < float("inf"), F.col(column))
-    q = lambda x: F.round(F.percentile(v, F.lit(x)), 6)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.count_if(F.col(column).isNull()).alias("missing"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.min(v).alias("least"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max(v).alias("most"))
+    slim = df.select(*by, F.col(column).alias("_raw"), v.cast("double").alias("_v"))
+    one = slim.groupBy(*by).agg(F.count("_v").alias("n"), F.count_if(F.col("_raw").isNull()).alias("missing"), F.round(F.avg("_v"), 6).alias("mean"), F.round(F.stddev_pop("_v"), 6).alias("std"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+    q = quantiles(slim, {"_q": F.col("_v")}, (0.25, 0.5, 0.75), by)
+    out = on_groups(one, q, by)
+    cut = lambda i: F.round(F.get("_q", F.lit(i)), 6)
+    return out.select(*by, "n", "missing", "mean", "std", "least", cut(0).alias("q25"), cut(1).alias("median"), cut(2).alias("q75"), "most")
 
 
 #: Coverage counts of external objects, and the plain counts that stand in where a table lacks them.

@@ -11,6 +11,8 @@ from ..functions.scalars import FEATURES, diagnosis_features, size_bin
 from ..plans.base import GROUP
 from . import ranking
 from .audit import label_name
+from .graph import _checkpoint
+from .quantiles import on_groups, quantiles
 
 #: Metrics that reports keep (fixed values).
 COMPACT = ("groups", "rankable_groups", "mean_ap", "recall_at_1", "labeled_mean_ap", "labeled_recall_at_1", "mean_candidates", "mean_unknown")
@@ -23,17 +25,23 @@ def with_features(rows: DataFrame) -> DataFrame:
 
 
 def label_distributions(rows: DataFrame) -> DataFrame:
-    """(label_name, feature, count, missing, mean, std, min, q25, median, q75, max) of rows by label, in one pass without multiplying them."""
+    """(label_name, feature, count, missing, mean, std, min, q25, median, q75, max) of rows by label.
+
+    Features are worked out once and written; moments come of one pass without multiplying rows, quartiles by narrowing.
+    """
     r = lambda c: F.round(c, 6)
+    told = _checkpoint(with_features(rows).select("label_name", *[F.col(f"_f.{n}").alias(n) for n in FEATURES]))
 
     def summary(name: str) -> Column:
-        v = F.col(f"_f.{name}")
-        q = lambda x: r(F.percentile(v, F.lit(x)))
-        parts = {"count": F.count(v), "missing": F.count("*") - F.count(v), "mean": r(F.avg(v)), "std": r(F.stddev_pop(v)), "min": r(F.min(v)), "q25": q(0.25), "median": q(0.5), "q75": q(0.75), "max": r(F.max(v))}
+        v = F.col(name)
+        parts = {"count": F.count(v), "missing": F.count("*") - F.count(v), "mean": r(F.avg(v)), "std": r(F.stddev_pop(v)), "min": r(F.min(v)), "max": r(F.max(v))}
         return F.struct(F.lit(name).alias("feature"), *[c.alias(n) for n, c in parts.items()]).alias(name)
 
-    wide = with_features(rows).groupBy("label_name").agg(*[summary(n) for n in FEATURES])
-    return wide.select("label_name", F.explode(F.array(*FEATURES)).alias("s")).select("label_name", "s.*")
+    long = lambda wide, parts: wide.select("label_name", F.explode(F.array(*parts)).alias("s")).select("label_name", "s.*")
+    moments = long(told.groupBy("label_name").agg(*[summary(n) for n in FEATURES]), FEATURES)
+    cuts = long(quantiles(told, list(FEATURES), (0.25, 0.5, 0.75), ["label_name"]), [F.struct(F.lit(n).alias("feature"), F.col(n).alias("q")) for n in FEATURES])
+    quartile = [r(F.get("q", F.lit(i))).alias(n) for i, n in enumerate(("q25", "median", "q75"))]
+    return moments.join(cuts, ["label_name", "feature"]).select("label_name", "feature", "count", "missing", "mean", "std", "min", *quartile, "max")
 
 
 def visibility(rows: DataFrame) -> DataFrame:
@@ -51,14 +59,14 @@ def control_strata(cands: DataFrame, controls: Sequence[str] = ranking.CONTROLS)
 
     Frequencies are those within each stratum's rows, as each stratum is ranked by itself.
     """
-    sized = cands.join(cands.groupBy(*GROUP).agg(size_bin(F.count("*")).alias("_bin")), list(GROUP))
+    sized = on_groups(cands, cands.groupBy(*GROUP).agg(size_bin(F.count("*")).alias("_bin")), GROUP)
     out = None
     for field, value in (("log_id", F.col("log_id")), ("candidate_count", F.col("_bin"))):
         own = sized.withColumn("_value", value)
         freq = own.groupBy("_value", "name").agg(F.count("*").alias("freq"))
-        ranked = ranking.rank(own.drop("freq").join(freq, ["_value", "name"]), controls)
+        ranked = ranking.rank(on_groups(own.drop("freq"), freq, ["_value", "name"]), controls)
         bins = own.select(*GROUP, F.col("_value").alias("value")).distinct()
-        one = ranking.summarize(ranking.group_metrics(ranked).join(bins, list(GROUP)), "value", "control").withColumn("field", F.lit(field))
+        one = ranking.summarize(on_groups(ranking.group_metrics(ranked), bins, GROUP), "value", "control").withColumn("field", F.lit(field))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -83,9 +91,9 @@ def shortcut_flags(rows: DataFrame, controls: DataFrame, model_map: Column | flo
     oracle is no control.
     """
     model = F.lit(model_map) if isinstance(model_map, float) else model_map
-    area = F.col("_f.projected_area_px")
-    med = lambda name: F.percentile(F.when(F.col("label_name") == name, area), F.lit(0.5))
-    m = with_features(rows).agg(med("REFERRED_OBJECT").alias("p"), med("RELATED_OBJECT").alias("a"), med("OTHER_OBJECT").alias("b"))
+    told = _checkpoint(with_features(rows).select("label_name", F.col("_f.projected_area_px").alias("area")))
+    sides = {"p": "REFERRED_OBJECT", "a": "RELATED_OBJECT", "b": "OTHER_OBJECT"}
+    m = quantiles(told, {k: F.when(F.col("label_name") == n, F.col("area")) for k, n in sides.items()}, (0.5,)).select(*[F.get(k, F.lit(0)).alias(k) for k in sides])
     own = lambda c: F.when(F.col(c) > 0, F.col(c))
     known = F.filter(F.array(own("a"), own("b")), lambda x: x.isNotNull())
     mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.size(known))
@@ -128,15 +136,16 @@ def diagnose_split(rows: DataFrame, model_metrics: DataFrame, score_delta: float
 
 def group_summary(rows: DataFrame) -> DataFrame:
     """One row: groups, rankable and positive ones, their rates, candidate counts, rows by label and the share of unknown rows."""
-    g = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), *[F.count_if(F.col("label") == k).alias(f"l{k}") for k in range(3)])
+    g = _checkpoint(rows.groupBy(*GROUP).agg(F.count("*").alias("n"), *[F.count_if(F.col("label") == k).alias(f"l{k}") for k in range(3)]))
     pos, neg = F.col("l0") > 0, (F.col("l1") + F.col("l2")) > 0
     r = lambda c: F.round(c, 6)
-    q = lambda x: r(F.percentile("n", F.lit(x)))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return g.agg(
+    one = g.agg(
         F.count("*").alias("groups"), F.count_if(pos & neg).alias("rankable_groups"), F.count_if(pos).alias("positive_groups"),
         r(F.try_divide(F.count_if(pos), F.count("*"))).alias("oracle_coverage"), r(F.try_divide(F.count_if(pos & neg), F.count("*"))).alias("rankable_rate"),
-        r(F.avg("n")).alias("mean_candidates"), F.min("n").alias("least_candidates"), q(0.25).alias("q25_candidates"), q(0.5).alias("median_candidates"), q(0.75).alias("q75_candidates"), F.max("n").alias("most_candidates"),
+        r(F.avg("n")).alias("mean_candidates"), F.min("n").alias("least_candidates"), F.max("n").alias("most_candidates"),
         total("n").alias("rows"), total("l0").alias("referred"), total("l1").alias("related"), total("l2").alias("other"), (total("n") - total("l0") - total("l1") - total("l2")).alias("unknown"),
         r(F.try_divide(F.sum(F.col("n") - F.col("l0") - F.col("l1") - F.col("l2")), F.sum("n"))).alias("unknown_rate"),
     )
+    cuts = quantiles(g, ["n"], (0.25, 0.5, 0.75)).select(*[r(F.get("n", F.lit(i))).alias(f"{x}_candidates") for i, x in enumerate(("q25", "median", "q75"))])
+    return one.crossJoin(F.broadcast(cuts))  # one row each

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import scalars as fn
 from ..plans.base import BOXES, DOCS, GROUP, LINES, box_table, document_candidates, line_candidates, table
-from . import align, assoc, audit, graph, pool, ranking
+from . import align, assoc, audit, diagnosis, graph, pool, ranking
+from .quantiles import quantiles
 from .registry import QUERIES, SQL, query
 
 #: All white space, as DuckDB's regular expressions spell it.
@@ -669,15 +670,14 @@ def _(spark, d):
 
 @query("quantiles_10_50_90", f"WITH {LINES} SELECT prompt, round(quantile_cont(score, 0.1), 4) AS q10, round(quantile_cont(score, 0.5), 4) AS q50, round(quantile_cont(score, 0.9), 4) AS q90 FROM cand GROUP BY prompt")
 def _(spark, d):
-    q = lambda x: F.round(F.percentile("score", F.lit(x)), 4)
-    return line_candidates(spark, d).groupBy("prompt").agg(q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.9).alias("q90"))
+    q = lambda i, name: F.round(F.get("score", F.lit(i)), 4).alias(name)
+    return quantiles(line_candidates(spark, d).select("prompt", "score"), ["score"], (0.1, 0.5, 0.9), ["prompt"]).select("prompt", q(0, "q10"), q(1, "q50"), q(2, "q90"))
 
 
 @query("group_summary", f"""WITH {DOCS}, g AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS p, count(*) FILTER (label IN (1, 2)) AS neg, count(*) FILTER (label IS NULL) AS u FROM cand GROUP BY log_id, prompt, timestamp_ns)
 SELECT count(*) AS groups, count(*) FILTER (p > 0 AND neg > 0) AS rankable, count(*) FILTER (p > 0) AS positive_groups, round(count(*) FILTER (p > 0) / count(*), 6) AS oracle_coverage, round(sum(u) / sum(n), 6) AS unknown_rate, round(median(n), 6) AS median_candidates FROM g""")
 def _(spark, d):
-    g = document_candidates(spark, d).groupBy(*GROUP).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("p"), F.count_if(F.col("label").isin(1, 2)).alias("neg"), F.count_if(F.col("label").isNull()).alias("u"))
-    return g.agg(F.count("*").alias("groups"), F.count_if((F.col("p") > 0) & (F.col("neg") > 0)).alias("rankable"), F.count_if(F.col("p") > 0).alias("positive_groups"), F.round(F.count_if(F.col("p") > 0) / F.count("*"), 6).alias("oracle_coverage"), F.round(F.sum("u") / F.sum("n"), 6).alias("unknown_rate"), F.round(F.percentile("n", F.lit(0.5)), 6).alias("median_candidates"))
+    return diagnosis.group_summary(document_candidates(spark, d)).select("groups", F.col("rankable_groups").alias("rankable"), "positive_groups", "oracle_coverage", "unknown_rate", "median_candidates")
 
 
 # ---- Splits and plans ------------------------------------------------------------------------------------------------
