@@ -9,9 +9,9 @@ windows of one anchor make a piece, of SIZE - GRAM + 1 windows at most. Equal wi
 
 First pass, the sketch. Each partition counts its pieces' anchors in a count-min sketch; partition sketches are merged by
 sums. A window's estimate is its anchor's, which is never below the window's own count. The sketch is dealt into blocks
-of DEPTH rows of WIDTH counters, each anchor's counters in one block, so sketches travel as the blocks that a partition
-touched, are merged block by block, and meet the pieces by a join on the block: nothing is broadcast, and no task holds
-more than its blocks. The number of blocks follows the number of pieces (PER_BLOCK to a block), so the share of false
+of DEPTH rows of WIDTH counters, each anchor's counters in one block, and blocks into sections; a partition's sketch
+travels as the counters it touched, a row for each section, sections are merged one by one, and blocks meet the pieces by
+a join: nothing is broadcast, and a task holds one section at a time. The number of blocks follows the number of pieces (PER_BLOCK to a block), so the share of false
 repeats is the same at every size. Counters stop at 2, which is all that "repeated" asks.
 
 Second pass, exact. Pieces of anchors estimated once leave. The others are grouped by two 64-bit hashes of the whole
@@ -35,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, flat, groups, mix, packed, pieces, remove, table, unpacked, word_spans
+from .common import Rolling, cut, flat, mix, packed, pieces, remove, table, unpacked, word_spans
 from .suffix_dedup import cover, merged
 
 SIZE, GRAM = 50, 16
 DEPTH, WIDTH, PER_BLOCK = 4, 256, 64
+SECTION = 4096  # blocks that travel and are merged together: 4 MB of counters in a task
 SKETCHED = 1 << 20  # anchors that a partition counts before it passes a sketch on
 
 _OTHER = mix(np.arange(1, 257, dtype=np.uint64))
@@ -93,22 +94,22 @@ def counters_of(anchor: Column) -> Column:
 
 
 def partial(block: np.ndarray, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks touched, and for each its counters in order, one that was met twice or more written twice: bounds, values."""
+    """Sections touched, and for each its counters in order, one that was met twice or more written twice: bounds, values."""
     cells = np.stack([(counters >> (8 * r) & (WIDTH - 1)) + WIDTH * r for r in range(DEPTH)], 1)
     key, n = np.unique((block[:, None] * (DEPTH * WIDTH) + cells).ravel(), return_counts=True)
     key = np.repeat(key, np.minimum(n, 2))
-    own, at = np.unique(key // (DEPTH * WIDTH), return_index=True)
-    return own, np.append(at, len(key)), (key % (DEPTH * WIDTH)).astype(np.uint16)
+    own, at = np.unique(key // (SECTION * DEPTH * WIDTH), return_index=True)
+    return own, np.append(at, len(key)), (key % (SECTION * DEPTH * WIDTH)).astype(np.uint32)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, counters) of pieces -> sketches of the partition: (block, cells)."""
+    """(block, counters) of pieces -> sketches of the partition: (section, cells)."""
     held: list[np.ndarray] = []
 
     def made() -> pa.RecordBatch:
-        block, at, cells = partial(*np.concatenate(held, 1))
-        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(block), [None, pa.py_buffer((at * 2).astype(np.int64)), pa.py_buffer(cells)])
-        return pa.RecordBatch.from_arrays([pa.array(block), out.cast(pa.binary())], ["block", "cells"])
+        section, at, cells = partial(*np.concatenate(held, 1))
+        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(section), [None, pa.py_buffer((at * 4).astype(np.int64)), pa.py_buffer(cells)])
+        return pa.RecordBatch.from_arrays([pa.array(section), out.cast(pa.binary())], ["section", "cells"])
 
     for b in batches:
         held.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]))
@@ -120,30 +121,36 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sketches sorted by block -> for each block a bit for each counter that is 2 or more; blocks without one go."""
+    """Sketches sorted by section -> for each block a bit for each counter that is 2 or more; blocks without one go."""
     per = DEPTH * WIDTH
-    for t, at in groups(batches, ["block"]):
-        off, data = flat(t["cells"])
-        block = t["block"].combine_chunks().to_numpy()[at[:-1]]
-        cells = data.view(np.uint16).astype(np.int64)
-        size = np.diff(off[at]) // 2
-        for lo in range(0, len(block), 4096):
-            hi = min(lo + 4096, len(block))
-            a, b = int(off[at[lo]]) // 2, int(off[at[hi]]) // 2
-            n = np.bincount(np.repeat(np.arange(hi - lo), size[lo:hi]) * per + cells[a:b], minlength=(hi - lo) * per)
-            bits = np.packbits((n >= 2).reshape(hi - lo, per), axis=1, bitorder="little").view(np.int64)
-            some = np.flatnonzero(bits.any(1))
-            if len(some):
-                values = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * (per // 64), pa.int32()), pa.array(bits[some].ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(block[lo:hi][some]), values], ["block", "bits"])
+    section, n = None, np.zeros(0, np.uint8)
+
+    def told() -> pa.RecordBatch:
+        bits = np.packbits((n >= 2).reshape(SECTION, per), axis=1, bitorder="little").view(np.int64)
+        some = np.flatnonzero(bits.any(1))
+        values = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * (per // 64), pa.int32()), pa.array(bits[some].ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(section * SECTION + some), values], ["block", "bits"])
+
+    for b in batches:
+        for i in range(b.num_rows):
+            if b.column(0)[i].as_py() != section:
+                if section is not None:
+                    yield told()
+                section, n = b.column(0)[i].as_py(), np.zeros(SECTION * per, np.uint8)
+            cells = np.frombuffer(b.column(1)[i].as_buffer(), np.uint32)
+            twice = cells[1:][cells[1:] == cells[:-1]]
+            n[cells] = np.minimum(n[cells] + 1, 2)
+            n[twice] = 2
+    if section is not None:
+        yield told()
 
 
 def estimated_repeated(found: DataFrame) -> DataFrame:
     """The rows whose anchor the merged sketch puts at 2 or more; found: a written table with a column anchor."""
     blocks = max(1, -(-found.count() // PER_BLOCK))
     keyed = found.select(block_of(F.col("anchor"), blocks).alias("block"), counters_of(F.col("anchor")).alias("counters"))
-    parts = keyed.mapInArrow(_sketch, "block long, cells binary")
-    sketch = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block long, bits array<long>")
+    parts = keyed.mapInArrow(_sketch, "section long, cells binary")
+    sketch = parts.repartition("section").sortWithinPartitions("section").mapInArrow(_merge, "block long, bits array<long>")
     sketch = cut(sketch, "sketch")
     both = found.withColumn("block", block_of(F.col("anchor"), blocks)).join(sketch.hint("merge"), "block")
     both = both.withColumn("_c", counters_of(F.col("anchor")))

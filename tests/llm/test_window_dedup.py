@@ -74,9 +74,10 @@ def test_the_sketch_never_underestimates(spark):
 
 
 def test_partial_sketches_by_hand():
-    block, at, cells = window_dedup.partial(np.array([7, 3, 7, 7]), np.array([0x01020304, 0, 0x01020304, 0x01020304]))
-    assert block.tolist() == [3, 7] and at.tolist() == [0, 4, 12]
-    assert cells.tolist() == [0, 256, 512, 768, 4, 4, 259, 259, 514, 514, 769, 769]
+    block, at, cells = window_dedup.partial(np.array([7, 3, 7, 7, 4099]), np.array([0x01020304, 0, 0x01020304, 0x01020304, 0]))
+    assert block.tolist() == [0, 1] and at.tolist() == [0, 12, 16]
+    three, seven = [3 * 1024 + x for x in (0, 256, 512, 768)], [7 * 1024 + x for x in (4, 4, 259, 259, 514, 514, 769, 769)]
+    assert cells.tolist() == [*three, *seven, *three]
 
 
 def test_a_text_beyond_a_batch(spark):
