@@ -12,15 +12,22 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import score_or_last, sigmoid
 from ..plans.base import GROUP
 from .graph import _checkpoint
+from .quantiles import on_groups
 
 CONTROLS = ("tracker_score", "candidate_distance", "projected_box_area", "category_frequency", "oracle")
 
+#: Places in a seeded permutation of the group, as seeded_ties gives them.
+TIE = "_tie"
+
+VIEWS = ("full", "score_matched", "score_size_matched")
 
 
 def key_sql(seed: int = 0) -> str:
@@ -32,9 +39,8 @@ def key_sql(seed: int = 0) -> str:
 
 
 def with_frequency(cands: DataFrame) -> DataFrame:
-    """How often each name occurs in the whole table; count before taking subsets."""
-    counts = cands.groupBy("name").agg(F.count("*").alias("freq"))
-    return cands.join(counts, "name", "left")
+    """How often each name occurs in the whole table, null being a name as well; count before taking subsets."""
+    return on_groups(cands, cands.groupBy("name").agg(F.count("*").alias("freq")), ["name"])
 
 
 def tracker_score(df: DataFrame) -> Column:
@@ -43,7 +49,9 @@ def tracker_score(df: DataFrame) -> Column:
 
 
 def control_key(df: DataFrame, control: str, seed: int = 0, tie: str = "track_id") -> Column:
-    """Ascending sort key of a candidate under a control. The random one is a digest of seed, group and candidate."""
+    """Ascending sort key of a candidate under a control. The random one is a digest of seed, group and candidate, or all tie."""
+    if control == "random" and tie == TIE:
+        return F.lit(0.0)
     if control == "random":
         digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*GROUP, tie)]), 256)
         return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
@@ -60,17 +68,19 @@ def control_key(df: DataFrame, control: str, seed: int = 0, tie: str = "track_id
     raise ValueError(f"unknown control: {control}")
 
 
-def rank(cands: DataFrame, controls: Sequence[str] = CONTROLS, tie: str = "track_id", seed: int = 0) -> DataFrame:
+def rank(cands: DataFrame, controls: Sequence[str] = CONTROLS, tie: str = "track_id", seed: int = 0, seeds: Sequence[int] = (), by: Sequence[str] = ()) -> DataFrame:
     """A row for each candidate and control, with rank, labeled_rank (unknown left out) and found (positives so far).
 
-    Columns are group, candidate, label and these: what a control needs is made into its key before rows are multiplied.
-    A column freq that is there already (of the table that a subset was taken from) is kept.
+    Columns are group, candidate, label, by and these: what a control needs is made into its key before rows are
+    multiplied. Groups are those of the group key and `by`. With `seeds` there is a row for each of them, and a column
+    seed. A column freq that is there already (of the table that a subset was taken from) is kept.
     """
     full = with_frequency(cands) if "category_frequency" in controls and "freq" not in cands.columns else cands
-    keys = F.array(*[F.struct(F.lit(c).alias("control"), control_key(full, c, seed, tie).alias("_key")) for c in controls])
-    rest = [] if tie == "track_id" else [tie]
-    long = full.select(*GROUP, "track_id", *rest, "label", F.explode(keys).alias("_c")).select(*GROUP, "track_id", *rest, "label", "_c.control", "_c._key")
-    w = Window.partitionBy(*GROUP, "control").orderBy("_key", tie)
+    keys = F.array(*[F.struct(F.lit(c).alias("control"), F.lit(s).alias("seed"), control_key(full, c, s, tie).alias("_key")) for s in seeds or (seed,) for c in controls])
+    rest = [*by, *([] if tie == "track_id" else [tie])]
+    made = ["_c.control", *(["_c.seed"] if seeds else [])]
+    long = full.select(*GROUP, "track_id", *rest, "label", F.explode(keys).alias("_c")).select(*GROUP, "track_id", *rest, "label", *made, "_c._key")
+    w = Window.partitionBy(*GROUP, "control", *by, *(["seed"] if seeds else [])).orderBy("_key", tie)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return long.withColumns({"rank": F.row_number().over(w), "found": F.sum((F.coalesce(F.col("label") == 0, F.lit(False))).cast("int")).over(so_far), "labeled_rank": F.sum(F.col("label").isNotNull().cast("int")).over(so_far)}).drop("_key")
 
@@ -107,6 +117,8 @@ def summarize(metrics: DataFrame, *by: str) -> DataFrame:
         mean("labeled_average_precision").alias("labeled_mean_ap"),
         mean("labeled_recall_at_1").alias("labeled_recall_at_1"),
         F.round(F.avg("candidate_count"), 6).alias("mean_candidates"),
+        F.round(F.avg("positive_count"), 6).alias("mean_positives"),
+        F.round(F.avg("negative_count"), 6).alias("mean_negatives"),
         F.round(F.avg("unknown_count"), 6).alias("mean_unknown"),
     )
 
@@ -116,105 +128,135 @@ def rankable(cands: DataFrame) -> DataFrame:
     return cands.groupBy(*GROUP).agg(F.bool_or(F.col("label") == 0).alias("_p"), F.bool_or(F.col("label").isin(1, 2)).alias("_n")).where("_p and _n").select(*GROUP)
 
 
-def hard_negatives(cands: DataFrame, score_delta: float | None = 0.05, log_area_delta: float | None = None) -> DataFrame:
-    """Positives, and negatives near any positive of their group in score and, independently, in log area.
+def matched(cands: DataFrame, score_delta: float | None = 0.05, log_area_delta: float | None = None) -> DataFrame:
+    """cands with two columns, _by_score and _by_size: whether a row belongs to the matched parts of its group.
 
-    Unknown candidates go; so do groups without a positive of finite score or without a negative left. The nearest
-    positive on either side is found by a running maximum and minimum over the sorted group, so a group of any size
-    costs a sort and never a list of its positives.
+    By score: positives, and negatives whose finite score is near that of any positive of the group. By size: of these
+    the positives, and negatives that are also near any positive with a finite score in log area (a missing area is 0). Groups
+    without a negative left, or without a positive of finite score, belong to neither. The nearest positive on either side is
+    found by a running maximum and minimum over the sorted group, so a group of any size costs two sorts and never a
+    list of its positives.
     """
-    s = cands.where("label is not null").withColumn("_area", F.log1p("area"))
-    finite = F.abs("score") < float("inf")
-    is_pos = (F.col("label") == 0) & finite
-
-    def near(df: DataFrame, c: str, delta: float) -> DataFrame:
-        below = Window.partitionBy(*GROUP).orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        above = Window.partitionBy(*GROUP).orderBy(c).rangeBetween(Window.currentRow, Window.unboundedFollowing)
-        at = F.when(is_pos, F.col(c))
-        out = df.withColumns({"_lo": F.max(at).over(below), "_hi": F.min(at).over(above)})
-        gap = F.least(F.coalesce(F.col(c) - F.col("_lo"), F.lit(float("inf"))), F.coalesce(F.col("_hi") - F.col(c), F.lit(float("inf"))))
-        return out.where(is_pos | (F.col("label").isin(1, 2) & finite & (gap <= delta))).drop("_lo", "_hi")
-
-    if score_delta is not None:
-        near_score = near(s, "score", score_delta)
-        s = near_score
-    if log_area_delta is not None:
-        s = near(s, "_area", log_area_delta)
+    finite = F.coalesce(F.abs("_score") < float("inf"), F.lit(False))
+    s = cands.withColumns({"_score": tracker_score(cands), "_area": F.log1p(F.coalesce("area", F.lit(0.0)))})
+    anchor = (F.col("label") == 0) & finite
+
+    def near(c: str, delta: float | None) -> Column:
+        if delta is None:
+            return F.lit(True)
+        by = Window.partitionBy(*GROUP).orderBy(c)
+        at = F.when(anchor, F.col(c))
+        low = F.max(at).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        high = F.min(at).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+        far = F.lit(float("inf"))
+        return F.least(F.coalesce(F.col(c) - low, far), F.coalesce(high - F.col(c), far)) <= delta
+
+    negative = F.coalesce(F.col("label").isin(1, 2), F.lit(False)) & finite
+    positive = F.coalesce(F.col("label") == 0, F.lit(False))
+    s = s.withColumn("_near", near("_score", score_delta)).withColumn("_close", F.col("_near") & near("_area", log_area_delta))
+    s = s.withColumns({"_by_score": positive | (negative & F.col("_near")), "_by_size": positive | (negative & F.col("_close"))})
     w = Window.partitionBy(*GROUP)
-    s = s.withColumns({"_p": F.count_if(F.col("label") == 0).over(w), "_n": F.count_if(F.col("label") != 0).over(w)})
-    return s.where("_p > 0 and _n > 0").drop("_area", "_p", "_n")
-
-
-def control_suite(cands: DataFrame, score_delta: float, log_area_delta: float, controls: Sequence[str] = CONTROLS, seed: int = 0) -> DataFrame:
-    """Summaries of all controls over the whole table and over its score-matched and score-and-size-matched parts."""
-    full = with_frequency(cands)
-    views = {"full": full, "score_matched": hard_negatives(full, score_delta), "score_size_matched": hard_negatives(full, score_delta, log_area_delta)}
-    out = None
-    for name, view in views.items():
-        one = summarize(group_metrics(rank(view, controls, seed=seed)), "control").withColumn("view", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    both = lambda c: F.col(c) & (F.count_if(positive).over(w) > 0) & (F.count_if(F.col(c) & ~positive).over(w) > 0)
+    return s.withColumns({c: both(c) for c in ("_by_score", "_by_size")}).drop("_score", "_area", "_near", "_close")
+
+
+def hard_negatives(cands: DataFrame, score_delta: float | None = 0.05, log_area_delta: float | None = None) -> DataFrame:
+    """The rows of cands that are matched by score, or by score and size if there is a delta of areas."""
+    return matched(cands, score_delta, log_area_delta).where("_by_size").drop("_by_score", "_by_size")
+
+
+def viewed(cands: DataFrame, score_delta: float, log_area_delta: float) -> DataFrame:
+    """cands with a column view: each row once for each of VIEWS that it belongs to, all of one pass over the groups."""
+    told = matched(cands, score_delta, log_area_delta)
+    own = F.array_compact(F.array(F.lit(VIEWS[0]), F.when(F.col("_by_score"), VIEWS[1]), F.when(F.col("_by_size"), VIEWS[2])))
+    return told.withColumn("view", F.explode(own)).drop("_by_score", "_by_size")
+
+
+def control_suite(cands: DataFrame, score_delta: float, log_area_delta: float, controls: Sequence[str] = CONTROLS, seeds: Sequence[int] = ()) -> DataFrame:
+    """Summaries of all controls over the whole table and over its score-matched and score-and-size-matched parts.
+
+    Views, seeds and controls are ranked together, on one exchange by group. Ties go by track_id; for ties by numpy's permutation see
+    seeded_control_suite.
+    """
+    extra = ["seed"] if seeds else []
+    ranked = rank(viewed(with_frequency(cands), score_delta, log_area_delta), controls, seeds=seeds, by=["view"])
+    return summarize(group_metrics(ranked, "view", *extra), "control", "view", *extra)
 
 
-def numbered(keys: DataFrame) -> DataFrame:
-    """keys with _g, their number in order of the group key, from 0; sorted in ranges, not in one task."""
-    part = _checkpoint(keys.repartitionByRange(*GROUP).withColumn("_p", F.spark_partition_id()))
+def numbered(keys: DataFrame, order: Sequence[str] = GROUP) -> DataFrame:
+    """keys with _g, their number in the given order, from 0; sorted in ranges, not in one task."""
+    part = _checkpoint(keys.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     start = part.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_s")
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*GROUP)) - 1
-    return part.withColumn("_i", own).join(F.broadcast(start), "_p").select(*GROUP, (F.col("_s") + F.col("_i")).alias("_g"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return part.withColumn("_i", own).join(F.broadcast(start), "_p").select(*keys.columns, (F.col("_s") + F.col("_i")).alias("_g"))
 
 
-def rank_random(cands: DataFrame, seeds: Sequence[int] = (0,), tie: str = "track_id") -> DataFrame:
-    """As rank, for the control random, with a column seed: numpy's permutation with seed + 1009 * the group's number lists a group's rows, sorted by tie, from the first rank on.
+def seeded_ties(cands: DataFrame, seeds: Sequence[int] = (0,), by: Sequence[str] = (), tie: str = "track_id") -> DataFrame:
+    """cands once for each seed, with columns seed and _tie: the row's place in numpy's permutation of its group.
 
-    Groups stream through Arrow batches, whole, since a permutation needs its whole group; the control random of `rank`
-    needs none.
+    The generator's seed is seed + 1009 * the group's number. Groups are numbered within each value of `by` as they first
+    appear, and their rows taken in the order in which they come, by a column _row_ord; without one, groups go by their
+    key and rows by `tie`. Groups stream through Arrow batches, whole, since a permutation needs its whole group.
     """
-    made = ["control", "seed", "rank", "found", "labeled_rank"]
-
-    def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf["_g"].to_numpy()
-        start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        size = np.diff(np.append(start, len(g)))
-        out = []
+    placed = "_row_ord" in cands.columns
+    first = [F.min("_row_ord").alias("_first")] if placed else []
+    keys = cands.groupBy(*by, *GROUP).agg(*first) if placed else cands.select(*by, *GROUP).distinct()
+    if placed and by:  # a part's groups go as they first appear in the whole
+        keys = keys.withColumn("_first", F.min("_first").over(Window.partitionBy(*GROUP)))
+    order = [*by, *(["_first"] if placed else []), *GROUP]
+    count = numbered(keys, order).drop("_first").withColumnRenamed("_g", "_n")
+    begin = count.groupBy(*by).agg(F.min("_n").alias("_b"))  # a row for each value of by
+    count = on_groups(count, begin, by).withColumn("_k", F.col("_n") - F.col("_b")).drop("_b")
+    rows = on_groups(cands, count, [*by, *GROUP]).repartition("_n").sortWithinPartitions("_n", "_row_ord" if placed else tie)
+    kept = rows.columns
+
+    def tied(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        n, k = t["_n"].to_numpy(), t["_k"].to_numpy()
+        start = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
+        size = np.diff(np.append(start, len(n)))
         for seed in seeds:
-            order = np.concatenate([a + np.random.default_rng(seed + 1009 * int(g[a])).permutation(n) for a, n in zip(start, size, strict=True)])
-            one = pdf.iloc[order].drop(columns="_g")
-            for name, hit in (("found", (one["label"] == 0).to_numpy()), ("labeled_rank", one["label"].notna().to_numpy())):
-                so_far = np.cumsum(hit)
-                one[name] = so_far - np.repeat(np.append(0, so_far)[start], size)
-            one["control"], one["seed"], one["rank"] = "random", seed, np.arange(len(g)) - np.repeat(start, size) + 1
-            out.append(one)
-        return pd.concat(out)[[*pdf.columns.drop("_g"), *made]]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+            place = np.empty(len(n), np.int64)
+            for a, m in zip(start, size, strict=True):
+                place[a + np.random.default_rng(seed + 1009 * int(k[a])).permutation(m)] = np.arange(m)
+            yield from t.append_column("seed", pa.array(np.full(len(n), seed, np.int32))).append_column(TIE, pa.array(place)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            last = b["_g"].iloc[-1]
-            if held and held[0]["_g"].iloc[0] != last or b["_g"].iloc[0] != last:
-                whole = pd.concat([*held, b[b["_g"] != last]])
+            n = b.column(kept.index("_n")).to_numpy()
+            cut = int(np.searchsorted(n, n[-1]))
+            if held and held[0].column(kept.index("_n"))[0].as_py() != n[-1] or cut:
+                yield from tied(pa.Table.from_batches([*held, b.slice(0, cut)]))
                 held = []
-                yield ranked(whole)
-            held.append(b[b["_g"] == last])
+            held.append(b.slice(cut))
         if held:
-            yield ranked(pd.concat(held))
+            yield from tied(pa.Table.from_batches(held))
 
-    slim = cands.select(*GROUP, tie, "label").join(numbered(cands.select(*GROUP).distinct()), list(GROUP))
-    types = cands.select(*GROUP, tie, "label").schema.add("control", "string").add("seed", "integer").add("rank", "long").add("found", "long").add("labeled_rank", "long")
-    return slim.repartition(*GROUP).sortWithinPartitions("_g", tie).mapInPandas(run, types)
+    types = T.StructType([*rows.schema.fields]).add("seed", "integer").add(TIE, "long")
+    return rows.mapInArrow(run, types).drop("_n", "_k")
+
+
+def rank_random(cands: DataFrame, seeds: Sequence[int] = (0,), tie: str = "track_id") -> DataFrame:
+    """As rank, for the control random, with a column seed: numpy's permutation lists a group's rows (see seeded_ties).
+
+    The control random of `rank` without these ties goes by digests and needs no whole group in one task.
+    """
+    slim = cands.select(*GROUP, *dict.fromkeys(["track_id", tie]), "label", *(["_row_ord"] if "_row_ord" in cands.columns else []))
+    return rank(seeded_ties(slim, seeds, tie=tie), ["random"], tie=TIE, by=["seed"]).drop(TIE)
+
+
+def seeded_control_suite(cands: DataFrame, score_delta: float, log_area_delta: float, controls: Sequence[str] = ("random", *CONTROLS), seeds: Sequence[int] = (0, 1)) -> DataFrame:
+    """Summaries of the controls by seed over the views of control_suite, ties going by numpy's permutation in every control; groups are numbered anew in each view."""
+    tied = seeded_ties(viewed(with_frequency(cands), score_delta, log_area_delta), seeds, by=["view"])
+    return summarize(group_metrics(rank(tied, controls, tie=TIE, by=["view", "seed"]), "view", "seed"), "control", "seed", "view")
 
 
 def random_control_suite(cands: DataFrame, score_delta: float, log_area_delta: float, seeds: Sequence[int] = (0, 1)) -> DataFrame:
-    """Summaries of the random control by seed over the same views as control_suite; groups are numbered anew in each view."""
-    views = {"full": cands, "score_matched": hard_negatives(cands, score_delta), "score_size_matched": hard_negatives(cands, score_delta, log_area_delta)}
-    out = None
-    for name, view in views.items():
-        one = summarize(group_metrics(rank_random(view, seeds), "seed"), "control", "seed").withColumn("view", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The control random of seeded_control_suite."""
+    return seeded_control_suite(cands, score_delta, log_area_delta, ("random",), seeds)
 
 
 def calibration(cands: DataFrame, logit: str) -> DataFrame:
@@ -251,7 +293,7 @@ def paired_differences(left: DataFrame, right: DataFrame, metric: str) -> DataFr
     """Per group both metrics and their difference; groups with a null on either side go."""
     a = left.select(*GROUP, F.col(metric).alias("left_value"))
     b = right.select(*GROUP, F.col(metric).alias("right_value"))
-    return a.join(b, list(GROUP)).where("left_value is not null and right_value is not null").withColumn("difference", F.col("left_value") - F.col("right_value"))
+    return on_groups(a, b, GROUP).where("left_value is not null and right_value is not null").withColumn("difference", F.col("left_value") - F.col("right_value"))
 
 
 #: Modulus of the draws, and the ends of a Poisson(1) count's cumulative shares of it.
@@ -311,7 +353,7 @@ def paired_metric_bootstrap(left: DataFrame, right: DataFrame, metric: str, **op
         return df.groupBy(*GROUP).agg(F.max_by(metric, "_row_ord").alias(metric)) if "_row_ord" in df.columns else df
 
     a, b = once(left), once(right)
-    shared = a.select(*GROUP).join(b.select(*GROUP), list(GROUP)).agg(F.count("*").alias("shared_groups"))
+    shared = on_groups(a.select(*GROUP), b.select(*GROUP), GROUP).agg(F.count("*").alias("shared_groups"))
     return paired_bootstrap(paired_differences(a, b, metric), **options).crossJoin(F.broadcast(shared))  # one row each
 
 
@@ -324,5 +366,5 @@ def compare_seeds(metrics: DataFrame, models: Sequence[str], baselines: Sequence
     on = ["seed", "split", "metric", *GROUP]
     a = long.where(F.col("model").isin(list(models))).select(*on, "model", F.col("value").alias("_a"))
     b = long.where(F.col("model").isin(list(baselines))).select(*on, F.col("model").alias("baseline"), F.col("value").alias("_b"))
-    diffs = a.join(b, on).withColumn("difference", F.col("_a") - F.col("_b"))
+    diffs = on_groups(a, b, on).withColumn("difference", F.col("_a") - F.col("_b"))
     return paired_bootstrap(diffs, by=["model", "baseline", "split", "metric", "seed"], **options)

@@ -41,7 +41,7 @@ def _summary_sql(base: str, by: str, where: str = "", source: str = "met") -> st
     mean = lambda c, n: f"round(avg(CASE WHEN {ok} THEN {c} END), 6) AS {n}"
     return f"""WITH {base}, {RANKED} SELECT {by}, count(*) AS groups, count(*) FILTER ({ok}) AS rankable_groups, {mean("average_precision", "mean_ap")},
   {mean("recall_at_1", "recall_at_1")}, {mean("labeled_average_precision", "labeled_mean_ap")}, {mean("labeled_recall_at_1", "labeled_recall_at_1")},
-  round(avg(candidate_count), 6) AS mean_candidates, round(avg(unknown_count), 6) AS mean_unknown FROM {source} {where} GROUP BY ALL"""
+  round(avg(candidate_count), 6) AS mean_candidates, round(avg(positive_count), 6) AS mean_positives, round(avg(negative_count), 6) AS mean_negatives, round(avg(unknown_count), 6) AS mean_unknown FROM {source} {where} GROUP BY ALL"""
 
 
 METRICS = ("average_precision", "labeled_average_precision")
@@ -122,6 +122,29 @@ def _(spark, d):
     return _both(ranking.hard_negatives(line_candidates(spark, d), 5000.0, 0.2))
 
 
+#: Order lines as candidates, with scores, areas, names and prompts missing.
+_FAULTY = LINES.replace("cand AS", "whole AS", 1) + """, cand AS (SELECT * REPLACE (CASE WHEN distance_m % 11 = 0 THEN NULL ELSE score END AS score, CASE WHEN distance_m % 7 = 0 THEN NULL ELSE area END AS area,
+  CASE WHEN distance_m % 13 = 0 THEN NULL ELSE name END AS name, CASE WHEN prompt = 'RF' THEN NULL ELSE prompt END AS prompt) FROM whole)"""
+
+
+def _faulty(spark, d):
+    gone = lambda k, c: F.when(F.col("distance_m") % k != 0, F.col(c))
+    return line_candidates(spark, d).withColumns({"score": gone(11, "score"), "area": gone(7, "area"), "name": gone(13, "name"), "prompt": F.when(F.col("prompt") != "RF", F.col("prompt"))})
+
+
+@query("rank_controls_nulls", _summary_sql(_FAULTY, "control"))
+def _(spark, d):
+    return ranking.summarize(ranking.group_metrics(ranking.rank(_faulty(spark, d))), "control")
+
+
+@query("hard_negative_nulls", f"""WITH {_FAULTY}, near AS (SELECT c.* FROM cand c WHERE label = 0 OR (label IN (1, 2) AND EXISTS (SELECT 1 FROM cand p WHERE p.label = 0 AND p.log_id = c.log_id
+  AND p.prompt IS NOT DISTINCT FROM c.prompt AND p.timestamp_ns = c.timestamp_ns AND abs(p.score - c.score) <= 5000)
+  AND EXISTS (SELECT 1 FROM cand p WHERE p.label = 0 AND p.score IS NOT NULL AND p.log_id = c.log_id AND p.prompt IS NOT DISTINCT FROM c.prompt
+  AND p.timestamp_ns = c.timestamp_ns AND abs(ln(1 + coalesce(p.area, 0)) - ln(1 + coalesce(c.area, 0))) <= 0.2))) {_BOTH.format(t='near')}""")
+def _(spark, d):
+    return _both(ranking.hard_negatives(_faulty(spark, d), 5000.0, 0.2))
+
+
 _LOGIT = "CAST(((score - 40000) / 8000) AS DOUBLE)"
 _CAL = f"""p AS (SELECT 1 / (1 + exp(-greatest(-30.0::DOUBLE, least(30.0::DOUBLE, {_LOGIT})))) AS p, CASE WHEN label = 0 THEN 1.0::DOUBLE ELSE 0 END AS y FROM cand WHERE label IS NOT NULL),
 b AS (SELECT *, CAST(CASE {" ".join(f"WHEN p < {e!r}::DOUBLE THEN {i}" for i, e in enumerate(ranking.EDGES[1:10]))} ELSE 9 END AS INTEGER) AS bin FROM p)"""
@@ -803,7 +826,7 @@ def _view_sql(view: str, source: str, controls=ranking.CONTROLS, seed: int | Non
     ok = "positive_count > 0 AND negative_count > 0"
     mean = lambda c, n: f"round(avg(CASE WHEN {ok} THEN {c} END), 6) AS {n}"
     return f"""SELECT * FROM (WITH {freq}, {ranked} SELECT control, count(*) AS groups, count(*) FILTER ({ok}) AS rankable_groups, {mean("average_precision", "mean_ap")}, {mean("recall_at_1", "recall_at_1")},
-  {mean("labeled_average_precision", "labeled_mean_ap")}, {mean("labeled_recall_at_1", "labeled_recall_at_1")}, round(avg(candidate_count), 6) AS mean_candidates, round(avg(unknown_count), 6) AS mean_unknown, '{view}' AS view{"" if seed is None else f", {seed} AS seed"} FROM met GROUP BY control)"""
+  {mean("labeled_average_precision", "labeled_mean_ap")}, {mean("labeled_recall_at_1", "labeled_recall_at_1")}, round(avg(candidate_count), 6) AS mean_candidates, round(avg(positive_count), 6) AS mean_positives, round(avg(negative_count), 6) AS mean_negatives, round(avg(unknown_count), 6) AS mean_unknown, '{view}' AS view{"" if seed is None else f", {seed} AS seed"} FROM met GROUP BY control)"""
 
 
 @query("control_suite", f"WITH {LINES}, {_HARD.format(delta=5000)}, {_AREA}, {_FULL} " + " UNION ALL ".join(_view_sql(v, s) for v, s in (("full", "cand"), ("score_matched", "near"), ("score_size_matched", "near2"))))
@@ -813,8 +836,7 @@ def _(spark, d):
 
 @query("control_suite_hashed_random", f"WITH {LINES}, {_HARD.format(delta=5000)}, {_AREA}, {_FULL} " + " UNION ALL ".join(_view_sql(v, s, ["random"], seed) for seed in (0, 1) for v, s in (("full", "cand"), ("score_matched", "near"), ("score_size_matched", "near2"))))
 def _(spark, d):
-    one, two = (ranking.control_suite(line_candidates(spark, d), 5000.0, 0.2, ["random"], seed).withColumn("seed", F.lit(seed)) for seed in (0, 1))
-    return one.unionByName(two)
+    return ranking.control_suite(line_candidates(spark, d), 5000.0, 0.2, ["random"], (0, 1))
 
 
 @query("control_suite_random")
@@ -822,6 +844,11 @@ def _(spark, d):
     return ranking.random_control_suite(line_candidates(spark, d), 5000.0, 0.2)
 
 
+@query("control_suite_seeded")
+def _(spark, d):
+    return ranking.seeded_control_suite(line_candidates(spark, d), 5000.0, 0.2)
+
+
 @query("control_strata_by_log", _summary_sql(LINES, "control, log_id"))
 def _(spark, d):
     return ranking.summarize(ranking.group_metrics(ranking.rank(line_candidates(spark, d))), "control", "log_id")

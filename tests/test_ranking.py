@@ -43,6 +43,87 @@ def test_hard_negatives(spark):
     assert ranking.hard_negatives(cands(spark, [(0.5, 1, 1)]), 0.05).count() == 0
 
 
+def hard(spark, rows, *deltas):
+    df = spark.createDataFrame([("a", "p", 1, str(i), "n", s, 1.0, area, label) for i, (s, area, label) in enumerate(rows)], SCHEMA)
+    return {r["track_id"] for r in ranking.hard_negatives(df, *deltas).collect()}
+
+
+def test_hard_negatives_keep_positives_without_a_score(spark):
+    assert hard(spark, [(0.5, 1.0, 0), (None, 1.0, 0), (float("nan"), 1.0, 0), (0.51, 1.0, 1), (None, 1.0, 2)], 0.05) == {"0", "1", "2", "3"}
+    assert hard(spark, [(None, 1.0, 0), (0.5, 1.0, 1)], 0.05) == set()  # no positive to be near to
+
+
+def test_a_missing_area_is_none(spark):
+    assert hard(spark, [(0.5, 0.0, 0), (0.51, None, 1), (0.52, 9.0, 1)], 0.05, 0.2) == {"0", "1"}
+    assert hard(spark, [(0.5, None, 0), (0.51, 0.1, 1)], 0.05, 0.2) == {"0", "1"}
+    assert hard(spark, [(0.5, 5.0, 0), (None, 100.0, 0), (0.51, 100.0, 1)], 0.05, 0.2) == set()  # only a positive with a score is an anchor
+
+
+def test_null_names_are_counted_as_one(spark):
+    rows = [("a", "p", 1, str(i), n, 0.0, 1.0, 1.0, 0 if n else 1) for i, n in enumerate([None, "x", "x", "x", "y", "y"])]
+    got = ranking.rank(spark.createDataFrame(rows, SCHEMA), ["category_frequency"]).collect()
+    assert {r["track_id"]: r["rank"] for r in got} == {"1": 1, "2": 2, "3": 3, "4": 4, "5": 5, "0": 6}
+
+
+def test_groups_with_a_null_key(spark):
+    rows = [(None, "p", 1, str(i), "n", float(i), 1.0, 1.0, i % 2) for i in range(4)] + [("a", None, 2, "9", "n", 0.0, 1.0, 1.0, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = ranking.rank_random(df, (0,)).collect()
+    assert len(got) == 5 and {r["log_id"] for r in got} == {None, "a"}
+    order = np.random.default_rng(0).permutation(4)  # nulls come first
+    assert {r["track_id"]: r["rank"] for r in got if r["log_id"] is None} == {str(k): i + 1 for i, k in enumerate(order)}
+    m = ranking.group_metrics(ranking.rank(df, ["oracle"]))
+    assert ranking.paired_differences(m, m, "average_precision").count() == 2
+
+
+def test_the_seeded_suite_by_brute_force(spark):
+    """All controls, views and seeds; ties by numpy's permutation of rows as they come, groups as they first appear."""
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        g = int(r.integers(0, 12))
+        label = [0, 1, 2, None][int(r.integers(0, 4))]
+        score = None if r.random() < 0.1 else float(r.integers(0, 4)) / 10
+        rows.append((f"l{9 - g % 3}", ("q", None)[g % 2], g // 6, f"t{i % 7}", ("a", "b", None)[int(r.integers(0, 3))], score, float(r.integers(0, 3)), float(r.integers(0, 4)) * 50, label, i))
+    df = spark.createDataFrame(rows, SCHEMA + ", _row_ord long").repartition(5)
+    got = {(x["view"], x["control"], x["seed"]): x for x in ranking.seeded_control_suite(df, 0.05, 0.2).collect()}
+    groups = {}
+    for x in rows:
+        groups.setdefault(x[:3], []).append(dict(zip("track name score dist area label".split(), x[3:9], strict=True)))
+    freq = {}
+    for x in rows:
+        freq[x[4]] = freq.get(x[4], 0) + 1
+
+    def part(rows_, delta):
+        anchors = [x for x in rows_ if x["label"] == 0 and x["score"] is not None]
+        size = lambda x: np.log1p(x["area"])
+        near = lambda x: any(abs(x["score"] - a["score"]) <= 0.05 for a in anchors) and (delta is None or any(abs(size(x) - size(a)) <= delta for a in anchors))
+        out = [x for x in rows_ if anchors and (x["label"] == 0 or (x["label"] in (1, 2) and x["score"] is not None and near(x)))]
+        return out if any(x["label"] == 0 for x in out) and any(x["label"] in (1, 2) for x in out) else []
+
+    key = {"random": lambda x: 0, "oracle": lambda x: x["label"] != 0, "tracker_score": lambda x: -x["score"] if x["score"] is not None else float("inf"), "candidate_distance": lambda x: x["dist"],
+           "projected_box_area": lambda x: -x["area"], "category_frequency": lambda x: -freq[x["name"]]}
+    for view, f in (("full", lambda g: g), ("score_matched", lambda g: part(g, None)), ("score_size_matched", lambda g: part(g, 0.2))):
+        own = [g for g in map(f, groups.values()) if g]
+        for seed in (0, 1):
+            for control, by in key.items():
+                ap, first, n_pos, n_neg = [], [], [], []
+                for k, g in enumerate(own):
+                    place = {int(i): p for p, i in enumerate(np.random.default_rng(seed + 1009 * k).permutation(len(g)))}
+                    labels = [g[i]["label"] for i in sorted(range(len(g)), key=lambda i: (by(g[i]), place[i]))]
+                    n_pos.append(labels.count(0))
+                    n_neg.append(labels.count(1) + labels.count(2))
+                    if n_pos[-1] and n_neg[-1]:
+                        at = [i for i, x in enumerate(labels) if x == 0]
+                        ap.append(np.mean([(n + 1) / (i + 1) for n, i in enumerate(at)]))
+                        first.append(labels[0] == 0)
+                x = got.pop((view, control, seed))
+                assert (x["groups"], x["rankable_groups"]) == (len(own), len(ap))
+                want = [np.mean(v) for v in (ap, first, n_pos, n_neg)]
+                assert np.allclose([x["mean_ap"], x["recall_at_1"], x["mean_positives"], x["mean_negatives"]], want, atol=2e-6), (view, control, seed)
+    assert not got
+
+
 def test_rank_does_not_depend_on_partitions(spark):
     c = cands(spark, [(i % 3, i, [0, 1, 2, None][i % 4]) for i in range(40)])
     one, many = (ranking.group_metrics(ranking.rank(c.repartition(k))).orderBy("control").collect() for k in (1, 8))
