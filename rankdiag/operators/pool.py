@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as geo
 from ..functions.scalars import finite_vector, group_seed, taxonomy_group
@@ -116,10 +117,39 @@ def is_ego() -> Column:
     return F.coalesce(F.col("synthetic_ego"), F.lit(False)) | F.coalesce(F.col("name") == "EGO_VEHICLE", F.lit(False))
 
 
-def membership(pool: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
-    """A digest of a group's members, the same in any order: SHA-256 over their sorted texts."""
-    member = F.concat_ws(",", *[F.col(f).cast("string") for f in fields])
-    return pool.groupBy(*by).agg(F.sha2(F.concat_ws(";", F.array_sort(F.collect_list(member))), 256).alias("digest"), F.count("*").alias("members"))
+def record(c: Column, kind: T.DataType) -> Column:
+    """A text that only equal values share: n for null, else the value's length and text, and for arrays the number of members and their records."""
+    if isinstance(kind, T.ArrayType):
+        inner = F.array_join(F.transform(c, lambda x: record(x, kind.elementType)), "")
+        return F.coalesce(F.concat(F.size(c).cast("string"), F.lit("["), inner), F.lit("n"))
+    text = c.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+
+
+def record_sql(*fields: str) -> str:
+    """record of several fields that are no arrays, for the oracle queries."""
+    return " || ".join(f"coalesce(CAST(length(CAST({f} AS VARCHAR)) AS VARCHAR) || ':' || CAST({f} AS VARCHAR), 'n')" for f in fields)
+
+
+def membership(pool: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """A digest of a group's members, the same in any order, and their number: by, digest, members.
+
+    A member is the records of its fields, one after the other, so members that differ in any field, also in where a null or a
+    comma stands, have different texts. The digest is that of the members' SHA-256 digests added up in four lanes of 64
+    bits, without overflow: sums merge as they travel, so a group is never gathered, and a member that comes twice
+    counts twice. Fields that the pool lacks are null.
+    """
+    kinds = {f.name: f.dataType for f in pool.schema}
+    h = F.sha2(F.concat(*[record(F.col(f), kinds[f]) if f in kinds else F.lit("n") for f in fields]), 256)
+    lane = lambda i: F.conv(F.substring("_h", 1 + 16 * i, 16), 16, 10).cast("decimal(28,0)")
+    sums = pool.select(*by, h.alias("_h")).groupBy(*by).agg(F.count("*").alias("members"), *[F.sum(lane(i)).alias(f"_{i}") for i in range(4)])
+    return sums.select(*by, F.sha2(F.concat_ws(",", F.col("members").cast("string"), *[F.col(f"_{i}").cast("string") for i in range(4)]), 256).alias("digest"), "members")
+
+
+def membership_sql(member: str) -> str:
+    """The digest of membership as an aggregate over an expression that gives a member's text."""
+    lane = lambda i: f"CAST(sum(CAST(CAST('0x' || substr(sha256({member}), {1 + 16 * i}, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR)"
+    return f"sha256(CAST(count(*) AS VARCHAR) || ',' || {' || chr(44) || '.join(map(lane, range(4)))})"
 
 
 #: Fields of the two canonical digests (fixed values).
@@ -150,7 +180,10 @@ def _plain(v):
 
 
 def candidate_pool_digest(pool: DataFrame, by: list[str]) -> DataFrame:
-    """The digest of candidate pools: POOL_FIELDS by numeric track and ordinal, with a line feed at the end."""
+    """The digest of candidate pools: POOL_FIELDS by numeric track and ordinal, with a line feed at the end.
+
+    For groups of a bounded size, such as a frame; `membership` of POOL_FIELDS tells any groups apart.
+    """
     return canonical_digest(pool, by, POOL_FIELDS, ["log_id", "timestamp_ns", "track_id", "candidate_ordinal"], "\n")
 
 

@@ -512,17 +512,24 @@ def _(spark, d):
     return b.select("vec_id", F.when(F.col("box").isNotNull(), "PROJECTED").otherwise("OUT_OF_VIEW").alias("status"), F.round(F.coalesce(fn.box_area(F.col("box")), F.lit(0.0)), 4).alias("area"))
 
 
-@query("pool_digest", f"WITH {BOXES} SELECT log_id, timestamp_ns, sha256(string_agg(m, ';' ORDER BY m)) AS digest, count(*) AS members FROM (SELECT log_id, timestamp_ns, vec_id || ',' || class || ',' || CAST(round(x * 1e6) AS BIGINT) || ',' || CAST(round(y * 1e6) AS BIGINT) AS m FROM box) GROUP BY ALL")
+_XY = ("vec_id", "class", "CAST(round(x * 1e6) AS BIGINT)", "CAST(round(y * 1e6) AS BIGINT)")
+
+
+@query("pool_digest", f"WITH {BOXES} SELECT log_id, timestamp_ns, {pool.membership_sql(pool.record_sql(*_XY))} AS digest, count(*) AS members FROM box GROUP BY ALL")
 def _(spark, d):
     b = box_table(spark, d).withColumns({"xi": F.round(F.col("x") * 1e6).cast("long"), "yi": F.round(F.col("y") * 1e6).cast("long")})
     return pool.membership(b, ["log_id", "timestamp_ns"], ["vec_id", "class", "xi", "yi"])
 
 
-_MEMBER = "vec_id || ',' || class || ',' || CAST(round((x{shift}) * 1e6) AS BIGINT)"
+_MEMBER = ("vec_id", "class", "CAST(round((x{shift}) * 1e6) AS BIGINT)")
+
+
+def _moved_sql(shift: str) -> str:
+    return pool.membership_sql(pool.record_sql(*[m.format(shift=shift) for m in _MEMBER]))
 
 
-@query("pool_digest_invariance", f"""WITH {BOXES}, m AS (SELECT log_id, timestamp_ns, {_MEMBER.format(shift="")} AS a, {_MEMBER.format(shift=" + CASE WHEN vec_id % 90 = 0 THEN 1 ELSE 0 END")} AS b FROM box),
-g AS (SELECT sha256(string_agg(a, ';' ORDER BY a)) AS a, sha256(string_agg(b, ';' ORDER BY b)) AS b FROM m GROUP BY log_id, timestamp_ns) SELECT count(*) AS groups, count(*) FILTER (a <> b) AS changed, CAST(0 AS BIGINT) AS changed_by_labels FROM g""")
+@query("pool_digest_invariance", f"""WITH {BOXES}, g AS (SELECT {_moved_sql("")} AS a, {_moved_sql(" + CASE WHEN vec_id % 90 = 0 THEN 1 ELSE 0 END")} AS b FROM box GROUP BY log_id, timestamp_ns)
+SELECT count(*) AS groups, count(*) FILTER (a <> b) AS changed, CAST(0 AS BIGINT) AS changed_by_labels FROM g""")
 def _(spark, d):
     b = box_table(spark, d)
     xi = lambda c: F.round(c * 1e6).cast("long")

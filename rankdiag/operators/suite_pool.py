@@ -10,7 +10,7 @@ from ..functions import scalars as fn
 from ..plans.base import BOXES, DOCS, GROUP, LINES, box_table, document_candidates, line_candidates, table
 from . import align, audit, export, graph, pool, ranking
 from .registry import query
-from .suite import _CORNERS, _R, _cornered, _side_name
+from .suite import _CLASS_NAMES, _CORNERS, _R, _cornered, _side_name
 
 # ---- Pools -------------------------------------------------------------------------------------------------------------
 
@@ -63,6 +63,45 @@ def _(spark, d):
     return pool.pool_problems(box_table(spark, d).select("log_id", "timestamp_ns", (F.col("vec_id") % 40).alias("track_id"), F.when(F.col("vec_id") == 7, "q").alias("prompt")))
 
 
+_MICRO = "CAST(round({c} * 1e6) AS BIGINT)"
+_VECTOR = "'3[' || " + pool.record_sql(*[_MICRO.format(c=c) for c in ("{a}", "{b}", "{c}")])
+
+
+def _vector_sql(a: str, b: str, c: str) -> str:
+    return _VECTOR.format(a=a, b=b, c=c)
+
+
+def _whole(c):
+    """Coordinates in millionths, so that any engine writes them alike."""
+    return F.transform(c, lambda x: F.round(x * 1e6).cast("long"))
+
+
+@query("candidate_pool_members", f"""WITH {BOXES}, o AS (SELECT *, CAST(row_number() OVER (PARTITION BY log_id, timestamp_ns ORDER BY vec_id) - 1 AS INTEGER) AS candidate_ordinal FROM box),
+p AS (SELECT *, CASE class {' '.join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(_CLASS_NAMES))} END AS name FROM o WHERE vec_id % 17 <> 0 AND vec_id % 19 <> 0 AND sqrt(x * x + y * y) < 50)
+SELECT log_id, timestamp_ns, {pool.membership_sql(" || ".join([pool.record_sql("log_id", "timestamp_ns", "timestamp_ns", "vec_id", "candidate_ordinal", "name"), _vector_sql("x", "y", "z"), _vector_sql("length", "width", "height"), pool.record_sql(_MICRO.format(c="yaw"), _MICRO.format(c="score"), "vec_id % 2 = 0")]))} AS digest, count(*) AS members FROM p GROUP BY ALL""")
+def _(spark, d):
+    p = pool.candidate_pool(_detections(spark, d)).withColumns({"tracker_timestamp_ns": F.col("timestamp_ns"), "roi_eligible": F.col("track_id") % 2 == 0, "translation_m": _whole("translation_m"), "size": _whole("size"), "yaw": F.round(F.col("yaw") * 1e6).cast("long"), "tracker_score": F.round(F.col("tracker_score") * 1e6).cast("long")})
+    return pool.membership(p, ["log_id", "timestamp_ns"], pool.POOL_FIELDS)
+
+
+def _source_pool(spark, d):
+    """Boxes as a source's pool, by track as text, with a rotation matrix."""
+    b = box_table(spark, d)
+    m = geo.rotation(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
+    return b.select("log_id", "timestamp_ns", F.col("vec_id").cast("string").alias("track_id"), F.concat(F.lit("K"), F.col("class").cast("string")).alias("name"), F.array("x", "y", "z").alias("translation_m"), F.array("length", "width", "height").alias("size"), F.array(*[F.array(*r) for r in m]).alias("rotation"), "score")
+
+
+@query("source_pool_digest")
+def _(spark, d):
+    return pool.source_pool_digest(_source_pool(spark, d), ["log_id", "timestamp_ns"])
+
+
+@query("source_pool_members", f"""WITH {BOXES}, {_R} SELECT log_id, timestamp_ns, {pool.membership_sql(" || ".join([pool.record_sql("log_id", "timestamp_ns", "vec_id", "'K' || class"), _vector_sql("x", "y", "z"), _vector_sql("length", "width", "height"), "'3['", *[_vector_sql(*[f"r{i}{j}" for j in range(3)]) for i in range(3)], pool.record_sql(_MICRO.format(c="score"))]))} AS digest, count(*) AS members FROM r GROUP BY ALL""")
+def _(spark, d):
+    p = _source_pool(spark, d).withColumns({"translation_m": _whole("translation_m"), "size": _whole("size"), "rotation": F.transform("rotation", _whole), "score": F.round(F.col("score") * 1e6).cast("long")})
+    return pool.membership(p, ["log_id", "timestamp_ns"], pool.SOURCE_FIELDS)
+
+
 @query("candidate_pool_digest")
 def _(spark, d):
     p = pool.candidate_pool(_detections(spark, d)).withColumn("tracker_timestamp_ns", F.col("timestamp_ns"))

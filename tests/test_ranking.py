@@ -268,6 +268,21 @@ def test_membership_ignores_order_and_labels(spark):
     assert one == two
 
 
+def test_membership_tells_members_apart(spark):
+    """Commas in fields, nulls at different places, members that repeat, and arrays."""
+    s = "g int, a string, b string, c string, v array<double>"
+    pools = [[("a", "b,c", "d", [1.0])], [("a,b", "c", "d", [1.0])], [("a", None, "c", [1.0])], [("a", "c", None, [1.0])], [("n", "c", "", [1.0])], [(None, "c", "", [1.0])], [("1:a", "", "c", [1.0])], [("1", ":a", "c", [1.0])],
+             [("a", "b", "c", [1.0, 2.0])], [("a", "b", "c", [1.0, None])], [("a", "b", "c", [])], [("a", "b", "c", None)], [("a", "b", "c", [12.0])], [("x", "y", "z", None)] * 2, [("x", "y", "z", None)]]
+    df = spark.createDataFrame([(g, *m) for g, p in enumerate(pools) for m in p], s).repartition(4)
+    got = {r["g"]: (r["digest"], r["members"]) for r in pool.membership(df, ["g"], ["a", "b", "c", "v"]).collect()}
+    assert len(set(got.values())) == len(pools) and got[13][1] == 2
+    import hashlib
+
+    texts = ["1:x1:y1:zn"] * 2
+    lanes = [sum(int(hashlib.sha256(t.encode()).hexdigest()[16 * i : 16 * i + 16], 16) for t in texts) for i in range(4)]
+    assert got[13][0] == hashlib.sha256(",".join(map(str, [2, *lanes])).encode()).hexdigest()
+
+
 def test_empty_group_table(spark):
     g = spark.createDataFrame([], "gt_positive_count long, matched_positive_count long, eligible_positive_count long, projected_positive_count long, unknown_count long, candidate_count long")
     got = audit.coverage(g).first()
