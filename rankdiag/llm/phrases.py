@@ -12,8 +12,10 @@ spread over ranges by what follows it. What occurs less than `least` times is no
 
 Depth by depth. A phrase is frequent only if its words and its pairs of words are, so there are three rounds: words, pairs
 of frequent words, and longer phrases all of whose pairs are frequent. A round knows the last one's phrases by a filter of
-CELLS bits, one for each hash that occurs: its size is fixed, and where it fills up it lets more through, never less.
-The counts stay exact, since each round counts by the phrases themselves.
+CELLS bits, one for each hash that occurs. The first round also sketches pairs: each shard adds up its pairs by such
+a cell, the shards' sums meet by sections of the filter, and a pair is looked at further only if its cell has `least` or
+more. Filters are of a fixed size; where they fill up they let more through, never less. The counts stay exact, since
+each round counts by the phrases themselves.
 
 Parts. A node's first parts are its ancestors (the trie walked upwards), its last parts are its suffix links followed
 as often as words are cut off; both are joins with the node table on the shortened path. Products are decimals of 38
@@ -39,6 +41,7 @@ from .common import LOWER, Rolling, cut, flat, mix, pieces, remove, table, word_
 LEAST, LONGEST, TOP = 100, 5, 2000
 SHARD_BYTES = 12 << 20
 CELLS = 1 << 26
+SECTION = 1 << 16
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 _BREAK = np.zeros(256, bool)
@@ -82,29 +85,35 @@ class Shard:
         stops = np.concatenate([[0], np.cumsum(_BREAK[data], dtype=np.int32)])
         self.joined = (row[1:] == row[:-1]) & (stops[start[1:]] == stops[end[:-1]])
 
-    def allowed(self, depth: int, seen: np.ndarray) -> np.ndarray:
-        """Whether the filter has the phrase of `depth` words at each position."""
+    def places(self, depth: int) -> np.ndarray:
+        """The filter's cell for the phrase of `depth` words at each position."""
         h, spoken = hashes(self.names), hashes(self.langs)
         n = max(0, len(self.code) - depth + 1)
-        at = cells([spoken[self.lang[:n]], *(h[self.code[k : n + k]] for k in range(depth))])
-        return (seen[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-
-    def valid(self, longest: int, depth: int, seen: np.ndarray | None) -> list[np.ndarray]:
-        """For 1 to `longest` words: the positions where a phrase may start, by pieces and by the filter of phrases of `depth` words."""
-        out = [np.ones(len(self.code), bool)]
-        if depth == 1:
-            out[0] &= self.allowed(1, seen)
+        return cells([spoken[self.lang[:n]], *(h[self.code[k : n + k]] for k in range(depth))])
+
+    def pairs(self, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Sections of the filter, with the steps from one cell that a pair of words has here to the next and its count, `least` at most."""
+        at, n = np.unique(self.places(2)[self.joined], return_counts=True)
+        bound = np.searchsorted(at, np.arange(0, CELLS + SECTION, SECTION))
+        for k in np.flatnonzero(np.diff(bound)).tolist():
+            a, b = bound[k], bound[k + 1]
+            yield k, np.diff(at[a:b] - k * SECTION, prepend=0).astype(np.uint16), np.minimum(n[a:b], least).astype(np.uint32)
+
+    def valid(self, longest: int, filters: dict[int, np.ndarray]) -> list[np.ndarray]:
+        """For 1 to `longest` words: the positions where a phrase may start, by pieces and by the filters of words and pairs."""
+        passed = lambda m, seen: (seen[(at := self.places(m)) >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        out = [passed(1, filters[1]) if 1 in filters else np.ones(len(self.code), bool)]
         pair = out[0][:-1] & out[0][1:] & self.joined
-        if depth == 2:
-            pair &= self.allowed(2, seen)
+        if 2 in filters:
+            pair &= passed(2, filters[2])
         for m in range(2, longest + 1):
             n = max(0, len(self.code) - m + 1)
             out.append(out[-1][:n] & pair[m - 2 : m - 2 + n])
         return out
 
-    def trie(self, shortest: int, longest: int, depth: int = 0, seen: np.ndarray | None = None) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    def trie(self, shortest: int, longest: int, filters: dict[int, np.ndarray]) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
         """Language, path and count of the nodes of each level from `shortest` to `longest`, in order."""
-        valid, size = self.valid(longest, depth, seen), max(1, len(self.names))
+        valid, size = self.valid(longest, filters), max(1, len(self.names))
         at = np.flatnonzero(valid[shortest - 1])
         node, lang, path = self.lang[at].astype(np.int64), np.arange(len(self.langs)), None
         for m in range(1, longest + 1):
@@ -121,10 +130,16 @@ class Shard:
 
 
 NODES = "lang string, phrase string, n long"
+ROWS = NODES + ", section int, cells binary, counts binary"
+_ROWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("section", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 
 
-def _tries(shortest: int, longest: int, depth: int, seen):
-    """(text, lang) -> the rows of a trie for each shard; seen: the filter as Spark's broadcast, or none."""
+def _tries(shortest: int, longest: int, filters: dict, least: int = 0):
+    """(text, lang) -> the rows of a trie for each shard; with `least` also the rows of its sketch of pairs. filters: Spark's broadcasts by depth."""
+
+    def told(**cols) -> pa.RecordBatch:
+        n = len(next(iter(cols.values())))
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in _ROWS], schema=_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,13 +148,52 @@ def _tries(shortest: int, longest: int, depth: int, seen):
                 shard = Shard(data[off[i] : off[j]], off[i : j + 1] - off[i], b.column(1).slice(i, j - i))
                 if not len(shard.code):
                     continue
-                for lang, path, n in shard.trie(shortest, longest, depth, seen and seen.value):
+                for lang, path, n in shard.trie(shortest, longest, {m: x.value for m, x in filters.items()}):
                     for k in range(0, len(n), 1 << 16):
-                        yield pa.RecordBatch.from_arrays([lang[k : k + (1 << 16)].cast(pa.string()), path[k : k + (1 << 16)].cast(pa.string()), pa.array(n[k : k + (1 << 16)].astype(np.int64))], ["lang", "phrase", "n"])
+                        at = slice(k, k + (1 << 16))
+                        yield told(lang=lang[at].cast(pa.string()), phrase=path[at].cast(pa.string()), n=n[at].astype(np.int64))
+                if least:
+                    made = list(shard.pairs(least))
+                    if made:
+                        yield told(section=[x[0] for x in made], cells=[x[1].tobytes() for x in made], counts=[x[2].tobytes() for x in made])
+
+    return run
+
+
+def _sums(least: int):
+    """Sketches sorted by section -> the section's bits: cells whose counts add up to `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        section, n = None, np.zeros(0, np.int64)
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([section], pa.int32()), pa.array([np.packbits(n >= least, bitorder="little").tobytes()], pa.binary())], ["section", "bits"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                if b.column(0)[i].as_py() != section:
+                    if section is not None:
+                        yield told()
+                    section, n = b.column(0)[i].as_py(), np.zeros(SECTION, np.int64)
+                at = np.cumsum(np.frombuffer(b.column(1)[i].as_buffer(), np.uint16), dtype=np.int64)
+                n[at] += np.frombuffer(b.column(2)[i].as_buffer(), np.uint32)
+        if section is not None:
+            yield told()
 
     return run
 
 
+def pairs_filter(tries: DataFrame, least: int) -> np.ndarray:
+    """The filter of pairs that may be frequent, from the shards' sketches: CELLS bits, gathered by sections."""
+    seen = np.zeros(CELLS // 64, np.uint64)
+    rows = tries.where("section is not null").select("section", "cells", "counts").repartition("section").sortWithinPartitions("section")
+    got = rows.mapInArrow(_sums(least), "section int, bits binary").toArrow()
+    for section, bits in zip(got["section"].to_pylist(), got["bits"].to_pylist(), strict=True):
+        part = np.frombuffer(bits, np.uint64)
+        seen[section * len(part) : (section + 1) * len(part)] = part
+    return seen
+
+
 def _cells(depth: int):
     """(lang, phrase) of `depth` words -> slots of the filter and their bits."""
 
@@ -163,25 +217,29 @@ def filter_of(nodes: DataFrame, depth: int) -> np.ndarray:
 
 def merged(tries: DataFrame, least: int) -> DataFrame:
     """The shards' nodes met by ranges of the path and summed; those of `least` or more, written."""
-    return cut(tries.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "nodes")
+    rows = tries.where("section is null").select("lang", "phrase", "n")
+    return cut(rows.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "nodes")
 
 
 def mine_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, text: str = "text", lang: str = "lang") -> DataFrame:
     """The `top` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    nodes, total = None, None
-    for shortest, deepest, depth in ((1, 1, 0), (2, min(2, longest), 1), (3, longest, 2)):
+    share = lambda bits: spark.sparkContext.broadcast(bits)  # noqa: E731  of CELLS bits, whatever the input
+    tries = cut(slim.mapInArrow(_tries(1, 1, {}, least), ROWS), "tries")
+    every = words = merged(tries, least)
+    total = cut(tries.where("section is null").groupBy("lang").agg(F.sum("n").alias("total")), "totals")
+    filters = {1: share(filter_of(words, 1)), 2: share(pairs_filter(tries, least))}
+    remove(tries)
+    for shortest, deepest in ((2, min(2, longest)), (3, longest)):
         if shortest > longest:
             break
-        seen = spark.sparkContext.broadcast(filter_of(nodes, depth)) if depth else None
-        tries = cut(slim.mapInArrow(_tries(shortest, deepest, depth, seen), NODES), "tries")
+        tries = cut(slim.mapInArrow(_tries(shortest, deepest, filters), ROWS), "tries")
         level = merged(tries, least)
-        if total is None:
-            total = cut(tries.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
         remove(tries)
-        every = level if nodes is None else every.unionByName(level)
-        nodes = level
+        every = every.unionByName(level)
+        if deepest == 2:
+            filters = {2: share(filter_of(level, 2))}
     scored = score_phrases(every, total)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -63,19 +63,28 @@ def test_small_shards_and_a_full_filter(spark, monkeypatch):
     """Many shards in a task, and a filter of so few bits that nearly everything passes it."""
     rows = made(80, 1)
     monkeypatch.setattr(phrases, "CELLS", 64)
+    monkeypatch.setattr(phrases, "SECTION", 32)
     monkeypatch.setattr(phrases, "SHARD_BYTES", 500)
     batch = pa.table({"text": [t for t, _ in rows], "lang": [x or "und" for _, x in rows]}).to_batches()
     full = type("B", (), {"value": np.full(1, 2**64 - 1, np.uint64)})()
     f, _ = counted(rows)
     got = collections.Counter()
-    for shortest, longest, depth in ((1, 1, 0), (2, 2, 1), (3, 5, 2)):
-        shards = list(phrases._tries(shortest, longest, depth, full if depth else None)(iter(batch)))
+    for shortest, longest, filters in ((1, 1, {}), (2, 2, {1: full, 2: full}), (3, 5, {2: full})):
+        shards = list(phrases._tries(shortest, longest, filters)(iter(batch)))
         assert len(shards) > 5
         for b in shards:
             assert b.column(1).to_pylist() == sorted(b.column(1).to_pylist(), key=lambda p: [w.encode() for w in p.split(" ")]) or len(set(b.column(0).to_pylist())) > 1
             for r in b.to_pylist():
                 got[r["lang"], tuple(r["phrase"].split(" "))] += r["n"]
     assert got == f
+    sketch = [r for b in phrases._tries(1, 1, {}, 7)(iter(batch)) for r in b.to_pylist() if r["section"] is not None]
+    sums = np.zeros(64, int)
+    for r in sketch:
+        np.add.at(sums, r["section"] * 32 + np.cumsum(np.frombuffer(r["cells"], np.uint16)), np.frombuffer(r["counts"], np.uint32))
+    batches = [pa.table({"section": [r["section"]], "cells": [r["cells"]], "counts": [r["counts"]]}).to_batches()[0] for r in sorted(sketch, key=lambda r: r["section"])]
+    for b in phrases._sums(9)(iter(batches)):
+        section = b.column(0)[0].as_py()
+        assert np.unpackbits(np.frombuffer(b.column(1)[0].as_py(), np.uint8), bitorder="little").tolist() == (sums[32 * section : 32 * section + 32] >= 9).astype(int).tolist()
 
 
 def test_messy_and_empty(spark, messy, empty, docs, texts):
