@@ -9,7 +9,7 @@ The weight is the plain ratio of the two probabilities. With `sharpness` the log
 mean over the n-grams times that number, so that length does not count. k is a share of all rows. Both models count all
 rows and whole texts. The noise is a function of id, text and seed, so reruns agree. The k-th largest key is found by
 narrowing a histogram over a written table of keys; no sort of all rows and nothing that grows comes to the driver. Ties
-at the border go by smaller doc_id, then by the row's hash; rows equal in both and in their key are taken together.
+at the border go by smaller doc_id, then by the row's hash; of rows equal in both as many are taken as make k.
 
 Null and empty texts have no n-grams and log weight 0. Documents with several labels count once for each good label.
 A null doc_id matches no label. If no row is good the target model equals the raw model. Repeated rows stay. An
@@ -84,11 +84,11 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
     above = 0
     while lo < hi:
         width = (hi - lo) / 1024
-        if not width or lo + width == lo:
-            break
+        narrow = not width or lo + width == lo or hi - width == hi  # at most some thousand doubles lie in between: count each
         here = keys.where((F.col(column) >= lo) & (F.col(column) <= hi))
-        bins = here.groupBy(F.least(F.lit(1023), F.floor((F.col(column) - lo) / width)).alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect()
-        for b in sorted(bins, key=lambda b: -b["b"]):  # at most 1024 rows
+        at = F.col(column) if narrow else F.least(F.lit(1023), F.floor((F.col(column) - lo) / width))
+        bins = here.groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect()
+        for b in sorted(bins, key=lambda b: -b["b"]):  # at most some thousand rows
             if above + b["n"] >= k:
                 lo, hi = b["lo"], b["hi"]
                 break
@@ -114,21 +114,26 @@ def resample(docs: DataFrame, good_ids: DataFrame, share: float = SHARE, sharpne
     weighed = slim.select("doc_id", F.xxhash64("doc_id", "text", F.lit(seed)).alias("row_hash"), "text").mapInArrow(_weigh(ratio), "doc_id long, row_hash long, n_ngrams long, log_ratio double")
     uniform = (F.shiftrightunsigned(F.col("row_hash"), 11).cast("double") + 0.5) / float(1 << 53)
     mean = F.col("log_ratio") if sharpness is None else F.when(F.col("n_ngrams") > 0, sharpness * F.col("log_ratio") / F.col("n_ngrams")).otherwise(F.lit(0.0))
-    weighed = cut(weighed.withColumn("gumbel_key", mean - F.log(-F.log(uniform))), "weights")
+    # Written with a number of its own for each row, so that of equal rows at the border as many are taken as there is room for.
+    weighed = cut(weighed.withColumn("gumbel_key", mean - F.log(-F.log(uniform))).withColumn("_n", F.monotonically_increasing_id()), "weights")
     n = weighed.count()
     k = round(share * n)
+    shown = ["doc_id", "n_ngrams", "log_ratio", "gumbel_key"]
     edge = kth_largest(weighed, "gumbel_key", k)
     if edge is None:
-        return weighed.select("doc_id", "n_ngrams", "log_ratio", "gumbel_key", F.lit(k > 0).alias("kept"))
+        return weighed.select(*shown, F.lit(k > 0).alias("kept"))
     sure = weighed.where(F.col("gumbel_key") > edge).count()
     tied = weighed.where(F.col("gumbel_key") == edge)
     left = k - sure
     for last in tied.groupBy("doc_id", "row_hash").count().orderBy(F.col("doc_id").asc_nulls_last(), "row_hash").toLocalIterator():
-        left -= last["count"]
-        if left <= 0:
+        if last["count"] >= left:
             break
-    before = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "row_hash") <= F.struct(F.lit(last["doc_id"] is None), F.lit(last["doc_id"] or 0).cast("long"), F.lit(last["row_hash"]).cast("long"))
-    return weighed.select("doc_id", "n_ngrams", "log_ratio", "gumbel_key", ((F.col("gumbel_key") > edge) | ((F.col("gumbel_key") == edge) & before)).alias("kept"))
+        left -= last["count"]
+    place = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "row_hash")
+    border = F.struct(F.lit(last["doc_id"] is None), F.lit(last["doc_id"] or 0).cast("long"), F.lit(last["row_hash"]).cast("long"))
+    most = -kth_largest(tied.where(place == border).select((-F.col("_n")).cast("double").alias("m")), "m", left)
+    first = (place < border) | ((place == border) & (F.col("_n") <= most))
+    return weighed.select(*shown, ((F.col("gumbel_key") > edge) | ((F.col("gumbel_key") == edge) & first)).alias("kept"))
 
 
 def op1_ngram_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
