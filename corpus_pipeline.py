@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rankdiag.llm import decontaminate as leaks
 from rankdiag.llm import mixing, near_dedup, suffix_dedup
 from rankdiag.llm import quality_rules as rules
-from rankdiag.llm.common import clean, cut, table, written
+from rankdiag.llm.common import clean, cut, table, tracked
 
 #: Texts whose sets of five-word shingles reach this similarity are near-duplicates.
 SIMILARITY = 80
@@ -68,10 +68,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, older = table(spark, sf_dir, "documents"), written(spark)
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
-        clean(spark, docs, older=older)
+    docs = table(spark, sf_dir, "documents")
+    with tracked() as made:  # by this run alone; others may write at the same time
+        for name, stage in STAGES[:-1]:
+            docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+            clean(spark, docs, only=made)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

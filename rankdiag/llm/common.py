@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +52,34 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rankdiag-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    claim(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
+_here = threading.local()  # paths that this thread claims within tracked()
+
+
+def claim(spark: SparkSession, path: str) -> None:
+    """Put a path among those that clean deletes."""
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if getattr(_here, "paths", None) is not None:
+        _here.paths.append(path)
+
+
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """The paths that this thread claims meanwhile."""
+    outer, _here.paths = getattr(_here, "paths", None), []
+    try:
+        yield _here.paths
+    finally:
+        own, _here.paths = _here.paths, outer
+        if outer is not None:
+            outer.extend(own)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -73,9 +97,10 @@ def written(spark: SparkSession) -> set[str]:
     return set(_written.get(spark.sparkContext.applicationId, []))
 
 
-def clean(spark: SparkSession, *keep: DataFrame, older: frozenset[str] | set[str] = frozenset()) -> None:
-    """Delete all that cut wrote but for `keep` and `older`; results made from them that are not written yet are lost."""
-    for path in written(spark) - older - {df._cut_path for df in keep}:
+def clean(spark: SparkSession, *keep: DataFrame, only: list[str] | None = None) -> None:
+    """Delete all that cut wrote, or of it what is in `only`, but for `keep`; results made from it that are not written yet are lost."""
+    gone = written(spark) if only is None else written(spark) & set(only)
+    for path in gone - {df._cut_path for df in keep}:
         _delete(spark, path)
 
 

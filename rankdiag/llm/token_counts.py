@@ -3,7 +3,7 @@
 The cache is a Parquet table (tokenizer, digest, n_tokens). `tokenizer` is the SHA-256 of the tokenizer's file, so
 another version never reads this one's counts; `digest` is the SHA-256 of the normalised content. The normal form
 must not change counts: null becomes empty, nothing else changes. Contents are made distinct by digest, those whose
-digest the cache holds are left out, the misses alone are encoded, and their counts are appended. Then every row is
+digest the cache holds are left out before contents move, the misses alone are encoded, and their counts are appended. Then every row is
 joined to its count by digest.
 
 Equal contents in the input are encoded once. A failed append leaves no partial rows (Parquet's commit), and a digest
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, flat, pieces, shared_dir, table
+from .common import claim, cut, flat, pieces, shared_dir, table
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -77,9 +77,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024,
             return None
         return spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
-    misses = held.select("_digest", "_content").groupBy("_digest").agg(F.first("_content").alias("_content"))
+    asked = held.select("_digest", "_content")
     if (have := stored()) is not None:
-        misses = misses.join(have, F.col("_digest") == F.col("digest"), "left_anti")
+        # Digests alone meet the cache; where few miss, Spark sends those to the contents, and contents that hit never move.
+        new = cut(held.select("_digest").distinct().join(have, F.col("_digest") == F.col("digest"), "left_anti"), "misses")
+        asked = asked.join(new, "_digest", "left_semi")
+    misses = asked.groupBy("_digest").agg(F.first("_content").alias("_content"))
     misses.mapInArrow(_encode(tokenizer, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
     # Written, so that the join by digest stands on exchanges of its own, which Spark can split where a content is very frequent.
     counts = cut(stored().select(F.col("digest").alias("_digest"), F.col("n_tokens").alias("_n")), "counts")
@@ -88,9 +91,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024,
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts from an empty cache of its own, so every distinct content is encoded in this run."""
+    """Starts from an empty cache of its own, so every distinct content is encoded in this run; `clean` deletes it."""
     import public_tokenizers
 
     cache = f"{shared_dir(spark)}/rankdiag-token-cache-{uuid.uuid4().hex}"
+    claim(spark, cache)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), cache).select("doc_id", "n_bytes", "n_tokens", "over_limit")
