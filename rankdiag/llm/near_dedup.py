@@ -13,8 +13,9 @@ of five values at 0.85, 20 at 0.80. Far below 0.5 no plan of MOST values does, w
 Steps: (1) equal sets collapse into a class with one representative, the smallest doc_id; (2) representatives that
 share an entry are compared by signature distance in the task that holds the entry; a task keeps a union-find and
 returns a spanning forest, never all pairs; an entry of more than BUCKET members is dealt out as pairs of blocks;
-(3) components of those candidate links are gathered, in pairs of blocks where one is large, and exact intersections
-of whole sets confirm the links, again returned as a spanning forest; (4) components of confirmed links.
+(3) components of those candidate links are families, whose links exact intersections of whole sets confirm: a family of
+at most FAMILY members in one task, a larger one first along its candidate forest, two texts a link, and only where that
+leaves it in several parts in pairs of blocks; again spanning forests come back; (4) components of confirmed links.
 
 Defined cases: null text is empty; a document with an empty set is its own component, of 0 shingles. A null doc_id
 has a null component and is kept. Rows that share a doc_id are one document to the links (any of their sets links).
@@ -28,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, Rolling, cut, flat, groups, mix, pieces, remove, table, word_spans
@@ -218,26 +219,42 @@ def linked(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
     return x, y
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, keys: tuple[str, ...]):
+    """(keys..., rep, text) sorted by keys -> a spanning forest of the pairs of each group that reach the similarity."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in groups(batches, ["family", "p", "q"], 64):
+        for t, at in groups(batches, list(keys), 64):
             ids = t["rep"].combine_chunks().to_numpy()
             off, data = flat(t["text"])
             for a, b in zip(at[:-1], at[1:], strict=True):
-                if b - a < 2:
+                own = {(ids[i], data[off[i] : off[i + 1]].tobytes()): i for i in range(a, b)}  # repeated rows once
+                rows = sorted(own.values())
+                if len(rows) < 2:
                     continue
-                sets = []
-                for i, j in pieces(off[a : b + 1]):
-                    sets += shingles(data[off[a + i] : off[a + j]], off[a + i : a + j + 1] - off[a + i])
-                forest = Forest(b - a)
+                sets: list[np.ndarray] = []
+                for i in rows:
+                    sets += shingles(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
+                forest = Forest(len(rows))
                 forest.link(*linked(sets, percent))
-                far = np.flatnonzero(forest.root != np.arange(b - a))
+                far = np.flatnonzero(forest.root != np.arange(len(rows)))
                 if len(far):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][far]), pa.array(ids[a:b][forest.root[far]])], ["a", "b"])
+                    kept = ids[rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(kept[far]), pa.array(kept[forest.root[far]])], ["a", "b"])
 
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, hash, text) -> (rep, text) without the rows that repeat an earlier one of the partition."""
+    seen: set[tuple] = set()
+    for b in batches:
+        new = []
+        for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            new.append(x not in seen)
+            seen.add(x)
+        yield b.filter(pa.array(new, pa.bool_())).select([0, 2])
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for the nodes of edges (a, b): alternating large and small stars until nothing changes; a written table.
 
@@ -283,24 +300,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     told = cut(told, "signatures")
     reps = told.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("low").alias("low"))
     reps = cut(reps, "classes")  # written, so that joins by digest stand on exchanges of their own, which Spark can split where copies are many
-    rows = reps.select("rep", "low", F.explode("keys").alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    few = rows.where(F.col("n") <= BUCKET).select("key", F.lit(0).alias("p"), F.lit(0).alias("q"), "rep", "low")
-    many = blocks(rows.where(F.col("n") > BUCKET), "rep", BUCKET).select("key", "p", "q", "rep", "low").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    near = few.mapInArrow(_near(2 * chunks - 1), "a long, b long").unionByName(many.mapInArrow(_near(2 * chunks - 1), "a long, b long"))
+    rows = reps.select("rep", "low", F.explode("keys").alias("key"))
+    # Counted by sums and joined with a written table, so that no task gets all members of a frequent entry.
+    met = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "entries")
+    rows = rows.join(met.hint("merge"), "key")
+    rows = blocks(rows, "rep", BUCKET).select("key", "p", "q", "rep", "low").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    near = cut(rows.mapInArrow(_near(2 * chunks - 1), "a long, b long"), "candidates")
     # Sets that share a doc_id are one document. Its aggregate is by doc_id alone, so Spark can split the join before it.
     own = told.where("n_shingles > 0 and doc_id is not null").select("doc_id", "digest").join(reps.select("digest", "rep"), "digest")
     same = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     family = components(near, "near")
     member = family.select(F.col("node").alias("rep"), F.col("root").alias("family"))
-    sizes = member.groupBy("family").agg(F.count("*").alias("n"))
-    dealt = blocks(member.join(sizes, "family"), "rep", FAMILY).select("family", "p", "q", "rep")
+    sizes = cut(member.groupBy("family").agg(F.count("*").alias("n")), "families")
+    whole = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).mapInArrow(_once, "rep long, text string")
+    # A large family's forest is confirmed first, at two texts a link; only what that leaves in parts is dealt in blocks.
+    large = member.join(sizes.where(F.col("n") > FAMILY).hint("merge"), "family")
+    pairs = near.join(large.select(F.col("rep").alias("a")).hint("merge"), "a", "left_semi")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("rep")).hint("merge").join(whole, "rep").select("a", "b", "rep", "text")
+    along = cut(ends.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_confirm(percent, ("a", "b")), "a long, b long"), "along")
+    part = components(along, "along")
+    parts = large.join(part.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left").groupBy("family").agg(F.min(F.coalesce("root", "rep")).alias("lo"), F.max(F.coalesce("root", "rep")).alias("hi"))
+    whole_family = cut(parts.where("lo = hi").select("family"), "one-part")
+    left = sizes.join(whole_family.hint("merge"), "family", "left_anti")
+    dealt = blocks(member.join(left.hint("merge"), "family"), "rep", FAMILY).select("family", "p", "q", "rep")
     # A merge at every size: whether the ids could be broadcast depends on the size of the corpus.
-    texts = dealt.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")), "rep").select("family", "p", "q", "rep", "text")
-    sure = texts.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(_confirm(percent), "a long, b long")
+    texts = dealt.hint("merge").join(whole, "rep").select("family", "p", "q", "rep", "text")
+    sure = texts.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(_confirm(percent, ("family", "p", "q")), "a long, b long").unionByName(along)
     roots = components(sure.unionByName(same.select("a", "b")), "sure")
     named = reps.select("digest", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("_c"))
     named = cut(named, "named")
-    remove(family, roots, reps)
+    remove(family, roots, reps, met, near, sizes, along, part, whole_family)
     out = told.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("_c")), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

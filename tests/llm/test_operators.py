@@ -248,6 +248,26 @@ def test_near_in_blocks(docs, texts, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == want
 
 
+def test_near_with_large_families_and_repeated_rows(spark, vocabulary, monkeypatch):
+    """Families beyond FAMILY that are one along their forest, one that is not, and rows that come many times."""
+    monkeypatch.setattr(near_dedup, "FAMILY", 8)
+    r = random.Random(12)
+    make = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    base, chain = make(300), make(200)
+    rows = {}
+    for i in range(30):
+        w = list(base)
+        w[r.randrange(300)] = "edit"
+        rows[100 + i] = " ".join(w)
+    for i in range(24):  # neighbours are near, ends are not
+        chain[8 * i % 200] = f"step{i}"
+        rows[200 + i] = " ".join(chain)
+    want, _ = brute_components(list(rows.items()), 85)
+    d = spark.createDataFrame([*rows.items()] + [(100, rows[100])] * 300 + [(120, rows[120])] * 40, "doc_id long, text string").repartition(4)
+    got = near_dedup.near_duplicates(d).collect()
+    assert len(got) == len(rows) + 340 and {x["doc_id"]: x["component_id"] for x in got} == want
+
+
 def test_near_messy(messy, empty):
     got = near_dedup.near_duplicates(messy).collect()
     assert len(got) == messy.count() and all(r["kept"] and r["component_id"] is None for r in got if r["doc_id"] is None)

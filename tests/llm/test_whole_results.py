@@ -57,13 +57,24 @@ def test_resample_by_brute_force(spark, messy, sharpness):
 
 
 def test_resample_ties_and_empty(spark, empty):
+    """Equal rows share their noise: of those at the border just as many are kept as make k."""
     rows = [(1, "a b")] * 6 + [(2, "c d e")] * 2
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = collections.Counter((r["doc_id"], r["kept"]) for r in ngram_resample.resample(d, d.where("doc_id = 1").select("doc_id"), share=0.25).collect())
-    assert set(got) in ({(1, True), (2, False)}, {(1, False), (2, True)})  # equal rows are taken together
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for share in (0.25, 0.5, 0.875, 1.0):
+        got = collections.Counter((r["doc_id"], r["kept"]) for r in ngram_resample.resample(d, d.where("doc_id = 1").select("doc_id"), share=share).collect())
+        assert sum(n for (_, kept), n in got.items() if kept) == 8 * share and sum(got.values()) == 8
     assert ngram_resample.resample(empty, empty.select("doc_id")).count() == 0
 
 
+def test_kth_largest_of_neighbouring_doubles(spark):
+    v = [1.0, 1 + 2**-52, 1 + 2**-51] + [float(x) for x in np.nextafter(np.full(40, 1e6), 2e6)] + [1e6]
+    df = spark.createDataFrame([(x,) for x in v], "x double")
+    for k in (1, 2, 41, 42, 43, 44):
+        assert ngram_resample.kth_largest(df, "x", k) == sorted(v, reverse=True)[k - 1]
+    few = spark.createDataFrame([(x,) for x in v[:3]], "x double")
+    assert [ngram_resample.kth_largest(few, "x", k) for k in (1, 2, 3, 4)] == [v[2], v[1], v[0], None]
+
+
 # 2
 
 
@@ -278,13 +289,26 @@ def test_a_cluster_needs_a_shared_folder():
 
 
 def test_written_tables_are_removed(spark, docs):
-    older = common.written(spark)
-    first, second = common.cut(spark.range(3).toDF("x"), "t"), common.cut(spark.range(4).toDF("x"), "t")
-    assert len(common.written(spark) - older) == 2
-    common.remove(first)
-    assert not os.path.exists(first._cut_path) and second.count() == 4
-    near_dedup.near_duplicates(docs).count()
-    common.clean(spark, second, older=older)
-    assert common.written(spark) - older == {second._cut_path} and os.path.isdir(second._cut_path)
-    common.clean(spark, older=older)
-    assert common.written(spark) == older
+    with common.tracked() as made:
+        first, second = common.cut(spark.range(3).toDF("x"), "t"), common.cut(spark.range(4).toDF("x"), "t")
+        assert made == [first._cut_path, second._cut_path]
+        common.remove(first)
+        assert not os.path.exists(first._cut_path) and second.count() == 4
+        near_dedup.near_duplicates(docs).count()
+    other = common.cut(spark.range(2).toDF("x"), "t")  # as another thread's
+    common.clean(spark, second, only=made)
+    assert common.written(spark) >= {second._cut_path, other._cut_path} and not common.written(spark) & set(made) - {second._cut_path}
+    common.clean(spark, other)
+    assert common.written(spark) == {other._cut_path} and os.path.isdir(other._cut_path) and not os.path.exists(second._cut_path)
+    common.clean(spark)
+
+
+def test_the_token_cache_of_a_query_is_cleaned(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    with common.tracked() as made:
+        assert token_counts.op4_token_counts(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    cache = [p for p in made if "token-cache" in p]
+    assert len(cache) == 1 and os.path.isdir(cache[0])
+    common.clean(spark, only=made)
+    assert not any(map(os.path.exists, made))
