@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import pickle
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -93,19 +96,26 @@ class _FilePart(InputPartition):
 
 
 class _FeatherReader(DataSourceReader):
-    def __init__(self, paths: list[str], names: list[str]):
-        self.paths, self.names = paths, names
+    def __init__(self, paths: list[str], names: list[str], place: str | None):
+        self.paths, self.names, self.place = paths, names, place
 
     def partitions(self):
         return [_FilePart(p) for p in self.paths]
 
     def read(self, partition):
+        stored = [n for n in self.names if n != self.place]
         with pa.memory_map(partition.path) as f:
-            file = pa.ipc.open_file(f, options=_only(pa.ipc.open_file(f).schema, self.names))
+            file = pa.ipc.open_file(f, options=_only(pa.ipc.open_file(f).schema, stored))
+            row = self.paths.index(partition.path) << 33
             for k in range(file.num_record_batches):
                 batch = file.get_batch(k)
                 for i in range(0, batch.num_rows, 10_000):
-                    yield batch.slice(i, 10_000).select(self.names)
+                    part = batch.slice(i, 10_000).select(stored)
+                    if self.place in self.names:
+                        at = pa.array(range(row, row + part.num_rows), pa.int64())
+                        part = pa.RecordBatch.from_arrays([*part.columns, at], [*stored, self.place]).select(self.names)
+                    yield part
+                    row += part.num_rows
 
 
 def _only(schema: pa.Schema, names: list[str]) -> pa.ipc.IpcReadOptions:
@@ -113,9 +123,10 @@ def _only(schema: pa.Schema, names: list[str]) -> pa.ipc.IpcReadOptions:
 
 
 class FeatherSource(DataSource):
-    """`feather`: one task a file, a record batch at a time. Options: paths, a JSON list; columns, a JSON list of those to read.
+    """`feather`: one task a file, a record batch at a time. Options: paths, a JSON list; columns, a JSON list of those to read; place.
 
-    The schema comes from the first file's footer.
+    The schema comes from the first file's footer. place names a column to be added: the row's place, counted on from the
+    offsets of its file's record batches, files in their order.
     """
 
     @classmethod
@@ -128,16 +139,23 @@ class FeatherSource(DataSource):
         with pa.memory_map(json.loads(self.options["paths"])[0]) as f:
             schema = pa.ipc.open_file(f).schema
         names = json.loads(self.options.get("columns", "null")) or schema.names
-        return from_arrow_schema(pa.schema([schema.field(n) for n in names]))
+        made = [pa.field(self.options["place"], pa.int64())] if "place" in self.options else []
+        return from_arrow_schema(pa.schema([*(schema.field(n) for n in names), *made]))
 
     def reader(self, schema):
-        return _FeatherReader(json.loads(self.options["paths"]), schema.names)
+        return _FeatherReader(json.loads(self.options["paths"]), schema.names, self.options.get("place"))
 
 
-def read_feather(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
-    """Feather files, or only some of their columns, with translation_m and size made from single columns where those are there."""
+def _below(paths, suffix: str) -> list[str]:
+    """Files as they are given, and of folders all files of a suffix in order of their names."""
+    return [f"{p}/{x}" if os.path.isdir(p) else p for p in paths for x in (sorted(n for n in os.listdir(p) if n.endswith(suffix)) if os.path.isdir(p) else [p])]
+
+
+def read_feather(spark: SparkSession, *paths: str, columns: list[str] | None = None, place: str | None = None) -> DataFrame:
+    """Feather files or folders of them, or only some of their columns, with translation_m and size made from single columns where those are there; place names a column of the rows' places."""
     spark.dataSource.register(FeatherSource)
-    df = spark.read.format("feather").option("paths", json.dumps(paths)).option("columns", json.dumps(columns)).load()
+    source = spark.read.format("feather").option("paths", json.dumps(_below(paths, ".feather"))).option("columns", json.dumps(columns))
+    df = (source.option("place", place) if place else source).load()
     for name, parts in (("translation_m", ("tx_m", "ty_m", "tz_m")), ("size", ("length_m", "width_m", "height_m"))):
         if name not in df.columns and set(parts) <= set(df.columns):
             df = df.withColumn(name, F.array(*parts))
@@ -171,18 +189,70 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def read_pickle(spark: SparkSession, path: str, trusted: bool = False) -> DataFrame:
-    """A local scenario or tracker pickle, read on the driver. Unpickling runs code: only for files that you made yourself."""
+#: What a pickle of frames may call: containers, numbers, and numpy's arrays (fixed values).
+PICKLED = {
+    ("builtins", "dict"), ("builtins", "list"), ("builtins", "tuple"), ("builtins", "set"), ("builtins", "frozenset"), ("builtins", "bytearray"), ("builtins", "complex"),
+    ("collections", "OrderedDict"), ("collections", "defaultdict"), ("_codecs", "encode"), ("numpy", "ndarray"), ("numpy", "dtype"),
+    *((f"numpy.{core}.{part}", name) for core in ("core", "_core") for part, name in (("multiarray", "_reconstruct"), ("multiarray", "scalar"), ("numeric", "_frombuffer"))),
+}
+
+
+class _Frames(pickle.Unpickler):
+    """Loads plain containers and numpy arrays; any other class or function is an error, so that no code runs."""
+
+    def find_class(self, module: str, name: str):
+        if (module, name) in PICKLED:
+            return super().find_class(module, name)
+        raise pickle.UnpicklingError(f"{module}.{name} may not be in a pickle of frames")
+
+
+_FRAMES = T.StructType([*RECORD.fields, T.StructField("frame_index", T.IntegerType())])
+
+
+class _PickleReader(DataSourceReader):
+    def __init__(self, paths: list[str], place: str | None):
+        self.paths, self.place = paths, place
+
+    def partitions(self):
+        return [_FilePart(p) for p in self.paths]
+
+    def read(self, partition):
+        kinds = {f.name: f.dataType for f in RECORD}
+        plain = lambda n, v: None if v is None else str(v) if isinstance(kinds[n], T.StringType) else [float(x) for x in v] if isinstance(kinds[n], T.ArrayType) else int(v) if isinstance(kinds[n], T.LongType) else float(v)
+        with open(partition.path, "rb") as f:
+            rows = flatten_frames(_Frames(f).load())
+        row = self.paths.index(partition.path) << 33
+        schema = _arrow(T.StructType([*_FRAMES.fields, *([T.StructField(self.place, _L)] if self.place else [])]))
+        while held := list(itertools.islice(rows, 10_000)):
+            made = [{n: plain(n, r.get(n)) for n in kinds} | {"frame_index": r["frame_index"]} | ({self.place: row + i} if self.place else {}) for i, r in enumerate(held)]
+            yield pa.RecordBatch.from_pylist(made, schema=schema)
+            row += len(made)
+
+
+class PickleSource(DataSource):
+    """`frames_pickle`: scenario or tracker pickles, one task a file. Options: paths, a JSON list; place, as for feather."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "frames_pickle"
+
+    def schema(self):
+        return T.StructType([*_FRAMES.fields, *([T.StructField(self.options["place"], _L)] if "place" in self.options else [])])
+
+    def reader(self, schema):
+        return _PickleReader(json.loads(self.options["paths"]), self.options.get("place"))
+
+
+def read_pickle(spark: SparkSession, *paths: str, trusted: bool = False, place: str | None = None) -> DataFrame:
+    """Scenario or tracker pickles, or folders of them, read by one task a file with an unpickler that knows plain data alone.
+
+    A file is unpickled whole, by the task that reads it. Even so only for files whose origin is known: trusted=True.
+    """
     if not trusted:
         raise ValueError("a pickle is read only with trusted=True")
-    import pickle
-
-    with open(path, "rb") as f:
-        rows = list(flatten_frames(pickle.load(f)))
-    names = [f.name for f in RECORD]
-    kinds = {f.name: f.dataType for f in RECORD}
-    plain = lambda n, v: None if v is None else str(v) if isinstance(kinds[n], T.StringType) else [float(x) for x in v] if isinstance(kinds[n], T.ArrayType) else int(v) if isinstance(kinds[n], T.LongType) else float(v)
-    return spark.createDataFrame([[plain(n, r.get(n)) for n in names] + [r["frame_index"]] for r in rows], T.StructType([*RECORD.fields, T.StructField("frame_index", T.IntegerType())]))
+    spark.dataSource.register(PickleSource)
+    source = spark.read.format("frames_pickle").option("paths", json.dumps(_below(paths, (".pkl", ".pickle"))))
+    return (source.option("place", place) if place else source).load()
 
 
 def load_records(spark: SparkSession, path: str, schema: T.StructType | None = None, trusted: bool = False) -> DataFrame:
@@ -199,7 +269,7 @@ def load_records(spark: SparkSession, path: str, schema: T.StructType | None = N
     elif kind == ".parquet":
         df = spark.read.parquet(path)
     elif kind in (".pkl", ".pickle"):
-        df = read_pickle(spark, path, trusted)
+        df = read_pickle(spark, path, trusted=trusted)
     else:
         raise ValueError(f"no reader for {path}")
     return normalize(df)
@@ -269,21 +339,29 @@ def read_groups(spark: SparkSession, path: str, source: str, schema: T.StructTyp
 SOURCE_COLUMNS = ("log_id", "timestamp_ns", "track_id", "name", "translation_m", "size", "rotation", "score", "distance_m", "synthetic_ego", "camera_projections")
 
 
+def placed_parquet(spark: SparkSession, path: str, place: str) -> DataFrame:
+    """A Parquet file or folder with the rows' places: files in order of their names, rows as their file has them."""
+    df = spark.read.parquet(path)
+    names = sorted((os.path.basename(p) for p in df.inputFiles()), key=unquote)  # both as parts of URIs
+    file = F.array_position(F.array(*map(F.lit, names)), F.col("_metadata.file_name")) - 1
+    return df.select("*", (F.shiftleft(file, 33) + F.col("_metadata.row_index")).alias(place))
+
+
 def read_source_rows(spark: SparkSession, folder: str, logs: list[str], source: str) -> DataFrame:
     """Rows of `<source>_<log>.parquet` or .feather, one file or folder a log, with _row_ord, their order within it.
 
-    A file that is not there or lacks a column, and a row of another log than its file's, are errors.
+    The order is that of the files' names and of the rows in them, however files are split among tasks. A file that is not there or lacks a column, and a row of another log than its file's, are errors.
     """
     out = None
     for log in sorted(map(str, logs)):
         at = next((p for p in (f"{folder}/{source}_{log}.parquet", f"{folder}/{source}_{log}.feather") if os.path.exists(p)), None)
         if at is None:
             raise FileNotFoundError(f"no rows of {source} for {log} in {folder}")
-        df = spark.read.parquet(at) if at.endswith(".parquet") else read_feather(spark, at)
+        df = placed_parquet(spark, at, "_row_ord") if at.endswith(".parquet") else read_feather(spark, at, place="_row_ord")
         if lacking := sorted(set(SOURCE_COLUMNS) - set(df.columns)):
             raise ValueError(f"{at} lacks {', '.join(lacking)}")
         own = F.when(F.col("log_id").cast("string") == log, F.col("log_id").cast("string")).otherwise(F.raise_error(F.concat(F.lit(f"{at} holds a row of "), F.col("log_id").cast("string"))))
-        df = df.withColumns({"log_id": own, "_row_ord": F.monotonically_increasing_id()})
+        df = df.withColumn("log_id", own)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         raise ValueError("no logs")

@@ -5,10 +5,16 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.base import GROUP
 
@@ -30,22 +36,82 @@ def split_files(spark, path: str) -> DataFrame:
     return found.select(split.alias("split"), kind.alias("kind"), "path", "length", "sha256").where("kind <> ''")
 
 
-def write_feather(df: DataFrame, path: str) -> str:
-    """One Feather file, streamed through the driver in batches, with its digest as the result; for reports, not for corpora."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(df.schema)
-    with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, schema) as out:
-        rows = []
-        for r in df.toLocalIterator():
-            rows.append(r.asDict(recursive=True))
-            if len(rows) == 10_000:
-                out.write_batch(pa.RecordBatch.from_pylist(rows, schema=schema))
-                rows = []
-        if rows:
-            out.write_batch(pa.RecordBatch.from_pylist(rows, schema=schema))
-    return sha256_file(path)
+class _Part(WriterCommitMessage):
+    def __init__(self, path: str, rows: int, size: int, sha256: str):
+        self.path, self.rows, self.size, self.sha256 = path, rows, size, sha256
+
+
+class _FeatherWriter(DataSourceArrowWriter):
+    """A task writes its rows, batch by batch, into a hidden file of its own; commit gives the files their names."""
+
+    def __init__(self, path: str, schema: T.StructType, overwrite: bool):
+        self.path, self.schema, self.overwrite, self.run = path, schema, overwrite, uuid.uuid4().hex
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
+        from pyspark import TaskContext
+
+        os.makedirs(self.path, exist_ok=True)
+        task = TaskContext.get()
+        at = f"{self.path}/.part-{task.partitionId():05d}-{self.run}-{task.taskAttemptId()}"
+        schema, rows = to_arrow_schema(self.schema), 0
+        with pa.OSFile(at, "wb") as f, pa.ipc.new_file(f, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+            for b in iterator:
+                out.write_batch(pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(b.columns, schema, strict=True)], schema=schema))
+                rows += b.num_rows
+        return _Part(at, rows, os.path.getsize(at), sha256_file(at))
+
+    def commit(self, messages: list[_Part | None]) -> None:
+        """Name the files of the tasks that ended, put the manifest beside them, and clear what else is there."""
+        parts = sorted((m for m in messages if m), key=lambda m: os.path.basename(m.path))
+        older = [p for p in os.listdir(self.path) if p.endswith(".feather")] if os.path.isdir(self.path) else []
+        if older and not self.overwrite:
+            self.abort(messages)
+            raise FileExistsError(f"{self.path} holds files already")
+        os.makedirs(self.path, exist_ok=True)
+        files = []
+        for m in parts:
+            name = f"part-{len(files):05d}-{self.run}.feather"
+            os.replace(m.path, f"{self.path}/{name}")
+            files.append({"file": name, "rows": m.rows, "bytes": m.size, "sha256": m.sha256})
+        kept = {f["file"] for f in files}
+        with open(f"{self.path}/.manifest-{self.run}", "w") as f:
+            json.dump({"files": files}, f, indent=2)
+        os.replace(f"{self.path}/.manifest-{self.run}", f"{self.path}/{MANIFEST}")
+        for p in os.listdir(self.path):
+            if p.startswith(".part-") and self.run in p or p.endswith(".feather") and p not in kept:
+                os.remove(f"{self.path}/{p}")
+
+    def abort(self, messages: list[_Part | None]) -> None:
+        """Remove this run's files; those of other runs stay."""
+        for p in os.listdir(self.path) if os.path.isdir(self.path) else []:
+            if p.startswith(".part-") and self.run in p:
+                os.remove(f"{self.path}/{p}")
+
+
+class FeatherSink(DataSource):
+    """`feather_files`: a folder of Feather files, one for each task. Option: path, a folder that all tasks see."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "feather_files"
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> _FeatherWriter:
+        return _FeatherWriter(self.options["path"], schema, overwrite)
+
+
+#: The file that lists what a folder of Feather files holds.
+MANIFEST = "_manifest.json"
+
+
+def write_feather(df: DataFrame, path: str, overwrite: bool = False) -> list[dict]:
+    """A folder of Feather files, one a task, and its manifest; returns the manifest's entries (file, rows, bytes, sha256).
+
+    No row passes the driver. Nothing shows under its name before all tasks have ended; a run that fails leaves nothing.
+    """
+    df.sparkSession.dataSource.register(FeatherSink)
+    df.write.format("feather_files").option("path", path).mode("overwrite" if overwrite else "append").save()
+    with open(f"{path}/{MANIFEST}") as f:
+        return json.load(f)["files"]
 
 
 def provenance(paths: list[str], source_url: str, source_revision: str, license_name: str, version: str = "1") -> dict:

@@ -4,7 +4,9 @@ import pickle
 
 import pyarrow as pa
 import pyarrow.feather
+import pyarrow.parquet
 import pytest
+from pyspark.sql import functions as F
 
 from rankdiag.operators import align
 from rankdiag.sources import readers, writers
@@ -110,10 +112,63 @@ def test_feather_reads_only_what_is_asked(spark, tmp_path):
 
 
 def test_feather_round_trip(spark, tmp_path):
-    p = str(tmp_path / "y.feather")
-    df = spark.createDataFrame([(1, "a", [0.5, None]), (2, None, None)], "x long, s string, v array<double>")
-    digest = writers.write_feather(df, p)
-    assert digest == writers.sha256_file(p) and sorted(readers.read_feather(spark, p).collect()) == sorted(df.collect())
+    p = str(tmp_path / "y")
+    df = spark.createDataFrame([(i, None if i % 3 else f"s{i}", [0.5 * i, None]) for i in range(25_000)], "x long, s string, v array<double>").repartitionByRange(3, "x")
+    files = writers.write_feather(df, p)
+    assert len(files) == 3 and sum(f["rows"] for f in files) == 25_000
+    assert all(f["sha256"] == writers.sha256_file(f"{p}/{f['file']}") and f["bytes"] == os.path.getsize(f"{p}/{f['file']}") for f in files)
+    got = readers.read_feather(spark, p, place="at").orderBy("at").collect()
+    assert [r["x"] for r in got] == list(range(25_000)) and [(r["x"], r["s"], r["v"]) for r in got] == [tuple(r) for r in df.orderBy("x").collect()]
+    with pytest.raises(Exception, match="holds files already"):
+        writers.write_feather(df, p)
+    assert sorted(os.listdir(p)) == sorted([f["file"] for f in files] + ["_manifest.json"])
+    again = writers.write_feather(df.limit(5).coalesce(1), p, overwrite=True)
+    assert sorted(os.listdir(p)) == sorted([f["file"] for f in again] + ["_manifest.json"]) and readers.read_feather(spark, p).count() == 5
+    assert writers.write_feather(df.where("x < 0").coalesce(1), str(tmp_path / "none"))[0]["rows"] == 0
+
+
+def test_a_failed_feather_run_leaves_nothing(spark, tmp_path):
+    p = str(tmp_path / "z")
+    bad = spark.range(0, 4000, 1, 4).select(F.when(F.col("id") == 3999, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).alias("x"))
+    with pytest.raises(Exception, match="broken"):
+        writers.write_feather(bad, p)
+    assert not os.path.isdir(p) or os.listdir(p) == []
+
+
+def test_pickles_hold_plain_data_alone(spark, tmp_path):
+    frames = lambda t: [FRAME | {"timestamp_ns": t}, FRAME | {"timestamp_ns": t - 5}]
+    for k, log in enumerate(("b", "a")):
+        (tmp_path / f"{k}.pkl").write_bytes(pickle.dumps({log: frames(10 * k + 9)}))
+    df = readers.read_pickle(spark, str(tmp_path), trusted=True, place="at")
+    assert df.rdd.getNumPartitions() == 2
+    got = [(r["log_id"], r["timestamp_ns"]) for r in df.orderBy("at").collect()]
+    n = len(FRAME["track_id"])
+    assert got == [("b", 4)] * n + [("b", 9)] * n + [("a", 14)] * n + [("a", 19)] * n
+
+    class Foreign:
+        def __reduce__(self):
+            return os.getenv, ("HOME",)
+
+    (tmp_path / "bad.pickle").write_bytes(pickle.dumps({"c": [FRAME | {"x": Foreign()}]}))
+    with pytest.raises(Exception, match="may not be in a pickle"):
+        readers.read_pickle(spark, str(tmp_path / "bad.pickle"), trusted=True).collect()
+
+
+def test_rows_keep_their_places_over_splits(spark, tmp_path):
+    """A folder of two Parquet files, each read in several splits."""
+    n = 40_000
+    row = lambda i: {"log_id": "l", "timestamp_ns": i, "track_id": str(i), "name": "n", "translation_m": [0.0], "size": [0.0], "rotation": [0.0], "score": 0.5, "distance_m": 1.0, "synthetic_ego": False, "camera_projections": "x" * (i % 50)}
+    (tmp_path / "s_l.parquet").mkdir()
+    for k in (1, 0):
+        pyarrow.parquet.write_table(pa.Table.from_pylist([row(i) for i in range(k * n, (k + 1) * n)]), str(tmp_path / "s_l.parquet" / f"p{k} a.parquet"), row_group_size=3000)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        df = readers.read_source_rows(spark, str(tmp_path), ["l"], "s")
+        assert df.rdd.getNumPartitions() > 2
+        assert [r["timestamp_ns"] for r in df.orderBy("_row_ord").select("timestamp_ns").collect()] == list(range(2 * n))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
 
 
 def test_tracker_frames_by_time():
