@@ -1,16 +1,22 @@
 """A candidate scorer: a small network over candidate features, a category and, by mode, image, text or task.
 
 The weights are a driver-side dictionary of a size fixed by the feature widths and vocabularies; scoring runs in Arrow
-batches on the executors, training on rows that the caller bounds.
+batches on the executors, and so does training over all groups (train_rows); train and train_groups take rows that the
+caller bounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.base import GROUP
+from .graph import _checkpoint
+from .quantiles import on_groups
 
 HIDDEN, CATEGORY = 64, 16
 MODES = ("candidate_only", "metadata_only", "task_id", "pooled_pe")
@@ -60,13 +66,14 @@ def forward(x: np.ndarray, w: Weights, category: np.ndarray | None = None, **con
     return _forward(w, x, np.zeros(len(x), int) if category is None else category, **context)["logit"]
 
 
-def gradients(x: np.ndarray, y: np.ndarray, w: Weights, category: np.ndarray | None = None, **context) -> tuple[float, Weights]:
-    """Mean binary cross-entropy of logits and its gradients."""
+def gradients(x: np.ndarray, y: np.ndarray, w: Weights, category: np.ndarray | None = None, share: np.ndarray | None = None, **context) -> tuple[float, Weights]:
+    """Mean binary cross-entropy of logits and its gradients; with `share`, the rows' weights, sums by those."""
     category = np.zeros(len(x), int) if category is None else category
     f = _forward(w, x, category, **context)
     logit = f["logit"]
-    loss = float(np.mean(np.logaddexp(0, logit) - y * logit))
-    d = (1 / (1 + np.exp(-logit)) - y) / len(y)
+    share = np.full(len(y), 1 / len(y)) if share is None else share
+    loss = float(share @ (np.logaddexp(0, logit) - y * logit))
+    d = (1 / (1 + np.exp(-logit)) - y) * share
     dh = (d[:, None] * w["out"]) * f["dg"]
     out = {"out": f["g"].T @ d, "out_b": np.array([d.sum()]), "head": f["h"].T @ dh, "head_b": dh.sum(0)}
     part = dh @ w["head"].T
@@ -136,23 +143,102 @@ def train_groups(x: np.ndarray, label: np.ndarray, group: np.ndarray, epochs: in
     return w, losses
 
 
+def _flat(g: Weights) -> np.ndarray:
+    return np.concatenate([g[k].ravel() for k in sorted(g)])
+
+
+def _shaped(flat: np.ndarray, like: Weights) -> Weights:
+    at, out = 0, {}
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
+def _context(weights: Weights) -> list[str]:
+    """The columns of scorer inputs that these weights look at besides candidate and category."""
+    return [c for c, part in (("image", "image"), ("prompt_id", "prompt"), ("text", "text")) if part in weights]
+
+
+def _arrays(b: pa.RecordBatch, wanted: list[str]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Features, categories and context of a batch of scorer inputs."""
+    at = dict(zip(b.schema.names, b.columns, strict=True))
+    wide = lambda c: c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1).astype(float)
+    return wide(at["candidate"]), at["category"].to_numpy(), {"prompt" if c == "prompt_id" else c: at[c].to_numpy() if c == "prompt_id" else wide(at[c]) for c in wanted}
+
+
+#: Rows of gradients that the driver adds up; more tasks than that are added up in a step between.
+SUMS = 64
+
+
+def train_rows(inputs: DataFrame, weights: Weights, group: Sequence[str] = GROUP, epochs: int = 5, steps: int = 8, rate: float = 3e-4, decay: float = 1e-4, seed: int = 0) -> tuple[Weights, list[float]]:
+    """Train on all rankable groups of scorer inputs (group..., label, candidate, category and what the weights look at).
+
+    An epoch has `steps` steps; each takes the groups that a digest of group, seed and epoch puts there, with the mean
+    over its groups of their mean loss, as train_groups does with one group a step. A row's share of that is one over the
+    labeled rows of its group, so rows of a group need not meet: each task sums the gradients of its rows, and the driver holds weights and
+    at most SUMS such sums. Unknown rows and groups without a positive or a negative train nothing. The losses are
+    epochs' means. Sums are of doubles in the order in which tasks end, so reruns agree to rounding.
+    """
+    wanted, spark = _context(weights), inputs.sparkSession
+    known = inputs.where(F.col("label").isin(0, 1, 2))
+    size = known.groupBy(*group).agg(F.count("*").alias("_rows"), F.count_if(F.col("label") == 0).alias("_hits")).where("_hits > 0 and _hits < _rows")
+    rows = on_groups(known, size, group).select("candidate", "category", *wanted, (F.col("label") == 0).cast("double").alias("_y"), (1 / F.col("_rows")).alias("_share"), F.xxhash64(*group).alias("_h"))
+    rows = _checkpoint(rows)
+    many = rows.rdd.getNumPartitions() > SUMS
+    w = {k: a.copy() for k, a in weights.items()}
+    by, losses, size_ = _AdamW(w, rate, decay), [], sum(a.size for a in weights.values()) + 2
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size_)
+        for b in batches:
+            total += b.column(0).flatten().to_numpy().reshape(b.num_rows, size_).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["g"])
+
+    for epoch in range(epochs):
+        told = []
+        for step in range(steps):
+            held = spark.sparkContext.broadcast(w)
+
+            def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(size_)
+                for b in batches:
+                    for k in range(0, b.num_rows, 4096):
+                        part = b.slice(k, 4096)
+                        x, category, context = _arrays(part, wanted)
+                        y, share = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("_y", "_share"))
+                        loss, g = gradients(x, y, held.value, category, share, **context)
+                        total += np.concatenate([_flat(g), [loss, share.sum()]])
+                if total[-1]:
+                    yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["g"])
+
+            own = rows.where(F.pmod(F.xxhash64("_h", F.lit(seed), F.lit(epoch)), F.lit(steps)) == step)
+            parts = own.mapInArrow(run, "g array<double>")
+            if many:
+                parts = parts.repartition(SUMS).mapInArrow(summed, "g array<double>")
+            sums = [np.asarray(r["g"]) for r in parts.collect()]
+            held.destroy()
+            total = np.sum(sums, 0) if sums else np.zeros(size_)
+            if total[-1]:
+                by.step(_shaped(total[:-2] / total[-1], w))
+                told.append(total[-2] / total[-1])
+        losses.append(float(np.mean(told)) if told else float("nan"))
+    return w, losses
+
+
 def score_inputs(inputs: DataFrame, weights: Weights, *key: str) -> DataFrame:
     """(key..., logit) of every row of scorer inputs (candidate, category, prompt_id, image, text), unknown labels included.
 
     Which inputs count is what the weights hold: of context modes the image, and the prompt or the text.
     """
-    wanted = [c for c, part in (("image", "image"), ("prompt_id", "prompt"), ("text", "text")) if part in weights]
+    wanted = _context(weights)
     slim = inputs.select(*key, "candidate", "category", *wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = lambda c: c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1).astype(float)
         for b in batches:
-            if not b.num_rows:
-                continue
-            at = dict(zip(b.schema.names, b.columns, strict=True))
-            context = {"prompt" if c == "prompt_id" else c: at[c].to_numpy() if c == "prompt_id" else wide(at[c]) for c in wanted}
-            logit = forward(wide(at["candidate"]), weights, at["category"].to_numpy(), **context)
-            yield pa.RecordBatch.from_arrays([*[at[k] for k in key], pa.array(logit)], [*key, "logit"])
+            if b.num_rows:
+                x, category, context = _arrays(b, wanted)
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(key))], pa.array(forward(x, weights, category, **context))], [*key, "logit"])
 
     kinds = dict(slim.dtypes)
     return slim.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", logit double")

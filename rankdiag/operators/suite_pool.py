@@ -323,6 +323,16 @@ def _(spark, d):
     return score_inputs(_inputs(spark, d), start(12, 21, "task_id", 7, 2), "track_id")
 
 
+@query("scorer_train_groups")
+def _(spark, d):
+    """Every candidate's logit after two epochs over all rankable groups of the earlier years."""
+    from .scorer import score_inputs, start, train_rows
+
+    x = _inputs(spark, d)
+    w, _ = train_rows(x.where("timestamp_ns < 1994"), start(12, 21, "task_id", 7, 2), epochs=2, steps=4, rate=1e-2)
+    return score_inputs(x, w, "track_id")
+
+
 def _inputs(spark, d):
     c = line_candidates(spark, d).withColumns({"raw_tracker_label": F.expr("cast(substr(name, 2) as int)"), "image_path": F.concat(F.lit("i"), F.col("timestamp_ns").cast("string"))})
     c = c.withColumns({"projected_box": F.array(F.lit(0.0), F.lit(0.0), F.least(F.col("area"), F.lit(100.0)), F.lit(1.0)), "size": F.array(F.lit(1.0)), "translation_m": F.array(F.lit(1.0))})
