@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -141,6 +142,75 @@ def sample_groups(keys: DataFrame, count: int, seed: int) -> DataFrame:
     return numbered(keys).join(wanted, "_g").drop("_g")
 
 
+#: Rounds of the keyed permutation.
+FEISTEL_ROUNDS = 6
+
+
+def _round_keys(seed: int) -> list[tuple[int, int]]:
+    """A summand and an odd factor below 2^30 for each round, from digests of the seed."""
+    h = [int(hashlib.sha256(f"{seed}|{i}".encode()).hexdigest()[:15], 16) for i in range(FEISTEL_ROUNDS)]
+    return [(x % 2**30, (x >> 30) % 2**29 * 2 + 1) for x in h]
+
+
+def half_bits(n: int) -> int:
+    """Bits of either half, so that both hold n numbers."""
+    if n > 2**62:
+        raise ValueError("more than 2^62 numbers")
+    return max(1, ((max(n, 1) - 1).bit_length() + 1) // 2)
+
+
+def _scrambled(half: Column, key: tuple[int, int], bits: int) -> Column:
+    x = (half + F.lit(key[0])) * F.lit(key[1]) % F.lit(2**31 - 1)
+    return x.bitwiseXOR(F.shiftright(x, 15)).bitwiseAND(F.lit(2**bits - 1))
+
+
+def permuted(number: Column, seed: int, bits: int, inverse: bool = False) -> Column:
+    """A keyed permutation of [0, 4^bits) as arithmetic on columns: a Feistel network, or its inverse.
+
+    Each round swaps the halves and adds (without carry) a function of one to the other, so it can be undone; any number's
+    place, and any place's number, come of it alone.
+    """
+    left, right = F.shiftright(number.cast("long"), bits), number.cast("long").bitwiseAND(F.lit(2**bits - 1))
+    for key in reversed(_round_keys(seed)) if inverse else _round_keys(seed):
+        if inverse:
+            left, right = right.bitwiseXOR(_scrambled(left, key, bits)), left
+        else:
+            left, right = right, left.bitwiseXOR(_scrambled(right, key, bits))
+    return F.shiftleft(left, bits) + right
+
+
+def permuted_sql(number: str, seed: int, half: str) -> str:
+    """permuted for the oracle queries as a chain of common table expressions p0 ... over a table with number; half: 2^bits."""
+    steps = [f"p0 AS (SELECT *, {number} // {half} AS l, {number} % {half} AS r FROM numbered)"]
+    for i, (c, m) in enumerate(_round_keys(seed)):
+        steps.append(f"q{i} AS (SELECT *, ((r + {c}) * {m}) % {2**31 - 1} AS x FROM p{i})")
+        steps.append(f"p{i + 1} AS (SELECT * EXCLUDE (l, r, x), r AS l, xor(l, xor(x, x >> 15) & ({half} - 1)) AS r FROM q{i})")
+    return ", ".join(steps)
+
+
+def sample_groups_keyed(keys: DataFrame, count: int, seed: int) -> DataFrame:
+    """The first `count` groups of a keyed permutation of the keys in order, with place, from 0; fewer if there are fewer.
+
+    The order is that of `permuted` over the groups' numbers. Places are turned back into numbers, so only those that
+    are asked for (of about four, one is a group's) are ever made, whatever the number of groups.
+    """
+    if count < 1:
+        raise ValueError("count must be 1 or more")
+    from .ranking import numbered
+
+    n, spark = keys.count(), keys.sparkSession
+    bits = half_bits(n)
+    tried = 4 * count + 64
+    while True:
+        k = spark.range(min(tried, 4**bits)).select(F.col("id").alias("_k"), permuted(F.col("id"), seed, bits, inverse=True).alias("_w")).where(F.col("_w") < n)
+        if tried >= 4**bits or k.count() >= count:
+            break
+        tried *= 2
+    first = k.orderBy("_k").limit(count)
+    chosen = first.withColumn("place", F.row_number().over(Window.orderBy("_k")) - 1)  # as many as are asked for
+    return numbered(keys).join(chosen, F.col("_g") == F.col("_w")).drop("_g", "_w", "_k")
+
+
 def epoch_order(rows: DataFrame, seed: int, epoch: int, *key: str) -> DataFrame:
     """rows with `place`, a shuffled order of one epoch that seed and epoch fix, by digests of the key."""
     h = F.sha2(F.concat_ws("|", F.lit(f"{seed}|{epoch}"), *[F.col(c).cast("string") for c in key]), 256)

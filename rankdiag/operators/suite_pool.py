@@ -347,6 +347,15 @@ def _(spark, d):
     return export.sample_groups(ranking.rankable(line_candidates(spark, d)), 50, 7)
 
 
+_RANKABLE = "rk AS (SELECT log_id, prompt, timestamp_ns FROM cand GROUP BY ALL HAVING bool_or(label = 0) AND bool_or(label IN (1, 2)))"
+
+
+@query("sample_groups_keyed", f"""WITH {LINES}, {_RANKABLE}, numbered AS (SELECT *, row_number() OVER (ORDER BY log_id, prompt, timestamp_ns) - 1 AS g, CAST(pow(2, greatest(1, ceil(log2((SELECT count(*) FROM rk)) / 2))) AS BIGINT) AS half FROM rk),
+{export.permuted_sql('g', 7, 'half')} SELECT log_id, prompt, timestamp_ns, CAST(row_number() OVER (ORDER BY l, r) - 1 AS INTEGER) AS place FROM p{export.FEISTEL_ROUNDS} ORDER BY l, r LIMIT 50""")
+def _(spark, d):
+    return export.sample_groups_keyed(ranking.rankable(line_candidates(spark, d)), 50, 7)
+
+
 @query("epoch_order", f"WITH {DOCS} SELECT track_id, sha256('3|1|' || track_id) AS place FROM cand")
 def _(spark, d):
     return export.epoch_order(document_candidates(spark, d).select("track_id"), 3, 1, "track_id")

@@ -5,8 +5,9 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rankdiag.operators import graph, ranking, suite
+from rankdiag.operators import export, graph, ranking, suite
 from rankdiag.plans.base import GROUP, line_candidates
 
 SF = "/root/testdata/sf0.001"
@@ -98,3 +99,27 @@ def test_bootstrap_draws_as_many_samples_as_the_reference(spark):
     diffs = spark.createDataFrame(rows, "log_id string, prompt string, timestamp_ns long, difference double")
     assert ranking.paired_bootstrap(diffs).first() == ranking.paired_bootstrap(diffs, samples=10000).first()
     assert ranking.paired_bootstrap(diffs).first() != ranking.paired_bootstrap(diffs, samples=1000).first()
+
+
+def test_keyed_permutations(spark):
+    """Each is a permutation of its whole domain, undone by its inverse, and another for another seed."""
+    for bits in (1, 2, 5):
+        df = spark.range(4**bits).select("id", *[export.permuted(F.col("id"), s, bits).alias(f"s{s}") for s in (0, 1, 2)])
+        df = df.withColumn("back", export.permuted(F.col("s1"), 1, bits, inverse=True))
+        got = df.toPandas()
+        assert all(sorted(got[f"s{s}"]) == list(range(4**bits)) for s in (0, 1, 2)) and (got["back"] == got["id"]).all()
+        assert bits < 5 or (got["s0"] != got["s1"]).mean() > 0.9
+    huge = spark.range(2**61, 2**61 + 50).select("id", export.permuted(F.col("id"), 5, 31).alias("p")).withColumn("back", export.permuted(F.col("p"), 5, 31, inverse=True)).toPandas()
+    assert (huge["back"] == huge["id"]).all() and huge["p"].between(0, 2**62 - 1).all()
+    assert [export.half_bits(n) for n in (0, 1, 2, 4, 5, 16, 17, 2**62)] == [1, 1, 1, 1, 2, 2, 3, 31]
+
+
+@pytest.mark.parametrize("n", [1, 3, 40, 200])
+def test_a_prefix_of_the_keyed_order(spark, n):
+    keys = spark.createDataFrame([(f"l{i:03}", "p", i) for i in range(n)], "log_id string, prompt string, timestamp_ns long")
+    bits = export.half_bits(n)
+    place = {r["id"]: r["p"] for r in spark.range(n).select("id", export.permuted(F.col("id"), 9, bits).alias("p")).collect()}
+    want = sorted(place, key=place.get)
+    for count in (1, 7, 300):
+        got = export.sample_groups_keyed(keys, count, 9).orderBy("place").collect()
+        assert [(r["timestamp_ns"], r["place"]) for r in got] == [(g, i) for i, g in enumerate(want[:count])]
