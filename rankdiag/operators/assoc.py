@@ -4,7 +4,7 @@ A frame is what `on` says, such as a log and a time; within it only names of one
 distributed join by frame, group and cell. The gated solver works on connected components of valid edges, which keeps
 its cubic cost to small groups and is exact, since a gate separates the problem by component. Frames of at most
 FRAME_EDGES edges find their components by themselves; in larger ones they are found by rounds over the whole table.
-The post-filter solver needs all pairs of a group and so gathers a group within one frame.
+The post-filter solver needs all pairs of a group and so gathers a group within one frame; larger groups go to an auction.
 """
 
 from __future__ import annotations
@@ -13,16 +13,22 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import taxonomy_group
 from .align import range_pairs
+from .auction import auction, spread
 from .graph import _checkpoint, components
+from .quantiles import on_groups
 
 FRAME = ("log_id", "timestamp_ns")
 FRAME_EDGES = 50_000
 
+#: Pairs of a group that one task solves, and points that the driver holds of a larger one.
+LARGE_PAIRS, LARGEST_POINTS = 25_000_000, 5_000_000
+
 
 def solve_duals(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Column of each row in a least-cost assignment (rows at most columns) by shortest augmenting paths, and the dual prices of rows and columns."""
@@ -172,13 +178,28 @@ def associate(cands: DataFrame, truth: DataFrame, threshold: float, on: Sequence
     return match_edges(edges(cands, truth, threshold, on), threshold, on)
 
 
+def _near_enough(a: pa.Table, b: pa.Table, far: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], threshold: float) -> dict[str, np.ndarray]:
+    i, j = pairs
+    ok = far <= threshold
+    return {"cand": a["id"].to_numpy()[i[ok]], "gt": b["id"].to_numpy()[j[ok]], "distance": far[ok]}
+
+
 def associate_then_filter(cands: DataFrame, truth: DataFrame, threshold: float, on: Sequence[str] = FRAME, taxonomy: bool = True) -> DataFrame:
-    """(on..., cand, gt, distance): least total distance over all pairs of a frame's group (or exact name), then pairs within the threshold."""
+    """(on..., cand, gt, distance): least total distance over all pairs of a frame's group (or exact name), then pairs within the threshold.
+
+    Groups of at most LARGE_PAIRS pairs are solved exactly, each in one task. Of a larger one the driver holds points and
+    prices, and executors work out the bids of an auction whose prices certify the total to 1e-7; more than
+    LARGEST_POINTS points are an error.
+    """
     on = list(on)
     group = (taxonomy_group(F.col("name")) if taxonomy else F.col("name")).alias("_group")
+    by = [*on, "_group"]
     # Named anew, so that both sides may come from one table.
-    of = lambda t: t.select(*[F.col(c).alias(c) for c in on], group, *[F.col(c).alias(c) for c in ("id", "x", "y")]).groupBy(*on, "_group")
-    names = [*on, "cand", "gt", "distance"]
+    of = lambda t: t.select(*[F.col(c).alias(c) for c in on], group, *[F.col(c).alias(c) for c in ("id", "x", "y")])
+    names, left, right = [*on, "cand", "gt", "distance"], of(cands), of(truth)
+    counts = left.groupBy(*by).agg(F.count("*").alias("_n")), right.groupBy(*by).agg(F.count("*").alias("_m"))
+    sizes = on_groups(*counts, by)
+    large = sizes.where(F.col("_n") * F.col("_m") > LARGE_PAIRS).select(*by).collect()  # few: each has more than LARGE_PAIRS pairs
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -191,7 +212,36 @@ def associate_then_filter(cands: DataFrame, truth: DataFrame, threshold: float,
 
     kinds = dict(cands.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in on) + ", cand long, gt long, distance double"
-    return of(cands).cogroup(of(truth)).applyInPandas(run, schema)
+    spark, solved = cands.sparkSession, []
+    for key in large:
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.lit(key[c]))
+        a, b = (t.where(same).select("id", "x", "y").orderBy("id").limit(LARGEST_POINTS + 1).toArrow() for t in (left, right))
+        if max(a.num_rows, b.num_rows) > LARGEST_POINTS:
+            raise ValueError(f"a group of more than {LARGEST_POINTS} points: {key}")
+        p, q = (np.stack([t["x"].to_numpy(), t["y"].to_numpy()], 1) for t in (a, b))
+        turned = len(p) > len(q)
+        held, gap = auction(q, p, spread(spark)) if turned else auction(p, q, spread(spark))
+        if gap > 1e-6:
+            raise ArithmeticError(f"prices certify no more than {gap} for {key}")
+        i, j = (held, np.arange(len(q))) if turned else (np.arange(len(p)), held)
+        found = _near_enough(a, b, np.hypot(*(p[i] - q[j]).T), (i, j), threshold)
+        made = spark.createDataFrame(pa.table(found))
+        solved.append(made.select(*[F.lit(key[c]).cast(kinds[c]).alias(c) for c in on], "cand", "gt", "distance"))
+    if solved:
+        big = spark.createDataFrame([tuple(k) for k in large], sizes.select(*by).schema)
+        left, right = (_without(t, big, by) for t in (left, right))
+    out = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, schema)
+    for made in solved:
+        out = out.unionByName(made)
+    return out
+
+
+def _without(t: DataFrame, keys: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows of t whose group is not among a few keys."""
+    marked = keys.withColumn("_there", F.lit(True))
+    return on_groups(t, F.broadcast(marked), by, "left").where("_there is null").drop("_there")
 
 
 def transfer_labels(pool: DataFrame, matches: DataFrame, annotations: DataFrame) -> DataFrame:
