@@ -206,6 +206,15 @@ def forbidden_features(columns: Sequence[str]) -> list[str]:
     return sorted(set(columns) & set(FORBIDDEN_FEATURES))
 
 
+def forbidden_counts(rows: DataFrame) -> DataFrame:
+    """(field, rows): how many rows hold a value in each field that no learned feature may hold."""
+    there = forbidden_features(rows.columns)
+    if not there:
+        return rows.sparkSession.createDataFrame([], "field string, rows long")
+    one = rows.agg(*[F.count(f).alias(f) for f in there])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("rows")) for f in there])).alias("s")).select("s.*")
+
+
 def require_log_disjoint(assigned: DataFrame) -> None:
     """An error if a log of a table (log, split) is in more than one split."""
     if bad := split_overlap(assigned).orderBy("log").limit(5).collect():
@@ -330,7 +339,7 @@ def inspect_records(df: DataFrame) -> DataFrame:
         F.count_distinct("log_id").alias("unique_log_count"),
         F.count_distinct("prompt").alias("unique_prompt_count"),
         F.count_distinct(F.when(F.col("prompt").isNotNull(), template_key(F.col("prompt")))).alias("unique_template_count"),
-        F.sum(reduce(lambda a, b: a + b, [absent(df, f).cast("long") for f in REQUIRED])).alias("missing_required"),
+        F.coalesce(F.sum(reduce(lambda a, b: a + b, [absent(df, f).cast("long") for f in REQUIRED])), F.lit(0)).alias("missing_required"),
         bad_label.alias("invalid_labels"),
         projected.alias("projected_record_count"), share(projected).alias("projection_fraction"),
         camera_rows.alias("camera_associated_record_count"), share(camera_rows).alias("camera_association_fraction"),

@@ -116,22 +116,45 @@ def shortcut_flags(rows: DataFrame, controls: DataFrame, model_map: Column | flo
     return one.withColumns(flags).withColumn("reasons", reasons)
 
 
-def diagnose_split(rows: DataFrame, model_metrics: DataFrame, score_delta: float = 0.05, log_area_delta: float = 0.2, **thresholds: float) -> dict[str, DataFrame]:
-    """The parts of one split's diagnosis: dataset, features, controls, control_strata, learned_strata and flags.
+PARTS = ("dataset", "features", "controls", "control_strata", "learned_strata", "flags")
+
+
+def diagnose_split(rows: DataFrame, model_metrics: DataFrame, score_delta: float = 0.05, log_area_delta: float = 0.2, parts: Sequence[str] = PARTS, **thresholds: float) -> dict[str, DataFrame]:
+    """The parts of one split's diagnosis that are asked for: dataset, features, controls, control_strata, learned_strata and flags.
 
     model_metrics: per-group metrics of learned models with a column model; the flags compare with the model `pooled`.
     """
-    controls = ranking.control_suite(rows, score_delta, log_area_delta)
-    pooled = ranking.summarize(model_metrics.where("model = 'pooled'")).first()
-    flags = shortcut_flags(rows, controls, float(pooled["mean_ap"]) if pooled and pooled["mean_ap"] is not None else F.lit(None).cast("double"), **thresholds)
-    return {
-        "dataset": group_summary(rows),
-        "features": label_distributions(rows),
-        "controls": compact(controls, "view", "control"),
-        "control_strata": compact(control_strata(rows), "field", "value", "control"),
-        "learned_strata": compact(learned_strata(model_metrics), "model", "field", "value"),
+    rows, model_metrics = _checkpoint(rows), _checkpoint(model_metrics)  # all parts read them
+    controls = _checkpoint(ranking.control_suite(rows, score_delta, log_area_delta)) if {"controls", "flags"} & set(parts) else None
+
+    def flags() -> DataFrame:
+        pooled = ranking.summarize(model_metrics.where("model = 'pooled'")).first()
+        best = float(pooled["mean_ap"]) if pooled and pooled["mean_ap"] is not None else F.lit(None).cast("double")
+        return shortcut_flags(rows, controls, best, **thresholds)
+
+    made = {
+        "dataset": lambda: group_summary(rows),
+        "features": lambda: label_distributions(rows),
+        "controls": lambda: compact(controls, "view", "control"),
+        "control_strata": lambda: compact(control_strata(rows), "field", "value", "control"),
+        "learned_strata": lambda: compact(learned_strata(model_metrics), "model", "field", "value"),
         "flags": flags,
     }
+    return {p: made[p]() for p in parts}
+
+
+def report(parts: dict[str, DataFrame]) -> DataFrame:
+    """All parts of a split's diagnosis as one table: part, key (its text columns, joined by |), metric, value as text."""
+    out = None
+    for name, df in parts.items():
+        kinds = dict(df.dtypes)
+        keys = [] if name in ("dataset", "flags") else [c for c, k in kinds.items() if k == "string"]
+        text = lambda c: F.concat_ws(",", c) if kinds[c].startswith("array") else F.col(c).cast("string")
+        values = F.array(*[F.struct(F.lit(c).alias("metric"), text(c).alias("value")) for c in df.columns if c not in keys])
+        key = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in sorted(keys)])
+        one = df.select(F.lit(name).alias("part"), key.alias("key"), F.explode(values).alias("v")).select("part", "key", "v.*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def group_summary(rows: DataFrame) -> DataFrame:

@@ -96,6 +96,32 @@ def truth_rows(annotations: DataFrame) -> DataFrame:
     return annotations.withColumns({"translation_m": F.array(*city), "score": score, "synthetic_ego": F.coalesce(F.col("name") == "EGO_VEHICLE", F.lit(False))})
 
 
+def build_source_pool(objects: DataFrame, poses: DataFrame, max_distance: float = 50.0, selected: DataFrame | None = None, ego: bool = True) -> DataFrame:
+    """A source's pool in one build: filters, distances, the observer's row of each pose, and ordinals by track as text.
+
+    objects: (log_id, timestamp_ns, track_id, name, translation_m, size, rotation, score, roi) in the city's frame, rotation
+    being a matrix; poses: (log_id, timestamp_ns, qw..qz, tx..tz). Kept are finite positions, sizes, rotations and scores,
+    sizes above 0, inside the region, nearer to the observer than max_distance; selected as for strict_pool. Objects
+    without a pose are left out, and no label or prompt is looked at.
+    """
+    on = ["log_id", "timestamp_ns"]
+    if selected is not None:
+        objects = objects.join(selected.select("log_id", F.col("track_id").cast("string").alias("track_id")).distinct(), ["log_id", "track_id"], "left_semi").select(*objects.columns)
+    turn = geo.rotation(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])
+    keep = finite_vector(F.col("translation_m"), 3) & finite_vector(F.col("size"), 3) & finite_vector(F.flatten("rotation"), 9) & (F.array_min("size") > 0) & _finite("score") & F.coalesce(F.col("roi"), F.lit(False))
+    place = geo.to_ego(turn, tuple(F.col(c) for c in ("tx", "ty", "tz")), tuple(F.get("translation_m", i) for i in range(3)))
+    kept = objects.where(keep).join(poses, on).withColumn("distance_m", F.sqrt(place[0] ** 2 + place[1] ** 2)).where(F.col("distance_m") < max_distance)
+    fields = [*on, F.col("track_id").cast("string").alias("track_id"), "name", "translation_m", "size", "rotation", "score", "distance_m"]
+    out = kept.select(*fields, F.lit(False).alias("synthetic_ego"))
+    if ego:
+        own = poses.select(
+            *on, F.lit("ego").alias("track_id"), F.lit("EGO_VEHICLE").alias("name"), F.array("tx", "ty", "tz").alias("translation_m"), F.array(*map(F.lit, EGO_SIZE)).alias("size"),
+            F.array(*[F.array(*r) for r in turn]).alias("rotation"), F.lit(1.0).alias("score"), F.lit(0.0).alias("distance_m"), F.lit(True).alias("synthetic_ego"),
+        )
+        out = out.unionByName(own)
+    return out.withColumn("candidate_ordinal", F.row_number().over(Window.partitionBy(*on).orderBy("track_id")) - 1)
+
+
 def source_counts(sources: dict[str, DataFrame], at: Sequence[str], key: str, first: str, second: str) -> DataFrame:
     """For each of `at` (such as a log and a time): members by source, and those in one of two sources only."""
     p = source_presence(sources, [*at, key])

@@ -259,15 +259,15 @@ def random_control_suite(cands: DataFrame, score_delta: float, log_area_delta: f
     return seeded_control_suite(cands, score_delta, log_area_delta, ("random",), seeds)
 
 
-def calibration(cands: DataFrame, logit: str) -> DataFrame:
-    """NLL, Brier score and expected calibration error (ten bins) of labeled candidates: one row."""
+def calibration(cands: DataFrame, logit: str, *by: str) -> DataFrame:
+    """NLL, Brier score and expected calibration error (ten bins) of labeled candidates: one row, or one for each value of `by`."""
     p = sigmoid(F.col(logit))
-    s = cands.where("label is not null").select(p.alias("p"), (F.col("label") == 0).cast("double").alias("y"))
+    s = cands.where("label is not null").select(*by, p.alias("p"), (F.col("label") == 0).cast("double").alias("y"))
     s = s.withColumn("bin", calibration_bin(F.col("p")))
     eps = 1e-8
     loss = -(F.col("y") * F.log(F.col("p") + eps) + (1 - F.col("y")) * F.log(1 - F.col("p") + eps))
-    bins = s.groupBy("bin").agg(F.count("*").alias("n"), F.sum(loss).alias("l"), F.sum((F.col("p") - F.col("y")) ** 2).alias("b"), F.abs(F.sum(F.col("p") - F.col("y"))).alias("e"))
-    return bins.agg(F.sum("n").alias("labeled"), F.round(F.sum("l") / F.sum("n"), 6).alias("nll"), F.round(F.sum("b") / F.sum("n"), 6).alias("brier"), F.round(F.sum("e") / F.sum("n"), 6).alias("ece"))
+    bins = s.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.sum(loss).alias("l"), F.sum((F.col("p") - F.col("y")) ** 2).alias("b"), F.abs(F.sum(F.col("p") - F.col("y"))).alias("e"))
+    return bins.groupBy(*by).agg(F.sum("n").alias("labeled"), F.round(F.sum("l") / F.sum("n"), 6).alias("nll"), F.round(F.sum("b") / F.sum("n"), 6).alias("brier"), F.round(F.sum("e") / F.sum("n"), 6).alias("ece"))
 
 
 #: Ten equal bins, closed on the left, the last on both sides.

@@ -268,7 +268,22 @@ _POOLED = "(SELECT round(avg(CASE WHEN positive_count > 0 AND negative_count > 0
 @query("diagnose_split", f"WITH {_FLAGS.format(model=_POOLED).replace('beaten AS', _MODELS + ', beaten AS', 1)} SELECT * FROM flags")
 def _(spark, d):
     """The flags of a split's whole diagnosis; its other parts have queries of their own."""
-    return _joined(diagnosis.diagnose_split(_rows(spark, d), _models(spark, d), 5000.0, 0.2)["flags"])
+    return _joined(diagnosis.diagnose_split(_rows(spark, d), _models(spark, d), 5000.0, 0.2, ["flags"])["flags"])
+
+
+@query("diagnose_split_report")
+def _(spark, d):
+    return diagnosis.report(diagnosis.diagnose_split(_rows(spark, d), _models(spark, d), 5000.0, 0.2))
+
+
+@query("split_plan_problems", """WITH plan AS (SELECT n_nationkey AS log, CASE WHEN n_nationkey % 10 < 6 THEN 'train' WHEN n_nationkey % 10 < 8 THEN 'validation' ELSE 'test' END AS planned FROM nation WHERE n_nationkey <> 3),
+g AS (SELECT DISTINCT c_nationkey AS log, CASE WHEN c_custkey % 97 = 0 THEN 'test' WHEN c_nationkey % 10 < 6 THEN 'train' WHEN c_nationkey % 10 < 8 THEN 'validation' ELSE 'test' END AS split FROM customer)
+SELECT log, split, CASE WHEN planned IS NULL THEN 'absent' ELSE 'mismatched' END AS problem FROM g LEFT JOIN plan USING (log) WHERE planned IS NULL OR planned <> split""")
+def _(spark, d):
+    s = lambda c: F.when(c % 10 < 6, "train").when(c % 10 < 8, "validation").otherwise("test")
+    plan = table(spark, d, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").alias("log"), s(F.col("n_nationkey")).alias("split"))
+    g = table(spark, d, "customer").select(F.col("c_nationkey").alias("log"), F.when(F.col("c_custkey") % 97 == 0, "test").otherwise(s(F.col("c_nationkey"))).alias("split"))
+    return audit.plan_problems(g, plan)
 
 
 # ---- Decisions ---------------------------------------------------------------------------------------------------------
@@ -311,6 +326,31 @@ def _(spark, d):
     return audit.audit_gate(cases)
 
 
+_GATE_CONTROLS = ["tracker_score", "projected_box_area"]
+
+
+@query("audit_gate_by_log", f"""WITH {LINES}, {ranked_sql(_GATE_CONTROLS)}, per AS (SELECT log_id, timestamp_ns, prompt, count(*) FILTER (label = 0) > 0 AS hit, count(*) FILTER (label = 0) AS p, count(*) FILTER (label = 0 AND area > 40) AS pp, count(*) FILTER (label = 0 AND area > 10) AS po, count(*) AS n, count(*) FILTER (label IS NULL) AS u FROM cand GROUP BY ALL),
+half AS (SELECT log_id, timestamp_ns % 2 AS h, avg(hit::INT) AS a FROM per GROUP BY ALL), st AS (SELECT log_id, round(max(a) - min(a), 6) AS stability FROM half GROUP BY log_id),
+ctl AS (SELECT log_id, control, round(avg(CASE WHEN positive_count > 0 AND negative_count > 0 THEN average_precision END), 6) AS ap FROM met GROUP BY ALL), best AS (SELECT log_id, max(ap) AS best_control FROM ctl GROUP BY log_id),
+u0 AS (SELECT log_id, CAST(sum(u) AS DOUBLE) / sum(n) < 0.3::DOUBLE AS infrastructure_complete, round(avg(hit::INT), 6) AS availability, round(CAST(sum(pp) AS DOUBLE) / nullif(sum(p), 0), 6) AS projection, round(avg((hit AND n - p - u > 0)::INT), 6) AS oracle_availability, round(CAST(sum(po) AS DOUBLE) / nullif(sum(p), 0), 6) AS oracle_projection FROM per GROUP BY log_id),
+r AS (SELECT *, coalesce(availability >= 0.80, false) AS coverage_ge_0_80, infrastructure_complete AND coalesce(projection >= 0.90, false) AS projection_ge_0_90, coalesce(stability <= 0.10, false) AS matching_stability_le_0_10, NOT coalesce(best_control >= 0.90, false) AS no_near_perfect_metadata_control,
+  CASE WHEN infrastructure_complete THEN coalesce(oracle_availability >= 0.80, false) AND coalesce(oracle_projection >= 0.90, false) END AS oracle_pass FROM u0 JOIN st USING (log_id) JOIN best USING (log_id)),
+z AS (SELECT *, infrastructure_complete AND coverage_ge_0_80 AND projection_ge_0_90 AND matching_stability_le_0_10 AND no_near_perfect_metadata_control AS data_gate_pass, NOT coverage_ge_0_80 OR NOT matching_stability_le_0_10 AS association_uncertain FROM r)
+SELECT log_id, data_gate_pass, association_uncertain, oracle_pass, CASE WHEN NOT infrastructure_complete THEN 'ALTERNATE_CANDIDATE_SOURCE_REQUIRED' WHEN data_gate_pass AND no_near_perfect_metadata_control THEN 'POOLED_BASELINE_GATE_READY' WHEN association_uncertain THEN 'ASSOCIATION_REVIEW_REQUIRED'
+  WHEN NOT no_near_perfect_metadata_control OR oracle_pass = false THEN 'BRANCH_STOPPED' WHEN oracle_pass THEN 'ORACLE_ONLY' ELSE 'ALTERNATE_CANDIDATE_SOURCE_REQUIRED' END AS decision FROM z""")
+def _(spark, d):
+    """The audit's code for each log, from its groups, its controls and its positives with a box of some area."""
+    c = line_candidates(spark, d)
+    pos, many = F.col("label") == 0, F.count("*")
+    per = c.groupBy(*GROUP).agg((F.count_if(pos) > 0).cast("int").alias("hit"), F.count_if(pos).alias("p"), F.count_if(pos & (F.col("area") > 40)).alias("pp"), F.count_if(pos & (F.col("area") > 10)).alias("po"), many.alias("n"), F.count_if(F.col("label").isNull()).alias("u"))
+    ratio = lambda a, b: F.round(F.try_divide(F.sum(a), F.sum(b)), 6)
+    stable = per.groupBy("log_id", (F.col("timestamp_ns") % 2).alias("h")).agg(F.avg("hit").alias("a")).groupBy("log_id").agg(F.round(F.max("a") - F.min("a"), 6).alias("stability"))
+    best = ranking.summarize(ranking.group_metrics(ranking.rank(c, _GATE_CONTROLS)), "log_id", "control").groupBy("log_id").agg(F.max("mean_ap").alias("best_control"))
+    both = F.col("hit") * (F.col("n") - F.col("p") - F.col("u") > 0).cast("int")
+    cases = per.groupBy("log_id").agg((F.sum("u") / F.sum("n") < 0.3).alias("infrastructure_complete"), F.round(F.avg("hit"), 6).alias("availability"), ratio("pp", "p").alias("projection"), F.round(F.avg(both), 6).alias("oracle_availability"), ratio("po", "p").alias("oracle_projection"))
+    return audit.audit_gate(cases.join(stable, "log_id").join(best, "log_id")).select("log_id", "data_gate_pass", "association_uncertain", "oracle_pass", "decision")
+
+
 @query("assess_decision", f"""WITH {LINES}, g AS (SELECT count(*) AS n, count(DISTINCT track_id) AS d, count(*) FILTER (label = 0) AS p, count(*) FILTER (label = 0 AND area > 0) AS pp, count(*) FILTER (label IS NULL) AS u FROM cand GROUP BY log_id, prompt, timestamp_ns),
 a AS (SELECT count(*) AS groups, round(count(*) FILTER (p > 0) / count(*), 6) AS availability, round(sum(pp) / nullif(sum(p), 0), 6) AS projection, round(sum(u) / nullif(sum(n), 0), 6) AS unknown_fraction, CAST(sum(n - d) AS BIGINT) AS repeats FROM g),
 c AS (SELECT *, coalesce(availability >= 0.8, false) AS availability_ok, coalesce(projection >= 0.9, false) AS projection_ok, repeats = 0 AS unique_ok FROM a) SELECT *, CASE WHEN availability_ok AND projection_ok AND unique_ok THEN 'PROTOCOL_VALIDATION_CONTINUES' ELSE 'PROTOCOL_REPAIR_REQUIRED' END AS decision FROM c""")
@@ -321,45 +361,74 @@ def _(spark, d):
 _THREE = {"pooled": "tracker_score", "task_id": "projected_box_area", "metadata": "candidate_distance"}
 
 
+#: Logits of the three models, as functions of a candidate.
+_LOGITS = {"pooled": "(score - 40000) / 8000", "task_id": "(area - 120) / 60", "metadata": "(25 - distance_m) / 10"}
+_BINS = "CAST(CASE " + " ".join(f"WHEN p < {e!r}::DOUBLE THEN {i}" for i, e in enumerate(ranking.EDGES[1:10])) + " ELSE 9 END AS INTEGER)"
+
+
 @query("baseline_gate", f"""WITH {LINES}, {ranked_sql(list(_THREE.values()))}, m AS (SELECT timestamp_ns % 2 AS seed, control, round(avg(CASE WHEN positive_count > 0 AND negative_count > 0 THEN average_precision END), 6) AS map, round(avg(CASE WHEN positive_count > 0 AND negative_count > 0 THEN recall_at_1 END), 6) AS top FROM met GROUP BY ALL),
-w AS (SELECT seed, {", ".join(f"max(map) FILTER (control = '{c}') AS {n}_map, max(top) FILTER (control = '{c}') AS {n}_top" for n, c in _THREE.items())} FROM m GROUP BY seed), l AS (SELECT * FROM w ORDER BY seed LIMIT 1)
-SELECT min(w.pooled_map - w.task_id_map) >= 0.03 AS map_margin, min(w.pooled_top - w.task_id_top) >= 0.05 AS recall_margin, any_value(l.pooled_map > l.metadata_map AND l.pooled_top > l.metadata_top) AS beats_metadata, any_value(l.pooled_map > 0.1 AND l.pooled_top > 0.05) AS beats_area_control,
-  true AS calibration, true AS front_coverage, false AS all_camera_coverage FROM w, l""")
+lg AS ({" UNION ALL ".join(f"SELECT timestamp_ns % 2 AS seed, '{n}' AS model, 1 / (1 + exp(-greatest(-30.0::DOUBLE, least(30.0::DOUBLE, CAST({x} AS DOUBLE))))) AS p, CASE WHEN label = 0 THEN 1.0::DOUBLE ELSE 0 END AS y FROM cand WHERE label IS NOT NULL" for n, x in _LOGITS.items())}),
+bn AS (SELECT seed, model, {_BINS} AS bin, count(*) AS n, abs(sum(p - y)) AS e FROM lg GROUP BY ALL), ec AS (SELECT seed, model, round(sum(e) / sum(n), 6) AS ece FROM bn GROUP BY ALL),
+w AS (SELECT seed, {", ".join(f"max(map) FILTER (control = '{c}') AS {n}_map, max(top) FILTER (control = '{c}') AS {n}_top, (SELECT ece FROM ec WHERE ec.seed = m.seed AND model = '{n}') AS {n}_ece" for n, c in _THREE.items())} FROM m GROUP BY seed), l AS (SELECT * FROM w ORDER BY seed LIMIT 1),
+a AS (SELECT round(avg(CASE WHEN positive_count > 0 AND negative_count > 0 THEN average_precision END), 6) AS map, round(avg(CASE WHEN positive_count > 0 AND negative_count > 0 THEN recall_at_1 END), 6) AS top FROM met WHERE control = 'projected_box_area'),
+f AS (SELECT count(*) FILTER (label = 0 AND area > 0) / count(*) FILTER (label = 0) AS front, count(*) FILTER (label = 0 AND (area > 0 OR distance_m < 49)) / count(*) FILTER (label = 0) AS every FROM cand)
+SELECT min(w.pooled_map - w.task_id_map) >= 0.03 AS map_margin, min(w.pooled_top - w.task_id_top) >= 0.05 AS recall_margin, any_value(l.pooled_map > l.metadata_map AND l.pooled_top > l.metadata_top) AS beats_metadata, any_value(l.pooled_map > a.map AND l.pooled_top > a.top) AS beats_area_control,
+  any_value(l.pooled_ece <= l.task_id_ece + 0.03::DOUBLE) AS calibration, any_value(round(f.front, 6) >= 0.9) AS front_coverage, any_value(round(f.every, 6) >= 0.9) AS all_camera_coverage FROM w, l, a, f""")
 def _(spark, d):
-    m = ranking.group_metrics(ranking.rank(line_candidates(spark, d), list(_THREE.values()))).withColumn("seed", F.col("timestamp_ns") % 2)
-    s = ranking.summarize(m, "seed", "control")
+    c = line_candidates(spark, d)
+    g = ranking.group_metrics(ranking.rank(c, list(_THREE.values())))
+    s = ranking.summarize(g.withColumn("seed", F.col("timestamp_ns") % 2), "seed", "control")
     name = F.lit(None).cast("string")
-    for n, c in _THREE.items():
-        name = F.when(F.col("control") == c, n).otherwise(name)
-    models = s.select("seed", name.alias("model"), F.col("mean_ap").alias("map"), "recall_at_1", F.lit(0.05).alias("ece"))
-    area = spark.createDataFrame([(0.1, 0.05)], "map double, recall_at_1 double")
-    return audit.baseline_gate(models, area, spark.createDataFrame([(0.95, 0.8)], "front_coverage double, all_coverage double"))
+    for n, control in _THREE.items():
+        name = F.when(F.col("control") == control, n).otherwise(name)
+    logits = F.array(*[F.struct(F.lit(n).alias("model"), F.expr(x).alias("logit")) for n, x in _LOGITS.items()])
+    told = c.select((F.col("timestamp_ns") % 2).alias("seed"), "label", F.explode(logits).alias("l")).select("seed", "label", "l.*")
+    models = s.select("seed", name.alias("model"), F.col("mean_ap").alias("map"), "recall_at_1").join(ranking.calibration(told, "logit", "seed", "model").select("seed", "model", "ece"), ["seed", "model"])
+    area = ranking.summarize(g.where("control = 'projected_box_area'")).select(F.col("mean_ap").alias("map"), "recall_at_1")
+    seen = lambda x: audit.assess(c.withColumn("projected", x)).select("projection")
+    front, every = seen(F.col("area") > 0), seen((F.col("area") > 0) | (F.col("distance_m") < 49))
+    coverage = front.select(F.col("projection").alias("front_coverage")).crossJoin(every.select(F.col("projection").alias("all_coverage")))  # one row each
+    return audit.baseline_gate(models, area, coverage)
 
 
 # ---- Seeds -------------------------------------------------------------------------------------------------------------
 
-_SEEDED = f"{ranked_sql(['tracker_score', 'candidate_distance'])}, seeded AS (SELECT timestamp_ns % 2 AS seed, CASE WHEN prompt = 'RF' THEN 'test' ELSE 'validation' END AS split, * FROM met)"
+_SEED_MODELS, _SEED_BASELINES = ["tracker_score"], ["candidate_distance", "projected_box_area", "category_frequency"]
+_SEED_METRICS = ["average_precision", "recall_at_1", "labeled_average_precision", "labeled_recall_at_1"]
 
 
 def _seeded(spark, d):
-    m = ranking.group_metrics(ranking.rank(line_candidates(spark, d), ["tracker_score", "candidate_distance"]))
-    return m.withColumns({"seed": F.col("timestamp_ns") % 2, "split": F.when(F.col("prompt") == "RF", "test").otherwise("validation"), "model": F.col("control"), "recall_at_1": F.col("recall_at_1").cast("double")})
+    m = ranking.group_metrics(ranking.rank(line_candidates(spark, d), [*_SEED_MODELS, *_SEED_BASELINES]))
+    split = F.when(F.col("prompt") == "RF", "test").otherwise("validation")
+    return m.withColumns({"seed": F.col("timestamp_ns") % 2, "split": split, "model": F.col("control"), **{c: F.col(c).cast("double") for c in _SEED_METRICS}})
+
+
+def _drawn_sql(baselines: list[str], metrics: list[str], samples: int) -> str:
+    """mean and ci by seed, split, baseline and metric: one set of weights a resample serves all of them, as groups without positives lack every metric."""
+    pairs = [(b, m) for b in baselines for m in metrics]
+    weight = " + ".join(f"(u >= {e})::INT" for e in ranking.POISSON)
+    told = lambda v: ", ".join(f"{{'baseline': '{b}', 'metric': '{m}', 'v': {v}{i}}}" for i, (b, m) in enumerate(pairs))
+    joins = " ".join(f"JOIN seeded q{i} ON q{i}.log_id = p.log_id AND q{i}.prompt = p.prompt AND q{i}.timestamp_ns = p.timestamp_ns AND q{i}.control = '{b}'" for i, b in enumerate(baselines))
+    return f"""s AS (SELECT range AS s, 1 + CAST('0x' || substr(sha256('a|0|' || range), 1, 12) AS BIGINT) % {ranking.PRIME - 1} AS a, CAST('0x' || substr(sha256('b|0|' || range), 1, 12) AS BIGINT) % {ranking.PRIME} AS b FROM range({samples})),
+diff AS (SELECT p.seed, p.split, {", ".join(f"CAST(p.{m} - q{baselines.index(b)}.{m} AS DOUBLE) AS d{i}" for i, (b, m) in enumerate(pairs))}, CAST('0x' || substr(sha256(p.log_id || '|' || p.prompt || '|' || p.timestamp_ns), 1, 12) AS BIGINT) % {ranking.PRIME} AS h
+  FROM seeded p {joins} WHERE p.control = 'tracker_score' AND p.average_precision IS NOT NULL),
+w AS (SELECT diff.*, s.s, (s.a * diff.h + s.b) % {ranking.PRIME} AS u FROM diff, s), k AS (SELECT *, {weight} AS k FROM w),
+m AS (SELECT seed, split, s, {", ".join(f"sum(k * d{i}) / nullif(sum(k), 0) AS m{i}" for i in range(len(pairs)))} FROM k GROUP BY ALL),
+mt AS (SELECT seed, split, unnest([{told('m')}], recursive := true) FROM m), dt AS (SELECT seed, split, unnest([{told('d')}], recursive := true) FROM diff),
+ci AS (SELECT seed, split, baseline, metric, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM mt GROUP BY ALL),
+mean AS (SELECT seed, split, baseline, metric, count(*) AS groups, round(avg(v), 6) AS mean_difference FROM dt GROUP BY ALL)"""
 
 
-_DRAWN = f"""s AS (SELECT range AS s, 1 + CAST('0x' || substr(sha256('a|0|' || range), 1, 12) AS BIGINT) % {ranking.PRIME - 1} AS a, CAST('0x' || substr(sha256('b|0|' || range), 1, 12) AS BIGINT) % {ranking.PRIME} AS b FROM range(500)),
-diff AS (SELECT p.seed, p.split, metric, p.average_precision AS pa, CASE metric WHEN 'average_precision' THEN p.average_precision - q.average_precision ELSE p.recall_at_1 - q.recall_at_1 END AS difference, CAST('0x' || substr(sha256(log_id || '|' || prompt || '|' || timestamp_ns), 1, 12) AS BIGINT) % {ranking.PRIME} AS h
-  FROM seeded p JOIN seeded q USING (log_id, prompt, timestamp_ns), (VALUES ('average_precision'), ('recall_at_1')) v(metric) WHERE p.control = 'tracker_score' AND q.control = 'candidate_distance' AND p.average_precision IS NOT NULL AND q.average_precision IS NOT NULL),
-w AS (SELECT seed, split, metric, s, difference, (a * h + b) % {ranking.PRIME} AS u FROM diff, s), m AS (SELECT seed, split, metric, s, sum(({" + ".join(f"(u >= {e})::INT" for e in ranking.POISSON)}) * difference) / nullif(sum({" + ".join(f"(u >= {e})::INT" for e in ranking.POISSON)}), 0) AS m FROM w GROUP BY ALL),
-ci AS (SELECT seed, split, metric, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY ALL), mean AS (SELECT seed, split, metric, count(*) AS groups, round(avg(difference), 6) AS mean_difference FROM diff GROUP BY ALL)"""
+_SEEDED = f"{ranked_sql([*_SEED_MODELS, *_SEED_BASELINES])}, seeded AS (SELECT timestamp_ns % 2 AS seed, CASE WHEN prompt = 'RF' THEN 'test' ELSE 'validation' END AS split, * FROM met)"
 
 
-@query("seed_comparison", f"WITH {LINES}, {_SEEDED}, {_DRAWN} SELECT 'tracker_score' AS model, 'candidate_distance' AS baseline, split, metric, seed, groups, mean_difference, low, high FROM mean JOIN ci USING (seed, split, metric)")
+@query("seed_comparison", f"WITH {LINES}, {_SEEDED}, {_drawn_sql(_SEED_BASELINES, _SEED_METRICS, 10000)} SELECT 'tracker_score' AS model, baseline, split, metric, seed, groups, mean_difference, low, high FROM mean JOIN ci USING (seed, split, baseline, metric)")
 def _(spark, d):
-    return ranking.compare_seeds(_seeded(spark, d), ["tracker_score"], ["candidate_distance"], ["average_precision", "recall_at_1"], samples=500)
+    return ranking.compare_seeds(_seeded(spark, d), _SEED_MODELS, _SEED_BASELINES, _SEED_METRICS)
 
 
-@query("paired_metric_bootstrap", f"""WITH {LINES}, {ranked_sql(['tracker_score', 'candidate_distance'])}, seeded AS (SELECT 0 AS seed, 'all' AS split, * FROM met), {_DRAWN}
-SELECT groups, mean_difference, low, high, (SELECT count(*) FROM met WHERE control = 'tracker_score') AS shared_groups FROM mean JOIN ci USING (seed, split, metric) WHERE metric = 'average_precision'""")
+@query("paired_metric_bootstrap", f"""WITH {LINES}, {ranked_sql(['tracker_score', 'candidate_distance'])}, seeded AS (SELECT 0 AS seed, 'all' AS split, * FROM met), {_drawn_sql(['candidate_distance'], ['average_precision'], 10000)}
+SELECT groups, mean_difference, low, high, (SELECT count(*) FROM met WHERE control = 'tracker_score') AS shared_groups FROM mean JOIN ci USING (seed, split, baseline, metric)""")
 def _(spark, d):
     m = _models(spark, d)
-    return ranking.paired_metric_bootstrap(m.where("model = 'pooled'"), m.where("model = 'task_id'"), "average_precision", samples=500)
+    return ranking.paired_metric_bootstrap(m.where("model = 'pooled'"), m.where("model = 'task_id'"), "average_precision")

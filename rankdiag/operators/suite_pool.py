@@ -302,9 +302,24 @@ def _(spark, d):
     return export.enrich(r, index).select(F.col("track_id").alias("vec_id"), "raw_tracker_label")
 
 
-@query("image_size", "SELECT 1920 AS width, 1200 AS height")
+@query("image_size", "SELECT DISTINCT CAST(30 * len(embedding) AS INTEGER) AS width, CAST(18 * len(embedding) + 48 AS INTEGER) AS height FROM embeddings")
 def _(spark, d):
-    return export.single_image_size(table(spark, d, "embeddings").select((F.col("vec_id") * 0 + 1920).cast("int").alias("width"), F.lit(1200).alias("height")))
+    """Embeddings as images whose size is made of their length, which all of them share."""
+    n = F.size("embedding")
+    return export.single_image_size(table(spark, d, "embeddings").select((30 * n).alias("width"), (18 * n + 48).alias("height")))
+
+
+@query("source_pool_build", f"""WITH {BOXES}, {_R}, o AS (SELECT *, 0.28::DOUBLE * (x - timestamp_ns) + 0.96::DOUBLE * (y - 1) AS ex, 0.28::DOUBLE * (y - 1) - 0.96::DOUBLE * (x - timestamp_ns) AS ey FROM r),
+p AS (SELECT log_id, timestamp_ns, CAST(vec_id AS VARCHAR) AS track_id, 'K' || class AS name, x, r00, sqrt(ex * ex + ey * ey) AS distance_m, false AS synthetic_ego FROM o WHERE vec_id % 23 <> 0 AND vec_id % 7 <> 0 AND sqrt(ex * ex + ey * ey) < 6
+  UNION ALL SELECT DISTINCT log_id, timestamp_ns, 'ego', 'EGO_VEHICLE', CAST(timestamp_ns AS DOUBLE), 0.28::DOUBLE, 0.0::DOUBLE, true FROM box)
+SELECT log_id, timestamp_ns, track_id, name, round(x, 6) AS x, round(r00, 6) AS r00, round(distance_m, 6) AS distance_m, synthetic_ego, CAST(row_number() OVER (PARTITION BY log_id, timestamp_ns ORDER BY track_id) - 1 AS INTEGER) AS candidate_ordinal FROM p""")
+def _(spark, d):
+    """Boxes with a rotation matrix as a source's objects; some have an infinite size, some are outside the region."""
+    i = F.col("track_id").cast("long")
+    o = _source_pool(spark, d).withColumns({"size": F.when(i % 23 == 0, F.array(F.lit(float("inf")), F.lit(1.0), F.lit(1.0))).otherwise(F.col("size")), "roi": i % 7 != 0})
+    poses = o.select("log_id", "timestamp_ns").distinct().select("*", *[F.lit(v).alias(c) for c, v in (("qw", 0.8), ("qx", 0.0), ("qy", 0.0), ("qz", 0.6))], F.col("timestamp_ns").cast("double").alias("tx"), F.lit(1.0).alias("ty"), F.lit(0.5).alias("tz"))
+    p = pool.build_source_pool(o, poses, 6.0)
+    return p.select("log_id", "timestamp_ns", "track_id", "name", F.round(F.get("translation_m", F.lit(0)), 6).alias("x"), F.round(F.get(F.get("rotation", F.lit(0)), F.lit(0)), 6).alias("r00"), F.round("distance_m", 6).alias("distance_m"), "synthetic_ego", "candidate_ordinal")
 
 
 @query("scorer_inputs", f"""WITH {LINES}, v AS (SELECT name AS raw, row_number() OVER (ORDER BY substr(name, 2)) AS id FROM (SELECT DISTINCT name FROM cand WHERE timestamp_ns < 1994 AND name <> 'p3')), w AS (SELECT prompt, row_number() OVER (ORDER BY prompt) AS pid FROM (SELECT DISTINCT prompt FROM cand WHERE timestamp_ns < 1994 AND prompt <> 'AF'))
@@ -361,6 +376,6 @@ def _(spark, d):
     return export.epoch_order(document_candidates(spark, d).select("track_id"), 3, 1, "track_id")
 
 
-@query("forbidden_features", "SELECT unnest(['label', 'name', 'timestamp_ns', 'track_id']) AS field")
+@query("forbidden_features", f"WITH {LINES} SELECT unnest([{', '.join(f"{{'field': '{f}', 'rows': count({f})}}" for f in ('label', 'name', 'timestamp_ns', 'track_id'))}], recursive := true) FROM cand")
 def _(spark, d):
-    return spark.createDataFrame([(f,) for f in audit.forbidden_features(line_candidates(spark, d).columns)], "field string")
+    return audit.forbidden_counts(line_candidates(spark, d))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankdiag.operators import export, graph, ranking, suite
+from rankdiag.operators import audit, diagnosis, export, graph, pool, ranking, suite
 from rankdiag.plans.base import GROUP, line_candidates
 
 SF = "/root/testdata/sf0.001"
@@ -123,3 +123,36 @@ def test_a_prefix_of_the_keyed_order(spark, n):
     for count in (1, 7, 300):
         got = export.sample_groups_keyed(keys, count, 9).orderBy("place").collect()
         assert [(r["timestamp_ns"], r["place"]) for r in got] == [(g, i) for i, g in enumerate(want[:count])]
+
+
+def test_the_report_holds_all_parts(spark):
+    """Each part's rows come back under its name, key and metric."""
+    got = {(r["part"], r["key"], r["metric"]): r["value"] for r in suite.QUERIES["diagnose_split_report"](spark, SF).collect()}
+    assert {k[0] for k in got} == set(diagnosis.PARTS)
+    flags = suite.QUERIES["diagnose_split"](spark, SF).first()
+    assert got["flags", "", "visibility_gap_flag"] == str(flags["visibility_gap_flag"]).lower()
+    for r in suite.QUERIES["label_feature_distributions"](spark, SF).collect():
+        for m in ("count", "median", "q75"):
+            have = got.get(("features", f"{r['feature']}|{r['label_name']}", m))
+            assert have is None if r[m] is None else float(have) == float(r[m])
+
+
+def test_an_empty_table_misses_nothing(spark):
+    names = "log_id string, prompt string, timestamp_ns long, track_id string, score double, label int, translation_m array<double>, size array<double>, yaw double, match_status string, projection_status string, image_path string, distance_m double, is_drivable boolean, is_positive boolean, name string, _row_ord long"
+    assert audit.inspect_records(spark.createDataFrame([], names)).first()["missing_required"] == 0
+    assert audit.forbidden_counts(spark.createDataFrame([(1,)], "x int")).count() == 0
+
+
+def test_source_pools_by_hand(spark):
+    """Objects that are not finite, too far, outside or without a pose go; the observer's row comes for each pose."""
+    eye = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    ok = ("a", 1, "7", "BUS", [3.0, 4.0, 0.0], [1.0, 1.0, 1.0], eye, 0.5, True)
+    change = lambda **k: tuple(k.get(n, v) for n, v in zip("log_id t track name at size rot score roi".split(), ok, strict=True))
+    rows = [ok, change(track="1", size=[1.0, 0.0, 1.0]), change(track="2", at=[float("nan"), 0.0, 0.0]), change(track="3", rot=[[float("inf"), 0.0, 0.0], *eye[1:]]), change(track="4", score=None),
+            change(track="5", roi=None), change(track="6", at=[80.0, 0.0, 0.0]), change(log_id="b"), change(track="8", at=[1.0, 2.0, 9.0])]
+    o = spark.createDataFrame(rows, "log_id string, timestamp_ns long, track_id string, name string, translation_m array<double>, size array<double>, rotation array<array<double>>, score double, roi boolean")
+    poses = spark.createDataFrame([("a", 1, 1.0, 0.0, 0.0, 0.0, 1.0, 2.0, 0.0), ("c", 5, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "log_id string, timestamp_ns long, qw double, qx double, qy double, qz double, tx double, ty double, tz double")
+    got = {(r["log_id"], r["track_id"]): (r["candidate_ordinal"], round(r["distance_m"], 6), r["synthetic_ego"]) for r in pool.build_source_pool(o, poses).collect()}
+    assert got == {("a", "7"): (0, round(8**0.5, 6), False), ("a", "8"): (1, 0.0, False), ("a", "ego"): (2, 0.0, True), ("c", "ego"): (0, 0.0, True)}
+    chosen = spark.createDataFrame([("a", 8)], "log_id string, track_id long")
+    assert {r["track_id"] for r in pool.build_source_pool(o, poses, selected=chosen, ego=False).collect()} == {"8"}
