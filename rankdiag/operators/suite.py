@@ -598,6 +598,63 @@ def _(spark, d):
     return assoc.match_edges(e, 0.5).join(star, ["cand", "gt"]).select("cand", "gt", F.round("distance", 6).alias("distance"), "valid_edge_count")
 
 
+def _frames_sql(pairs: int, grid: bool) -> str:
+    """_SIDES with frames of about `pairs` candidates, more of them the more boxes there are; on a grid many distances are equal."""
+    x = "round({c}) / 2 AS {c}" if grid else "{c} / 2 AS {c}"
+    out = _SIDES.replace("(vec_id // 2) % 4 AS timestamp_ns", f"(vec_id // 2) // {3 * pairs} AS timestamp_ns")
+    return out.replace("x / 2 AS x, y / 2 AS y", ", ".join(x.format(c=c) for c in "xy"))
+
+
+def _frames(spark, d, pairs: int, grid: bool):
+    k = F.floor(F.col("vec_id") / 2)
+    at = lambda c: ((F.round(c) if grid else F.col(c)) / 2).alias(c)
+    b = box_table(spark, d).select(F.col("vec_id").alias("id"), _side_name().alias("name"), F.concat(F.lit("log"), (k % 3).cast("string")).alias("log_id"), F.floor(k / (3 * pairs)).alias("timestamp_ns"), at("x"), at("y"))
+    return b.where("id % 2 = 0"), b.where("id % 2 = 1")
+
+
+def _brute_sql(name: str, threshold: float, most: int) -> str:
+    """Every matching of every component of at most `most` edges within a threshold: {name}_all (root, chosen edges, pairs, total) over the edges {name}_e, by recursion."""
+    return f"""{name}_e AS (SELECT *, row_number() OVER (ORDER BY cand, gt) AS id FROM ed WHERE distance <= {threshold}::DOUBLE),
+{name}_link AS (SELECT p.id AS a, q.id AS b FROM {name}_e p JOIN {name}_e q ON p.cand = q.cand UNION SELECT p.id, q.id FROM {name}_e p JOIN {name}_e q ON p.gt = q.gt),
+{name}_reach(a, b) AS (SELECT id, id FROM {name}_e UNION SELECT r.a, l.b FROM {name}_reach r JOIN {name}_link l ON r.b = l.a),
+{name}_root AS (SELECT a AS id, min(b) AS root FROM {name}_reach GROUP BY a),
+{name}_c AS (SELECT e.*, root, row_number() OVER (PARTITION BY root ORDER BY id) AS k, count(*) OVER (PARTITION BY root) AS n FROM {name}_e e JOIN {name}_root USING (id) QUALIFY n <= {most}),
+{name}_m(root, k, n, used, chosen, pairs, total) AS (SELECT DISTINCT root, 0::BIGINT, n, []::BIGINT[], []::BIGINT[], 0, 0.0::DOUBLE FROM {name}_c
+  UNION ALL SELECT m.root, m.k + 1, m.n, CASE WHEN t.t THEN list_concat(m.used, [c.cand, c.gt]) ELSE m.used END, CASE WHEN t.t THEN list_append(m.chosen, c.id) ELSE m.chosen END, m.pairs + t.t::INT, m.total + CASE WHEN t.t THEN c.distance ELSE 0 END
+  FROM {name}_m m JOIN {name}_c c ON c.root = m.root AND c.k = m.k + 1, (VALUES (true), (false)) t(t) WHERE NOT t.t OR NOT (list_contains(m.used, c.cand) OR list_contains(m.used, c.gt))),
+{name}_all AS (SELECT *, max(pairs) OVER (PARTITION BY root) AS most FROM {name}_m WHERE k = n),
+{name}_best AS (SELECT root, most AS matched, min(total) AS total, arg_min(chosen, total) AS chosen FROM {name}_all WHERE pairs = most GROUP BY root, most)"""
+
+
+@query("assoc_small_components", f"""WITH RECURSIVE {BOXES}, {_frames_sql(10, True)}, {_brute_sql('s', 1.0, 6)}
+SELECT c.log_id, c.timestamp_ns, min(c.cand) AS first_cand, any_value(c.n) AS edges, CAST(any_value(b.matched) AS BIGINT) AS matched, round(any_value(b.total), 6) AS total, any_value((SELECT count(*) FROM s_all a WHERE a.root = c.root AND a.pairs = b.matched AND a.total <= b.total + 1e-9)) > 1 AS ambiguous
+FROM s_c c JOIN s_best b USING (root) GROUP BY c.root, c.log_id, c.timestamp_ns""")
+def _(spark, d):
+    """Components of at most six edges, where all matchings can be listed: pairs, total distance, and whether another matching is as good."""
+    e = graph._checkpoint(assoc.edges(*_frames(spark, d, 10, True), 1.0))
+    roots = graph.components(e.select((2 * F.col("cand")).alias("a"), (2 * F.col("gt") + 1).alias("b")))
+    own = e.join(roots, 2 * F.col("cand") == F.col("node")).groupBy("root", "log_id", "timestamp_ns").agg(F.min("cand").alias("first_cand"), F.count("*").alias("edges")).where("edges <= 6")
+    m = assoc.match_edges(e, 1.0).select("cand", "distance", "ambiguous").join(roots, 2 * F.col("cand") == F.col("node"))
+    m = m.groupBy("root").agg(F.count("*").alias("matched"), F.round(F.sum("distance"), 6).alias("total"), F.bool_or("ambiguous").alias("ambiguous"))
+    return own.join(m, "root").drop("root")
+
+
+def _sensitivity_sql(k: int, t: float) -> str:
+    return f"""SELECT {t}::DOUBLE AS threshold, count(*) AS groups, round(count(*) FILTER (hit > 0) / count(*), 6) AS confirmed_recall, round(count(*) FILTER (hit > 0) / count(*), 6) AS recall_including_ambiguous, CAST(sum(assigned) AS BIGINT) AS assigned, CAST(0 AS BIGINT) AS ambiguous, CAST(sum(multi) AS BIGINT) AS multiple_valid_edges
+FROM (SELECT a.log_id, a.timestamp_ns, a.prompt, count(m.gt) AS hit, (SELECT count(*) FROM t{k}_pair p WHERE p.log_id = a.log_id AND p.timestamp_ns = a.timestamp_ns) AS assigned, (SELECT count(*) FILTER (p.valid > 1) FROM t{k}_pair p WHERE p.log_id = a.log_id AND p.timestamp_ns = a.timestamp_ns) AS multi
+  FROM asked a LEFT JOIN wanted w USING (log_id, timestamp_ns, prompt) LEFT JOIN t{k}_pair m ON m.gt = w.id GROUP BY ALL)"""
+
+
+_THRESHOLDS = (1.0, 2.0, 4.0)
+
+
+@query("match_sensitivity_frames", f"""WITH RECURSIVE {BOXES}, {_frames_sql(4, False)}, {", ".join(f"{_brute_sql(f't{k}', t, 99)}, t{k}_pair AS (SELECT c.*, count(*) OVER (PARTITION BY c.cand) AS valid, list_contains(b.chosen, c.id) AS taken FROM t{k}_c c JOIN t{k}_best b USING (root) QUALIFY taken)" for k, t in enumerate(_THRESHOLDS))},
+wanted AS (SELECT *, 'p' || id % 3 AS prompt FROM g WHERE id % 3 < 2), asked AS (SELECT DISTINCT w.log_id, w.timestamp_ns, w.prompt FROM wanted w JOIN c USING (log_id, timestamp_ns)) {" UNION ALL ".join(_sensitivity_sql(k, t) for k, t in enumerate(_THRESHOLDS))}""")
+def _(spark, d):
+    """As match_sensitivity, over small frames, where the oracle can list all matchings."""
+    return _sensitivity(*_frames(spark, d, 4, False))
+
+
 @query("assoc_hungarian")
 def _(spark, d):
     return assoc.associate_then_filter(*_sides(spark, d), 2.0)
@@ -623,9 +680,8 @@ def _(spark, d):
     return e.groupBy("threshold").agg(F.count_distinct("cand").alias("with_edge"), F.count("*").alias("edges"))
 
 
-def _sensitivity(spark, d):
+def _sensitivity(cands, truth):
     """Two prompts a frame; ground truth is wanted by the prompt of its id's remainder by three."""
-    cands, truth = _sides(spark, d)
     frames = cands.select(*assoc.FRAME).distinct().withColumn("prompt", F.explode(F.array(F.lit("p0"), F.lit("p1"))))
     wanted = truth.where("id % 3 < 2").select(*assoc.FRAME, F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("prompt"), F.col("id").alias("gt"))
     return assoc.sensitivity(assoc.edges(cands, truth, 4.0), frames, wanted)
@@ -633,7 +689,7 @@ def _sensitivity(spark, d):
 
 @query("match_sensitivity")
 def _(spark, d):
-    return _sensitivity(spark, d)
+    return _sensitivity(*_sides(spark, d))
 
 
 @query("matching_range", f"WITH {BOXES}, {_SIDES}, r AS (SELECT threshold, CAST(count(DISTINCT cand) AS DOUBLE) / (SELECT count(*) FROM c) AS v FROM ed, {_LEVELS} WHERE distance <= threshold GROUP BY threshold) SELECT round(max(v) - min(v), 6) AS matching_range FROM r")
