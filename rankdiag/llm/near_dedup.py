@@ -14,7 +14,7 @@ Steps: (1) equal sets collapse into a class with one representative, the smalles
 share an entry are compared by signature distance in the task that holds the entry; a task keeps a union-find and
 returns a spanning forest, never all pairs; an entry of more than BUCKET members is dealt out as pairs of blocks;
 (3) components of those candidate links are families, whose links exact intersections of whole sets confirm: a family of
-at most FAMILY members in one task, a larger one first along its candidate forest, two texts a link, and only where that
+at most FAMILY members in one task, a larger one first along two candidate links of each member, and only where that
 leaves it in several parts in pairs of blocks; again spanning forests come back; (4) components of confirmed links.
 
 Defined cases: null text is empty; a document with an empty set is its own component, of 0 shingles. A null doc_id
@@ -313,9 +313,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     member = family.select(F.col("node").alias("rep"), F.col("root").alias("family"))
     sizes = cut(member.groupBy("family").agg(F.count("*").alias("n")), "families")
     whole = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).mapInArrow(_once, "rep long, text string")
-    # A large family's forest is confirmed first, at two texts a link; only what that leaves in parts is dealt in blocks.
+    # A large family is confirmed first along two candidate links of each member, at two texts a link; only what that leaves in parts is dealt in blocks.
     large = member.join(sizes.where(F.col("n") > FAMILY).hint("merge"), "family")
     pairs = near.join(large.select(F.col("rep").alias("a")).hint("merge"), "a", "left_semi")
+    pairs = pairs.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).select("a", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("b"))
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("rep")).hint("merge").join(whole, "rep").select("a", "b", "rep", "text")
     along = cut(ends.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_confirm(percent, ("a", "b")), "a long, b long"), "along")
     part = components(along, "along")
