@@ -6,7 +6,7 @@ import re
 import tempfile
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import jaccard, prompt_key, split_bucket
@@ -23,6 +23,16 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def clean_checkpoints(spark: SparkSession) -> None:
+    """Delete what operators have checkpointed in this application; results made from it that are not written yet are lost."""
+    at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if at.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(at.get())
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in files.listStatus(path) if files.exists(path) else []:
+            files.delete(found.getPath(), True)
+
+
 def components(edges: DataFrame, most: int = 200) -> DataFrame:
     """(node, root) of the nodes in edges (a, b): the least node that each reaches, by alternating large and small stars.
 

@@ -1,5 +1,6 @@
 """The queries read whole tables, whole arrays and whole graphs."""
 
+import os
 import random
 
 import duckdb
@@ -156,3 +157,13 @@ def test_source_pools_by_hand(spark):
     assert got == {("a", "7"): (0, round(8**0.5, 6), False), ("a", "8"): (1, 0.0, False), ("a", "ego"): (2, 0.0, True), ("c", "ego"): (0, 0.0, True)}
     chosen = spark.createDataFrame([("a", 8)], "log_id string, track_id long")
     assert {r["track_id"] for r in pool.build_source_pool(o, poses, selected=chosen, ego=False).collect()} == {"8"}
+
+
+def test_checkpoints_are_cleaned(spark):
+    df = graph._checkpoint(spark.range(5).withColumn("x", F.col("id") * 2))
+    assert df.count() == 5
+    at = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert os.listdir(at)
+    graph.clean_checkpoints(spark)
+    assert os.listdir(at) == []
+    assert graph._checkpoint(spark.range(3).toDF("x")).count() == 3  # the folder itself stays
