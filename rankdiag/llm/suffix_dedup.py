@@ -56,7 +56,8 @@ def cover(data: np.ndarray, off: np.ndarray, length: int, anchor: int) -> tuple[
     gram = mix(roll.all(anchor))
     w, m = length - anchor + 1, len(gram)
     # The smallest of w neighbours: prefix and suffix minima of blocks of w; the low bits hold the place, so that the leftmost wins.
-    bits = np.uint64(max(1, int(m).bit_length()))
+    # As many low bits everywhere (but for texts of 2^24 letters or more), so that equal windows tie alike in any batch.
+    bits = np.uint64(max(24, int(m).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
     z = np.full(-(-m // w) * w, np.uint64(2**64 - 1))
     z[:m] = (gram >> bits << bits) | np.arange(m, dtype=np.uint64)
