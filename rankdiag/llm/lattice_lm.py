@@ -8,7 +8,7 @@ the product over its words and its end.
 Piece scores are the vocabulary's own; where they are ranks (byte-pair vocabularies), a piece of rank r weighs
 1 / (r + 10). The vocabulary itself stays as it is.
 
-Options, all off unless asked for:
+Options, all off unless asked for (the query asks for all of them, with two rounds):
 - rounds: so many rounds of expectation-maximisation over the word counts of all training texts replace the piece scores
   by expected counts (PRIOR pseudo-counts keep the first ones alive).
 - word_arcs: one more arc for each whole word. P(w) = max(c - D, 0) / N + D * V / N * lattice(w), with D = n1 / (n1 + 2 *
@@ -372,5 +372,5 @@ def score_texts(docs: DataFrame, held_out, vocabulary_path: str, rounds: int = 0
 def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_texts(docs, id_crc(F.col("doc_id")) % 7 == 2, public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return score_texts(docs, id_crc(F.col("doc_id")) % 7 == 2, public_tokenizers.path("piece_bpe_32k.model"), rounds=2, lang="lang", word_arcs=True)
