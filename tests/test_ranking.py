@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -551,6 +552,15 @@ def test_points_move_once(spark):
     assert got.where("threshold = 4").count() == 380
 
 
+def test_whole_groups_over_batches():
+    """Groups come whole, though batches cut them, and nulls are a group of their own."""
+    keys = [None] * 3 + ["a"] * 7 + ["b"] + ["c"] * 12
+    t = pa.table({"k": pa.array(keys, pa.string()), "i": list(range(len(keys)))})
+    for size in range(1, 25):
+        got = [w["i"].to_pylist()[s:e] for w, start in gated._whole(iter(t.to_batches(max_chunksize=size)), ["k"]) for s, e in zip(start, [*start[1:], w.num_rows], strict=True)]
+        assert [len(g) for g in got] == [3, 7, 1, 12] and sum(got, []) == list(range(len(keys)))
+
+
 def test_points_at_one_place():
     """Copies: pairs at no distance, all of them ambiguous but where there is no other; memory is that of the points."""
     p, q = np.zeros((300, 2)), np.concatenate([np.zeros((200, 2)), np.full((50, 2), 9.0)])
