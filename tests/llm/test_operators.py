@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,28 @@ def test_tokens(spark, messy, tmp_path, name):
     assert spark.read.parquet(cache).count() == stored.count()  # all were hits
 
 
+def test_tokens_of_parts_are_those_of_whole_texts():
+    """Odd blanks, special strings and runs, in batches of any cut; equal parts go to the library once."""
+    path = P.path("byte_bpe_50k.json")
+    rnd = random.Random(1)
+    bits = ["a", "B", "'s", "'", "!", "12", "\u00e9", "\u6f22", "\U0001f600", "<|endoftext|>", "\x00", *" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u200b\u3000", " ", " ", "  "]
+    texts = ["", "x", " ", *("".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30))) for _ in range(3000))]
+    want = token_counts._counter(path)(texts)
+    assert token_counts._cut_by_blanks(path) and not token_counts._cut_by_blanks(P.path("piece_bpe_32k.model"))
+    for size in (1, 7, 3003):
+        some = texts[: 200 * size]
+        batches = (pa.RecordBatch.from_arrays([pa.array([b""] * len(x)), pa.array(x)], ["digest", "content"]) for x in (some[i : i + size] for i in range(0, len(some), size)))
+        assert [n for b in token_counts._encode(path, "v")(batches) for n in b.column(2).to_pylist()] == want[: len(some)]
+
+
+def test_equal_parts_are_encoded_once(monkeypatch):
+    asked: list[str] = []
+    monkeypatch.setattr(token_counts, "_counter", lambda path: lambda texts: [asked.append(x) or 1 for x in texts])
+    b = pa.RecordBatch.from_arrays([pa.array([b"", b""]), pa.array(["the cat the cat the cat", "a cat"])], ["digest", "content"])
+    got = [n for x in token_counts._encode(P.path("byte_bpe_50k.json"), "v")(iter([b, b])) for n in x.column(2).to_pylist()]
+    assert got == [6, 2, 6, 2] and sorted(asked) == [" cat", " the", "a", "the"]
+
+
 def test_tokens_empty(empty, tmp_path):
     assert token_counts.count_tokens(empty, P.path("byte_bpe_50k.json"), str(tmp_path / "c")).count() == 0
 
