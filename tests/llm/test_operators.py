@@ -394,6 +394,20 @@ def test_repeats_of_rows(spark, length, anchor, passage, rows):
     assert got == want
 
 
+@pytest.mark.parametrize("size,removed", [(399, 0), (400, 400)])
+def test_a_passage_goes_by_its_bytes_not_its_words(spark, tmp_path, size, removed):
+    """The query's contract fixes strings of 400 bytes: 67 words of 399 bytes stay where they repeat, though more than 50; n_bytes is the input's."""
+    r = random.Random(13)
+    make = lambda n: "".join(r.choice("bcdefghij") for _ in range(n))
+    passage = " ".join(make(5) for _ in range(80))[: size - 1] + "k"
+    rows = [(i, f"{make(300)}{side}{passage}{side}{make(300)}") for i, side in enumerate("XYZ")]
+    assert len(passage) == size and len(passage.split()) > 50
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffix_dedup.op9_suffix_dedup(spark, str(tmp_path)).collect()
+    assert collections.Counter(map(tuple, got)) == brute_removed(rows, 400)
+    assert {(x["n_bytes"], x["n_removed"]) for x in got} == {(602 + size, removed)}
+
+
 def test_run_length_index():
     r = np.random.default_rng(0)
     for n in (1, 2, 7, 50, 300):
