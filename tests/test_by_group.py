@@ -14,6 +14,10 @@ def exchanges(df):
     return re.findall(r"Exchange (\w+)\(", df._jdf.queryExecution().executedPlan().toString())
 
 
+def exchanges_by(df):
+    return re.findall(r"Exchange (\w+\(.*)", df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+
+
 def test_rows_move_before_they_are_multiplied_and_tasks_stay_small(spark, monkeypatch):
     monkeypatch.setattr(ranking, "TASK_ROWS", 100)
     cands = line_candidates(spark, SF)
@@ -42,3 +46,28 @@ def test_diagnosis_writes_no_rows(spark, monkeypatch):
 
     suite_audit.diagnosis.diagnose_split(suite_audit._rows(spark, SF), suite_audit._models(spark, SF), 5000.0, 0.2, ["flags"])
     assert not [c for c in wide if "track_id" in c or "area" in c]
+
+
+def test_a_whole_diagnosis_moves_rows_once(spark, monkeypatch):
+    """All parts that need whole groups share one exchange of the candidates, and one of names alone; neither rows nor groups nor features are written."""
+    from rankdiag.operators import suite_audit
+
+    plans, wide = [], []
+    for module in (diagnosis, ranking):
+        monkeypatch.setattr(module, "_checkpoint", lambda df, real=module._checkpoint: (plans.append(df), wide.append(df.columns)) and real(df))
+    rows, parts = suite_audit._rows(spark, SF), [p for p in diagnosis.PARTS if p not in ("features", "flags")]
+    plans.append(diagnosis.report(diagnosis.diagnose_split(rows, {"pooled": "tracker_score", "task_id": "candidate_distance"}, 5000.0, 0.2, parts)))
+    moved = [x for df in plans for x in exchanges_by(df) if "REPARTITION_BY_NUM" in x]
+    assert len(moved) == 2 and sum("hashpartitioning(log_id" in x and "prompt" not in x for x in moved) == 1, moved
+    diagnosis.label_distributions(rows)
+    assert not [c for c in wide if "timestamp_ns" in c or "projected_area_px" in c]
+
+
+def test_large_logs_are_cut_between_groups(spark, monkeypatch):
+    c = line_candidates(spark, SF)
+    rows = lambda: sorted(map(str, diagnosis.control_strata(c).collect()))
+    whole, cut = rows(), []
+    real = ranking.with_counts
+    monkeypatch.setattr(ranking, "with_counts", lambda df, counts, on, *how: cut.append(list(on)) or real(df, counts, on, *how))
+    monkeypatch.setattr(diagnosis, "LOG_ROWS", 100)
+    assert rows() == whole and ["log_id", "name"] in cut
